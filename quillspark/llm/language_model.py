@@ -7,14 +7,16 @@ node's Krichevsky-Trofimov estimate and the product over its longer contexts are
 probability of each decision, and their product the probability of the text.
 
 The data flow. Every task reads its documents into units of about ``UNIT`` bytes and writes for each unit its texts
-(compressed) and its distinct words and byte (depth + 1)-grams with their counts in training texts, zero included.
-Counts are summed by word or gram; grams are priced in shards of two context bytes, the nodes above which are one
-table of 65,536 rows at most; then words with their counts and grams with their log-probabilities return to the units
-that hold them, and each unit scores its texts with the slice of the model that it needs. So no task and no broadcast
-holds the model as a whole, and all counts come from all training documents.
+(compressed) and its distinct words and byte (depth + 1)-grams with their counts in training texts, zero included,
+packed by shard: words by their hash, grams by the two bytes before the last. There are as many shards as ``SHARD``
+bytes of text, and salts of ``SALT`` units, so a group of one shard and salt stays small at any size. Shards sum their
+counts, first by salt, and price their grams; the nodes above them are one table of 65,536 rows at most. Words with
+their counts and grams with their log-probabilities return to the units that hold them, and each unit scores its texts
+with the slice of the model that it needs. So no task and no broadcast holds the model as a whole, and all counts come
+from all training documents.
 
 Edge cases: a null or empty text is one end token and one end byte; texts without training data get the uniform
-estimate; rows without id count as held in (the check value of null isn't the held-out one); repeated rows count each
+estimate; rows without id give no row; repeated rows count each
 time; other columns are ignored; an empty table gives no rows.
 """
 
@@ -25,13 +27,13 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm import store
 from quillspark.llm import textvec as V
 
-UNIT, DEPTH = 32 << 20, 3
+UNIT, DEPTH, SHARD, SALT = 32 << 20, 5, 32 << 20, 256
 END_WORD = np.int64(0x1E4D)  # stands for the end token among word hashes
 WORD, GRAM, TEXT = 0, 1, 2
 PAD = 0xFF  # in no UTF-8 text
@@ -115,14 +117,61 @@ def head_tables(code: np.ndarray, zeros: np.ndarray, ones: np.ndarray, longer: n
     return one1, share1, (b + 0.5) / (a + b + 1), 1 / (1 + np.exp(np.clip(s - log_kt(a, b), -700, 700)))
 
 
-def _unit_rows(unit: int, rows: list[tuple], depth: int) -> Iterable[pa.RecordBatch]:
+_codec = "zstd"
+
+
+def pack(keys: np.ndarray, values: np.ndarray) -> bytes:
+    """Sorted keys (int64, not negative) and values (int64 or float64), compressed: differences, byte by byte."""
+    step = np.diff(keys, prepend=np.int64(0))
+    body = b"".join(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes() for x in (step, values))
+    return pa.Codec(_codec, 3).compress(body, asbytes=True)
+
+
+def unpack(row: bytes, n: int, kind: type = np.int64) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(pa.Codec(_codec).decompress(row, 16 * n, asbytes=True), np.uint8).reshape(2, 8, n)
+    step, values = (np.ascontiguousarray(x.T).reshape(-1) for x in raw)
+    return np.cumsum(step.view(np.int64)), values.view(kind)
+
+
+def word_keys(h: np.ndarray) -> np.ndarray:
+    """63 bits of word hashes."""
+    return (h >> V.U(1)).view(np.int64)
+
+
+def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    k, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    return k, np.bincount(inverse, np.concatenate(counts), len(k)).astype(np.int64)
+
+
+def shard_of(kind: int, keys: np.ndarray, shards: int) -> np.ndarray:
+    x = keys.view(np.uint64) if kind == WORD else keys.view(np.uint64) >> V.U(8) & V.U(0xFFFF)
+    return (V.mix64(x + V.U(1)) % V.U(shards)).astype(np.int64)
+
+
+ROWS = "unit long, kind int, shard int, salt int, size long, body binary"
+SCHEMA = pa.schema([("unit", pa.int64()), ("kind", pa.int32()), ("shard", pa.int32()), ("salt", pa.int32()), ("size", pa.int64()), ("body", pa.binary())])
+
+
+def _row(*row) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, SCHEMA.types, strict=True)], schema=SCHEMA)
+
+
+def _packed(unit: int, kind: int, salt: int, keys: np.ndarray, counts: np.ndarray, shards: int) -> Iterable[pa.RecordBatch]:
+    shard = shard_of(kind, keys, shards)
+    order = np.argsort(shard, kind="stable")
+    cut = np.searchsorted(shard[order], np.arange(shards + 1))
+    for s in np.flatnonzero(np.diff(cut)):
+        own = order[cut[s] : cut[s + 1]]
+        yield _row(unit, kind, int(s), salt, len(own), pack(keys[own], counts[own]))
+
+
+def _unit_rows(unit: int, rows: list[tuple], depth: int, shards: int, salts: int) -> Iterable[pa.RecordBatch]:
     """The rows of one unit: its texts, words and grams."""
-    schema = pa.schema([("unit", pa.int64()), ("kind", pa.int32()), ("key", pa.int64()), ("cnt", pa.int64()), ("texts", pa.binary())])
-    codec = pa.Codec("zstd", 3)
     words, word_n, seen, seen_n, ends = [], [], [], [], 0
+    salt = int(V.mix64(np.array([unit], np.uint64))[0] % V.U(salts))
     for ids, train, data, off in rows:
         start, end, doc = V.runs(V.NOT_SPACE[data], off)
-        w, inverse = np.unique(V.span_hashes(data, start, end).view(np.int64), return_inverse=True)
+        w, inverse = np.unique(word_keys(V.span_hashes(data, start, end)), return_inverse=True)
         words.append(w)
         word_n.append(np.bincount(inverse, train[doc], len(w)).astype(np.int64))
         g, at = grams(data, off, depth)
@@ -134,18 +183,13 @@ def _unit_rows(unit: int, rows: list[tuple], depth: int) -> Iterable[pa.RecordBa
         ends += int(train.sum())
         body = data.tobytes()
         head = np.array([len(off) - 1, len(body)], np.int64).tobytes() + ids.tobytes() + train.astype(np.int8).tobytes() + off.astype(np.int64).tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array([unit]), pa.array([TEXT], pa.int32()), pa.array([len(head) + len(body)]), pa.array([0]), pa.array([codec.compress(head + body, asbytes=True)], pa.binary())], schema=schema)
-    for kind, keys, counts in ((WORD, [*words, np.array([END_WORD])], [*word_n, np.array([ends])]), (GRAM, seen, seen_n)):
-        k, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        n = np.bincount(inverse, np.concatenate(counts), len(k)).astype(np.int64)
-        for x in range(0, len(k), 100_000):
-            part = slice(x, x + 100_000)
-            m = len(k[part])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, unit)), pa.array(np.full(m, kind, np.int32)), pa.array(k[part]), pa.array(n[part]), pa.nulls(m, pa.binary())], schema=schema)
+        yield _row(unit, TEXT, 0, 0, len(head) + len(body), pa.Codec(_codec, 6).compress(head + body, asbytes=True))
+    yield from _packed(unit, WORD, salt, *summed([*words, np.array([END_WORD])], [*word_n, np.array([ends])]), shards)
+    yield from _packed(unit, GRAM, salt, *summed(seen, seen_n), shards)
 
 
 def _unpack(row: bytes, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    raw = pa.Codec("zstd").decompress(row, size, asbytes=True)
+    raw = pa.Codec(_codec).decompress(row, size, asbytes=True)
     n, m = np.frombuffer(raw, np.int64, 2)
     ids = np.frombuffer(raw, np.int64, n, 16)
     train = np.frombuffer(raw, np.int8, n, 16 + 8 * n).astype(bool)
@@ -153,27 +197,46 @@ def _unpack(row: bytes, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return ids, train, np.frombuffer(raw, np.uint8, m, 16 + 9 * n + 8 * (n + 1)), off
 
 
-def units(docs: DataFrame, train: Column, depth: int, unit: int) -> DataFrame:
+def units(docs: DataFrame, train: Column, depth: int, unit: int, shards: int, salts: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         from pyspark import TaskContext
 
         number, rows, held = TaskContext.get().partitionId() << 24, [], 0
         for b in batches:
             for lo, hi, data, off in V.chunks(b.column("text")):
-                ids = b.column("doc_id").slice(lo, hi - lo)
-                null = ids.is_null().to_numpy(zero_copy_only=False)
-                ids = ids.fill_null(0).to_numpy() if null.any() else ids.to_numpy()
-                learn = b.column("train").slice(lo, hi - lo).to_numpy(zero_copy_only=False).astype(bool)
-                rows.append((ids, learn, V.lowered(data), off))
+                rows.append((b.column("doc_id").slice(lo, hi - lo).to_numpy(), b.column("train").slice(lo, hi - lo).to_numpy(zero_copy_only=False).astype(bool), V.lowered(data), off))
                 held += len(data)
                 if held >= unit:
-                    yield from _unit_rows(number, rows, depth)
+                    yield from _unit_rows(number, rows, depth, shards, salts)
                     number, rows, held = number + 1, [], 0
         if rows:
-            yield from _unit_rows(number, rows, depth)
+            yield from _unit_rows(number, rows, depth, shards, salts)
 
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(train, F.lit(True)).alias("train"))
-    return rows.mapInArrow(run, "unit long, kind int, key long, cnt long, texts binary")
+    return rows.mapInArrow(run, ROWS)
+
+
+def add_up(t: pa.Table) -> pa.Table:
+    """One row with the sums of all rows of a group."""
+    k, n = summed(*zip(*(unpack(r.as_py(), m) for r, m in zip(t["body"], t["size"].to_pylist(), strict=True)), strict=True))
+    return pa.Table.from_batches([_row(0, t["kind"][0].as_py(), t["shard"][0].as_py(), t["salt"][0].as_py(), len(k), pack(k, n))])
+
+
+def totals(parts: DataFrame, salts: int) -> DataFrame:
+    """One row for each kind and shard with the counts over all units."""
+    if salts > 1:
+        parts = parts.groupBy("kind", "shard", "salt").applyInArrow(add_up, ROWS)
+    return parts.groupBy("kind", "shard").applyInArrow(add_up, ROWS)
+
+
+def answer(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+    """The rows of a group's units with the values of their keys."""
+    keys, values = unpack(theirs["body"][0].as_py(), theirs["size"][0].as_py(), np.float64)
+    out = []
+    for unit, kind, shard, size, body in zip(*(mine[c].to_pylist() for c in ("unit", "kind", "shard", "size", "body")), strict=True):
+        k, _ = unpack(body, size)
+        out.append(_row(unit, kind, shard, 0, size, pack(k, values[np.searchsorted(keys, k)])))
+    return pa.Table.from_batches(out, SCHEMA)
 
 
 def score(docs: DataFrame, train: Column, *, depth: int = DEPTH, unit: int = UNIT) -> DataFrame:
@@ -182,54 +245,64 @@ def score(docs: DataFrame, train: Column, *, depth: int = DEPTH, unit: int = UNI
     if not 3 <= depth <= 6:
         raise ValueError("depth is 3 to 6")
     spark = docs.sparkSession
-    read = store.kept(units(docs, train, depth, unit), "units")
-    by_key = Window.partitionBy("kind", "key")
-    total = read.where(f"kind < {TEXT}").select("unit", "kind", "key", F.sum("cnt").over(by_key).alias("total"), (F.row_number().over(by_key.orderBy("unit")) == 1).alias("first"))
-    total = store.kept(total, "totals")
-    n, v = total.where(f"kind = {WORD} and first").agg(F.coalesce(F.sum("total"), F.lit(0)), F.count_if(F.col("total") > 0)).first()
-
-    shards = max(1, min(65536, total.where(f"kind = {GRAM} and first").count() // 200_000 + 1))
-    shard = F.pmod(F.hash(F.shiftright("key", 8).bitwiseAND(0xFFFF)), F.lit(shards))
-    priced = total.where(f"kind = {GRAM} and first").select(shard.alias("shard"), "key", "total")
-
-    def tops(t: pa.Table) -> pa.Table:
-        tree = Tree(t["key"].to_numpy(), t["total"].to_numpy(), depth)
-        code, inverse = np.unique((tree.code >> 8 & 0xFF) << 8 | tree.code & 0xFF, return_inverse=True)
-        sums = [pa.array(np.bincount(inverse, x, len(code))) for x in (tree.zeros, tree.ones, tree.pw)]
-        return pa.table([pa.array(code), *sums], names=["code", "zeros", "ones", "longer"])
+    n_bytes_all = store.text_bytes(docs)
+    shards, salts = store.buckets(n_bytes_all, SHARD), -(-store.buckets(n_bytes_all, unit) // SALT)
+    read = store.kept(units(docs, train, depth, unit, shards, salts), "units")
+    parts = read.where(f"kind < {TEXT}")
+    total = store.kept(totals(parts, salts), "totals")
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for b in batches:
+            sums = [unpack(r.as_py(), m)[1] for r, m in zip(b.column("body"), b.column("size").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([int(x.sum()) for x in sums], pa.int64()), pa.array([int((x > 0).sum()) for x in sums], pa.int64())], ["n", "v"])
+
+    n, v = total.where(f"kind = {WORD}").mapInArrow(count, "n long, v long").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+
+    def tops(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for b in batches:
+            for body, size in zip(b.column("body"), b.column("size").to_pylist(), strict=True):
+                tree = Tree(*unpack(body.as_py(), size), depth)
+                code, inverse = np.unique((tree.code >> 8 & 0xFF) << 8 | tree.code & 0xFF, return_inverse=True)
+                sums = [pa.array(np.bincount(inverse, x, len(code))) for x in (tree.zeros, tree.ones, tree.pw)]
+                yield pa.RecordBatch.from_arrays([pa.array(code), *sums], ["code", "zeros", "ones", "longer"])
 
     # one row for each context byte and decision: 65,280 rows at most reach the driver
-    top = priced.groupBy("shard").applyInArrow(tops, "code long, zeros double, ones double, longer double").groupBy("code").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "longer"))).orderBy("code").toPandas()
+    top = total.where(f"kind = {GRAM}").mapInArrow(tops, "code long, zeros double, ones double, longer double")
+    top = top.groupBy("code").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "longer"))).orderBy("code").toPandas()
     tables = spark.sparkContext.broadcast(head_tables(*(top[c].to_numpy() for c in ("code", "zeros", "ones", "longer"))))
 
-    def price(t: pa.Table) -> pa.Table:
-        key = t["key"].to_numpy()
-        tree = Tree(key, t["total"].to_numpy(), depth)
+    def price(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         one1, share1, one0, share0 = tables.value
-        p = tree.log10_probability([((key >> 8 & 0xFF) << 8 | tree.prefix, one1, share1), (tree.prefix, one0, share0)])
-        return pa.table([t["key"], pa.array(p)], names=["key", "value"])
-
-    log_p = priced.groupBy("shard").applyInArrow(price, "key long, value double")
-    slices = total.where(f"kind = {WORD}").select("unit", "kind", "key", F.col("total").cast("double").alias("value")).unionByName(
-        total.where(f"kind = {GRAM}").select("unit", "kind", "key").join(log_p, "key").select("unit", "kind", "key", "value")
-    )
+        for b in batches:
+            for kind, shard, size, body in zip(*(b.column(c).to_pylist() for c in ("kind", "shard", "size", "body")), strict=True):
+                key, count = unpack(body, size)
+                if kind == GRAM:
+                    tree = Tree(key, count, depth)
+                    value = tree.log10_probability([((key >> 8 & 0xFF) << 8 | tree.prefix, one1, share1), (tree.prefix, one0, share0)])
+                else:
+                    value = count.astype(float)
+                for salt in range(salts):
+                    yield _row(0, kind, shard, salt, size, pack(key, value))
+
+    keys = ["kind", "shard", "salt"]
+    slices = parts.groupBy(*keys).cogroup(total.mapInArrow(price, ROWS).groupBy(*keys)).applyInArrow(answer, ROWS)
     norm = math.log10(n + 0.5 * (v + 1)) if n + v else math.log10(0.5)
 
     def finish(texts: pa.Table, model: pa.Table) -> pa.Table:
-        kind, key, value = (model[c].to_numpy() for c in ("kind", "key", "value"))
-        lookup = {}
-        for k in (WORD, GRAM):
-            own = key[kind == k]
-            order = np.argsort(own)
-            lookup[k] = own[order], value[kind == k][order]
-        (wk, wc), (gk, gp) = lookup[WORD], lookup[GRAM]
-        gk = gk.astype(np.uint32 if depth <= 3 else np.uint64)
+        found: dict[int, list] = {WORD: [], GRAM: []}
+        for kind, size, body in zip(*(model[c].to_pylist() for c in ("kind", "size", "body")), strict=True):
+            found[kind].append(unpack(body, size, np.float64))
+        (wk, wc), (gk, gp) = ([np.concatenate(x) for x in zip(*found[k], strict=True)] for k in (WORD, GRAM))
+        order = np.argsort(wk)
+        wk, wc = wk[order], wc[order]
+        order = np.argsort(gk)
+        gk, gp = gk[order].astype(np.uint32 if depth <= 3 else np.uint64), gp[order]
         end = float(wc[np.searchsorted(wk, END_WORD)])
         out = []
-        for row, size in zip(texts["texts"], texts["key"].to_pylist(), strict=True):
+        for row, size in zip(texts["body"], texts["size"].to_pylist(), strict=True):
             ids, learn, data, off = _unpack(row.as_py(), size)
             start, stop, doc = V.runs(V.NOT_SPACE[data], off)
-            c = wc[np.searchsorted(wk, V.span_hashes(data, start, stop).view(np.int64))]
+            c = wc[np.searchsorted(wk, word_keys(V.span_hashes(data, start, stop)))]
             m = len(ids)
             tokens = np.bincount(doc, minlength=m) + 1
             known = np.bincount(doc, c > 0, m).astype(np.int64) + (end > 0)
@@ -240,7 +313,7 @@ def score(docs: DataFrame, train: Column, *, depth: int = DEPTH, unit: int = UNI
             out.append(pa.table([pa.array(ids), pa.array(learn), pa.array(tokens), pa.array(known), pa.array(np.full(m, n)), pa.array(base), pa.array(model_score), pa.array(n_bytes), pa.array(-model_score / math.log10(2) / (n_bytes + 1))], names=NAMES))
         return pa.concat_tables(out)
 
-    texts = read.where(f"kind = {TEXT}").select("unit", "key", "texts")
+    texts = read.where(f"kind = {TEXT}")
     return texts.groupBy("unit").cogroup(slices.groupBy("unit")).applyInArrow(finish, ", ".join(f"{a} {b}" for a, b in zip(NAMES, TYPES, strict=True)))
 
 

@@ -26,7 +26,7 @@ from quillspark.llm import textvec as V
 #: Bounds of what is fitted: labelled documents of each class, and hashed inputs of either kind.
 SAMPLE, HALF = 2000, 2048
 #: Fixed thresholds.
-KEEP, MIN_WORDS, REPEAT_PERCENT, WINDOW = 0.5, 10, 20, 5
+KEEP, MIN_WORDS, REPEAT_PERCENT, WINDOW = 0.15, 10, 20, 5
 SYMBOL = np.zeros(256, np.int8)
 SYMBOL[list(b"#*$%&|<>")] = 1
 
@@ -185,3 +185,19 @@ def judge(docs: DataFrame, model: Regression, keep_at: float = KEEP) -> DataFram
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInArrow(run, f"doc_id long, {BASE}, base_failed boolean, p_quality double, kept boolean")
+
+
+def keep(docs: DataFrame, model: Regression, keep_at: float = KEEP) -> DataFrame:
+    """The rows of ``docs`` whose text passes the base rule and the model, with their columns."""
+    names = docs.columns
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi, data, off in V.chunks(b.column("quill_text"), V.CHUNK // 2):
+                c = counts(data, off)
+                good = (c["n_words"] >= MIN_WORDS) & (100 * c["n_repeat_words"] <= REPEAT_PERCENT * c["n_words"])
+                good &= shipped.value.probability(inputs(data, off)) >= keep_at
+                yield pa.RecordBatch.from_arrays([b.column(k).slice(lo, hi - lo) for k in range(len(names))], names).filter(pa.array(good))
+
+    return docs.withColumn("quill_text", F.coalesce("text", F.lit(""))).mapInArrow(run, docs.schema)
