@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from quillspark.llm import store
 from quillspark.llm import textvec as V
 
-UNIT, DEPTH, SHARD, SALT = 32 << 20, 5, 32 << 20, 256
+UNIT, DEPTH, SHARD, SALT = 16 << 20, 5, 32 << 20, 256
 END_WORD = np.int64(0x1E4D)  # stands for the end token among word hashes
 WORD, GRAM, TEXT = 0, 1, 2
 PAD = 0xFF  # in no UTF-8 text
@@ -180,6 +180,9 @@ def _unit_rows(unit: int, rows: list[tuple], depth: int, shards: int, salts: int
             k, n = np.unique(part, return_counts=True)
             seen.append(k.astype(np.int64))
             seen_n.append(n * factor)
+        if len(words) == 4:  # sums so far take the place of parts
+            words, word_n = ([x] for x in summed(words, word_n))
+            seen, seen_n = ([x] for x in summed(seen, seen_n))
         ends += int(train.sum())
         body = data.tobytes()
         head = np.array([len(off) - 1, len(body)], np.int64).tobytes() + ids.tobytes() + train.astype(np.int8).tobytes() + off.astype(np.int64).tobytes()
@@ -203,7 +206,7 @@ def units(docs: DataFrame, train: Column, depth: int, unit: int, shards: int, sa
 
         number, rows, held = TaskContext.get().partitionId() << 24, [], 0
         for b in batches:
-            for lo, hi, data, off in V.chunks(b.column("text")):
+            for lo, hi, data, off in V.chunks(b.column("text"), V.CHUNK // 2):
                 rows.append((b.column("doc_id").slice(lo, hi - lo).to_numpy(), b.column("train").slice(lo, hi - lo).to_numpy(zero_copy_only=False).astype(bool), V.lowered(data), off))
                 held += len(data)
                 if held >= unit:
