@@ -15,15 +15,21 @@ from quillspark.functions import columns as C
 from quillspark.functions import lexicons as L
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows with every column computed once. Without it the optimizer would put an array's expression into
+    each use of the array, also inside of functions that run for every element."""
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
 def sentences(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, sent, tokens): texts split at full stops and line feeds, then into runs of letters and commas."""
     cut = docs.select(key, F.posexplode(F.split("text", r"[.\n]+")).alias("sent", "sentence"))
-    return cut.select(key, "sent", F.regexp_extract_all("sentence", F.lit(r"([\p{L}]+|,)"), 1).alias("tokens")).where(F.size("tokens") > 0)
+    return settled(cut.select(key, "sent", F.regexp_extract_all("sentence", F.lit(r"([\p{L}]+|,)"), 1).alias("tokens"))).where(F.size("tokens") > 0)
 
 
 def tag_closed_class(sents: DataFrame, closed: list[str] = L.CLOSED_CLASS) -> DataFrame:
     """Adds ``nouns``, an array of flags: all but closed-class words count as nouns where text has no tags."""
-    return sents.withColumn("nouns", F.transform("tokens", lambda t: ~F.lower(t).isin(*closed)))
+    return settled(sents.withColumn("nouns", F.transform("tokens", lambda t: ~F.lower(t).isin(*closed))))
 
 
 def noun_runs(sents: DataFrame, *, drop_last: bool = True) -> DataFrame:
@@ -34,7 +40,7 @@ def noun_runs(sents: DataFrame, *, drop_last: bool = True) -> DataFrame:
     places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
     first = F.filter(places, lambda i: at(i) & ((i == 1) | ~at(F.greatest(i - 1, F.lit(1)))))
     last = F.filter(places, lambda i: at(i) & ((i == n) | ~at(i + 1)))
-    return sents.withColumn("runs", F.zip_with(first, last, lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
+    return settled(sents.withColumn("runs", F.zip_with(first, last, lambda a, b: F.struct(a.alias("a"), b.alias("b")))))
 
 
 def _head(a: Column, b: Column, useless: list[str]) -> Column:
