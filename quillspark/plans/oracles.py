@@ -166,10 +166,10 @@ ORACLE = {
             round(p, 9) as anaphor_precision, round(q, 9) as anaphor_recall, round(coalesce(2 * p * q / nullif(p + q, 0), 0), 9) as anaphor_f1 from r
     """,
     "lexicon_coverage": f"""
-        with {EXT}, g as (select distinct anaphor, antecedent from k where pattern = '<Y> of <X>'), l as (select distinct anaphor, antecedent from k where pattern = '<Y> in <X>'),
-        n as (select (select count(distinct anaphor) from g where anaphor in (select anaphor from l)) as af, (select count(distinct anaphor) from g) as ag,
-            (select count(distinct antecedent) from g where antecedent in (select antecedent from l)) as tf, (select count(distinct antecedent) from g) as tg,
-            (select count(*) from g semi join l using (anaphor, antecedent)) as pf, (select count(*) from g) as pg)
+        with {EXT}, gd as (select distinct anaphor, antecedent from k where pattern = '<Y> of <X>'), l as (select distinct anaphor, antecedent from k where pattern = '<Y> in <X>'),
+        n as (select (select count(distinct anaphor) from gd where anaphor in (select anaphor from l)) as af, (select count(distinct anaphor) from gd) as ag,
+            (select count(distinct antecedent) from gd where antecedent in (select antecedent from l)) as tf, (select count(distinct antecedent) from gd) as tg,
+            (select count(*) from gd semi join l using (anaphor, antecedent)) as pf, (select count(*) from gd) as pg)
         select af as anaphor_found, ag as anaphor_gold, round(coalesce(af / nullif(ag, 0), 0), 9) as anaphor_coverage, tf as antecedent_found, tg as antecedent_gold, round(coalesce(tf / nullif(tg, 0), 0), 9) as antecedent_coverage,
             pf as pair_found, pg as pair_gold, round(coalesce(pf / nullif(pg, 0), 0), 9) as pair_coverage from n
     """,
