@@ -64,7 +64,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = vocabulary("piece_bpe_32k.model")
-    rows = sentencepiece_codec.decode(sentencepiece_codec.encode(_read(spark, sf_dir, "documents"), model), model)
+    rows = sentencepiece_codec.round_trip(_read(spark, sf_dir, "documents"), model)
     same = F.translate("text", "▁", " ") == F.col("decoded")
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.crc32(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_crc32"), F.crc32("decoded").alias("decoded_crc32"), same.alias("round_trip"))
 

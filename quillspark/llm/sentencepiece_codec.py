@@ -26,6 +26,8 @@ from quillspark.llm import tokens as T
 SPACE_MARK = 0x2581
 #: Longer words are merged one by one with a heap.
 LONG = 256
+#: Characters merged at once, bytes encoded at once, ids decoded at once. They bound memory only.
+BLOCK, BYTES, IDS = 1 << 18, 1 << 20, 1 << 18
 
 
 class Codec(T.Encoder):
@@ -145,8 +147,11 @@ class Codec(T.Encoder):
         strings = [raw[a:b].decode("utf-8", "replace").replace(" ", "▁") for a, b in zip(start.tolist(), end.tolist(), strict=True)]
         size = np.array([len(s) for s in strings])
         out: list = [None] * len(strings)
-        for length in np.unique(size):
-            own = np.flatnonzero(size == length)
+        order = np.argsort(size, kind="stable")
+        kinds, first = np.unique(size[order], return_index=True)
+        groups = zip(kinds.tolist(), np.split(order, first[1:]), strict=True)
+        blocks = ((length, all_[x : x + max(1, BLOCK // length)]) for length, all_ in groups for x in range(0, len(all_), max(1, BLOCK // length)))
+        for length, own in blocks:
             words = np.frombuffer("".join(strings[i] for i in own).encode("utf-32-le"), np.uint32).astype(np.int64).reshape(len(own), length)
             if length > LONG:
                 parts = [self.merge_long(w) for w in words]
@@ -194,16 +199,34 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+def _encoded(c: Codec, batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+    for b in batches:
+        for lo, hi, data, off in V.chunks(b.column("text"), BYTES):
+            ids, n = c.encode_texts(data, off)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(ids.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), b.column("text").slice(lo, hi - lo), lists], ["doc_id", "text", "ids"])
+
+
+def _decoded(c: Codec, batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+    for whole in batches:
+        lists = whole.column("ids").fill_null([]) if whole.column("ids").null_count else whole.column("ids")
+        offsets = lists.offsets.to_numpy()
+        lo = 0
+        while lo < whole.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + IDS, "right")) - 1)
+            part = lists.slice(lo, hi - lo)
+            data, at = c.decode(part.flatten().to_numpy(), np.diff(offsets[lo : hi + 1]))
+            raw = data.tobytes()
+            made = pa.array([raw[p:q].decode("utf-8", "replace") for p, q in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([*whole.slice(lo, hi - lo).columns, made], [*whole.schema.names, "decoded"])
+            lo = hi
+
+
 def encode(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, text and ids of every row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        c = codec(model)
-        for b in batches:
-            for lo, hi, data, off in V.chunks(b.column("text"), T.TOKEN_CHUNK):
-                ids, n = c.encode_texts(data, off)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(ids.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), b.column("text").slice(lo, hi - lo), lists], ["doc_id", "text", "ids"])
+        return _encoded(codec(model), batches)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInArrow(run, "doc_id long, text string, ids array<int>")
@@ -212,19 +235,21 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
 def decode(encoded: DataFrame, model: str) -> DataFrame:
     """The rows of ``encoded`` with ``decoded``, the text of their ids; null ids give an empty text."""
     encoded = encoded.drop("decoded")
-    names = encoded.columns
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        c = codec(model)
-        for whole in batches:
-            for x in range(0, whole.num_rows, 1000):
-                b = whole.slice(x, 1000)
-                lists = b.column("ids").fill_null([]) if b.column("ids").null_count else b.column("ids")
-                data, at = c.decode(lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy()))
-                raw = data.tobytes()
-                made = pa.array([raw[p:q].decode("utf-8", "replace") for p, q in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.string())
-                yield pa.RecordBatch.from_arrays([*b.columns, made], [*names, "decoded"])
+        return _decoded(codec(model), batches)
 
     from pyspark.sql.types import StringType, StructField, StructType
 
     return encoded.mapInArrow(run, StructType([*encoded.schema.fields, StructField("decoded", StringType())]))
+
+
+def round_trip(docs: DataFrame, model: str) -> DataFrame:
+    """``decode`` of ``encode`` in one pass of one worker a task: doc_id, text, ids and decoded of every row."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        c = codec(model)
+        return _decoded(c, _encoded(c, batches))
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, text string, ids array<int>, decoded string")

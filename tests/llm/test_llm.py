@@ -105,3 +105,17 @@ def test_edits_count_as_whole_texts(spark):
         at = min(max(0, position), len(text))
         want = text[:at] + insert + text[at + delete :]
         assert "".join(tree.parts) == want and tree.tokens[1] == len(encode(want)) and tree.chars[1] == len(want)
+
+
+def test_round_trip_in_spark(spark):
+    import sentencepiece
+
+    path = P.path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = [*TEXTS, "long " * 9000, "x" * 3000]
+    docs = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, ids string")
+    both = sentencepiece_codec.decode(sentencepiece_codec.encode(docs, path), path)
+    for rows in (sentencepiece_codec.round_trip(docs, path), both):
+        got = {r.doc_id: (r.ids, r.decoded) for r in rows.collect()}
+        assert got == {i: (sp.encode(t or ""), t or "") for i, t in enumerate(texts)}
+    assert sentencepiece_codec.round_trip(docs.where("doc_id < 0"), path).collect() == []
