@@ -18,7 +18,9 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.5."""
     model = toxicity.train(docs, _labels(spark, sf_dir))
-    return toxicity.score(docs, model).where(F.col("score") < 0.5).select(*docs.columns)
+    # a column of the documents that is called score keeps its values
+    scored = toxicity.score(docs.withColumnRenamed("score", "quill_own"), model).where(F.col("score") < 0.5)
+    return scored.withColumnsRenamed({"score": "quill_toxic", "quill_own": "score"}).select(*docs.columns)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
