@@ -104,6 +104,31 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op2_url_filters": r"""
+        with u as (
+            select page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+                regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) as path from pages),
+        ru as (
+            select *, case when (host = 'example.com' or ends_with(host, '.example.com')) and starts_with(path, '/de/') then 'example.com/de/'
+                when (host = 'example.net' or ends_with(host, '.example.net')) and starts_with(path, '/en/') then 'example.net/en/'
+                when (host = 'org' or ends_with(host, '.org')) and starts_with(path, '/fr/') then 'org/fr/' when (host = 'net' or ends_with(host, '.net')) and starts_with(path, '/') then 'net/' end as rule,
+                list_filter(string_split(path, '/'), lambda x: x <> '') as parts from u),
+        sh as (
+            select *, case when rule in ('example.com/de/', 'net/') then 'block' when rule is not null then 'allow' end as ruled, len(parts) > 4 as more,
+                list_transform(parts, lambda x: case when regexp_matches(lower(x), '^([0-9]+|[0-9a-f]{8,}|[0-9]{4}-[0-9]{2}(-[0-9]{2})?)(\.[a-z]+)?$') then '*' || regexp_extract(x, '(\.[a-z]+)?$', 0) else x end) as s from ru),
+        a as (select *, case when count(distinct s[1]) over w >= 16 and 2 * count(distinct s[1]) over w > count(s[1]) over w and s[1] is not null then '*' else s[1] end as t0 from sh window w as (partition by host)),
+        b as (select *, case when count(distinct s[2]) over w >= 16 and 2 * count(distinct s[2]) over w > count(s[2]) over w and s[2] is not null then '*' else s[2] end as t1 from a window w as (partition by host, t0)),
+        c as (select *, case when count(distinct s[3]) over w >= 16 and 2 * count(distinct s[3]) over w > count(s[3]) over w and s[3] is not null then '*' else s[3] end as t2 from b window w as (partition by host, t0, t1)),
+        d as (select *, case when count(distinct s[4]) over w >= 16 and 2 * count(distinct s[4]) over w > count(s[4]) over w and s[4] is not null then '*' else s[4] end as t3 from c window w as (partition by host, t0, t1, t2)),
+        e as (select *, '/' || concat_ws('/', t0, t1, t2, t3) as stem, stem || case when more then '/**' else '' end as template, regexp_replace(stem, '/[^/]*$', '') as parent from d),
+        o as (select coalesce(count(*) filter (where ruled = 'block') / nullif(count(ruled), 0), 0e0) as prior from e),
+        br as (select host, parent, template, count(*) filter (where ruled = 'block') as blocked, count(ruled) as labelled from e group by all),
+        st as (select br.*, prior, floor((blocked + 4e0 * prior) / (labelled + 4e0) * 4) as step from br, o),
+        mg as (
+            select host, parent, template, (sum(blocked) over w + 4e0 * prior) / (sum(labelled) over w + 4e0) as purity, count(*) over w as merged
+            from st window w as (partition by host, parent, step))
+        select page_id, host, path, rule, coalesce(ruled, case when purity >= 0.8 then 'block' else 'allow' end) as verdict, template, purity, merged from e join mg using (host, parent, template)
+    """,
     "op3_top_k_search": """
         with v as (
             select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
