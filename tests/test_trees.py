@@ -1,0 +1,95 @@
+import pytest
+from pyspark.sql import functions as F
+
+from quillspark.operators import trees
+from quillspark.sources import readers
+
+TEXT = """#begin document (x); part 000
+f 0 0 The DT (TOP(S(NP(NP* - - - - * (1|(2
+f 0 1 roof NN *) - - - - * 2)
+f 0 2 of IN (PP* - - - - * -
+f 0 3 Old NNP (NP* - - - - (ORG* (3
+f 0 4 Town NNP *))) - - - - *) 1)|3)
+f 0 5 fell VBD (VP*))) - - - - * -
+
+#end document
+#begin document (x); part 001
+f 0 0 It PRP (TOP(S(NP*) - - - - * (1)
+f 0 1 broke VBD (VP*))) - - - - * -
+
+#end document
+"""
+
+
+@pytest.fixture(scope="module")
+def words(spark, tmp_path_factory):
+    p = tmp_path_factory.mktemp("t") / "a.conll"
+    p.write_text(TEXT)
+    return trees.keyed(readers.conll(spark, str(p)))
+
+
+def test_constituents(words):
+    got = [(r.node, r.parent, r.label, r.start, r.end, r.leaf) for r in trees.constituents(words).where("doc like '%#0'").orderBy("node").collect()]
+    assert got == [
+        (1, None, "TOP", 0, 5, False), (2, 1, "S", 0, 5, False), (3, 2, "NP", 0, 4, False), (4, 3, "NP", 0, 1, False), (5, 4, "DT", 0, 0, True), (6, 4, "NN", 1, 1, True),
+        (7, 3, "PP", 2, 4, False), (8, 7, "IN", 2, 2, True), (9, 7, "NP", 3, 4, False), (10, 9, "NNP", 3, 3, True), (11, 9, "NNP", 4, 4, True), (12, 2, "VP", 5, 5, False), (13, 12, "VBD", 5, 5, True),
+    ]
+    mirror = [r.label for r in trees.constituents(words).where("doc like '%#0'").orderBy("mirror").collect()]
+    assert mirror[:6] == ["TOP", "S", "VP", "VBD", "NP", "PP"]
+
+
+def test_mentions_heads_and_order(words):
+    m = {r.ment: r for r in trees.mentions(words).where("doc like '%#0'").collect()}
+    assert {k: r.head for k, r in m.items()} == {"0:0:4:1": "roof", "0:0:1:2": "roof", "0:3:4:3": "Town"}
+    assert m["0:3:4:3"].ner == "ORG" and m["0:0:4:1"].ner == "*"
+    assert sorted(m, key=lambda k: m[k].l2r) == ["0:0:4:1", "0:0:1:2", "0:3:4:3"] and sorted(m, key=lambda k: m[k].r2l) == ["0:0:4:1", "0:3:4:3", "0:0:1:2"]
+    tree = {r.ment: r.head for r in trees.mentions(words, head_mode="tree").where("doc like '%#0'").collect()}
+    assert tree == {"0:0:4:1": "roof", "0:0:1:2": "roof", "0:3:4:3": "Town"}
+
+
+def test_nested_mentions_of_one_chain(spark):
+    w = spark.createDataFrame([("d", 0, k, c) for k, c in enumerate(["(7", "(7", "7)", "7)"])], "doc string, sent int, word_idx int, coref string")
+    spans = lambda x: {(r.start, r.end) for r in trees.coref_spans(w, x).collect()}
+    assert spans(False) == {(0, 3), (1, 2)} and spans(True) == {(0, 2), (1, 3)}
+
+
+def test_names(spark):
+    w = spark.createDataFrame([("d", 0, k, c) for k, c in enumerate(["*", "(ORG*", "*", "*)", "*", "(GPE)", "*"])], "doc string, sent int, word_idx int, ner string")
+    assert [r.name for r in trees.name_spans(w).orderBy("word_idx").collect()] == ["*", "ORG", "ORG", "ORG", "*", "GPE", "*"]
+
+
+def test_alignment_and_gold_links(spark, words):
+    rows = [("a.xml", "m0", 4, 5, "old", None, None, []), ("a.xml", "m1", 6, 6, "mediated", "bridging", "x", ["m0"]), ("a.xml", "m2", 7, 7, "new", None, None, []), ("a.xml", "m3", 900, 901, "new", None, None, [])]
+    marks = spark.createDataFrame(rows, "file string, id string, span_start int, span_end int, is_status string, mediated_type string, bridge_type string, antecedents array<string>")
+    got = trees.align(trees.mentions(words), marks, words)
+    by = {r.markable: (r.doc[-1], r.ment, r.head, r.chain) for r in got.where("markable is not null").collect()}
+    assert by == {"m0": ("0", "0:3:4:3", "Town", 3), "m1": ("0", "0:5:5:m1", "fell", None), "m2": ("1", "0:0:0:1", "It", 1)}
+    assert got.count() == 5
+    link = trees.gold_links(got).collect()
+    assert [(r.anaphor, r.antecedent, r.antecedent_text, r.chain_ids, r.k) for r in link] == [("m1", "m0", "Old Town", ["m0"], 0)]
+    assert [tuple(r) for r in trees.seed_pairs(trees.gold_links(got), heads=False).collect()] == [("fell", "Old_Town")]
+
+
+def test_cluster_column_reads_back(words):
+    m = trees.mentions(words)
+    c = m.select("doc", "ment", F.when(F.col("chain") < 3, F.col("chain")).alias("cluster"))
+    out = trees.with_clusters(words, m, c)
+    assert [r.new_coref for r in out.where("doc like '%#0'").orderBy("word_idx").collect()] == ["(1|(2", "2)", "-", "(3", "3)|1)", "-"]
+    back = trees.coref_spans(out.withColumn("coref", F.col("new_coref")))
+    key = ["doc", "sent", "start", "end"]
+    assert sorted(map(tuple, back.select(*key).collect())) == sorted(map(tuple, m.select(*key).collect()))
+    assert {tuple(r) for r in trees.gold_clusters(m).where("doc like '%#0'").select("chain").collect()} == {(1,), (2,), (3,)}
+
+
+def test_subjects_and_seed_patterns(spark, words):
+    sv = trees.subject_verbs(words)
+    assert sorted((r.doc[-1], r.subject, r.verb) for r in sv.collect()) == [("0", "roof", "fell"), ("1", "It", "broke")]
+    rows = spark.createDataFrame([("d", 0, "House", "stood"), ("d", 1, "roof", "fell"), ("d", 2, "house", "burnt")], "doc string, sent int, subject string, verb string")
+    seeds = spark.createDataFrame([("roof", "house")], "anaphor string, antecedent string")
+    assert [(r.anaphor_verb, r.antecedent_verb) for r in trees.adjacent_subjects(rows, seeds).collect()] == [("fell", "stood")]
+    s = spark.createDataFrame([("d", 0, "the roof of the house".split()), ("d", 1, "house roof".split()), ("d", 2, ["roof"])], "doc string, sent int, tokens array<string>")
+    assert sorted(r.pattern for r in trees.seed_patterns(s, seeds).collect()) == ["<X> of the <Y>", "<Y> <X>"]
+
+
+def test_empty_table(words):
+    assert trees.mentions(words.limit(0)).count() == 0 and trees.constituents(words.limit(0)).count() == 0
