@@ -95,6 +95,23 @@ GEO = """
     up as (select word, synset, 0 as depth from start union all select word, parent, depth + 1 from up join edge on child = synset)
 """
 
+CLUSTERS = TALK + f""",
+    z as (
+        select *, array_to_string(toks, ' ') as txt, lower(array_to_string(toks, ' ')) in ({_in(L.ALL_PRONOUNS)}) as pron from mm),
+    zz as (
+        select *, count(*) over e as size, row_number() over (e order by sent, "start") as nth, min((sent, "start")) over e as opened from z window e as (partition by doc, txt)),
+    cl as (
+        select *, case when size > 1 and not pron then dense_rank() over (partition by doc, size > 1 and not pron order by opened) end as cluster, pron or nth = 1 as first from zz),
+    nw as (
+        select *, coalesce(cluster, coalesce(max(cluster) over (partition by doc), 0) + row_number() over (partition by doc, cluster is null order by sent, "start")) as id from cl)
+"""
+NODES = TALK + """,
+    np as (select doc, sent, a, b, 1 + row_number() over (partition by doc, sent order by a) + a - 1 as node from r),
+    lf as (
+        select t.doc, t.sent, t.pos, t.token, np.node as parent, 1 + t.pos + (select count(*) from np q where q.doc = t.doc and q.sent = t.sent and q.a <= t.pos) as node
+        from t left join np on np.doc = t.doc and np.sent = t.sent and t.pos between np.a and np.b)
+"""
+
 ORACLE = {
     "tokens": f"with {TOK} select doc_id, cast(sent as int) as sent, cast(pos - 1 as int) as pos, token from t",
     "sentence_lengths": f"with {TOK} select doc_id, cast(sent as int) as sent, cast(len(w) as int) as n_tokens from w where len(w) > 0",
@@ -186,5 +203,35 @@ ORACLE = {
         with {TALK}, x as (select *, array_to_string(toks, ' ') as txt from mm)
         select doc, txt as text, count(*) as size, cast(arg_min(sent, (sent, "start")) as bigint) as first_sent, cast(arg_min("start", (sent, "start")) as int) as first_start from x group by doc, txt having count(*) > 1
     """,
+    "constituents": f"""
+        with {NODES}, n as (
+            select doc, sent, 1 as node, null as parent, 'S' as label, 1 as depth, 0 as s, len(w) - 1 as e, false as leaf, array_to_string(w, ' ') as text from w where len(w) > 0
+            union all select np.doc, np.sent, node, 1, 'NP', 2, np.a - 1, np.b - 1, false, array_to_string(r.w[np.a : np.b], ' ') from np join r on np.doc = r.doc and np.sent = r.sent and np.a = r.a
+            union all select doc, sent, node, coalesce(parent, 1), case when parent is null then 'XX' else 'NN' end, case when parent is null then 2 else 3 end, pos - 1, pos - 1, true, token from lf)
+        select doc, sent, cast(node as int) as node, cast(coalesce(parent, 0) as int) as parent, label, cast(depth as int) as depth, cast(s as int) as "start", cast(e as int) as "end", leaf, text from n
+    """,
+    "name_spans": f"with {NODES} select doc, sent, cast(pos - 1 as int) as word_idx, case when parent is null then '*' else 'RUN' end as name from lf",
+    "phrase_heads": f"""
+        with {NODES} select doc, sent, cast(node as int) as node, (select arg_max(r.head, r.a) from r where r.doc = np.doc and r.sent = np.sent and r.a = np.a) as head from np
+        union all select doc, sent, 1, coalesce((select arg_max(r.head, r.a) from r where r.doc = w.doc and r.sent = w.sent), w[len(w)]) from w where len(w) > 0
+    """,
+    "seed_patterns": f"""
+        with {EXT}, b as (select doc_id, sent, w, anaphor, antecedent from w join seed on list_contains(w, anaphor) and list_contains(w, antecedent)),
+        q as (select *, list_position(w, anaphor) as a1, list_position(w, antecedent) as t1, len(w) + 1 - list_position(list_reverse(w), anaphor) as a2, len(w) + 1 - list_position(list_reverse(w), antecedent) as t2 from b),
+        f as (
+            select anaphor, antecedent, array_to_string(list_concat(['<X>'], w[a1 + 1 : t2 - 1], ['<Y>']), ' ') as pattern from q where t2 > a1
+            union all select anaphor, antecedent, array_to_string(list_concat(['<Y>'], w[t1 + 1 : a2 - 1], ['<X>']), ' ') from q where a2 > t1)
+        select pattern, anaphor, antecedent, count(*) as cnt from f group by all
+    """,
+    "coref_pass_exact": f"with {CLUSTERS} select doc, ment, cast(coalesce(cluster, 0) as int) as cluster, first from cl",
+    "cluster_column": f"""
+        with {CLUSTERS} select doc, sent, cast("start" as int) as word_idx, case when "start" = "end" then '(' || id || ')' else '(' || id end as new_coref from nw
+        union all select doc, sent, cast("end" as int), id || ')' from nw where "start" < "end"
+    """,
+    "coref_column_spans": f"""
+        with {CLUSTERS}, o as (select *, min("start") over (partition by doc, sent, id) as first_open from nw)
+        select doc, sent, cast("start" as int) as "start", cast("end" as int) as "end", cast(id as int) as chain, cast(row_number() over (partition by doc, sent order by first_open, "start" desc) as int) as k from o
+    """,
+    "gold_chains": f"with {CLUSTERS} select doc, cast(cluster as int) as chain, string_agg(ment, ',' order by sent, \"start\") as members from cl where cluster is not null group by all",
     "cosine_match": "select s.vec_id as seed, e.vec_id, round(list_cosine_similarity(cast(e.embedding as double[]), cast(s.embedding as double[])), 6) as cosine from embeddings e join embeddings s on s.vec_id < 5 and e.vec_id > s.vec_id where round(list_cosine_similarity(cast(e.embedding as double[]), cast(s.embedding as double[])), 6) >= 0.3",
 }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import columns as C
-from quillspark.operators import evaluation, mentions, patterns, resources
+from quillspark.operators import coreference, evaluation, learning, mentions, patterns, resources, trees
 
 SEEDS = 20
 
@@ -217,8 +217,74 @@ def cosine_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.join(few, F.col("vec_id") > F.col("seed")).select("seed", "vec_id", F.round(C.cosine(F.col("embedding"), F.col("u")), 6).alias("cosine")).where("cosine >= 0.3")
 
 
+def talk_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of conversations with brackets around noun runs, in place of a parser's and a tagger's columns."""
+    rows = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("sent"), F.regexp_extract_all("text", F.lit(r"([\p{L}]+|,)"), 1).alias("tokens"))
+    rows = patterns.noun_runs(patterns.tag_closed_class(patterns.settled(rows)), drop_last=False)
+    w = rows.select("doc", "sent", F.size("tokens").alias("n"), "runs", F.posexplode("tokens").alias("word_idx", "token"))
+    at = F.col("word_idx") + 1
+    run = F.try_element_at(F.filter("runs", lambda r: (r["a"] <= at) & (at <= r["b"])), F.lit(1))
+    first, last = F.coalesce(run["a"] == at, F.lit(False)), F.coalesce(run["b"] == at, F.lit(False))
+    bits = F.concat(F.when(at == 1, "(S").otherwise(""), F.when(first, "(NP").otherwise(""), F.lit("*"), F.when(last, ")").otherwise(""), F.when(at == F.col("n"), ")").otherwise(""))
+    ner = F.concat(F.when(first, "(RUN*").otherwise("*"), F.when(last, ")").otherwise(""))
+    return w.select("doc", "sent", "word_idx", "token", F.when(run.isNotNull(), "NN").otherwise("XX").alias("pos"), bits.alias("parse_bit"), ner.alias("ner"))
+
+
+def constituents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trees.constituents(talk_words(spark, sf_dir)).select("doc", "sent", "node", F.coalesce("parent", F.lit(0)).alias("parent"), "label", "depth", "start", "end", "leaf", "text")
+
+
+def name_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trees.name_spans(talk_words(spark, sf_dir)).select("doc", "sent", "word_idx", "name")
+
+
+def phrase_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = talk_words(spark, sf_dir)
+    return trees.phrase_heads(trees.constituents(w).where("label in ('S', 'NP')"), trees.sentences(w)).select("doc", "sent", "node", "head")
+
+
+def seed_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = trees.seed_patterns(english(spark, sf_dir), F.broadcast(seeds(counts(spark, sf_dir))), "doc_id")
+    return found.groupBy("pattern", "anaphor", "antecedent").agg(F.count("*").alias("cnt"))
+
+
+def coref_pass_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster 0 stands for none."""
+    return coreference.resolve(talk(spark, sf_dir), ["exact"]).withColumn("cluster", F.coalesce("cluster", F.lit(0)))
+
+
+def coref_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All six passes. Not in SQL: each mention's choice depends on clusters made before it."""
+    return coreference.resolve(talk(spark, sf_dir))
+
+
+def cluster_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = talk(spark, sf_dir)
+    return trees.cluster_column(m, coreference.resolve(m, ["exact"]))
+
+
+def coref_column_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trees.coref_spans(cluster_column(spark, sf_dir).withColumnRenamed("new_coref", "coref"))
+
+
+def gold_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = talk(spark, sf_dir)
+    chained = m.join(coreference.resolve(m, ["exact"]).select("doc", "ment", F.col("cluster").alias("chain")), ["doc", "ment"])
+    return trees.gold_clusters(chained).select("doc", "chain", F.array_join("members", ",").alias("members"))
+
+
+def recognised_anaphors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-validated recognition of mentions whose head was mentioned before, from what stands in them. A fitted model,
+    so without SQL."""
+    m = mentions.surface_features(mentions.previous_features(talk(spark, sf_dir))).withColumns({"fold": F.col("doc") % 3, "label": F.col("same_head") > 0})
+    names = ["len_anaphor", "definite", "determiner", "no_premod_comp", "spatial_temporal_mod", "sent_first", "doc_first", "tokens"]
+    out = learning.cross_validate(m.select("doc", "ment", "fold", "label", *names), names, settings=learning.Settings(positive_weight=12.0, rounds=10))
+    return out.select("doc", "ment", "label", "score", "predicted")
+
+
 QUERIES = {f.__name__: f for f in (
     tokens, sentence_lengths, noun_runs, pattern_extractions, pattern_candidates_v1, pattern_prune, pattern_rlogf_strict, pattern_rlogf_relaxed, extraction_scores, bootstrap_round1, bootstrap_round2, bootstrap_frozen,
     pattern_match, noun_compounds, pair_count_cube, tfidf_top15, mentions_noun_runs, backward_search, candidate_window, possible_anaphors, previous_mentions, mention_features, between_mentions, negative_pairs,
     score_prf, lexicon_coverage, cv_folds, hypernym_closure, generalise, json_counts, coref_exact, cosine_match,
+    constituents, name_spans, phrase_heads, seed_patterns, coref_pass_exact, coref_passes, cluster_column, coref_column_spans, gold_chains, recognised_anaphors,
 )}
