@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import columns as C
-from quillspark.operators import coreference, evaluation, learning, mentions, patterns, resources, trees
+from quillspark.operators import coreference, evaluation, learning, mentions, patterns, resources, trees, vectors
 
 SEEDS = 20
 
@@ -212,9 +212,9 @@ def coref_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cosine_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "embeddings")
-    few = F.broadcast(e.where("vec_id < 5").select(F.col("vec_id").alias("seed"), F.col("embedding").alias("u")))
-    return e.join(few, F.col("vec_id") > F.col("seed")).select("seed", "vec_id", F.round(C.cosine(F.col("embedding"), F.col("u")), 6).alias("cosine")).where("cosine >= 0.3")
+    """All pairs of the table. Cosines are rounded before they meet the bound, so pairs a rounding below it are fetched too."""
+    close = vectors.cosine_pairs(read(spark, sf_dir, "embeddings"), 0.3 - 1e-6)
+    return close.select(F.col("a").alias("seed"), F.col("b").alias("vec_id"), F.round("cosine", 6).alias("cosine")).where("cosine >= 0.3")
 
 
 def talk_words(spark: SparkSession, sf_dir: str) -> DataFrame:
