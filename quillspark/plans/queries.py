@@ -176,7 +176,7 @@ def lexicon_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cv_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").where("doc_id < 50").select(F.col("doc_id").alias("doc_ord"))
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc_ord"))
     return evaluation.folds(docs, 5)
 
 

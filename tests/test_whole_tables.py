@@ -52,3 +52,13 @@ def test_vectors_that_take_no_part(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     assert [tuple(r) for r in vectors.cosine_pairs(df, 0.5).collect()] == [(1, 2, 1.0)]
     assert vectors.cosine_pairs(df.limit(0), 0.5).count() == 0
+
+
+def test_cv_folds_gives_every_document_a_fold(spark, tmp_path):
+    d = str(tmp_path)
+    spark.range(123).select(F.col("id").alias("doc_id"), F.lit("x").alias("text")).write.parquet(f"{d}/documents.parquet")
+    got = [tuple(r) for r in queries.cv_folds(spark, d).orderBy("doc_ord").collect()]
+    assert got == [(k, k // 5) for k in range(123)]
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{d}/documents.parquet/*.parquet')")
+    assert {r for r in got if r[0] < 50} == set(con.execute(oracles.ORACLE["cv_folds"]).fetchall())
