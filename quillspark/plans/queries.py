@@ -9,6 +9,7 @@ from quillspark.functions import columns as C
 from quillspark.operators import coreference, evaluation, learning, mentions, patterns, resources, trees, vectors
 
 SEEDS = 20
+FOLDS = 10
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -274,11 +275,15 @@ def gold_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recognised_anaphors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cross-validated recognition of mentions whose head was mentioned before, from what stands in them. A fitted model,
-    so without SQL."""
-    m = mentions.surface_features(mentions.previous_features(talk(spark, sf_dir))).withColumns({"fold": F.col("doc") % 3, "label": F.col("same_head") > 0})
+    """Recognition of mentions whose head was mentioned before, from what stands in them, cross-validated over FOLDS
+    contiguous runs of documents. A fitted model, so without SQL."""
+    m = mentions.surface_features(mentions.previous_features(talk(spark, sf_dir))).withColumn("label", F.col("same_head") > 0)
+    first, last = m.agg(F.min("doc"), F.max("doc")).first()
+    size = 1 if first is None else -(-(last - first + 1) // FOLDS)
     names = ["len_anaphor", "definite", "determiner", "no_premod_comp", "spatial_temporal_mod", "sent_first", "doc_first", "tokens"]
-    out = learning.cross_validate(m.select("doc", "ment", "fold", "label", *names), names, settings=learning.Settings(positive_weight=12.0, rounds=10))
+    m = evaluation.folds(m.withColumn("doc_ord", F.col("doc") - F.lit(first)), size)
+    m = m.select("doc", "ment", "fold", "label", *names).persist()  # read by every fold's training
+    out = learning.cross_validate(m, names, settings=learning.ANAPHORS)
     return out.select("doc", "ment", "label", "score", "predicted")
 
 

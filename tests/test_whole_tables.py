@@ -62,3 +62,16 @@ def test_cv_folds_gives_every_document_a_fold(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from read_parquet('{d}/documents.parquet/*.parquet')")
     assert {r for r in got if r[0] < 50} == set(con.execute(oracles.ORACLE["cv_folds"]).fetchall())
+
+
+def test_recogniser_runs_its_own_settings_over_contiguous_folds(spark, tmp_path, monkeypatch):
+    d, seen = str(tmp_path), {}
+    spark.createDataFrame([(k, 0, "u", "old red house near green house") for k in range(7, 32)], "conv_id long, turn int, role string, text string").write.parquet(f"{d}/conversations.parquet")
+
+    def keep(instances, features, *, settings):
+        seen.update(settings=settings, folds={(r.doc, r.fold) for r in instances.select("doc", "fold").distinct().collect()})
+        return instances.withColumns({"score": F.lit(0.0), "predicted": F.lit(False)})
+
+    monkeypatch.setattr(queries.learning, "cross_validate", keep)
+    assert queries.recognised_anaphors(spark, d).count() > 0
+    assert seen["settings"] == queries.learning.ANAPHORS and seen["folds"] == {(k, (k - 7) // 3) for k in range(7, 32)}
