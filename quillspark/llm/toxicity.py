@@ -1,13 +1,20 @@
 """Toxicity by a factorization machine over hashed terms.
 
 Terms of a text are its words (letters and digits, lower case) and the first five and the first four bytes of longer
-words, hashed to ``2**BITS`` buckets; a term counts once for each text. From a bounded sample of labelled documents the
-executors count in how many texts of each class each bucket occurs; the buckets that the classes use most differently
-are the inputs. A factorization machine over them, fitted on the driver, has a weight for each input and a vector
-whose inner products weigh pairs of inputs, so that terms that are harmless alone can count together.
+words, hashed to ``2**BITS`` buckets; a term counts once for each text. Every bucket that occurs in at least ``LEAST``
+texts of a bounded sample of labelled documents is an input: no input is chosen by its own connection with the label,
+since a term that tells nothing alone may tell much beside another. The machine's logit is
+
+    bias + sum of weight[i] + 1/2 (|sum of factor[i]|^2 - sum of |factor[i]|^2) / n
+
+over the n inputs of a text, so every pair of inputs adds the inner product of their vectors. The driver fits weights
+first, by proximal Adagrad with a bound on each weight's noise (L1, growing with the root of how many texts have the
+input), then vectors and weights together. A fifth of the sample kept aside says how many rounds either takes; where
+pairs tell nothing the second takes none, and the vectors stay zero. Then all of the sample is fitted with these rounds.
 
 Edge cases: a null or empty text has no terms and gets the model's bias; without labels of both classes every score is
-the share of toxic labels (0 without labels); repeated rows get equal scores; other columns are ignored.
+the share of toxic labels (0 without labels); repeated rows get equal scores; a column ``score`` of the documents is
+replaced, other columns pass through whatever their names; an empty table gives no rows; a row without id is scored.
 """
 
 from __future__ import annotations
@@ -24,8 +31,11 @@ from quillspark.llm import samples
 from quillspark.llm import textvec as V
 
 BITS = 20
-#: Bounds of what is fitted: labelled documents of each class, and inputs of the machine.
-SAMPLE, INPUTS, FACTORS = 4096, 4096, 4
+#: Bounds of what is fitted: labelled documents of each class, texts that an input occurs in, length of vectors.
+SAMPLE, LEAST, FACTORS = 4096, 3, 4
+#: Of the fit: texts in a step, most rounds for weights alone and with vectors, rounds without gain that end it, and by
+#: how much vectors must lower the loss.
+STEP, ROUNDS, PAIR_ROUNDS, PATIENCE, GAIN = 256, 30, 14, 6, 0.02
 
 
 @dataclass
@@ -38,13 +48,19 @@ class Machine:
     factor: np.ndarray
 
     def score(self, doc: np.ndarray, inputs: np.ndarray, n_docs: int) -> np.ndarray:
-        """Probabilities from (text, input) pairs."""
+        """Probabilities from (text, input) pairs, ordered by text."""
         y = np.full(n_docs, self.bias) + np.bincount(doc, self.weight[inputs], n_docs)
-        for f in range(self.factor.shape[1]):
-            v = self.factor[inputs, f]
-            y += 0.5 * (np.bincount(doc, v, n_docs) ** 2 - np.bincount(doc, v * v, n_docs))
+        if self.factor.any():
+            pairs = np.zeros(n_docs)
+            for f in range(self.factor.shape[1]):
+                v = self.factor[inputs, f].astype(float)
+                pairs += np.bincount(doc, v, n_docs) ** 2 - np.bincount(doc, v * v, n_docs)
+            y += 0.5 * pairs / np.maximum(1, np.bincount(doc, minlength=n_docs))
         return 1 / (1 + np.exp(-np.clip(y, -60, 60)))
 
+    def linear_part(self) -> Machine:
+        return Machine(self.index, self.bias, self.weight, np.zeros_like(self.factor))
+
 
 def terms(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(text, bucket) of every term occurrence."""
@@ -67,49 +83,131 @@ def distinct_inputs(data: np.ndarray, off: np.ndarray, index: np.ndarray) -> tup
     return pair // n, pair % n
 
 
-def fit(rows: list[tuple[int, np.ndarray]], index: np.ndarray, share: float, *, steps: int = 300, rate: float = 0.05, decay: float = 2e-4) -> Machine:
-    """Fits by Adam on all sampled texts. Classes are weighed so that ``share`` of the weight is toxic."""
+class _Texts:
+    """Texts of the sample in steps of STEP, each with its inputs by text and by input."""
+
+    def __init__(self, rows: list[np.ndarray], y: np.ndarray, weigh: np.ndarray, order: np.ndarray):
+        self.steps = []
+        for x in range(0, len(order), STEP):
+            ids = order[x : x + STEP]
+            size = np.array([len(rows[i]) for i in ids])
+            inputs = np.concatenate([rows[i] for i in ids]).astype(np.int64)
+            doc = np.repeat(np.arange(len(ids)), size)
+            cols, inverse = np.unique(inputs, return_inverse=True)
+            by = np.argsort(inverse, kind="stable")
+            some = np.flatnonzero(size)
+            self.steps.append((y[ids], weigh[ids], size, doc, cols, inverse, by, np.searchsorted(inverse[by], np.arange(len(cols))), some, (np.cumsum(size) - size)[some]))
+
+
+class _Fit:
+    def __init__(self, n_inputs: int, share: float, noise: np.ndarray, rng: np.random.Generator):
+        self.rng, self.noise = rng, noise
+        self.w, self.b = np.zeros(n_inputs, np.float32), float(np.log(share / (1 - share)))
+        self.v = np.zeros((n_inputs, FACTORS), np.float32)
+        self.hw, self.hv, self.hb = np.full(n_inputs, 1e-8, np.float32), np.full((n_inputs, FACTORS), 1e-8, np.float32), 1e-8
+
+    def logit(self, step: tuple) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
+        _, _, size, _, cols, inverse, _, _, some, at = step
+        z = np.full(len(size), self.b, np.float32)
+        if not len(some):
+            return z, None, None
+        z[some] += np.add.reduceat(self.w[cols][inverse], at)
+        if not self.pairs:
+            return z, None, None
+        g = self.v[cols][inverse]
+        s = np.zeros((len(size), FACTORS), np.float32)
+        s[some] = np.add.reduceat(g, at, axis=0)
+        z[some] += 0.5 / size[some] * ((s[some] ** 2).sum(1) - np.add.reduceat((g * g).sum(1), at))
+        return z, g, s
+
+    def round(self, texts: _Texts, pairs: bool, rate: float = 0.5, rate_v: float = 0.1, decay: float = 0.1) -> None:
+        self.pairs = pairs
+        for k in self.rng.permutation(len(texts.steps)):
+            step = texts.steps[k]
+            y, weigh, size, doc, cols, _, by, first, some, _ = step
+            z, g, s = self.logit(step)
+            err = (weigh * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)).astype(np.float32)
+            total = float(err.sum())
+            self.hb += total * total
+            self.b -= rate * total / self.hb**0.5
+            if not len(some):
+                continue
+            gw = np.add.reduceat(err[doc][by], first)
+            self.hw[cols] += gw * gw
+            eta = rate / np.sqrt(self.hw[cols])
+            u = self.w[cols] - eta * gw
+            self.w[cols] = np.sign(u) * np.maximum(np.abs(u) - eta * self.noise[cols], 0)
+            if g is not None:
+                e = err / np.maximum(1, size)
+                gv = np.add.reduceat((e[:, None] * s)[doc][by] - e[doc][by][:, None] * g[by], first, axis=0) + decay / len(y) * self.v[cols]
+                self.hv[cols] += gv * gv
+                self.v[cols] -= rate_v * gv / np.sqrt(self.hv[cols])
+
+    def loss(self, texts: _Texts) -> float:
+        total = 0.0
+        for step in texts.steps:
+            z = np.clip(self.logit(step)[0].astype(float), -30, 30)
+            total += float((step[1] * (np.log1p(np.exp(z)) - step[0] * z)).sum())
+        return total
+
+
+def fit(rows: list[tuple[int, np.ndarray]], index: np.ndarray, share: float) -> Machine:
+    """Fits on all sampled texts. Classes are weighed so that ``share`` of the weight is toxic."""
     n_inputs = int(index.max(initial=-1)) + 1
-    y = np.array([r[0] for r in rows], float)
-    size = np.array([len(r[1]) for r in rows])
-    inputs = np.concatenate([r[1] for r in rows]).astype(np.int64) if rows else np.zeros(0, np.int64)
-    doc = np.repeat(np.arange(len(rows)), size)
-    weigh = np.where(y == 1, share / max(1, y.sum()), (1 - share) / max(1, (1 - y).sum()))
-    rng = np.random.default_rng(7)
-    par = [np.array([np.log(share / (1 - share))]), np.zeros(n_inputs), rng.normal(0, 0.05, (n_inputs, FACTORS))]
-    m, v = [np.zeros_like(p) for p in par], [np.zeros_like(p) for p in par]
-    for t in range(1, steps + 1):
-        b, w, fac = par
-        sums = np.stack([np.bincount(doc, fac[inputs, f], len(rows)) for f in range(FACTORS)], 1)
-        p = Machine(index, float(b[0]), w, fac).score(doc, inputs, len(rows))
-        g = weigh * (p - y)
-        gd = g[doc]
-        grad = [np.array([g.sum()]), np.bincount(inputs, gd, n_inputs) + decay * w, decay * fac]
-        for f in range(FACTORS):
-            grad[2][:, f] += np.bincount(inputs, gd * (sums[doc, f] - fac[inputs, f]), n_inputs)
-        for i, gi in enumerate(grad):
-            m[i] = 0.9 * m[i] + 0.1 * gi
-            v[i] = 0.999 * v[i] + 0.001 * gi * gi
-            par[i] = par[i] - rate * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
-    return Machine(index, float(par[0][0]), par[1], par[2])
-
-
-def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", where=None, per_class: int = SAMPLE, inputs: int = INPUTS) -> Machine:
+    y, inputs = np.array([r[0] for r in rows], float), [r[1] for r in rows]
+    weigh = np.where(y == 1, share / max(1, y.sum()), (1 - share) / max(1, (1 - y).sum())) * len(y)
+    found = np.bincount(np.concatenate(inputs), minlength=n_inputs) if inputs else np.zeros(n_inputs)
+
+    def start(own: np.ndarray) -> tuple[_Fit, _Texts]:
+        rng = np.random.default_rng(7)
+        noise = np.sqrt(found * share * (1 - share)).astype(np.float32) / len(rows)
+        return _Fit(n_inputs, share, noise, rng), _Texts(inputs, y, weigh, rng.permutation(own))
+
+    def rounds(f: _Fit, texts: _Texts, many: int, pairs: bool) -> Iterable[int]:
+        if pairs and many:
+            f.v = f.rng.normal(0, 0.1, f.v.shape).astype(np.float32)
+        for k in range(1, many + 1):
+            f.round(texts, pairs)
+            yield k
+
+    every = np.arange(len(rows))
+    fold = every % 5 == 4
+    chosen = [ROUNDS, 0]
+    if fold.any() and not fold.all():
+        aside = _Texts(inputs, y, weigh, every[fold])
+        f, texts = start(every[~fold])
+        least = np.inf
+        for k in rounds(f, texts, ROUNDS, False):
+            if (now := f.loss(aside)) < least:
+                chosen[0], least = k, now
+        f, texts = start(every[~fold])
+        for _ in rounds(f, texts, chosen[0], False):
+            pass
+        least *= 1 - GAIN
+        for k in rounds(f, texts, PAIR_ROUNDS, True):
+            if (now := f.loss(aside)) < least:
+                chosen[1], least = k, now
+            if k - chosen[1] >= PATIENCE:
+                break
+    f, texts = start(every)
+    for many, pairs in zip(chosen, (False, True), strict=True):
+        for _ in rounds(f, texts, many, pairs):
+            pass
+    return Machine(index, f.b, f.w, f.v)
+
+
+def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", where=None, per_class: int = SAMPLE) -> Machine:
     """Fits on the rows of ``labels`` for which ``where`` holds, at most ``per_class`` documents of each class."""
     sample, count = samples.labelled(docs, labels, label, per_class, where)
 
     def buckets(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        seen = np.zeros((2, 1 << BITS), np.int64)
+        seen = np.zeros(1 << BITS, np.int64)
         for b in batches:
-            y = b.column("label").to_numpy()
-            for lo, hi, data, off in V.chunks(b.column("text")):
+            for _, _, data, off in V.chunks(b.column("text")):
                 doc, bucket = terms(data, off)
-                pair = np.unique(doc << BITS | bucket)
-                of = y[lo:hi][pair >> BITS]
-                for c in (0, 1):
-                    seen[c] += np.bincount(pair[of == c] & ((1 << BITS) - 1), minlength=1 << BITS)
-        k = np.flatnonzero(seen.any(0))
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(seen[0][k]), pa.array(seen[1][k])], ["bucket", "n0", "n1"])
+                seen += np.bincount(np.unique(doc << BITS | bucket) & ((1 << BITS) - 1), minlength=1 << BITS)
+        k = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(seen[k])], ["bucket", "n"])
 
     index = np.full(1 << BITS, -1, np.int32)
     total = [min(count.get(y, 0), per_class) for y in (0, 1)]
@@ -117,11 +215,9 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", where=Non
     share = count.get(1, 0) / labelled_n if labelled_n else 0.0
     if not all(total):
         return Machine(index, float(np.log((share + 1e-9) / (1 - share + 1e-9))), np.zeros(0), np.zeros((0, FACTORS)))
-    by = sample.mapInArrow(buckets, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    a, b, c, d = F.col("n1"), F.col("n0"), total[1] - F.col("n1"), total[0] - F.col("n0")
-    chi = (sum(total) * F.pow(a * d - b * c, F.lit(2))) / ((a + b) * (c + d + 1e-9) * total[0] * total[1])
-    best = by.where(a + b >= 3).withColumn("chi", chi.cast("double")).where("chi >= 8").orderBy(F.desc("chi"), "bucket").limit(inputs)
-    chosen = np.array([r["bucket"] for r in best.select("bucket").collect()], np.int64)
+    # at most 2**BITS numbers reach the driver
+    often = sample.mapInArrow(buckets, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
+    chosen = np.sort(often.select("bucket").toPandas()["bucket"].to_numpy(np.int64))
     index[chosen] = np.arange(len(chosen), dtype=np.int32)
 
     def extract(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
@@ -132,26 +228,24 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", where=Non
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), b.column("label").slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(at), pa.array(k.astype(np.int32)))], ["doc_id", "label", "inputs"])
 
     rows = sample.mapInArrow(extract, "doc_id long, label int, inputs array<int>").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["label"], r["inputs"]))
+    rows.sort(key=lambda r: (r["doc_id"] * 0x9E3779B97F4A7C15 % (1 << 64), r["doc_id"], r["label"], r["inputs"]))
     return fit([(r["label"], np.array(r["inputs"], np.int64)) for r in rows], index, share)
 
 
 def score(docs: DataFrame, model: Machine) -> DataFrame:
     """docs with ``score``, the probability that the text is toxic."""
     docs = docs.drop("score")
-    keep = docs.columns
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         m = shipped.value
         for b in batches:
             got = [np.zeros(0)]
-            for lo, hi, data, off in V.chunks(b.column("quill_text")):
+            for lo, hi, data, off in V.chunks(b.column(at)):
                 got.append(m.score(*distinct_inputs(data, off, m.index), hi - lo))
-            cols = [b.column(k) for k in range(b.num_columns - 1)] + [pa.array(np.concatenate(got))]
-            yield pa.RecordBatch.from_arrays(cols, [*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(got))], [*b.schema.names, "score"])
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    schema = StructType([*docs.schema.fields, StructField("score", DoubleType())])
-    return docs.withColumn("quill_text", F.coalesce("text", F.lit(""))).mapInArrow(run, schema)
+    at = docs.columns.index("text")
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
