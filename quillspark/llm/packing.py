@@ -1,17 +1,22 @@
 """Packing of documents into sequences of a fixed number of tokens.
 
 Lengths are whole numbers up to the capacity, so however many pieces there are, their histogram has at most
-``capacity`` bars. On it the driver solves the configuration linear program (cover every length's pieces by as few
-filled sequences as it can, a configuration being one multiset of lengths that fits) with multiplicative weights:
-each round a knapsack dynamic program prices the best configuration under the present weights. Rounding down uses
-each configuration a whole number of times; what remains, at most a few sequences for each configuration, is packed
-best-fit, again by whole bars of the histogram. The plan is a table of slots (length, first rank, last rank, sequence
-number, offset), of a size that depends on the capacity alone, and each piece finds its place from its rank among the
-pieces of its length.
+``capacity`` bars. On it the driver solves the configuration linear program: cover every length's pieces by as few
+filled sequences as it can, a configuration being one multiset of lengths that fits. Multiplicative weights do it
+(``solve``): a length's dual weight is its share of a sequence times an exponential of how far its coverage lags; a
+knapsack dynamic program prices configurations under these weights; those within a slack of the best price are used as
+far as the coverage aimed at allows, and weights follow. By duality, needs times weights over the best price bounds
+the optimum from below in every round; ``solve`` returns the best bound with its configurations.
+
+Rounding (``rounded``) uses configurations a whole number of times and packs what remains best-fit, again by whole bars
+of the histogram. It tries several shares of the solution, 0 among them, and keeps what needs the fewest sequences, so
+the plan is never worse than best fit alone, and of equals the one with the largest share. The plan is a table of slots
+(length, first rank, last rank, sequence number, offset), of a size that depends on the capacity alone, and each piece
+finds its place from its rank among the pieces of its length.
 
 Edge cases: a null or empty text is one piece with the end id; a document beyond the capacity is cut into full pieces,
-of which the first may be shorter; equal pieces and repeated rows get different places; other columns are ignored; an
-empty table gives no rows.
+of which the first may be shorter; equal pieces and repeated rows get different places; a row without id is packed too;
+other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,59 +32,78 @@ from quillspark.llm import store
 from quillspark.llm import textvec as V
 from quillspark.llm import tokens as T
 
-ROUNDS, STEP, RATE = 800, 0.25, 6.0
+#: Stages of the coverage, strength of the weights, slacks in tokens of the last stages, least gain that a round is for.
+STAGES, RATE, SLACKS, GAIN = 4, 1e-4, (0.4, 1, 2, 4), 0.002
+#: Shares of the solution and what is added before rounding down, as ``rounded`` tries them.
+SHARES, ADDED = (1.0, 0.9, 0.5, 0.1), (0.0, 0.5, 1.0)
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
 
 
-def best_configuration(value: np.ndarray, capacity: int) -> dict[int, int]:
-    """Unbounded knapsack: the multiset of lengths that fits and is worth most. value[l] is the worth of length l."""
+def knapsack(value: np.ndarray, capacity: int) -> np.ndarray:
+    """Worth of the best multiset of lengths within each capacity; value[l] is the worth of length l."""
     lengths = np.flatnonzero(value > 0)
-    worth = value[lengths]
-    best, choice = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+    worth, upto = value[lengths], np.searchsorted(lengths, np.arange(capacity + 1), "right")
+    best = np.zeros(capacity + 1)
     for c in range(1, capacity + 1):
-        k = np.searchsorted(lengths, c, "right")
-        best[c] = best[c - 1]
-        if k:
-            got = best[c - lengths[:k]] + worth[:k]
-            j = int(got.argmax())
-            if got[j] > best[c]:
-                best[c], choice[c] = got[j], lengths[j]
-    out: dict[int, int] = {}
-    c = capacity
-    while c > 0:
-        if choice[c]:
-            out[int(choice[c])] = out.get(int(choice[c]), 0) + 1
-            c -= choice[c]
-        else:
-            c -= 1
-    return out
-
-
-def fractional(count: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[dict[int, int], float]]:
-    """Configurations and how often each is used, covering every length by multiplicative weights: what a length is
-    worth falls exponentially in how far it is covered."""
+        k = upto[c]
+        best[c] = max(best[c - 1], (best[c - lengths[:k]] + worth[:k]).max()) if k else best[c - 1]
+    return best
+
+
+def _configuration(first: int, lengths: np.ndarray, worth: np.ndarray, left: np.ndarray, share: np.ndarray, best: np.ndarray, least: float, capacity: int) -> dict[int, int] | None:
+    """A multiset of open lengths (numbers among ``lengths``) with ``first`` in it, worth ``least`` or more, or None. Of
+    the lengths that keep this within reach it takes the one that lags most, of equals the longest."""
+    items, room, have = {first: 1}, capacity - int(lengths[first]), worth[first]
+    if have + best[room] < least:
+        return None
+    while room >= lengths[0]:
+        k = int(np.searchsorted(lengths, room, "right"))
+        reach = np.flatnonzero((best[room - lengths[:k]] + worth[:k] + have >= least) & (share[:k] > 1e-9))
+        if not len(reach):
+            break
+        j = int(reach[np.argmax(left[reach] + 1e-3 * lengths[reach] / capacity)])
+        items[j] = items.get(j, 0) + 1
+        have += worth[j]
+        room -= int(lengths[j])
+    return items if have >= least else None
+
+
+def solve(count: np.ndarray, capacity: int) -> tuple[list[tuple[dict[int, int], float]], float]:
+    """Configurations with how often each is used, covering lengths at most as far as they need, and a bound from below
+    on any solution. What no configuration within the slacks covers stays uncovered."""
     lengths = np.flatnonzero(count)
-    need, covered, used = count[lengths].astype(float), np.zeros(len(lengths)), {}
     if not len(lengths):
-        return []
-    at = {int(x): i for i, x in enumerate(lengths)}
-    for _ in range(rounds):
-        ratio = covered / need
-        if ratio.min() >= 1:
-            break
-        value = np.zeros(capacity + 1)
-        open_ = ratio < 1
-        # worth per piece: as its share of a sequence, raised where coverage lags behind
-        value[lengths[open_]] = lengths[open_] / capacity * np.exp(-RATE * STEP * (ratio[open_] - ratio[open_].min()))
-        chosen = best_configuration(value, capacity)
-        k = np.array([at[x] for x in chosen])
-        a = np.array(list(chosen.values()), float)
-        times = min(float((need[k] * STEP / a).min()), float(((need[k] - covered[k]) / a).min()))
-        times = max(times, min(1.0, float((need[k] / a).min())))
-        covered[k] += times * a
-        key = tuple(sorted(chosen.items()))
-        used[key] = used.get(key, 0.0) + times
-    return [(dict(c), x) for c, x in used.items()]
+        return [], 0.0
+    need, bound = count[lengths].astype(float), 0.0
+    covered, used = np.zeros(len(lengths)), {}
+    for aim, slack in [*((k / STAGES, SLACKS[0]) for k in range(1, STAGES + 1)), *((1.0, e) for e in SLACKS)]:
+        gained = np.inf
+        while gained >= GAIN * (need * lengths).sum() * aim / STAGES:
+            left = aim - covered / need
+            if (left <= 1e-9).all():
+                break
+            value = np.zeros(capacity + 1)
+            value[lengths] = lengths / capacity * np.exp(RATE * np.clip(left / left.max(), 0, 1))
+            price = knapsack(value, capacity)[capacity]
+            bound = max(bound, float((need * value[lengths]).sum() / price))
+            # prices of configurations of lengths that still lag
+            still = value.copy()
+            still[lengths[left <= 1e-9]] = 0
+            best, least, gained = knapsack(still, capacity), price - slack / capacity, 0.0
+            worth, share = value[lengths], left.copy()
+            for i in range(len(lengths) - 1, -1, -1):
+                while share[i] > 1e-9:
+                    items = _configuration(i, lengths, worth, share, share, best, least, capacity)
+                    if items is None:
+                        break
+                    times = min(share[j] * need[j] / a for j, a in items.items())
+                    for j, a in items.items():
+                        share[j] -= a * times / need[j]
+                        covered[j] += a * times
+                    gained += times * capacity
+                    key = tuple(sorted(items.items()))
+                    used[key] = used.get(key, 0.0) + times
+    return [({int(lengths[j]): a for j, a in c}, x) for c, x in used.items()], bound
 
 
 def best_fit(count: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
@@ -105,21 +129,37 @@ def best_fit(count: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
     return [g for same in groups.values() for g in same]
 
 
+def rounded(count: np.ndarray, capacity: int) -> tuple[list[tuple[list[int], int]], dict[str, float]]:
+    """Sequences (lengths, how many) for all pieces, and ``bound``, the least number of sequences by the dual program,
+    ``solution``, how many of them the program's configurations make, and ``best_fit``, what best fit alone needs."""
+    left = count.astype(np.int64).copy()
+    full = [([capacity], int(left[capacity]))] if left[capacity] else []
+    left[capacity] = 0
+    uses, bound = solve(left, capacity)
+    uses.sort(key=lambda x: (-x[1], sorted(x[0].items())))
+    plain = best_fit(left, capacity)
+    alone = sum(m for _, m in plain)
+    best = (alone, 0, plain)
+    for share in SHARES:
+        for more in ADDED:
+            rest, made = left.copy(), []
+            for config, times in uses:
+                m = min([int(share * times + more - 1e-9), *(int(rest[x]) // a for x, a in config.items())])
+                if m > 0:
+                    for x, a in config.items():
+                        rest[x] -= m * a
+                    made.append(([x for x, a in sorted(config.items(), reverse=True) for _ in range(a)], m))
+            own = sum(m for _, m in made)
+            made += best_fit(rest, capacity)
+            best = min(best, (sum(m for _, m in made), -own, made), key=lambda b: b[:2])
+    n_full = sum(m for _, m in full)
+    return full + best[2], {"bound": np.ceil(bound - 1e-6) + n_full, "solution": -best[1], "best_fit": alone + n_full}
+
+
 def plan(count: np.ndarray, capacity: int) -> dict[str, np.ndarray]:
     """Slots for count[l] pieces of each length l: for pieces of ``length`` with ranks from ``rank`` on, the sequence
     of the first and the offset in it; ordered by (length, rank)."""
-    left = count.astype(np.int64).copy()
-    made: list[tuple[list[int], int]] = []
-    if left[capacity]:
-        made.append(([capacity], int(left[capacity])))
-        left[capacity] = 0
-    for config, times in sorted(fractional(left, capacity), key=lambda x: -x[1]):
-        m = min([int(times), *(int(left[x]) // a for x, a in config.items())])
-        if m > 0:
-            for x, a in config.items():
-                left[x] -= m * a
-            made.append(([x for x, a in sorted(config.items(), reverse=True) for _ in range(a)], m))
-    made += best_fit(left, capacity)
+    made, _ = rounded(count, capacity)
     next_rank = np.zeros(capacity + 1, np.int64)
     rows, sequence = [], 0
     for items, m in made:
@@ -195,6 +235,7 @@ def pack(docs: DataFrame, tokenizer: str, *, capacity: int = 1024, end_id: int =
             table = table.append_column("sequence_id", pa.array(slots["sequence"][k] + rank - slots["rank"][k])).append_column("offset", pa.array(slots["offset"][k]))
             yield from table.to_batches()
 
+    # lengths x partitions rows: the engine broadcasts them only below its threshold and else shuffles both sides by key
     before = bars.select("length", "part", (F.sum("count").over(Window.partitionBy("length").orderBy("part")) - F.col("count")).alias("before"))
     out = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "") + ", sequence_id long, offset long"
     names = [x.split()[0] for x in out.split(", ")[: -2]]
