@@ -103,32 +103,58 @@ QUERIES = {
     "pipeline": pipeline,
 }
 
-ORACLE = {
-    "op2_url_filters": r"""
-        with u as (
+def _op2_sql(depth: int = 8) -> str:
+    """The URL filter for paths of up to ``depth`` segments, one set of tables for each level of the tree."""
+    tables = [
+        r"""u as (
             select page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
-                regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) as path from pages),
-        ru as (
+                regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) as path from pages)""",
+        r"""ru as materialized (
             select *, case when (host = 'example.com' or ends_with(host, '.example.com')) and starts_with(path, '/de/') then 'example.com/de/'
                 when (host = 'example.net' or ends_with(host, '.example.net')) and starts_with(path, '/en/') then 'example.net/en/'
                 when (host = 'org' or ends_with(host, '.org')) and starts_with(path, '/fr/') then 'org/fr/' when (host = 'net' or ends_with(host, '.net')) and starts_with(path, '/') then 'net/' end as rule,
-                list_filter(string_split(path, '/'), lambda x: x <> '') as parts from u),
-        sh as (
-            select *, case when rule in ('example.com/de/', 'net/') then 'block' when rule is not null then 'allow' end as ruled, len(parts) > 4 as more,
-                list_transform(parts, lambda x: case when regexp_matches(lower(x), '^([0-9]+|[0-9a-f]{8,}|[0-9]{4}-[0-9]{2}(-[0-9]{2})?)(\.[a-z]+)?$') then '*' || regexp_extract(x, '(\.[a-z]+)?$', 0) else x end) as s from ru),
-        a as (select *, case when count(distinct s[1]) over w >= 16 and 2 * count(distinct s[1]) over w > count(s[1]) over w and s[1] is not null then '*' else s[1] end as t0 from sh window w as (partition by host)),
-        b as (select *, case when count(distinct s[2]) over w >= 16 and 2 * count(distinct s[2]) over w > count(s[2]) over w and s[2] is not null then '*' else s[2] end as t1 from a window w as (partition by host, t0)),
-        c as (select *, case when count(distinct s[3]) over w >= 16 and 2 * count(distinct s[3]) over w > count(s[3]) over w and s[3] is not null then '*' else s[3] end as t2 from b window w as (partition by host, t0, t1)),
-        d as (select *, case when count(distinct s[4]) over w >= 16 and 2 * count(distinct s[4]) over w > count(s[4]) over w and s[4] is not null then '*' else s[4] end as t3 from c window w as (partition by host, t0, t1, t2)),
-        e as (select *, '/' || concat_ws('/', t0, t1, t2, t3) as stem, stem || case when more then '/**' else '' end as template, regexp_replace(stem, '/[^/]*$', '') as parent from d),
-        o as (select coalesce(count(*) filter (where ruled = 'block') / nullif(count(ruled), 0), 0e0) as prior from e),
-        br as (select host, parent, template, count(*) filter (where ruled = 'block') as blocked, count(ruled) as labelled from e group by all),
-        st as (select br.*, prior, floor((blocked + 4e0 * prior) / (labelled + 4e0) * 4) as step from br, o),
-        mg as (
-            select host, parent, template, (sum(blocked) over w + 4e0 * prior) / (sum(labelled) over w + 4e0) as purity, count(*) over w as merged
-            from st window w as (partition by host, parent, step))
-        select page_id, host, path, rule, coalesce(ruled, case when purity >= 0.8 then 'block' else 'allow' end) as verdict, template, purity, merged from e join mg using (host, parent, template)
-    """,
+                case when rule in ('example.com/de/', 'net/') then 'block' when rule is not null then 'allow' end as ruled,
+                list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: case when regexp_matches(lower(x), '^([0-9]+|[0-9a-f]{8,}|[0-9]{4}-[0-9]{2}(-[0-9]{2})?)(\.[a-z]+)?$') then '*' || regexp_extract(x, '(\.[a-z]+)?$', 0) else x end) as shape
+            from u)""",
+        """l0 as materialized (
+            select host, shape, shape as t, count(*) as urls, count(*) filter (where ruled = 'block') as blocked, count(ruled) as labelled
+            from (select distinct host, path, shape, ruled from ru) group by host, shape)""",
+    ]
+    for k in range(depth):
+        tables.append(f"""w{k} as (
+            select *, sum(n) over (partition by host, above) as n_all from (select host, t[1:{k}] as above, t[{k + 1}] as s, sum(urls) as n from l{k} where len(t) > {k} group by all))""")
+        tables.append(f"""p{k} as materialized (
+            select host, above, coalesce(list(s) filter (where n * 16 > n_all), []) as often from w{k} group by host, above having count(*) filter (where n * 16 <= n_all) >= 16)""")
+        tables.append(f"""l{k + 1} as materialized (
+            select l.host, shape, case when len(t) > {k} and not list_contains(often, t[{k + 1}]) then list_concat(t[1:{k}], ['*'], t[{k + 2}:]) else t end as t, urls, blocked, labelled
+            from l{k} l left join p{k} p on l.host = p.host and t[1:{k}] = above)""")
+    tables.append(f"""m{depth} as materialized (select host, t, sum(blocked) as blocked, sum(labelled) as labelled, t as node, false as fixed from l{depth} group by host, t)""")
+    for d in range(depth, 0, -1):
+        tables.append(f"""o{d} as (
+            select *, sum(b) over w as b_all, sum(l) over w as l_all
+            from (select host, node, node[1:{d - 1}] as above, cast(sum(blocked) as double) as b, cast(sum(labelled) as double) as l from m{d} where not fixed and len(node) = {d} group by all)
+            window w as (partition by host, above))""")
+        tables.append(f"""e{d} as (
+            select *, bool_and(alike) over (partition by host, above) as every
+            from (select *, power(b * (l_all - l) - (b_all - b) * l, 2) * l_all <= 3.84e0 * l * (l_all - l) * b_all * (l_all - b_all) as alike from o{d}))""")
+        tables.append(f"""x{d} as (select distinct host as xh, node[1:{d - 1}] as xa from m{d} where fixed and len(node) >= {d})""")
+        tables.append(f"""v{d} as materialized (select host as vh, node as vn, alike, every and xh is null as up from e{d} left join x{d} on host = xh and above = xa)""")
+        tables.append(f"""m{d - 1} as materialized (
+            select host, t, blocked, labelled, case when up then node[1:{d - 1}] when alike then list_concat(node[1:{d - 1}], ['+']) else node end as node, fixed or not coalesce(up, true) as fixed
+            from m{d} left join v{d} on not fixed and len(node) = {d} and host = vh and node = vn)""")
+    tables += [
+        "br as materialized (select host, t, blocked, labelled, '/' || array_to_string(node, '/') as template from m0)",
+        "o as (select coalesce(sum(blocked) / nullif(cast(sum(labelled) as double), 0), 0e0) as prior from br)",
+        "j as (select host, template, (sum(blocked) + 4e0 * any_value(prior)) / (sum(labelled) + 4e0) as purity, count(*) as merged from br, o group by host, template)",
+    ]
+    return "with " + ",\n".join(tables) + f"""
+        select ru.page_id, ru.host, ru.path, ru.rule, coalesce(ruled, case when purity >= 0.8 then 'block' else 'allow' end) as verdict, br.template, purity, merged
+        from ru join l{depth} lf on ru.host = lf.host and ru.shape = lf.shape join br on lf.host = br.host and lf.t = br.t join j on j.host = br.host and j.template = br.template
+    """
+
+
+ORACLE = {
+    "op2_url_filters": _op2_sql(),
     "op3_top_k_search": """
         with v as (
             select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v

@@ -19,38 +19,63 @@ def _brute(pages):
         rest = url.split("://", 1)[1] if url and "://" in url else ""
         m = re.match(r"([^/?#]*)([^?#]*)", rest, re.S)
         host, path = "".join(c.lower() if c.isascii() else c for c in m[1]), m[2]
-        parts = [s for s in path.split("/") if s]
-        shaped = [("*" + re.search(r"(\.[a-z]+)?$", s)[0]) if re.match(U.VARIABLE, s.lower()) else s for s in parts[: U.DEPTH]]
-        rows.append((page, host, path, *_rule(host, path), shaped, len(parts) > U.DEPTH))
-    heads = [[] for _ in rows]
-    for k in range(U.DEPTH):
+        shaped = tuple(("*" + re.search(r"(\.[a-z]+)?$", s)[0]) if re.match(U.VARIABLE, s.lower()) else s for s in path.split("/") if s)
+        rows.append((page, host, path, *_rule(host, path), shaped))
+    urls = {(r[1], r[2]): (r[4], r[5]) for r in rows}
+    leaf = defaultdict(list)
+    for (host, _), (verdict, shaped) in urls.items():
+        leaf[host, shaped].append(verdict)
+    tree = {k: k[1] for k in leaf}
+    for k in range(max((len(t) for t in tree.values()), default=0)):
         kinds = defaultdict(Counter)
-        for r, t in zip(rows, heads):
-            if len(r[5]) > k:
-                kinds[r[1], tuple(t)][r[5][k]] += 1
-        wild = {a for a, c in kinds.items() if len(c) >= U.CHILDREN and 2 * len(c) > sum(c.values())}
-        heads = [[*t, "*" if (r[1], tuple(t)) in wild else r[5][k]] if len(r[5]) > k else t for r, t in zip(rows, heads)]
-    names = [("/" + "/".join(t) + ("/**" if r[6] else ""), re.sub("/[^/]*$", "", "/" + "/".join(t))) for r, t in zip(rows, heads)]
-    labels = [r[4] for r in rows if r[4]]
-    prior = labels.count("block") / len(labels) if labels else 0.0
-
-    def purity(found):
-        ruled = [v for v in found if v]
-        return (ruled.count("block") + U.WEIGHT * prior) / (len(ruled) + U.WEIGHT)
-
-    branch = defaultdict(list)
-    for r, (name, parent) in zip(rows, names):
-        branch[r[1], parent, name].append(r[4])
-    merged, members = defaultdict(list), Counter()
-    for (host, parent, _), found in branch.items():
-        key = host, parent, math.floor(purity(found) * U.STEPS)
-        merged[key] += found
-        members[key] += 1
+        for (host, shaped), t in tree.items():
+            if len(t) > k:
+                kinds[host, t[:k]][t[k]] += len(leaf[host, shaped])
+        rare = {a: {s for s, n in c.items() if n * U.CHILDREN <= sum(c.values())} for a, c in kinds.items()}
+        for key, t in tree.items():
+            found = rare.get((key[0], t[:k]), ())
+            if len(t) > k and len(found) >= U.CHILDREN and t[k] in found:
+                tree[key] = (*t[:k], "*", *t[k + 1 :])
+    ruled = defaultdict(list)
+    for key, t in tree.items():
+        ruled[key[0], t] += [v for v in leaf[key] if v]
+    node, fixed = {k: k[1] for k in ruled}, dict.fromkeys(ruled, False)
+    for d in range(max((len(t) for t in node.values()), default=0), 0, -1):
+        family = defaultdict(lambda: defaultdict(list))
+        for key, n in node.items():
+            if not fixed[key] and len(n) == d:
+                family[key[0], n[:-1]][n] += ruled[key]
+        apart = {(key[0], n[: d - 1]) for key, n in node.items() if fixed[key] and len(n) >= d}
+        change = {}
+        for (host, above), own in family.items():
+            every = [v for vs in own.values() for v in vs]
+            same = {}
+            for n, vs in own.items():
+                b, m, b_all, m_all = vs.count("block"), len(vs), every.count("block"), len(every)
+                if m in (0, m_all) or b_all in (0, m_all):
+                    same[n] = True
+                else:
+                    p = b_all / m_all
+                    z = (b / m - (b_all - b) / (m_all - m)) / math.sqrt(p * (1 - p) * (1 / m + 1 / (m_all - m)))
+                    same[n] = z * z <= U.ALIKE
+            up = all(same.values()) and (host, above) not in apart
+            for n in own:
+                change[host, n] = (above, False) if up else ((*above, "+") if same[n] else n, True)
+        for key, n in node.items():
+            if not fixed[key] and (key[0], n) in change and len(n) == d:
+                node[key], fixed[key] = change[key[0], n]
+    every = [v for vs in ruled.values() for v in vs]
+    prior = every.count("block") / len(every) if every else 0.0
+    branch, members = defaultdict(list), Counter()
+    for key, n in node.items():
+        branch[key[0], n] += ruled[key]
+        members[key[0], n] += 1
     out = []
-    for r, (name, parent) in zip(rows, names):
-        key = r[1], parent, math.floor(purity(branch[r[1], parent, name]) * U.STEPS)
-        p = purity(merged[key])
-        out.append((r[0], r[1], r[2], r[3], r[4] or ("block" if p >= U.REJECT else "allow"), name, round(p, 9), members[key]))
+    for page, host, path, rule, verdict, shaped in rows:
+        n = node[host, tree[host, shaped]]
+        vs = branch[host, n]
+        purity = (vs.count("block") + U.WEIGHT * prior) / (len(vs) + U.WEIGHT)
+        out.append((page, host, path, rule, verdict or ("block" if purity >= U.REJECT else "allow"), "/" + "/".join(n), round(purity, 9), members[host, n]))
     return Counter(out)
 
 
@@ -63,12 +88,30 @@ def test_judge_is_brute_force(spark):
     rng = random.Random(3)
     hosts = ["A.example.net", "example.com", "x.org", "plain.io", "notexample.com"]
     words = ["en", "de", "fr", "news", "12", "2024-05-01", "deadbeef01", "77.html", "a b"]
-    urls = [f"http://{rng.choice(hosts)}/{'/'.join(rng.choice([*words, f'slug-{rng.randrange(400)}']) for _ in range(rng.randrange(7)))}" + rng.choice(["", "?q=/x", "#f"]) for _ in range(600)]
+    urls = [f"http://{rng.choice(hosts)}/{'/'.join(rng.choice([*words, f'slug-{rng.randrange(400)}']) for _ in range(rng.randrange(5)))}" + rng.choice(["", "?q=/x", "#f"]) for _ in range(600)]
     urls += [None, "", "no scheme/de/", "://", "http://EXAMPLE.com", "https://example.com?x", "http://example.net/en/a", "http://org/fr/", "x://é.ÉU/Ü", *["http://one.net/a"] * 3]
     pages = list(enumerate(urls)) + [(0, urls[0]), (None, "http://b.net/q")]
     assert _got(spark, pages) == _brute(pages)
 
 
+def test_repeated_rows_change_nothing(spark):
+    urls = [f"http://a.example.net/user/u{i}/{'spam' if i % 3 else 'en'}/{i}/deep/{i % 2}" for i in range(40)]
+    once = _got(spark, list(enumerate(urls)))
+    assert once == _brute(list(enumerate(urls)))
+    again = _got(spark, [*enumerate(urls), *((100 + i, urls[0]) for i in range(200))])
+    assert {r[:8] for r in once} == {r[:8] for r in again if r[0] < 100}
+
+
+def test_rates_are_compared_with_their_counts():
+    import duckdb
+
+    # 26 of 100 against 24 of 100 is alike, 1 of 4 against 3 of 4 too, 10 of 100 against 60 of 100 is not
+    rows = [(26, 100, 50, 200, True), (1, 4, 4, 8, True), (10, 100, 70, 200, False), (0, 0, 5, 9, True)]
+    for b, n, b_all, n_all, want in rows:
+        q = "select power(b * (l_all - l) - (b_all - b) * l, 2) * l_all <= 3.84 * l * (l_all - l) * b_all * (l_all - b_all) from (select ?::double b, ?::double l, ?::double b_all, ?::double l_all)"
+        assert duckdb.execute(q, [b, n, b_all, n_all]).fetchone()[0] is want
+
+
 def test_without_labels_or_rows(spark):
     pages = [(1, "http://plain.io/a"), (2, None)]
     assert _got(spark, pages) == _brute(pages)
