@@ -1,13 +1,15 @@
 """Quality rules: counts with fixed limits, and a calibrated logistic regression on hashed n-grams.
 
-Inputs of the regression are square roots of the shares of hashed byte 2- and 3-grams and of hashed words and word
-pairs in a text. It is fitted on a bounded sample of labelled documents, four fifths for the weights and one fifth for
-Platt's calibration, and scored in Arrow batches; documents whose calibrated probability of quality 1 is below
-``KEEP`` are dropped.
+Inputs of the regression are square roots of the shares of hashed 2- and 3-grams of characters (code points) and of
+hashed words and word pairs in a text. It is fitted on a bounded sample of labelled documents and scored in Arrow
+batches. Platt's calibration uses scores that no row's own label took part in: each of two halves of the sample is
+scored by weights fitted on the other, at every size of the sample. Documents whose calibrated probability of quality 1
+is below ``KEEP`` are dropped.
 
 Edge cases: a null or empty text has zero counts and fails the base rule; without labels of both classes the
-probability is the share of good labels (1 without labels); repeated rows get equal results; other columns are
-ignored.
+probability is the share of good labels (1 without labels); a probability of just ``KEEP`` keeps; repeated rows get
+equal results; other columns are ignored by ``judge`` and pass through ``keep`` whatever their names; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -80,18 +82,18 @@ def counts(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
 
 def inputs(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     """One row of 2 * HALF inputs for each text."""
-    n, size = len(off) - 1, np.diff(off)
+    n = len(off) - 1
     out = np.zeros((n, 2 * HALF), np.float32)
-    owner = np.repeat(np.arange(n), size)
-    x = data.astype(np.uint32)
+    # characters begin at bytes other than continuation bytes
+    at = np.flatnonzero((data & 0xC0) != 0x80)
+    owner, ends = np.searchsorted(off, at, "right") - 1, np.append(at, len(data))
     for k in (2, 3):
-        if len(x) >= k:
-            g = x[: len(x) - k + 1].copy()
-            for j in range(1, k):
-                g = g << np.uint32(8) | x[j : len(x) - k + 1 + j]
-            bucket = ((g * np.uint32(0x9E3779B1)) >> np.uint32(32 - 10)).astype(np.int64) + (k - 2) * (HALF // 2)
-            inside = owner[: len(g)] == owner[k - 1 :]
-            out[:, :HALF] += np.bincount(owner[: len(g)][inside] * HALF + bucket[inside], minlength=n * HALF).reshape(n, HALF)
+        if len(at) >= k:
+            inside = owner[: len(at) - k + 1] == owner[k - 1 :]
+            start, doc = at[: len(at) - k + 1][inside], owner[: len(at) - k + 1][inside]
+            h = V.span_hashes(data, start, ends[k:][inside])
+            bucket = (h >> V.U(64 - 10)).astype(np.int64) + (k - 2) * (HALF // 2)
+            out[:, :HALF] += np.bincount(doc * HALF + bucket, minlength=n * HALF).reshape(n, HALF)
     start, end, doc = V.runs(V.NOT_SPACE[data], off)
     h = V.span_hashes(data, start, end)
     at, pairs = V.windows(h, doc, 2)
@@ -130,17 +132,24 @@ def _logistic(x: np.ndarray, y: np.ndarray, weigh: np.ndarray, steps: int, rate:
 
 
 def fit(x: np.ndarray, y: np.ndarray, share: float) -> Regression:
-    """share: of good documents among all labelled ones."""
-    weigh = np.where(y == 1, share / max(1, y.sum()), (1 - share) / max(1, (1 - y).sum()))
-    fold = np.arange(len(y)) % 5 == 0
-    if min(y[fold].sum(), (1 - y[fold]).sum()) < 10:
-        fold[:] = True  # too few to set rows aside
-    body = ~fold if not fold.all() else fold
-    w, b = _logistic(x[body], y[body], weigh[body] / weigh[body].sum(), 150, 0.05, 1e-5)
-    z = (x[fold] @ w + b).astype(float)[:, None]
+    """share: of good documents among all labelled ones. Rows come in an order that has nothing to do with labels."""
+    weigh = np.where(y == 1, share / max(1, y.sum()), (1 - share) / max(1, (1 - y).sum())).astype(np.float32)
+
+    def weights(own: np.ndarray) -> tuple[np.ndarray, float]:
+        return _logistic(x[own], y[own], weigh[own] / max(weigh[own].sum(), 1e-30), 150, 0.05, 1e-5)
+
+    # halves with the same share of each class, as far as whole rows allow
+    place = np.empty(len(y), np.int64)
+    for c in (0, 1):
+        place[y == c] = np.arange(int((y == c).sum()))
+    z = np.empty(len(y))
+    for half in (place % 2 == 0, place % 2 == 1):
+        w, b = weights(~half) if (~half).any() else weights(half)
+        z[half] = x[half] @ w + b
     # Platt's targets keep the calibrated odds finite where the classes part cleanly
-    soft = np.where(y[fold] == 1, (y[fold].sum() + 1) / (y[fold].sum() + 2), 1 / ((1 - y[fold]).sum() + 2))
-    slope, shift = _logistic(z, soft, weigh[fold] / weigh[fold].sum(), 400, 0.05, 1e-4)
+    soft = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
+    slope, shift = _logistic(z[:, None], soft, weigh / weigh.sum(), 400, 0.05, 1e-4)
+    w, b = weights(np.ones(len(y), bool))
     return Regression(w, b, float(max(slope[0], 1e-3)), shift)
 
 
@@ -189,15 +198,14 @@ def judge(docs: DataFrame, model: Regression, keep_at: float = KEEP) -> DataFram
 
 def keep(docs: DataFrame, model: Regression, keep_at: float = KEEP) -> DataFrame:
     """The rows of ``docs`` whose text passes the base rule and the model, with their columns."""
-    names = docs.columns
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    shipped, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for b in batches:
-            for lo, hi, data, off in V.chunks(b.column("quill_text"), V.CHUNK // 2):
+            for lo, hi, data, off in V.chunks(b.column(at), V.CHUNK // 2):
                 c = counts(data, off)
                 good = (c["n_words"] >= MIN_WORDS) & (100 * c["n_repeat_words"] <= REPEAT_PERCENT * c["n_words"])
                 good &= shipped.value.probability(inputs(data, off)) >= keep_at
-                yield pa.RecordBatch.from_arrays([b.column(k).slice(lo, hi - lo) for k in range(len(names))], names).filter(pa.array(good))
+                yield b.slice(lo, hi - lo).filter(pa.array(good))
 
-    return docs.withColumn("quill_text", F.coalesce("text", F.lit(""))).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

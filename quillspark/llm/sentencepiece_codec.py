@@ -1,12 +1,15 @@
 """SentencePiece encoding and decoding in batches.
 
-The vocabulary at hand is a byte-pair model. Its segmentation is what repeated merging gives; a Viterbi path over piece
-scores would differ from it. So equal-length words advance together as asked, substring hashes probe the sorted piece
-keys and vectorised maxima choose, but each step's maximum is each word's best merge (the leftmost of equals), not a
-best path. ``tests/llm`` compares ids and texts with the library's.
-
-Edge cases: a null or empty text has no ids; characters without a piece become byte pieces; U+2581 decodes to a space,
-as in the library; texts come back exactly otherwise; repeated rows get equal results; other columns are ignored.
+Words of equal length advance together, substring hashes probe the sorted piece keys, and vectorised maxima choose. For a
+unigram model that is a Viterbi pass: place by place, the best of all pieces that end there, with back-pointers to where
+they begin; scores add up in single precision from each word's beginning, the library's from the text's, so where two
+paths are equal but for rounding the choices can differ. A byte-pair model's segmentation is by definition what repeated merging gives, which no path over scores
+equals; there each step's maximum is each word's best merge, the leftmost of equals, and words of over ``LONG``
+characters go through a heap of merges with the same result. The model file says which kind it is.
+
+Edge cases: a null or empty text has no ids; characters without a piece become byte pieces, or the unknown id, once for
+each run of them; U+2581 counts as the space that it stands for, and decodes to one, as in the library; texts come back
+exactly otherwise; repeated rows get equal results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,20 +27,56 @@ from quillspark.llm import textvec as V
 from quillspark.llm import tokens as T
 
 SPACE_MARK = 0x2581
+#: Kind of a unigram model in a model file, and how far an unknown character's score is below the worst.
+UNIGRAM, UNKNOWN = 1, 10.0
 #: Longer words are merged one by one with a heap.
 LONG = 256
 #: Characters merged at once, bytes encoded at once, ids decoded at once. They bound memory only.
 BLOCK, BYTES, IDS = 1 << 18, 1 << 20, 1 << 18
 
 
+def _fields(proto: bytes) -> Iterable[tuple[int, int | bytes]]:
+    """(field number, value) of a protocol buffer's fields."""
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        x = shift = 0
+        while True:
+            x |= (proto[at] & 0x7F) << shift
+            at, shift = at + 1, shift + 7
+            if proto[at - 1] < 0x80:
+                return x
+
+    while at < len(proto):
+        key = number()
+        size = {1: 8, 5: 4}.get(key & 7)
+        if key & 7 == 0:
+            yield key >> 3, number()
+        else:
+            size = number() if size is None else size
+            yield key >> 3, proto[at : at + size]
+            at += size
+
+
+def model_kind(proto: bytes) -> int:
+    """Field 3 of the training settings, which are field 2; a unigram model where it is unset."""
+    settings = [v for k, v in _fields(proto) if k == 2]
+    return ([v for s in settings for k, v in _fields(s) if k == 3] or [UNIGRAM])[-1]
+
+
 class Codec(T.Encoder):
     def __init__(self, path: str):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.unigram = model_kind(sp.serialized_model_proto()) == UNIGRAM
+        self.special: list[bytes] = []
         n = sp.get_piece_size()
         keys, ids, scores = [], [], []
-        self.byte_id = np.full(256, sp.unk_id(), np.int64)
+        self.unknown = sp.unk_id()
+        self.byte_id = np.full(256, self.unknown, np.int64)
+        longest = 1
         spell = [b""] * n
         for i in range(n):
             piece = sp.id_to_piece(i)
@@ -46,11 +85,16 @@ class Codec(T.Encoder):
                 spell[i] = bytes([int(piece[3:5], 16)])
             elif not (sp.is_control(i) or sp.is_unknown(i)):
                 spell[i] = piece.replace("▁", " ").encode()
+                longest = max(longest, len(piece))
+                if "▁" in piece.lstrip("▁"):
+                    raise ValueError("pieces go across the beginning of a word")
                 keys.append(self._hash(np.array([[ord(c) for c in piece]], np.int64), [0], [len(piece)], np.zeros(1, np.int64))[0])
                 ids.append(i)
                 scores.append(sp.get_score(i))
         order = np.argsort(np.array(keys, np.uint64))
         self.piece_key, self.piece_id, self.piece_score = np.array(keys, np.uint64)[order], np.array(ids)[order], np.array(scores)[order]
+        self.longest, self.bytewise = longest, bool((self.byte_id != self.unknown).any())
+        self.worst = np.float32(min(scores, default=0.0)) - np.float32(UNKNOWN)
         self.spell_at = np.concatenate(([0], np.cumsum([len(x) for x in spell])))
         self.spelling = np.frombuffer(b"".join(spell), np.uint8)
         self.drop_space = False
@@ -85,6 +129,29 @@ class Codec(T.Encoder):
         cut = np.flatnonzero(edge)
         return cut[:-1], cut[1:], np.diff(np.searchsorted(cut[:-1], off))
 
+    def viterbi(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, start) of the pieces on each equal-length word's best path, in order."""
+        n, size = words.shape
+        h, (_, inv) = self._prefixes(words), V.powers(size)
+        best, back = np.zeros((n, size + 1), np.float32), np.zeros((n, size + 1), np.int64)
+        for end in range(1, size + 1):
+            start = np.arange(max(0, end - self.longest), end)
+            keys = V.mix64((h[:, end : end + 1] - h[:, start]) * inv[start] ^ ((end - start).astype(np.uint64) * V.U(0xD6E8FEB86659FD93)))
+            score = self._probe(keys)[0].astype(np.float32)
+            # a character that is no piece by itself
+            score[:, -1] = np.where(np.isneginf(score[:, -1]), self.worst, score[:, -1])
+            total = score + best[:, start]
+            # of equals the longest, which is the first to reach this place
+            choice = total.argmax(1)
+            best[:, end], back[:, end] = total[np.arange(n), choice], start[choice]
+        cut = np.zeros((n, size), bool)
+        rows, at = np.arange(n), np.full(n, size)
+        while len(rows):
+            at = back[rows, at]
+            cut[rows, at] = True
+            rows, at = rows[at > 0], at[at > 0]
+        return np.nonzero(cut)
+
     def merge(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, start) of the symbols of equal-length words when no merge is left, in order."""
         n, size = words.shape
@@ -153,7 +220,9 @@ class Codec(T.Encoder):
         blocks = ((length, all_[x : x + max(1, BLOCK // length)]) for length, all_ in groups for x in range(0, len(all_), max(1, BLOCK // length)))
         for length, own in blocks:
             words = np.frombuffer("".join(strings[i] for i in own).encode("utf-32-le"), np.uint32).astype(np.int64).reshape(len(own), length)
-            if length > LONG:
+            if self.unigram:
+                row, at = self.viterbi(words)
+            elif length > LONG:
                 parts = [self.merge_long(w) for w in words]
                 row, at = np.repeat(np.arange(len(own)), [len(p) for p in parts]), np.concatenate(parts)
             else:
@@ -165,7 +234,9 @@ class Codec(T.Encoder):
             missing = ids < 0
             for x, i in enumerate(own):
                 a, b = cut[x], cut[x + 1]
-                if missing[a:b].any():
+                if missing[a:b].any() and not self.bytewise:
+                    out[i] = [lists[y] if lists[y] >= 0 else self.unknown for y in range(a, b) if lists[y] >= 0 or y == a or lists[y - 1] >= 0]
+                elif missing[a:b].any():
                     out[i] = [z for y in range(a, b) for z in ([lists[y]] if lists[y] >= 0 else self.byte_id[list(strings[i][at[y] : stop[y]].encode("utf-8"))].tolist())]
                 else:
                     out[i] = lists[a:b]
@@ -174,6 +245,7 @@ class Codec(T.Encoder):
 
     def encode_texts(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """As ``encode``, after the space that goes before every text that isn't empty."""
+        data, off = _plain_spaces(data, off)
         size = np.diff(off)
         lead = (size > 0).astype(np.int64)
         to = np.concatenate(([0], np.cumsum(size + lead)))
@@ -199,6 +271,19 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+def _plain_spaces(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """U+2581 as a space."""
+    mark = np.flatnonzero(data == 0xE2)
+    mark = mark[mark + 2 < len(data)]
+    mark = mark[(data[mark + 1] == 0x96) & (data[mark + 2] == 0x81)]
+    if not len(mark):
+        return data, off
+    out, keep = data.copy(), np.ones(len(data), bool)
+    out[mark] = 0x20
+    keep[mark + 1] = keep[mark + 2] = False
+    return out[keep], np.concatenate(([0], np.cumsum(keep)))[off]
+
+
 def _encoded(c: Codec, batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
     for b in batches:
         for lo, hi, data, off in V.chunks(b.column("text"), BYTES):

@@ -13,9 +13,11 @@ _made: list = []
 
 
 def folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Only where that is unset, as in tests on one machine, a temporary one."""
+    """The folder in spark.checkpoint.dir. Only where that is unset and all runs on one machine, a temporary one."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         top = tempfile.mkdtemp(prefix="quill-")
         spark.sparkContext.setCheckpointDir(top)
     return top.rstrip("/")

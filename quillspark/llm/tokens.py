@@ -3,8 +3,11 @@
 A text is cut where ASCII white space follows another character, and before ``.`` or ``,`` after a letter. No
 pre-token of the two vocabularies crosses such a place, so the ids of a text are the ids of its pieces, one after
 another, and each worker has the library encode a distinct piece once. A piece of letters only is one pre-token and
-goes to the library's model at once, others pass its whole chain. ``tests/llm`` compares with the library's encoding
-of whole texts.
+goes to the library's model at once, others pass its whole chain. A text that may hold the string of a special token
+goes to the library as a whole. ``tests/llm`` compares with the untouched library's encoding of whole texts.
+
+Pieces are known by 64-bit hashes of their bytes and length. Two different ones among the at most ``REMEMBER`` that a
+worker knows share a hash with a probability of about 1e-7.
 """
 
 from __future__ import annotations
@@ -50,7 +53,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.special = sorted({t.content.lower().encode() for t in self.tok.get_added_tokens_decoder().values()})
         self.model = self.tok.model
         self.symbols = {b: ord(c) for b, c in enumerate(byte_symbols())}
         self.drop_space = drop_space
@@ -95,8 +98,36 @@ class Encoder:
         size = np.fromiter(map(len, lists), np.int32, len(lists))
         return np.fromiter(itertools.chain.from_iterable(lists), np.uint32, int(size.sum())), size
 
+    def _with_special(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """The texts that hold the string of a special token, in whatever case."""
+        raw, found = V.LOWER[data].tobytes(), set()
+        for s in self.special:
+            at = raw.find(s)
+            while at >= 0:
+                i = int(np.searchsorted(off, at, "right")) - 1
+                found.add(i)
+                at = raw.find(s, int(off[i + 1]))
+        return np.array(sorted(found), np.int64)
+
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, how many each text has)."""
+        whole = self._with_special(data, off)
+        if not len(whole):
+            return self._encode(data, off)
+        raw, lists, sizes, done = data.tobytes(), [], [], 0
+        for i in [*whole.tolist(), len(off) - 1]:
+            if done < i:
+                ids, n = self._encode(data[off[done] : off[i]], off[done : i + 1] - off[done])
+                lists.append(ids.astype(np.uint32))
+                sizes.append(n)
+            if i < len(off) - 1:
+                own = self.tok.encode(raw[off[i] : off[i + 1]].decode("utf-8", "replace"), add_special_tokens=False).ids
+                lists.append(np.array(own, np.uint32))
+                sizes.append(np.array([len(own)], np.int64))
+            done = i + 1
+        return np.concatenate(lists), np.concatenate(sizes)
+
+    def _encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if self.drop_space:
             data = V.lowered(data, latin=True)
         letter = letters(data)
