@@ -10,8 +10,8 @@ others by products of incidence matrices and gives a spanning forest of its link
 counts in the first band in which it meets only.
 
 Edge cases: a null text, or one without words, has no n-grams and no links and is a class of its own; of rows that
-share an id the one with the smallest set hash takes part; rows without id give no row; other columns are ignored; an
-empty table gives no rows.
+share an id the one with the smallest set hash takes part; a row without id is in no class and has no links; other
+columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -267,10 +267,12 @@ def join(docs: DataFrame, *, words: int = WORDS, threshold: tuple[int, int] = TH
     per_class = classes.select("hi", "lo", "rep", "copies").join(sums, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     per_class = per_class.select("hi", "lo", F.col("rep").alias("copy_id"), F.coalesce("root", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     rest = sk.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"), F.lit(0).cast("long").alias("n_links"))
-    return sk.where("n > 0").select("doc_id", "hi", "lo").join(per_class, ["hi", "lo"]).select("doc_id", "class_id", "copy_id", "n_links").unionByName(rest)
+    none = F.lit(None).cast("long")
+    nameless = docs.where("doc_id is null").select(none.alias("doc_id"), none.alias("class_id"), none.alias("copy_id"), F.lit(0).cast("long").alias("n_links"))
+    return sk.where("n > 0").select("doc_id", "hi", "lo").join(per_class, ["hi", "lo"]).select("doc_id", "class_id", "copy_id", "n_links").unionByName(rest).unionByName(nameless)
 
 
 def deduplicate(docs: DataFrame, **settings) -> DataFrame:
     """docs without the documents of each class but the one with the smallest id; rows without id stay."""
-    gone = join(docs, **settings).where("doc_id <> class_id").select(F.col("doc_id").alias("quill_gone"))
-    return docs.join(gone, docs["doc_id"] == gone["quill_gone"], "left_anti")
+    gone = join(docs, **settings).where("doc_id <> class_id").select("doc_id")
+    return docs.alias("mine").join(gone.alias("gone"), F.col("mine.doc_id") == F.col("gone.doc_id"), "left_anti")

@@ -8,16 +8,16 @@ probability of each decision, and their product the probability of the text.
 
 The data flow. Every task reads its documents into units of about ``UNIT`` bytes and writes for each unit its texts
 (compressed) and its distinct words and byte (depth + 1)-grams with their counts in training texts, zero included,
-packed by shard: words by their hash, grams by the two bytes before the last. There are as many shards as ``SHARD``
-bytes of text, and salts of ``SALT`` units, so a group of one shard and salt stays small at any size. Shards sum their
+packed by shard: words by their hash, grams by the two bytes before the last. There is a shard for each ``SHARD``
+bytes of text, ``MAX_SHARDS`` at most, and salts of ``SALT`` units, so a group of one shard and salt stays small at any size. Shards sum their
 counts, first by salt, and price their grams; the nodes above them are one table of 65,536 rows at most. Words with
 their counts and grams with their log-probabilities return to the units that hold them, and each unit scores its texts
 with the slice of the model that it needs. So no task and no broadcast holds the model as a whole, and all counts come
 from all training documents.
 
 Edge cases: a null or empty text is one end token and one end byte; texts without training data get the uniform
-estimate; rows without id give no row; repeated rows count each
-time; other columns are ignored; an empty table gives no rows.
+estimate; a row without id is learned from and scored as one of training (the smallest long stands for a missing id
+inside); repeated rows count each time; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,6 +34,9 @@ from quillspark.llm import store
 from quillspark.llm import textvec as V
 
 UNIT, DEPTH, SHARD, SALT = 8 << 20, 5, 32 << 20, 256
+#: Most shards: a unit has a row for each, so rows grow as units do and no faster.
+MAX_SHARDS = 4096
+NO_ID = -(1 << 63)
 END_WORD = np.int64(0x1E4D)  # stands for the end token among word hashes
 WORD, GRAM, TEXT = 0, 1, 2
 PAD = 0xFF  # in no UTF-8 text
@@ -226,7 +229,7 @@ def units(docs: DataFrame, train: Column, depth: int, unit: int, shards: int, sa
         if rows:
             yield from _unit_rows(number, rows, depth, shards, salts)
 
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(train, F.lit(True)).alias("train"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(train, F.lit(True)).alias("train"))
     return rows.mapInArrow(run, ROWS)
 
 
@@ -254,13 +257,13 @@ def answer(mine: pa.Table, theirs: pa.Table) -> pa.Table:
 
 
 def score(docs: DataFrame, train: Column, *, depth: int = DEPTH, unit: int = UNIT) -> DataFrame:
-    """doc_id, trained, n_tokens, n_known, train_tokens, base_score, score, n_bytes and bits_per_byte of every document
-    with an id. train: which rows to learn from."""
+    """doc_id, trained, n_tokens, n_known, train_tokens, base_score, score, n_bytes and bits_per_byte of every document.
+    train: which rows to learn from."""
     if not 3 <= depth <= 6:
         raise ValueError("depth is 3 to 6")
     spark = docs.sparkSession
     n_bytes_all = store.text_bytes(docs)
-    shards, salts = store.buckets(n_bytes_all, SHARD), -(-store.buckets(n_bytes_all, unit) // SALT)
+    shards, salts = min(MAX_SHARDS, store.buckets(n_bytes_all, SHARD)), -(-store.buckets(n_bytes_all, unit) // SALT)
     read = store.kept(units(docs, train, depth, unit, shards, salts), "units")
     parts = read.where(f"kind < {TEXT}")
     total = store.kept(totals(parts, salts), "totals")
@@ -324,7 +327,7 @@ def score(docs: DataFrame, train: Column, *, depth: int = DEPTH, unit: int = UNI
             g, at = grams(data, off, depth)
             model_score = np.add.reduceat(gp[np.searchsorted(gk, g)], at[:-1])
             n_bytes = np.diff(off)
-            out.append(pa.table([pa.array(ids), pa.array(learn), pa.array(tokens), pa.array(known), pa.array(np.full(m, n)), pa.array(base), pa.array(model_score), pa.array(n_bytes), pa.array(-model_score / math.log10(2) / (n_bytes + 1))], names=NAMES))
+            out.append(pa.table([pa.array(ids, mask=ids == NO_ID), pa.array(learn), pa.array(tokens), pa.array(known), pa.array(np.full(m, n)), pa.array(base), pa.array(model_score), pa.array(n_bytes), pa.array(-model_score / math.log10(2) / (n_bytes + 1))], names=NAMES))
         made = pa.concat_tables(out)
         del found, wk, wc, gk, gp, order, out
         _give_back()

@@ -1,23 +1,29 @@
 """Exact top-k search by inner product in a paged M-tree.
 
-Vectors are assigned to the nearest of a bounded sample of pivots; a pivot's vectors are cut into pages by a hash of
-their id, so that many equal vectors fill many pages. A page is a small M-tree: a routing vector, nodes with a pivot,
-a covering radius and the distance to the page's pivot, and entries with the distance to their node's pivot. A query
-visits nodes best first. For a query q and a ball (c, r) no inner product exceeds <q, c> + |q| r, and by the triangle
-inequality <q, c> is at most <q, parent> + |q| d(c, parent), so stored distances often spare both the product with a
-pivot and those with entries. What is below a query's k-th best so far is not visited; equal bounds are, for ties.
-
-Queries move in blocks; each block meets each page once in an equi-join on page groups, and a block's best so far
-carries over from page to page within a task. All arithmetic on whole numbers is exact below 2**53.
+The tree has three levels. At the top, vectors belong to the nearest of a bounded sample of pivots; a pivot's ball has
+the covering radius of all its vectors. Below are pages, parts of a ball of at most ``PAGE`` vectors by a hash of their
+id, so that many equal vectors fill many pages; a page has a routing vector and its own radius. A page holds nodes with
+a pivot, a covering radius and the distance to the page's pivot, and entries with the distance to their node's pivot.
+For a query q and a ball (c, r) no inner product exceeds <q, c> + |q| r, and by the triangle inequality <q, c> is at
+most <q, parent> + |q| d(c, parent), so stored distances often spare both the product with a pivot and those with
+entries.
+
+The search goes best first at each level. In a first round every query visits one group of pages of the ball with the
+highest bound, which gives it k scores. In a second it goes only to the balls whose bound reaches its k-th score, and
+in their groups to pages, and in pages to nodes, in falling order of their bounds, until a bound is below the k-th best
+so far; equal bounds are visited, for ties. Queries meet pages in a co-grouping by (group of pages, part of the
+queries): a group is at most ``GROUP`` vectors and a part about ``PART`` queries, so a task's memory is bounded, and a
+vector is sent as often as there are parts whose queries can still win something there. All arithmetic on whole numbers
+is exact below 2**53.
 
 Edge cases: vectors that are null or hold null or non-finite components take no part; rows without id neither; shorter
-vectors count as filled up with zeros; fewer than k candidates are all returned; ties go to smaller ids; an empty table
-gives no rows; other columns are ignored. Ids should be unique.
+vectors count as filled up with zeros; fewer than k candidates are all returned; ties go to smaller ids; rows with the
+same vector and different ids are different candidates; an empty table gives no rows; other columns are ignored. Ids
+should be unique.
 """
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterable
 
 import numpy as np
@@ -25,8 +31,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows for each pivot, most pivots, rows of a page, entries of a node, queries of a block, blocks held by a task.
-PER_PIVOT, MAX_PIVOTS, PAGE, NODE, BLOCK, HELD = 2048, 512, 4096, 64, 256, 64
+from quillspark.llm import store
+from quillspark.llm import textvec as V
+
+#: Rows for each pivot, most pivots, rows of a page, entries of a node, rows of a group, queries of a part.
+PER_PIVOT, MAX_PIVOTS, PAGE, NODE, GROUP, PART = 2048, 512, 4096, 64, 1 << 15, 1 << 14
 
 
 def whole(df: DataFrame, vector: str, scale: int = 256) -> Column:
@@ -82,6 +91,7 @@ class Page:
         self.ids, self.x, self.parent = ids[by], x[by], far[by]
         self.radius = np.maximum.reduceat(self.parent, self.at[:-1])
         self.to_page = distances(self.centre, self.pivot[None, :])[:, 0]
+        self.reach = float((self.to_page + self.radius).max())
 
 
 def search(page: Page, q: np.ndarray, qid: np.ndarray, score: np.ndarray, got: np.ndarray, floor: np.ndarray) -> int:
@@ -122,10 +132,30 @@ def search(page: Page, q: np.ndarray, qid: np.ndarray, score: np.ndarray, got: n
     return done
 
 
+def search_group(ids: np.ndarray, x: np.ndarray, page_of: np.ndarray, qid: np.ndarray, q: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, vector, score) of every query's k best in the pages of a group that reach ``floor``, best page first."""
+    pages = [Page(ids[page_of == p], x[page_of == p]) for p in np.unique(page_of)]
+    score, got = np.full((len(qid), k), -np.inf), np.full((len(qid), k), np.iinfo(np.int64).max)
+    norm = np.sqrt((q * q).sum(1)) * (1 + 1e-12)
+    bound = np.stack([fitted(q, p.x.shape[1]) @ p.pivot + norm * p.reach + 1e-6 for p in pages], 1)
+    order = np.argsort(-bound, axis=1, kind="stable")
+    for step in range(len(pages)):
+        at = order[:, step]
+        go = np.flatnonzero(bound[np.arange(len(qid)), at] >= np.maximum(score[:, -1], floor))
+        if not len(go):
+            break
+        for p in np.unique(at[go]):
+            own = go[at[go] == p]
+            s, g = score[own], got[own]
+            search(pages[p], q[own], qid[own], s, g, floor[own])
+            score[own], got[own] = s, g
+    some = np.isfinite(score) & (score >= floor[:, None])
+    return np.repeat(qid, some.sum(1)), got[some], score[some].astype(np.int64)
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, rank, vec_id and score of each query's k best. Both tables have (vec_id long, v array<long>); a row is
     no candidate for a query with its id."""
-    spark = vectors.sparkSession
     clean = lambda df: df.where("vec_id is not null and v is not null").select("vec_id", "v")
     vectors, queries = clean(vectors), clean(queries)
     pivots = max(1, min(MAX_PIVOTS, vectors.count() // PER_PIVOT))
@@ -136,56 +166,85 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     def assign(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for b in batches:
-            near = distances(matrix(b.column("v"), width), known[:pivots]).argmin(1)
-            yield pa.RecordBatch.from_arrays([pa.array(near), b.column("vec_id"), b.column("v")], ["pivot", "vec_id", "v"])
-
-    placed = vectors.mapInArrow(assign, "pivot long, vec_id long, v array<long>")
+            x = matrix(b.column("v"))
+            rest = (x[:, width:] ** 2).sum(1)  # of vectors longer than the sampled ones
+            d = distances(fitted(x, width), known[:pivots])
+            near = d.argmin(1)
+            far = np.sqrt(d[np.arange(len(near)), near] ** 2 + rest) * (1 + 1e-9) + 1e-6
+            yield pa.RecordBatch.from_arrays([pa.array(near), pa.array(far), b.column("vec_id"), b.column("v")], ["pivot", "far", "vec_id", "v"])
+
+    placed = vectors.mapInArrow(assign, "pivot long, far double, vec_id long, v array<long>")
     # one row for each pivot reaches the driver
-    pages = {r["pivot"]: -(-r["n"] // PAGE) for r in placed.groupBy("pivot").agg(F.count("*").alias("n")).collect()}
-    groups = max(1, sum(pages.values()) // 8)
-    many = F.element_at(F.create_map(*[F.lit(x) for p, n in sorted(pages.items()) for x in (p, n)]), F.col("pivot")) if pages else F.lit(1)
-    page = F.pmod(F.xxhash64("vec_id", F.lit(3)), many)
-
-    def build(t: pa.Table) -> pa.Table:
-        made = Page(t["vec_id"].to_numpy(), matrix(t["v"]))
-        return pa.table([pa.array([int(t["pivot"][0].as_py() * 1_000_003 + t["page"][0].as_py()) % groups]), pa.array([pickle.dumps(made)], pa.binary())], names=["grp", "page"])
-
-    tree = placed.withColumn("page", page).groupBy("pivot", "page").applyInArrow(build, "grp long, page binary")
-
-    def block(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+    balls = {r["pivot"]: r for r in placed.groupBy("pivot").agg(F.count("*").alias("n"), F.max("far").alias("radius")).collect()}
+    if not balls:
+        return placed.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.col("pivot").alias("score")).limit(0)
+    groups = np.array([-(-balls[p]["n"] // GROUP) if p in balls else 0 for p in range(pivots)])
+    first = np.concatenate(([0], np.cumsum(groups)))
+    radius = np.array([balls[p]["radius"] if p in balls else -np.inf for p in range(pivots)])
+    parts = max(1, -(-queries.count() // PART))
+    lookup = F.array(*map(F.lit, groups.tolist())), F.array(*map(F.lit, first[:-1].tolist()))
+    many, start = (F.get(a, F.col("pivot").cast("int")) for a in lookup)
+    group = (start + F.pmod(F.xxhash64("vec_id", F.lit(3)), many)).cast("long")
+    placed = placed.select(group.alias("grp"), "vec_id", "v")
+
+    def bounds(x: np.ndarray) -> np.ndarray:
+        q = fitted(x, width)
+        return q @ known[:pivots].T + np.sqrt((x * x).sum(1) * (1 + 1e-12))[:, None] * radius + 1e-6
+
+    ASK = "grp long, part long, query_id long, v array<long>, floor double"
+
+    def asked(b: pa.RecordBatch, row: np.ndarray, grp: np.ndarray, floor: np.ndarray) -> pa.RecordBatch:
+        ids = b.column("vec_id").take(pa.array(row))
+        part = V.mix64(ids.to_numpy().view(np.uint64)) % V.U(parts)
+        return pa.RecordBatch.from_arrays([pa.array(grp, pa.int64()), pa.array(part.astype(np.int64)), ids, b.column("v").take(pa.array(row)), pa.array(floor)], ["grp", "part", "query_id", "v", "floor"])
+
+    def home(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        """Every query to one group of the ball with the highest bound."""
         for b in batches:
-            for x in range(0, b.num_rows, BLOCK):
-                part = b.slice(x, BLOCK)
-                ids, q = part.column("vec_id").to_numpy(), matrix(part.column("v"))
-                # the k-th best of the sampled rows is a bound from below for the k-th best of all
-                s = np.where(known_id[None, :] == ids[:, None], -np.inf, fitted(q, width) @ known.T) if len(known) else np.zeros((len(ids), 0))
-                s = np.sort(s, 1)[:, ::-1]
-                floor = s[:, k - 1] if s.shape[1] >= k else np.full(len(ids), -np.inf)
-                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((ids, q, floor))], pa.binary())], ["block"])
-
-    blocks = queries.mapInArrow(block, "block binary").select("block", F.xxhash64("block").alias("number"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("grp"))
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        held: dict[int, tuple] = {}
-
-        def out(entry: tuple) -> pa.RecordBatch:
-            ids, _, _, score, got = entry
-            some = np.isfinite(score)
-            return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, some.sum(1))), pa.array(got[some]), pa.array(score[some].astype(np.int64))], ["query_id", "vec_id", "score"])
-
+            x, ids = matrix(b.column("v")), b.column("vec_id").to_numpy()
+            near = bounds(x).argmax(1)
+            grp = first[near] + (V.mix64(ids.view(np.uint64)) % groups[near].astype(np.uint64)).astype(np.int64)
+            # the k-th best of the sampled rows is a bound from below for the k-th best of all
+            s = np.where(known_id[None, :] == ids[:, None], -np.inf, fitted(x, width) @ known.T)
+            s = np.sort(s, 1)[:, ::-1]
+            floor = s[:, k - 1] if s.shape[1] >= k else np.full(len(ids), -np.inf)
+            yield asked(b, np.arange(len(ids)), grp, floor)
+
+    def onward(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        """Every query to all groups that can hold one of its k best, but the one it has seen."""
         for b in batches:
-            for number, one, two in zip(b.column("number").to_pylist(), b.column("block"), b.column("page"), strict=True):
-                if number not in held:
-                    if len(held) >= HELD:
-                        yield out(held.pop(next(iter(held))))
-                    ids, q, floor = pickle.loads(one.as_py())
-                    held[number] = ids, q, floor, np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
-                ids, q, floor, score, got = held[number]
-                search(pickle.loads(two.as_py()), q, ids, score, got, floor)
-        for entry in held.values():
-            yield out(entry)
-
-    found = tree.join(blocks, "grp").mapInArrow(run, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    del spark
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            reach = bounds(matrix(b.column("v"))) >= b.column("floor").to_numpy()[:, None]
+            row, ball = np.nonzero(reach)
+            n = groups[ball]
+            row, grp = np.repeat(row, n), np.repeat(first[ball], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            new = grp != b.column("seen").to_numpy()[row]
+            if new.any():
+                yield asked(b, row[new], grp[new], b.column("floor").to_numpy()[row[new]])
+
+    def answer(page_rows: pa.Table, query_rows: pa.Table) -> pa.Table:
+        names = ["query_id", "vec_id", "score", "grp"]
+        if not page_rows.num_rows or not query_rows.num_rows:
+            return pa.table([pa.array([], pa.int64())] * 4, names=names)
+        x, q = matrix(page_rows["v"]), matrix(query_rows["v"])
+        wide = max(x.shape[1], q.shape[1])
+        ids = page_rows["vec_id"].to_numpy()
+        page = (V.mix64(ids.view(np.uint64) + V.U(5)) % V.U(-(-len(ids) // PAGE))).astype(np.int64)
+        found = search_group(ids, fitted(x, wide), page, query_rows["query_id"].to_numpy(), fitted(q, wide), query_rows["floor"].to_numpy(), k)
+        return pa.table([*map(pa.array, found), pa.array(np.full(len(found[0]), query_rows["grp"][0].as_py()))], names=names)
+
+    def visit(ask: DataFrame) -> DataFrame:
+        want = ask.select(F.col("grp").alias("a_grp"), F.col("part").alias("a_part")).distinct()
+        where = placed.join(want, F.col("grp") == F.col("a_grp")).select("a_grp", "a_part", "vec_id", "v")
+        return where.groupBy("a_grp", "a_part").cogroup(ask.groupBy("grp", "part")).applyInArrow(answer, "query_id long, vec_id long, score long, grp long")
+
+    def best(found: DataFrame) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+    sent = store.kept(queries.mapInArrow(home, ASK), "home")
+    one = store.kept(visit(sent), "first-round")
+    kth = best(one).groupBy("query_id").agg(F.count("*").alias("c"), F.min("score").alias("kth"))
+    floor = F.greatest("floor", F.when(F.col("c") >= k, F.col("kth")).cast("double"))
+    rest = sent.join(kth, "query_id", "left").select(F.col("query_id").alias("vec_id"), "v", floor.alias("floor"), F.col("grp").alias("seen"))
+    two = visit(store.kept(rest.mapInArrow(onward, ASK), "second-round"))
+    return best(one.unionByName(two)).select("query_id", "rank", "vec_id", "score")

@@ -1,8 +1,9 @@
 """Edit-aware token counts: a segment tree of token and character counts over pieces of each document.
 
 A leaf is a run of pre-tokens of at least ``LEAF`` characters, which ends where a space or line feed follows a
-character that is not white space. No pre-token crosses such a place and none depends on what stands on its other side,
-so counts of leaves add up to the count of the text. An edit re-encodes the leaves it touches; where it leaves a border
+character that is not white space, or where letters, digits and other characters meet (but not after an apostrophe).
+No pre-token crosses such a place and none depends on what stands on its other side, so counts of leaves add up to the
+count of the text. Only a longer run of one kind of characters, which is a single pre-token, is a longer leaf. An edit re-encodes the leaves it touches; where it leaves a border
 at which this no longer holds, the neighbour joins in as context. Sums on the paths to the root are then updated.
 
 Edge cases: a null or empty text has no tokens; edits with null parts delete or insert nothing there; positions beyond
@@ -14,16 +15,16 @@ from __future__ import annotations
 
 import base64
 import functools
-import re
 from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LEAF = 512
-_safe = re.compile(r"(?<=\S)(?=[ \n])")
+_safe = regex.compile(r"(?<=\S)(?=[ \n])|(?<=\p{L})(?=[^\s\p{L}])|(?<=\p{N})(?=[^\s\p{N}])|(?<=[^\s\p{L}\p{N}'])(?=[\p{L}\p{N}])")
 #: Fixed value: the pattern that splits a text before the merges of the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -37,6 +38,11 @@ def vocabulary(path: str):
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def parts_at(left: str, right: str) -> bool:
+    """Whether leaves can meet between two texts that aren't empty."""
+    return _safe.match(left[-1] + right[0], 1) is not None
+
+
 def leaves(text: str, size: int = LEAF) -> list[str]:
     out, at = [], 0
     while len(text) - at > size:
@@ -100,10 +106,10 @@ class Tree:
         else:
             fresh = self.parts[a][:at] + insert + self.parts[b][end:]
         b += bool(self.parts)
-        while a > 0 and not (fresh and fresh[0] in " \n"):
+        while a > 0 and not (fresh and parts_at(self.parts[a - 1], fresh)):
             a -= 1
             fresh = self.parts[a] + fresh
-        while b < len(self.parts) and (not fresh or fresh[-1].isspace()):
+        while b < len(self.parts) and not (fresh and parts_at(fresh, self.parts[b])):
             fresh += self.parts[b]
             b += 1
         parts = leaves(fresh)

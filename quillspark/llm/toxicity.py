@@ -199,37 +199,31 @@ def fit(rows: list[tuple[int, np.ndarray]], index: np.ndarray, share: float) ->
 def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", where=None, per_class: int = SAMPLE) -> Machine:
     """Fits on the rows of ``labels`` for which ``where`` holds, at most ``per_class`` documents of each class."""
     sample, count = samples.labelled(docs, labels, label, per_class, where)
-
-    def buckets(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        seen = np.zeros(1 << BITS, np.int64)
-        for b in batches:
-            for _, _, data, off in V.chunks(b.column("text")):
-                doc, bucket = terms(data, off)
-                seen += np.bincount(np.unique(doc << BITS | bucket) & ((1 << BITS) - 1), minlength=1 << BITS)
-        k = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(seen[k])], ["bucket", "n"])
-
     index = np.full(1 << BITS, -1, np.int32)
     total = [min(count.get(y, 0), per_class) for y in (0, 1)]
     labelled_n = sum(count.values())
     share = count.get(1, 0) / labelled_n if labelled_n else 0.0
     if not all(total):
         return Machine(index, float(np.log((share + 1e-9) / (1 - share + 1e-9))), np.zeros(0), np.zeros((0, FACTORS)))
-    # at most 2**BITS numbers reach the driver
-    often = sample.mapInArrow(buckets, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
-    chosen = np.sort(often.select("bucket").toPandas()["bucket"].to_numpy(np.int64))
-    index[chosen] = np.arange(len(chosen), dtype=np.int32)
 
     def extract(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for b in batches:
             for lo, hi, data, off in V.chunks(b.column("text")):
-                doc, k = distinct_inputs(data, off, index)
-                at = np.searchsorted(doc, np.arange(hi - lo + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), b.column("label").slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(at), pa.array(k.astype(np.int32)))], ["doc_id", "label", "inputs"])
-
-    rows = sample.mapInArrow(extract, "doc_id long, label int, inputs array<int>").collect()
-    rows.sort(key=lambda r: (r["doc_id"] * 0x9E3779B97F4A7C15 % (1 << 64), r["doc_id"], r["label"], r["inputs"]))
-    return fit([(r["label"], np.array(r["inputs"], np.int64)) for r in rows], index, share)
+                doc, bucket = terms(data, off)
+                pair = np.unique(doc << BITS | bucket)
+                own = (pair & ((1 << BITS) - 1)).astype(np.uint32)
+                at = np.searchsorted(pair >> BITS, np.arange(hi - lo + 1))
+                found = pa.array([own[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), b.column("label").slice(lo, hi - lo), found], ["doc_id", "label", "buckets"])
+
+    # one row for each sampled document reaches the driver
+    got = sample.mapInArrow(extract, "doc_id long, label int, buckets binary").toArrow()
+    rows = sorted(zip(got["doc_id"].to_pylist(), got["label"].to_pylist(), got["buckets"].to_pylist(), strict=True), key=lambda r: (r[0] * 0x9E3779B97F4A7C15 % (1 << 64), *r))
+    texts = [np.frombuffer(r[2], np.uint32) for r in rows]
+    often = np.bincount(np.concatenate(texts), minlength=1 << BITS) >= LEAST if texts else np.zeros(1 << BITS, bool)
+    index[often] = np.arange(int(often.sum()), dtype=np.int32)
+    inputs = [index[t] for t in texts]
+    return fit([(r[1], k[k >= 0].astype(np.int64)) for r, k in zip(rows, inputs, strict=True)], index, share)
 
 
 def score(docs: DataFrame, model: Machine) -> DataFrame:
