@@ -6,6 +6,7 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from quillspark import session
 from quillspark.operators import coreference, evaluation, patterns, resources, trees
@@ -33,7 +34,7 @@ def main(argv: list[str] | None = None) -> None:
     if a.what == "score":
         print(writers.report(evaluation.score_links(readers.links(spark, a.gold), readers.links(spark, a.system))).first().report)
     elif a.what == "coverage":
-        r = resources.coverage(readers.seeds(spark, a.gold), readers.seeds(spark, a.resource)).first()
+        r = resources.coverage(readers.gold_pairs(spark, a.gold), readers.word_pairs(spark, a.resource).select("anaphor", F.explode("antecedents").alias("antecedent"))).first()
         print("\n".join(f"{k} {r[k + '_found']}/{r[k + '_gold']} {r[k + '_coverage']:.4f}" for k in ("anaphor", "antecedent", "pair")))
     elif a.what == "bootstrap":
         counted = patterns.prune(patterns.count_extractions(patterns.extract(readers.tagged(spark, a.corpus))))

@@ -48,11 +48,9 @@ def length_bin(n: Column) -> Column:
 
 
 def similarity_bin(x: Column) -> Column:
-    """Seven levels in steps of a half from 0.5 to 3."""
-    out = F.when(x < 0.5, "lt0.5")
-    for k in range(2, 7):
-        out = out.when(x < k / 2, f"lt{k / 2:g}")
-    return out.otherwise("ge3")
+    """Seven levels of a similarity, up to 0.5, 1, 1.5, 2, 2.5 and 3 and above; none counts as 0."""
+    x = F.coalesce(x, F.lit(0.0))
+    return F.when(x < 0.5, "low").when(x < 1, "lowish").when(x < 1.5, "mid").when(x < 2, "highish").when(x < 2.5, "high").when(x < 3, "higher").otherwise("really_high")
 
 
 def count_bin(n: Column) -> Column:
@@ -67,13 +65,13 @@ def leacock_chodorow(distance: Column, depth: int) -> Column:
 def determiner_first(tokens: Column) -> Column:
     """Class of the first token, as written: def, indef or no_det."""
     first = F.try_element_at(tokens, F.lit(1))
-    return F.when(words_in(first, L.DEFINITE), "def").when(words_in(first, L.INDEFINITE), "indef").otherwise("no_det")
+    return F.when(words_in(first, L.DEFINITE), "def").when(words_in(first, L.INDEFINITE_FIRST), "indef").otherwise("no_det")
 
 
 def determiner_class(premodifiers: Column) -> Column:
     """poss, pos_pro, def, indef, demon or no_det, whichever comes first in this order."""
     return (
-        F.when(F.coalesce(F.exists(premodifiers, lambda t: F.endswith(t, F.lit("'s"))), F.lit(False)), "poss")
+        F.when(overlaps(premodifiers, L.POSSESSIVES), "poss")
         .when(overlaps(premodifiers, L.POSSESSIVE_PRONOUNS), "pos_pro")
         .when(overlaps(premodifiers, L.DEFINITE_ARTICLE), "def")
         .when(overlaps(premodifiers, L.INDEFINITE), "indef")
@@ -98,7 +96,7 @@ def premodifiers(tokens: Column, head: Column) -> Column:
 def np_type(head_tag: Column, head: Column) -> Column:
     return (
         F.when(F.startswith(head_tag, F.lit("NNP")), "proper").when(F.startswith(head_tag, F.lit("NN")), "common")
-        .when(F.startswith(head_tag, F.lit("PRP")) | F.lower(head).isin(*L.ALL_PRONOUNS), "pronoun").otherwise("other")
+        .when(F.startswith(head_tag, F.lit("PRP")) | head.isin(*L.PRONOUN_HEADS, *L.INDEFINITE_PRONOUNS), "pronoun").otherwise("other")
     )
 
 
@@ -107,13 +105,13 @@ def np_number(head_tag: Column) -> Column:
 
 
 
-
 def is_year(head: Column) -> Column:
     return F.coalesce(F.rlike(head, F.lit("^[0-9]{4}$")), F.lit(False))
 
 
 def is_set_element(head: Column, premods: Column) -> Column:
-    return F.lower(head).isin(*L.QUANTIFIERS, *L.NUMBERS, "each") | overlaps(premods, ["each", "one"])
+    """By the head as written, or ``each`` or ``one`` before it."""
+    return head.isin(*L.SET_ELEMENTS, *L.INDEFINITE, *L.NUMBERS) | overlaps(premods, ["each", "one"])
 
 
 def acronym(tokens: Column) -> Column:
@@ -147,7 +145,8 @@ def slot_words(text: Column, pattern: str) -> tuple[Column, Column]:
 
 
 def grammatical_role(dep: Column) -> Column:
-    return F.when(F.rlike(dep, F.lit("subj")), "subj").when(F.rlike(dep, F.lit("obj")), "obj").when(dep.isNull(), "na").otherwise("other")
+    """The role by its dependency label: nsubj, dobj, pobj, nsubjpass, pred, other, or na without label."""
+    return F.when(dep.isNull(), "na").when(dep.isin("nsubj", "dobj", "pobj", "nsubjpass"), dep).when(dep.isin("oprd", "prd"), "pred").otherwise("other")
 
 
 def content_words(tokens: Column, tags: Column) -> Column:

@@ -18,17 +18,42 @@ PRONOUNS = {
 }
 ALL_PRONOUNS = sorted({w for ws in PRONOUNS.values() for w in ws})
 
+# Heads that no anaphor has.
+PRONOUN_HEADS = [
+    "myself", "ourselves", "yourself", "yourselves", "himself", "herself", "itself", "mine", "ours", "yours", "his", "hers", "theirs", "that", "which", "who", "whom", "whose", "i", "me", "she", "he", "her",
+    "him", "it", "this", "we", "us", "they", "them", "these", "themselves", "our", "my", "your",
+]
+# Heads of further noun phrases that count as pronouns.
+INDEFINITE_PRONOUNS = [
+    "all", "another", "any", "anybody", "anyone", "anything", "both", "each", "either", "everybody", "everyone", "everything", "few", "little", "many", "more", "much", "most", "nobody", "none", "nothing",
+    "neither", "one", "other", "others", "some", "somebody", "something", "someone", "those",
+]
 # Words that compare with something said before.
-COMPARATIVES = ["other", "another", "such", "similar", "different", "same", "more", "less", "additional", "extra"]
-# Determiners.
+COMPARATIVES = ["other", "another", "such", "different", "similar", "additional", "comparable", "same", "further", "extra"]
+# Determiners and possessives.
 DEFINITE = ["the", "that", "this", "those", "these", "one"]
 DEFINITE_ARTICLE = ["the"]
-INDEFINITE = ["a", "an"]
-DEMONSTRATIVES = ["this", "that", "these", "those"]
-POSSESSIVE_PRONOUNS = ["my", "your", "his", "her", "its", "our", "their"]
-QUANTIFIERS = ["all", "no", "every", "most", "some", "many", "few", "any", "several"]
-NUMBERS = ["one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten"]
-SPATIAL_TEMPORAL = ["before", "after", "above", "below", "near", "inside", "outside", "front", "back", "top", "bottom", "left", "right", "early", "late", "first", "last", "next", "final"]
+INDEFINITE_FIRST = ["a", "an", "some"]
+INDEFINITE = ["a", "an", "one", "some", "any", "either", "neither", "no", "all", "each", "every", "another", "whichever", "which", "what", "whatever"]
+DEMONSTRATIVES = ["that", "this", "those", "these"]
+POSSESSIVE_PRONOUNS = ["my", "your", "his", "her", "our", "their", "its"]
+POSSESSIVES = ["'s", "s'"]
+QUANTIFIERS = ["all", "no", "neither", "every", "any", "most"]
+# Numbers, those of pairs first.
+SMALL_NUMBERS = ["one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten"]
+NUMBERS = [*SMALL_NUMBERS, "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety", "hundreds", "thousands", "millions"]
+# Heads that are elements of a set, beside the indefinite determiners and numbers.
+SET_ELEMENTS = ["one", "some", "none", "many", "most"]
+# Modifiers of place and time; the first two begin with the ligature U+FB01.
+SPATIAL_TEMPORAL = [
+    "\ufb01nal", "\ufb01rst", "last", "next", "prior", "succeed", "second", "nearby", "previous", "close", "above", "adjacent", "behind", "below", "bottom", "early", "formal", "future", "before", "after",
+    "earlier", "later",
+]
+# Tokens of speech and markup that are no nouns to learn from, case as written.
+USELESS_WORDS = [
+    "lot", "sort", "kind", "um", "huh", "yeah", "]", "[", "/", "i", "things", "right", "yep", "something", "thing", "anything", "stuff", "CD", "hm", "hmm", "p", "P", "ras", "<", ">", "C", "c", "tm", "Trp", "th",
+    "",
+]
 # Penn tags.
 NOUN_TAGS = ["NN", "NNS", "NNP", "NNPS", "PRP", "PRP$"]
 CONTENT_TAGS = ["NN", "NNS", "NNP", "NNPS", "JJ"]

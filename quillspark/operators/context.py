@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from quillspark.functions import columns as C
 from quillspark.functions import lexicons as L
 
-#: Order in which lists decide the class of a head that is no name.
-CLASSES = ("relative", "role", "person", "organisation", "location")
+# Classes of heads that are no names, in the order in which their lists decide.
+CLASSES = {"relative": "RelPer", "role": "RolePer", "person": "PERSON", "organisation": "ORG", "location": "LOC"}
 
 
 def _flag(df: DataFrame, words: DataFrame, name: str, head: Column) -> DataFrame:
@@ -28,10 +28,10 @@ def list_flags(mentions: DataFrame, lists: dict[str, DataFrame], *, lower: bool
 
 
 def semantic_class(mentions: DataFrame, lists: dict[str, DataFrame], *, lower: bool = False) -> DataFrame:
-    """Adds sem_category: the kind of name of the head, else the first of CLASSES whose list has the head, else ``NA``."""
+    """Adds sem_category: the kind of name of the head, else the label of the first of CLASSES whose list has the head, else ``NA``."""
     given = [c for c in CLASSES if c in lists]
     out = list_flags(mentions, {f"l_{c}": lists[c] for c in given}, lower=lower)
-    cases = [F.nullif("ner", F.lit("*")), *(F.when(F.col(f"l_{c}"), c) for c in given), F.lit("NA")]
+    cases = [F.nullif("ner", F.lit("*")), *(F.when(F.col(f"l_{c}"), CLASSES[c]) for c in given), F.lit("NA")]
     return out.withColumn("sem_category", F.coalesce(*cases)).drop(*(f"l_{c}" for c in given))
 
 

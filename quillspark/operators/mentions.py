@@ -1,8 +1,8 @@
 """Mentions and joins between them: backward searches, windows, filters, features.
 
 Tables: mentions(doc, ment, sent, start, end, tokens, head, ord), positions from 0 and inclusive. Every join has the
-document, and where it can the sentence, as equality key; first matches are row numbers, which the engine prunes before
-the shuffle."""
+document, and where it can the sentence, as equality key; of several matches the first is kept by an aggregate that the
+engine combines before the shuffle."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import columns as C
 from quillspark.functions import lexicons as L
-from quillspark.operators import patterns
+from quillspark.operators import patterns, resources
 
 
 def from_noun_runs(df: DataFrame, doc: str, sent: str) -> DataFrame:
@@ -78,7 +78,7 @@ def negatives(pairs: DataFrame, mentions: DataFrame) -> DataFrame:
     """Negative pairs by the number of mentions between: 1 gives (anaphor, m0), 2 (m1, m0), 3 (m0, antecedent) and
     (m2, m1), more two pairs of mentions in an order fixed by a hash."""
     m = between(pairs, mentions)
-    many = F.transform(F.array_sort(F.transform("between", lambda x: F.struct(F.xxhash64("doc", "anaphor", "antecedent", x).alias("h"), x.alias("x")))), lambda s: s["x"])
+    many = F.transform(F.array_sort(F.transform("between", lambda x: F.struct(F.md5(F.concat_ws("|", "doc", "anaphor", "antecedent", x)).alias("h"), x.alias("x")))), lambda s: s["x"])
     pair = lambda a, t: F.struct(a.alias("anaphor"), t.alias("antecedent"))
     b = lambda k: F.get("between", F.lit(k))
     n = F.size("between")
@@ -100,7 +100,7 @@ def containing_others(mentions: DataFrame) -> DataFrame:
 
 def possible_anaphors(mentions: DataFrame) -> DataFrame:
     """Mentions that can be anaphors: head no pronoun, no comparative, no other mention inside, head no proper noun."""
-    ok = ~F.lower("head").isin(*L.ALL_PRONOUNS) & ~C.overlaps(F.col("tokens"), L.COMPARATIVES)
+    ok = ~F.lower("head").isin(*L.PRONOUN_HEADS) & ~C.overlaps(F.col("tokens"), L.COMPARATIVES)
     if "head_tag" in mentions.columns:
         ok &= ~F.startswith("head_tag", F.lit("NNP"))
     return mentions.where(ok).join(containing_others(mentions), ["doc", "ment"], "left_anti")
@@ -145,9 +145,14 @@ def surface_features(mentions: DataFrame) -> DataFrame:
     return out
 
 
-def pair_features(pairs: DataFrame, mentions: DataFrame, lexicon: DataFrame, top_terms: DataFrame | None = None) -> DataFrame:
-    """Features of (doc, anaphor, antecedent): lengths, heads, determiner, lexicon, tf-idf flags."""
-    side = lambda p, name: mentions.select("doc", F.col("ment").alias(name), F.col("head").alias(f"{p}_head"), F.col("tokens").alias(f"{p}_tokens"))
+def pair_features(pairs: DataFrame, mentions: DataFrame, lexicon: DataFrame, top_terms: DataFrame | None = None, *, general: DataFrame | None = None, general_pairs: DataFrame | None = None, net: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Features of (doc, anaphor, antecedent): lexicon, preposition, determiner, lengths, heads and tf-idf flags; with
+    ``general`` (word, synset) and ``general_pairs`` (anaphor, antecedent, as synsets) whether the pair of their
+    generalisations is known; with ``net``, that is lemmas (synset, lemma), edges (synset, rel, target) and hypernym
+    paths (word, synset, depth), part-of relations and the level of similarity."""
+    tags, ner = "tags" in mentions.columns, "ner" in mentions.columns
+    more = [c for c in ("head_tag", "tags", "ner") if c in mentions.columns]
+    side = lambda p, name: mentions.select("doc", F.col("ment").alias(name), F.col("head").alias(f"{p}_head"), F.col("tokens").alias(f"{p}_tokens"), *(F.col(c).alias(f"{p}_{c}") for c in more))
     out = pairs.join(side("a", "anaphor"), ["doc", "anaphor"]).join(side("t", "antecedent"), ["doc", "antecedent"])
     lex = lexicon.select(F.col("anaphor").alias("a_head"), F.col("antecedent").alias("t_head")).distinct().withColumn("pair_in_resource", F.lit(True))
     out = out.join(lex, ["a_head", "t_head"], "left").withColumn("pair_in_resource", F.coalesce("pair_in_resource", F.lit(False)))
@@ -156,8 +161,32 @@ def pair_features(pairs: DataFrame, mentions: DataFrame, lexicon: DataFrame, top
         key = lexicon.select(F.col("anaphor").alias("a_head")).distinct().withColumn("is_key", F.lit(True))
         out = out.join(tops, "doc", "left").join(key, "a_head", "left")
         out = out.withColumn("tfidf_ante", F.coalesce(F.arrays_overlap("t_tokens", "tops"), F.lit(False))).withColumn("ante_tfidf_anap_resource", F.coalesce("is_key", F.lit(False)) & F.col("tfidf_ante")).drop("tops", "is_key")
+    if general is not None and general_pairs is not None:
+        out = generalized_resource(out, general, general_pairs)
+    if net is not None:
+        lemmas, edges, paths = net
+        heads = out.select(F.col("a_head").alias("a"), F.col("t_head").alias("b")).distinct()
+        heads = resources.related(heads, lemmas, edges, ["part_meronym", "substance_meronym", "member_meronym"], "b_has_a", of="b")
+        heads = resources.related(heads, lemmas, edges, ["part_holonym", "substance_holonym", "member_holonym"], "a_in_b", of="a")
+        heads = resources.similarity(heads, paths, resources.DEPTH).select(F.col("a").alias("a_head"), F.col("b").alias("t_head"), (F.col("b_has_a") | F.col("a_in_b")).alias("meronym"), C.similarity_bin(F.col("similarity")).alias("wn_dist"))
+        out = out.join(heads, ["a_head", "t_head"])
     pre = C.premodifiers(F.col("a_tokens"), F.col("a_head"))
-    return out.withColumns({
+    out = out.withColumns({
         "definite": C.has_definite(F.col("a_tokens")), "determiner": C.determiner_first(F.col("a_tokens")), "len_anaphor": C.length_bin(F.size("a_tokens")), "len_antecedent": C.length_bin(F.size("t_tokens")),
         "anaphor_head_in_ante": F.array_contains("t_tokens", F.col("a_head")) & (F.col("a_head") != F.col("t_head")), "ante_head_in_anaphor": F.array_contains(pre, F.lower("t_head")), "same_head": F.col("a_head") == F.col("t_head"),
     })
+    if tags:
+        number = C.overlaps(F.transform("a_tokens", F.lower), L.SMALL_NUMBERS)
+        out = out.withColumns({"anaphor_pp": C.has_preposition(F.col("a_tags")), "number_plural": number & F.col("t_head_tag").isin("NNS", "NNPS")})
+    if ner:
+        out = out.withColumn("ante_ne_anap_head", F.concat_ws("-", F.coalesce("t_ner", F.lit("*")), "a_head"))
+    return out
+
+
+def generalized_resource(pairs: DataFrame, general: DataFrame, general_pairs: DataFrame) -> DataFrame:
+    """Adds generalized_resource to pairs with a_head and t_head: the pair of their synsets, by ``general`` (word,
+    synset), is in ``general_pairs`` (anaphor, antecedent). A word without synset is in no such pair."""
+    known = general_pairs.select("anaphor", "antecedent").distinct()
+    known = known.join(general.select(F.col("word").alias("a_head"), F.col("synset").alias("anaphor")), "anaphor").join(general.select(F.col("word").alias("t_head"), F.col("synset").alias("antecedent")), "antecedent")
+    known = known.select("a_head", "t_head").distinct().withColumn("generalized_resource", F.lit(True))
+    return pairs.join(known, ["a_head", "t_head"], "left").withColumn("generalized_resource", F.coalesce("generalized_resource", F.lit(False)))

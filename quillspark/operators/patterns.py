@@ -15,6 +15,10 @@ from quillspark.functions import columns as C
 from quillspark.functions import lexicons as L
 
 
+#: Most pairs of a lexicon that vector_match compares all words with.
+LEXICON = 100_000
+
+
 def settled(df: DataFrame) -> DataFrame:
     """The same rows with every column computed once. Without it the optimizer would put an array's expression into
     each use of the array, also inside of functions that run for every element."""
@@ -46,7 +50,7 @@ def noun_runs(sents: DataFrame, *, drop_last: bool = True) -> DataFrame:
 def _head(a: Column, b: Column, useless: list[str]) -> Column:
     span = F.slice("tokens", a, b - a + 1)
     if useless:
-        span = F.filter(span, lambda t: ~F.lower(t).isin(*useless))
+        span = F.filter(span, lambda t: ~t.isin(*useless))
     return F.try_element_at(span, F.lit(-1))
 
 
@@ -201,28 +205,18 @@ def compounds(sents: DataFrame) -> DataFrame:
     return sents.select(F.inline(pair))
 
 
-def seed_cooccurrence(sents: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Patterns from sentences that hold both words of a seed pair: the text between them, in the order found."""
-    rows = sents.withColumn("id", F.monotonically_increasing_id()).select("id", "tokens", F.posexplode("tokens").alias("p", "w"))
-    s = F.broadcast(seeds.select("anaphor", "antecedent").distinct())
-    one = rows.join(s, rows.w == s.anaphor)
-    places = F.filter(F.sequence(F.lit(1), F.size("tokens")), lambda i: (F.element_at("tokens", i) == F.col("antecedent")) & (i != F.col("p") + 1))
-    hit = one.withColumn("q", F.explode(places)).withColumn("p", F.col("p") + 1)
-    lo, hi = F.least("p", "q"), F.greatest("p", "q")
-    gap = F.array_join(F.slice("tokens", lo + 1, hi - lo - 1), " ")
-    y_first = F.col("p") < F.col("q")
-    return hit.select(F.concat(F.when(y_first, "<Y> ").otherwise("<X> "), gap, F.when(y_first, " <X>").otherwise(" <Y>")).alias("pattern"), "anaphor", "antecedent")
-
-
 def pair_counts(counts: DataFrame, patterns: DataFrame) -> DataFrame:
     """Anaphor, antecedent and count over the extractions of useful patterns."""
-    return counts.join(F.broadcast(patterns.select("pattern").distinct()), "pattern", "left_semi").groupBy("anaphor", "antecedent").agg(F.sum("cnt").alias("cnt"))
+    return counts.join(patterns.select("pattern").distinct(), "pattern", "left_semi").groupBy("anaphor", "antecedent").agg(F.sum("cnt").alias("cnt"))
 
 
 def vector_match(counts: DataFrame, lexicon: DataFrame, vectors: DataFrame, threshold: float = 0.7, strict: bool = False) -> DataFrame:
     """Adds ``hit``: some lexicon pair (strict), or some anaphor and some antecedent there (else), is as close as the
-    threshold by cosine; words without a vector match nothing. vectors: (word, vector). Distinct words are compared."""
-    lex = F.broadcast(lexicon.select("anaphor", "antecedent").distinct())
+    threshold by cosine; words without a vector match nothing. vectors: (word, vector). Distinct words are compared with
+    the distinct words of the lexicon, which must be at most ``LEXICON`` (it is counted); more raises."""
+    lex = lexicon.select("anaphor", "antecedent").distinct()
+    if lex.count() > LEXICON:
+        raise ValueError(f"the lexicon has more than {LEXICON} pairs")
 
     def close(column: str) -> DataFrame:
         own = counts.select(F.col(column).alias("w")).distinct().join(vectors, F.col("w") == F.col("word")).select("w", F.col("vector").alias("v"))

@@ -10,6 +10,14 @@ def _in(words: list[str]) -> str:
     return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
 
 
+# The word lists once more, apart from those of the operators.
+PRONOUN_HEADS = """'myself', 'ourselves', 'yourself', 'yourselves', 'himself', 'herself', 'itself', 'mine', 'ours', 'yours', 'his', 'hers', 'theirs', 'that', 'which', 'who', 'whom', 'whose', 'i', 'me', 'she', 'he', 'her',
+    'him', 'it', 'this', 'we', 'us', 'they', 'them', 'these', 'themselves', 'our', 'my', 'your'"""
+COMPARATIVES = "'other', 'another', 'such', 'different', 'similar', 'additional', 'comparable', 'same', 'further', 'extra'"
+INDEFINITE = "'a', 'an', 'one', 'some', 'any', 'either', 'neither', 'no', 'all', 'each', 'every', 'another', 'whichever', 'which', 'what', 'whatever'"
+SPATIAL_TEMPORAL = """'\ufb01nal', '\ufb01rst', 'last', 'next', 'prior', 'succeed', 'second', 'nearby', 'previous', 'close', 'above', 'adjacent', 'behind', 'below', 'bottom', 'early', 'formal', 'future', 'before',
+    'after', 'earlier', 'later'"""
+NUMBERS = """'one', 'two', 'three', 'four', 'five', 'six', 'seven', 'eight', 'nine', 'ten', 'twenty', 'thirty', 'forty', 'fifty', 'sixty', 'seventy', 'eighty', 'ninety', 'hundreds', 'thousands', 'millions'"""
 CLOSED = _in(L.CLOSED_CLASS)
 WORDS = r"regexp_extract_all({0}, '[\p{{L}}]+|,')"
 TOK = rf"""
@@ -76,7 +84,7 @@ TALK = rf"""
 LEX = """
     lx as (
         select a.head as anaphor, b.head as antecedent, count(*) as n from mm a join mm b on a.doc = b.doc and a.sent = b.sent and b.ord = a.ord + 1
-        where a.head <> b.head group by all order by n desc, 1, 2 limit 50
+        where a.head <> b.head group by all having count(*) >= 2
     )
 """
 SEARCH = TALK + "," + LEX + """,
@@ -151,7 +159,7 @@ ORACLE = {
     """,
     "possible_anaphors": f"""
         with {TALK}, x as (select *, array_to_string(toks, ' ') as txt from mm)
-        select doc, ment from x where lower(head) not in ({_in(L.ALL_PRONOUNS)}) and not list_has_any(toks, [{_in(L.COMPARATIVES)}])
+        select doc, ment from x where lower(head) not in ({PRONOUN_HEADS}) and not list_has_any(toks, [{COMPARATIVES}])
         and not exists (select 1 from x y where y.doc = x.doc and y.sent = x.sent and y.txt <> x.txt and contains(x.txt, y.txt))
     """,
     "previous_mentions": f"""
@@ -164,10 +172,12 @@ ORACLE = {
     "mention_features": f"""
         with {TALK}, x as (select *, len(toks) as n, toks[1 : greatest(list_position(toks, head) - 1, 0)] as pre from mm)
         select doc, ment, cast(case when n <= 2 then n when n <= 7 then 4 when n <= 14 then 5 else 6 end as int) as len_anaphor,
-            len(list_filter(toks, lambda z: lower(z) in ({_in(L.DEFINITE)}))) > 0 as definite,
-            case when toks[1] in ({_in(L.DEFINITE)}) then 'def' when toks[1] in ({_in(L.INDEFINITE)}) then 'indef' else 'no_det' end as determiner_first,
-            case when list_has_any(pre, [{_in(L.POSSESSIVE_PRONOUNS)}]) then 'pos_pro' when list_has_any(pre, ['the']) then 'def' when list_has_any(pre, [{_in(L.INDEFINITE)}]) then 'indef' when list_has_any(pre, [{_in(L.DEMONSTRATIVES)}]) then 'demon' else 'no_det' end as determiner,
-            not list_has_any(toks, [{_in(L.COMPARATIVES)}]) as no_premod_comp, list_has_any(toks, [{_in(L.SPATIAL_TEMPORAL)}]) as spatial_temporal_mod, regexp_matches(head, '^[0-9]{{4}}$') as is_year from x
+            len(list_filter(toks, lambda z: lower(z) in ('the', 'that', 'this', 'those', 'these', 'one'))) > 0 as definite,
+            case when toks[1] in ('the', 'that', 'this', 'those', 'these', 'one') then 'def' when toks[1] in ('a', 'an', 'some') then 'indef' else 'no_det' end as determiner_first,
+            case when list_has_any(pre, ['my', 'your', 'his', 'her', 'our', 'their', 'its']) then 'pos_pro' when list_has_any(pre, ['the']) then 'def' when list_has_any(pre, [{INDEFINITE}]) then 'indef' when list_has_any(pre, ['that', 'this', 'those', 'these']) then 'demon' else 'no_det' end as determiner,
+            not list_has_any(toks, [{COMPARATIVES}]) as no_premod_comp, list_has_any(toks, [{SPATIAL_TEMPORAL}]) as spatial_temporal_mod, regexp_matches(head, '^[0-9]{{4}}$') as is_year,
+            list_has_any(pre, ['all', 'no', 'neither', 'every', 'any', 'most']) as premod_gen_quant,
+            head in ('one', 'some', 'none', 'many', 'most', {INDEFINITE}, {NUMBERS}) or list_has_any(pre, ['each', 'one']) as set_element from x
     """,
     "between_mentions": f"""
         with {SEARCH} select best.doc, best.anaphor, best.antecedent, cast(count(x.ment) as int) as n_between from best
@@ -175,6 +185,16 @@ ORACLE = {
         left join mm x on x.doc = best.doc and x.ment <> a.ment and x.ment <> t.ment and (x.sent > t.sent and x.sent < a.sent or x.sent = t.sent and x."start" > t."end" and (x.sent < a.sent or x."end" < a."start") or x.sent = a.sent and x.sent > t.sent and x."end" < a."start")
         group by all
     """,
+    "negative_pairs": f"""
+        with {SEARCH}, pr as (
+            select best.doc, best.anaphor, best.antecedent, list(x.ment order by x.sent, x."start", x.ment) as b, list(x.ment order by md5(concat_ws('|', best.doc, best.anaphor, best.antecedent, x.ment))) as h from best
+            join mm a on a.doc = best.doc and a.ment = best.anaphor join mm t on t.doc = best.doc and t.ment = best.antecedent
+            join mm x on x.doc = best.doc and x.ment <> a.ment and x.ment <> t.ment and (x.sent > t.sent and x.sent < a.sent or x.sent = t.sent and x."start" > t."end" and (x.sent < a.sent or x."end" < a."start") or x.sent = a.sent and x.sent > t.sent and x."end" < a."start")
+            group by all)
+        select doc, anaphor, b[1] as antecedent from pr where len(b) = 1 union all select doc, b[2], b[1] from pr where len(b) = 2
+        union all select doc, b[1], antecedent from pr where len(b) = 3 union all select doc, b[3], b[2] from pr where len(b) = 3
+        union all select doc, h[1], h[2] from pr where len(b) >= 4 union all select doc, h[3], h[4] from pr where len(b) >= 4
+    """,
     "score_prf": """
         with g as (select doc_id from labels where quality = 1), s as (select doc_id from labels where toxic = 1),
         n as (select (select count(*) from s join g using (doc_id)) as c, (select count(*) from g) as g, (select count(*) from s) as s),
@@ -190,7 +210,7 @@ ORACLE = {
         select af as anaphor_found, ag as anaphor_gold, round(coalesce(af / nullif(ag, 0), 0), 9) as anaphor_coverage, tf as antecedent_found, tg as antecedent_gold, round(coalesce(tf / nullif(tg, 0), 0), 9) as antecedent_coverage,
             pf as pair_found, pg as pair_gold, round(coalesce(pf / nullif(pg, 0), 0), 9) as pair_coverage from n
     """,
-    "cv_folds": "select doc_id as doc_ord, cast(floor(doc_id / 5) as int) as fold from documents where doc_id < 50",
+    "cv_folds": "select doc_id as doc_ord, cast(floor(doc_id / 5) as int) as fold from documents",
     "hypernym_closure": f"with recursive {GEO} select word, synset, cast(depth as int) as depth from up",
     "generalise": f"""
         with recursive {GEO}, n as (select synset, word, count(*) as cnt from up group by all),
@@ -233,5 +253,5 @@ ORACLE = {
         select doc, sent, cast("start" as int) as "start", cast("end" as int) as "end", cast(id as int) as chain, cast(row_number() over (partition by doc, sent order by first_open, "start" desc) as int) as k from o
     """,
     "gold_chains": f"with {CLUSTERS} select doc, cast(cluster as int) as chain, string_agg(ment, ',' order by sent, \"start\") as members from cl where cluster is not null group by all",
-    "cosine_match": "select s.vec_id as seed, e.vec_id, round(list_cosine_similarity(cast(e.embedding as double[]), cast(s.embedding as double[])), 6) as cosine from embeddings e join embeddings s on s.vec_id < 5 and e.vec_id > s.vec_id where round(list_cosine_similarity(cast(e.embedding as double[]), cast(s.embedding as double[])), 6) >= 0.3",
+    "cosine_match": "select s.vec_id as seed, e.vec_id, round(list_cosine_similarity(cast(e.embedding as double[]), cast(s.embedding as double[])), 6) as cosine from embeddings e join embeddings s on e.vec_id > s.vec_id where round(list_cosine_similarity(cast(e.embedding as double[]), cast(s.embedding as double[])), 6) >= 0.3",
 }

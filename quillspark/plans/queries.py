@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark import store
 from quillspark.functions import columns as C
-from quillspark.operators import coreference, evaluation, learning, mentions, patterns, resources, trees, vectors
+from quillspark.operators import coreference, evaluation, learning, mentions, patterns, resolver, resources, trees, vectors
 
-SEEDS = 20
+SEEDS, OFTEN = 20, 2
 FOLDS = 10
 
 
@@ -20,6 +21,11 @@ def english(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patterns.tag_closed_class(patterns.sentences(read(spark, sf_dir, "documents").where("lang = 'en'")))
 
 
+def counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``counts`` written to the shared folder, for queries that read them more than once."""
+    return store.kept(counts(spark, sf_dir))
+
+
 def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patterns.count_extractions(patterns.extract(english(spark, sf_dir)))
 
@@ -57,27 +63,27 @@ def pattern_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patterns.prune(counts(spark, sf_dir)).groupBy("pattern").agg(F.sum("cnt").alias("total"))
 
 
-def _scored(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
-    c = counts(spark, sf_dir)
+def _scored(c: DataFrame, mode: str) -> DataFrame:
     out = patterns.score_patterns(patterns.flag_hits(patterns.prune(c), F.broadcast(seeds(c)), mode))
     return out.withColumn("score", F.round("score", 9))
 
 
 def pattern_rlogf_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scored(spark, sf_dir, "strict")
+    return _scored(counted(spark, sf_dir), "strict")
 
 
 def pattern_rlogf_relaxed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scored(spark, sf_dir, "relaxed")
+    return _scored(counted(spark, sf_dir), "relaxed")
 
 
 def extraction_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = _scored(spark, sf_dir, "strict").where("score > 0").orderBy(F.desc("score"), "pattern").limit(5)
-    return patterns.score_pairs(patterns.prune(counts(spark, sf_dir)), top).withColumn("score", F.round("score", 9))
+    c = counted(spark, sf_dir)
+    top = _scored(c, "strict").where("score > 0").orderBy(F.desc("score"), "pattern").limit(5)
+    return patterns.score_pairs(patterns.prune(c), top).withColumn("score", F.round("score", 9))
 
 
 def _bootstrapped(spark: SparkSession, sf_dir: str, rounds: int, **settings) -> DataFrame:
-    c = counts(spark, sf_dir)
+    c = counted(spark, sf_dir)
     got = patterns.bootstrap(patterns.prune(c), seeds(c), rounds=rounds, per_round=10, digits=9, **settings)
     return spark.createDataFrame(got.pairs, "anaphor string, antecedent string, score double, round int")
 
@@ -103,7 +109,7 @@ def noun_compounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pair_count_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = patterns.prune(counts(spark, sf_dir))
+    c = patterns.prune(counted(spark, sf_dir))
     good = c.where(~F.col("pattern").contains(",")).select("pattern")
     return patterns.pair_counts(c, good)
 
@@ -119,15 +125,15 @@ def mentions_noun_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _talk_lexicon(m: DataFrame) -> DataFrame:
-    """Pairs of heads of neighbouring mentions, most frequent first, in place of a mined resource."""
+    """Pairs of heads of neighbouring mentions that occur at least OFTEN times, in place of a mined resource."""
     nxt = m.select("doc", "sent", (F.col("ord") - 1).alias("ord"), F.col("head").alias("antecedent"))
     pairs = m.select("doc", "sent", "ord", F.col("head").alias("anaphor")).join(nxt, ["doc", "sent", "ord"]).where("anaphor <> antecedent")
-    return pairs.groupBy("anaphor", "antecedent").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "anaphor", "antecedent").limit(50).select("anaphor", "antecedent")
+    return pairs.groupBy("anaphor", "antecedent").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN).select("anaphor", "antecedent")
 
 
 def backward_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = talk(spark, sf_dir)
-    return mentions.backward_search(m, F.broadcast(_talk_lexicon(m)))
+    m = store.kept(talk(spark, sf_dir))
+    return mentions.backward_search(m, _talk_lexicon(m))
 
 
 def candidate_window(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,18 +152,18 @@ def previous_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mention_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mentions.surface_features(talk(spark, sf_dir))
-    return out.select("doc", "ment", "len_anaphor", "definite", "determiner_first", "determiner", "no_premod_comp", "spatial_temporal_mod", "is_year")
+    return out.select("doc", "ment", "len_anaphor", "definite", "determiner_first", "determiner", "no_premod_comp", "spatial_temporal_mod", "is_year", "premod_gen_quant", "set_element")
 
 
 def between_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = talk(spark, sf_dir)
-    pairs = mentions.backward_search(m, F.broadcast(_talk_lexicon(m)))
+    m = store.kept(talk(spark, sf_dir))
+    pairs = mentions.backward_search(m, _talk_lexicon(m))
     return mentions.between(pairs, m).select("doc", "anaphor", "antecedent", F.size("between").alias("n_between"))
 
 
 def negative_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = talk(spark, sf_dir)
-    return mentions.negatives(mentions.backward_search(m, F.broadcast(_talk_lexicon(m))), m)
+    m = store.kept(talk(spark, sf_dir))
+    return mentions.negatives(mentions.backward_search(m, _talk_lexicon(m)), m)
 
 
 def score_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,7 +175,7 @@ def score_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lexicon_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = patterns.prune(counts(spark, sf_dir))
+    c = patterns.prune(counted(spark, sf_dir))
     gold = c.where("pattern = '<Y> of <X>'").select("anaphor", "antecedent").distinct()
     lex = c.where("pattern = '<Y> in <X>'").select("anaphor", "antecedent")
     out = resources.coverage(gold, lex)
@@ -282,14 +288,26 @@ def recognised_anaphors(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = 1 if first is None else -(-(last - first + 1) // FOLDS)
     names = ["len_anaphor", "definite", "determiner", "no_premod_comp", "spatial_temporal_mod", "sent_first", "doc_first", "tokens"]
     m = evaluation.folds(m.withColumn("doc_ord", F.col("doc") - F.lit(first)), size)
-    m = m.select("doc", "ment", "fold", "label", *names).persist()  # read by every fold's training
+    m = m.select("doc", "ment", "fold", "label", *names)
     out = learning.cross_validate(m, names, settings=learning.ANAPHORS)
     return out.select("doc", "ment", "label", "score", "predicted")
 
 
+def statistical_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The resolver of links by a classifier of pairs, cross-validated over FOLDS folds of conversations; links of the
+    rule-based search stand in for gold ones. A fitted model, so without SQL."""
+    m = store.kept(talk(spark, sf_dir))
+    lexicon = store.kept(_talk_lexicon(m))
+    gold = store.kept(mentions.backward_search(m, lexicon))
+    terms = m.select("doc", F.explode("tokens").alias("token"))
+    top = resources.top_terms(resources.tf_idf(resources.term_counts(terms, "doc"), "doc"), doc="doc")
+    folds = m.select("doc").distinct().withColumn("fold", F.pmod(F.col("doc"), F.lit(FOLDS)).cast("int"))
+    return resolver.resolve(m, gold, lexicon, folds, top_terms=top)
+
+
 QUERIES = {f.__name__: f for f in (
     tokens, sentence_lengths, noun_runs, pattern_extractions, pattern_candidates_v1, pattern_prune, pattern_rlogf_strict, pattern_rlogf_relaxed, extraction_scores, bootstrap_round1, bootstrap_round2, bootstrap_frozen,
     pattern_match, noun_compounds, pair_count_cube, tfidf_top15, mentions_noun_runs, backward_search, candidate_window, possible_anaphors, previous_mentions, mention_features, between_mentions, negative_pairs,
     score_prf, lexicon_coverage, cv_folds, hypernym_closure, generalise, json_counts, coref_exact, cosine_match,
-    constituents, name_spans, phrase_heads, seed_patterns, coref_pass_exact, coref_passes, cluster_column, coref_column_spans, gold_chains, recognised_anaphors,
+    constituents, name_spans, phrase_heads, seed_patterns, coref_pass_exact, coref_passes, cluster_column, coref_column_spans, gold_chains, recognised_anaphors, statistical_links,
 )}

@@ -141,6 +141,12 @@ def links(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(name.alias("doc"), F.col("a").alias("anaphor_text"), F.col("b").alias("anaphor"), F.col("c").alias("antecedent_text"), F.split("d", r"\|").alias("antecedents")).where("anaphor is not null")
 
 
+def gold_pairs(spark: SparkSession, path: str) -> DataFrame:
+    """anaphor, antecedent of gold files (columns 1 and 3, phrases), cut to their heads; repeats kept."""
+    rows = spark.read.schema("a string, b string, c string").csv(path, sep="\t", quote="", recursiveFileLookup=True)
+    return rows.where("a is not null and c is not null").select(C.head_key(F.trim("a")).alias("anaphor"), C.head_key(F.trim("c")).alias("antecedent"))
+
+
 def all_words(spark: SparkSession, path: str) -> DataFrame:
     """Heads of all words of a file of pairs or words, repeats kept."""
     return _lines(spark, path).select(F.explode(F.split(F.trim("value"), r"(?U)\s+")).alias("w")).where("w <> ''").select(C.head_key(F.col("w")).alias("word"))

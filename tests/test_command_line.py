@@ -12,8 +12,8 @@ def test_score_and_coverage(spark, tmp_path, capsys):
     (tmp_path / "system" / "f.txt").write_text("a\ta1\tt\ty\na\ta1\tt\tq\na\ta3\tt\tz\n")
     main(["score", str(tmp_path / "gold"), str(tmp_path / "system")])
     assert capsys.readouterr().out.splitlines() == ["link P 0.3333 R 0.5000 F 0.4000", "anaphor P 0.5000 R 0.5000 F 0.5000"]
-    (tmp_path / "g.tsv").write_text("roof\thouse\ndoor\thouse\ndoor\tcar\n")
-    (tmp_path / "r.tsv").write_text("roof\thouse\ndoor\thouse\n")
+    (tmp_path / "g.tsv").write_text("old_roof\tm1\tthe_house\tm2\ndoor\tm3\thouse\tm2|m9\ndoor\tm3\ta_car\tm4\n")
+    (tmp_path / "r.tsv").write_text("a_roof\thouse\ndoor\tbig_house\n")
     main(["coverage", str(tmp_path / "g.tsv"), str(tmp_path / "r.tsv")])
     assert capsys.readouterr().out.splitlines() == ["anaphor 2/2 1.0000", "antecedent 1/2 0.5000", "pair 2/3 0.6667"]
 

@@ -28,8 +28,8 @@ def values(df, name):
 
 def test_lists_and_classes(spark, m):
     lists = {"relative": words(spark, "sister", "sister", None), "location": words(spark, "roof")}
-    assert values(X.semantic_class(m, lists), "sem_category") == {"a": "location", "b": "location", "c": "NA", "e": "PERSON", "n": "NA"}
-    assert values(X.semantic_class(m, lists, lower=True), "sem_category")["c"] == "relative"
+    assert values(X.semantic_class(m, lists), "sem_category") == {"a": "LOC", "b": "LOC", "c": "NA", "e": "PERSON", "n": "NA"}
+    assert values(X.semantic_class(m, lists, lower=True), "sem_category")["c"] == "RelPer"
     assert values(X.list_flags(m, {"parts": words(spark, "roof")}), "parts") == {"a": True, "b": True, "c": False, "e": False, "n": False}
 
 

@@ -37,7 +37,7 @@ def test_cosine_match_holds_the_rows_of_the_sql(spark, sf):
     con = duckdb.connect()
     con.execute(f"create view embeddings as select * from read_parquet('{sf}/embeddings.parquet/*.parquet')")
     want = {tuple(r) for r in con.execute(oracles.ORACLE["cosine_match"]).fetchall()}
-    assert want and {tuple(r) for r in queries.cosine_match(spark, sf).where("seed < 5").collect()} == want
+    assert want and {tuple(r) for r in queries.cosine_match(spark, sf).collect()} == want
 
 
 @pytest.mark.parametrize("block", [1, 7, 1000])
@@ -61,7 +61,7 @@ def test_cv_folds_gives_every_document_a_fold(spark, tmp_path):
     assert got == [(k, k // 5) for k in range(123)]
     con = duckdb.connect()
     con.execute(f"create view documents as select * from read_parquet('{d}/documents.parquet/*.parquet')")
-    assert {r for r in got if r[0] < 50} == set(con.execute(oracles.ORACLE["cv_folds"]).fetchall())
+    assert set(got) == set(con.execute(oracles.ORACLE["cv_folds"]).fetchall())
 
 
 def test_recogniser_runs_its_own_settings_over_contiguous_folds(spark, tmp_path, monkeypatch):
