@@ -168,16 +168,6 @@ def _packed(unit: int, kind: int, salt: int, keys: np.ndarray, counts: np.ndarra
         yield _row(unit, kind, int(s), salt, len(own), pack(keys[own], counts[own]))
 
 
-def _give_back() -> None:
-    """Returns freed memory to the system; workers live on after a unit."""
-    import ctypes
-
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
-
-
 def _unit_rows(unit: int, rows: list[tuple], depth: int, shards: int, salts: int) -> Iterable[pa.RecordBatch]:
     """The rows of one unit: its texts, words and grams."""
     words, word_n, seen, seen_n, ends = [], [], [], [], 0
@@ -202,7 +192,7 @@ def _unit_rows(unit: int, rows: list[tuple], depth: int, shards: int, salts: int
         yield _row(unit, TEXT, 0, 0, len(head) + len(body), pa.Codec(_codec, 6).compress(head + body, asbytes=True))
     yield from _packed(unit, WORD, salt, *summed([*words, np.array([END_WORD])], [*word_n, np.array([ends])]), shards)
     yield from _packed(unit, GRAM, salt, *summed(seen, seen_n), shards)
-    _give_back()
+    store.give_back()
 
 
 def _unpack(row: bytes, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -330,7 +320,7 @@ def score(docs: DataFrame, train: Column, *, depth: int = DEPTH, unit: int = UNI
             out.append(pa.table([pa.array(ids, mask=ids == NO_ID), pa.array(learn), pa.array(tokens), pa.array(known), pa.array(np.full(m, n)), pa.array(base), pa.array(model_score), pa.array(n_bytes), pa.array(-model_score / math.log10(2) / (n_bytes + 1))], names=NAMES))
         made = pa.concat_tables(out)
         del found, wk, wc, gk, gp, order, out
-        _give_back()
+        store.give_back()
         return made
 
     texts = read.where(f"kind = {TEXT}")

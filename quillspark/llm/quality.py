@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm import samples
+from quillspark.llm import samples, store
 from quillspark.llm import textvec as V
 
 #: Bounds of what is fitted: labelled documents of each class, and hashed inputs of either kind.
@@ -135,8 +135,8 @@ def fit(x: np.ndarray, y: np.ndarray, share: float) -> Regression:
     """share: of good documents among all labelled ones. Rows come in an order that has nothing to do with labels."""
     weigh = np.where(y == 1, share / max(1, y.sum()), (1 - share) / max(1, (1 - y).sum())).astype(np.float32)
 
-    def weights(own: np.ndarray) -> tuple[np.ndarray, float]:
-        return _logistic(x[own], y[own], weigh[own] / max(weigh[own].sum(), 1e-30), 150, 0.05, 1e-5)
+    def weights(x: np.ndarray, y: np.ndarray, weigh: np.ndarray) -> tuple[np.ndarray, float]:
+        return _logistic(x, y, weigh / max(weigh.sum(), 1e-30), 150, 0.05, 1e-5)
 
     # halves with the same share of each class, as far as whole rows allow
     place = np.empty(len(y), np.int64)
@@ -144,12 +144,13 @@ def fit(x: np.ndarray, y: np.ndarray, share: float) -> Regression:
         place[y == c] = np.arange(int((y == c).sum()))
     z = np.empty(len(y))
     for half in (place % 2 == 0, place % 2 == 1):
-        w, b = weights(~half) if (~half).any() else weights(half)
-        z[half] = x[half] @ w + b
+        other = ~half if (~half).any() else half
+        w, b = weights(x[other], y[other], weigh[other])
+        z[half] = (x @ w)[half] + b
     # Platt's targets keep the calibrated odds finite where the classes part cleanly
     soft = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
     slope, shift = _logistic(z[:, None], soft, weigh / weigh.sum(), 400, 0.05, 1e-4)
-    w, b = weights(np.ones(len(y), bool))
+    w, b = weights(x, y, weigh)
     return Regression(w, b, float(max(slope[0], 1e-3)), shift)
 
 
@@ -167,12 +168,17 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", where=N
                 x = [r.tobytes() for r in inputs(data, off).astype(np.float16)]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), b.column("label").slice(lo, hi - lo), pa.array(x, pa.binary())], ["doc_id", "label", "x"])
 
-    rows = sample.mapInArrow(extract, "doc_id long, label int, x binary").collect()
-    rows.sort(key=lambda r: (r["doc_id"] * 0x9E3779B97F4A7C15 % (1 << 64), r["x"]))
-    x = np.empty((len(rows), 2 * HALF), np.float32)
+    got = sample.mapInArrow(extract, "doc_id long, label int, x binary").toArrow()
+    rows = sorted(zip(got["doc_id"].to_pylist(), got["x"].to_pylist(), got["label"].to_pylist(), strict=True), key=lambda r: (r[0] * 0x9E3779B97F4A7C15 % (1 << 64), r[1]))
+    del got
+    x, y = np.empty((len(rows), 2 * HALF), np.float32), np.array([r[2] for r in rows], np.float32)
     for i, r in enumerate(rows):
-        x[i] = np.frombuffer(r["x"], np.float16)
-    return fit(x, np.array([r["label"] for r in rows], np.float32), share)
+        x[i] = np.frombuffer(r[1], np.float16)
+    del rows
+    made = fit(x, y, share)
+    del x
+    store.give_back()
+    return made
 
 
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"

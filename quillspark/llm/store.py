@@ -57,3 +57,17 @@ def text_bytes(docs: DataFrame) -> int:
 
 def buckets(n_bytes: int, each: int = 8 << 20) -> int:
     return max(1, -(-n_bytes // each))
+
+
+def give_back() -> None:
+    """Returns freed memory of this process to the system."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

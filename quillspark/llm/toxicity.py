@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm import samples
+from quillspark.llm import samples, store
 from quillspark.llm import textvec as V
 
 BITS = 20
@@ -91,12 +91,13 @@ class _Texts:
         for x in range(0, len(order), STEP):
             ids = order[x : x + STEP]
             size = np.array([len(rows[i]) for i in ids])
-            inputs = np.concatenate([rows[i] for i in ids]).astype(np.int64)
-            doc = np.repeat(np.arange(len(ids)), size)
+            inputs = np.concatenate([rows[i] for i in ids])
+            doc = np.repeat(np.arange(len(ids), dtype=np.int32), size)
             cols, inverse = np.unique(inputs, return_inverse=True)
             by = np.argsort(inverse, kind="stable")
             some = np.flatnonzero(size)
-            self.steps.append((y[ids], weigh[ids], size, doc, cols, inverse, by, np.searchsorted(inverse[by], np.arange(len(cols))), some, (np.cumsum(size) - size)[some]))
+            first = np.searchsorted(inverse[by], np.arange(len(cols)))
+            self.steps.append((y[ids], weigh[ids], size, doc, cols, inverse.astype(np.int32), by.astype(np.int32), first, some, (np.cumsum(size) - size)[some]))
 
 
 class _Fit:
@@ -156,12 +157,9 @@ def fit(rows: list[tuple[int, np.ndarray]], index: np.ndarray, share: float) ->
     n_inputs = int(index.max(initial=-1)) + 1
     y, inputs = np.array([r[0] for r in rows], float), [r[1] for r in rows]
     weigh = np.where(y == 1, share / max(1, y.sum()), (1 - share) / max(1, (1 - y).sum())) * len(y)
-    found = np.bincount(np.concatenate(inputs), minlength=n_inputs) if inputs else np.zeros(n_inputs)
-
-    def start(own: np.ndarray) -> tuple[_Fit, _Texts]:
-        rng = np.random.default_rng(7)
-        noise = np.sqrt(found * share * (1 - share)).astype(np.float32) / len(rows)
-        return _Fit(n_inputs, share, noise, rng), _Texts(inputs, y, weigh, rng.permutation(own))
+    found = np.zeros(n_inputs)
+    for k in inputs:
+        found[k] += 1
 
     def rounds(f: _Fit, texts: _Texts, many: int, pairs: bool) -> Iterable[int]:
         if pairs and many:
@@ -170,17 +168,19 @@ def fit(rows: list[tuple[int, np.ndarray]], index: np.ndarray, share: float) ->
             f.round(texts, pairs)
             yield k
 
-    every = np.arange(len(rows))
+    def new() -> _Fit:
+        return _Fit(n_inputs, share, np.sqrt(found * share * (1 - share)).astype(np.float32) / len(rows), np.random.default_rng(7))
+
+    every = np.random.default_rng(7).permutation(len(rows))
     fold = every % 5 == 4
     chosen = [ROUNDS, 0]
     if fold.any() and not fold.all():
-        aside = _Texts(inputs, y, weigh, every[fold])
-        f, texts = start(every[~fold])
-        least = np.inf
+        aside, texts = _Texts(inputs, y, weigh, every[fold]), _Texts(inputs, y, weigh, every[~fold])
+        f, least = new(), np.inf
         for k in rounds(f, texts, ROUNDS, False):
             if (now := f.loss(aside)) < least:
                 chosen[0], least = k, now
-        f, texts = start(every[~fold])
+        f = new()
         for _ in rounds(f, texts, chosen[0], False):
             pass
         least *= 1 - GAIN
@@ -189,7 +189,8 @@ def fit(rows: list[tuple[int, np.ndarray]], index: np.ndarray, share: float) ->
                 chosen[1], least = k, now
             if k - chosen[1] >= PATIENCE:
                 break
-    f, texts = start(every)
+        del aside, texts
+    f, texts = new(), _Texts(inputs, y, weigh, every)
     for many, pairs in zip(chosen, (False, True), strict=True):
         for _ in rounds(f, texts, many, pairs):
             pass
@@ -219,11 +220,18 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", where=Non
     # one row for each sampled document reaches the driver
     got = sample.mapInArrow(extract, "doc_id long, label int, buckets binary").toArrow()
     rows = sorted(zip(got["doc_id"].to_pylist(), got["label"].to_pylist(), got["buckets"].to_pylist(), strict=True), key=lambda r: (r[0] * 0x9E3779B97F4A7C15 % (1 << 64), *r))
-    texts = [np.frombuffer(r[2], np.uint32) for r in rows]
-    often = np.bincount(np.concatenate(texts), minlength=1 << BITS) >= LEAST if texts else np.zeros(1 << BITS, bool)
-    index[often] = np.arange(int(often.sum()), dtype=np.int32)
-    inputs = [index[t] for t in texts]
-    return fit([(r[1], k[k >= 0].astype(np.int64)) for r, k in zip(rows, inputs, strict=True)], index, share)
+    del got
+    seen = np.zeros(1 << BITS, np.int64)
+    for _, _, body in rows:
+        seen[np.frombuffer(body, np.uint32)] += 1
+    index[seen >= LEAST] = np.arange(int((seen >= LEAST).sum()), dtype=np.int32)
+    for i, (_, y, body) in enumerate(rows):
+        own = index[np.frombuffer(body, np.uint32)]
+        rows[i] = (y, own[own >= 0])
+    made = fit(rows, index, share)
+    del rows
+    store.give_back()
+    return made
 
 
 def score(docs: DataFrame, model: Machine) -> DataFrame:
