@@ -1,5 +1,5 @@
 """Command line: ``score`` links against gold, ``coverage`` of gold pairs by a word-pair resource, ``bootstrap`` pairs from
-tagged text, ``coref`` of CoNLL files."""
+tagged text, ``coref`` of CoNLL files, ``resolve`` bridging links by a classifier of pairs."""
 
 from __future__ import annotations
 
@@ -8,15 +8,16 @@ import argparse
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from quillspark import session
-from quillspark.operators import coreference, evaluation, patterns, resources, trees
+from quillspark import session, store
+from quillspark.functions import columns as C
+from quillspark.operators import coreference, evaluation, patterns, resolver, resources, trees
 from quillspark.sources import readers, writers
 
 
 def arguments() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="quillspark", description=__doc__)
     sub = top.add_subparsers(dest="what", required=True)
-    for name, places in {"score": ("gold", "system"), "coverage": ("gold", "resource"), "bootstrap": ("corpus", "seeds", "out"), "coref": ("corpus", "out")}.items():
+    for name, places in {"score": ("gold", "system"), "coverage": ("gold", "resource"), "bootstrap": ("corpus", "seeds", "out"), "coref": ("corpus", "out"), "resolve": ("corpus", "markables", "resource", "out")}.items():
         p = sub.add_parser(name)
         for place in places:
             p.add_argument(place)
@@ -25,6 +26,9 @@ def arguments() -> argparse.ArgumentParser:
             p.add_argument("--per-round", type=int, default=10)
         if name == "coref":
             p.add_argument("--demonyms")
+        if name == "resolve":
+            p.add_argument("--folds", type=int, default=10)
+            p.add_argument("--window", type=int, default=1)
     return top
 
 
@@ -39,6 +43,17 @@ def main(argv: list[str] | None = None) -> None:
     elif a.what == "bootstrap":
         counted = patterns.prune(patterns.count_extractions(patterns.extract(readers.tagged(spark, a.corpus))))
         writers.bootstrapped(patterns.bootstrap(counted, readers.seeds(spark, a.seeds), rounds=a.rounds, per_round=a.per_round), spark, a.out)
+    elif a.what == "resolve":
+        words = store.kept(trees.keyed(readers.conll(spark, a.corpus)))
+        found = store.kept(trees.align(trees.mentions(words), readers.markables(spark, a.markables), words))
+        gold = trees.gold_links(found).select("doc", F.col("anaphor_ment").alias("anaphor"), F.col("antecedent_ment").alias("antecedent"))
+        lexicon = readers.word_pairs(spark, a.resource).select("anaphor", F.explode("antecedents").alias("antecedent"))
+        folds = found.select("doc").distinct().withColumn("fold", F.pmod(F.xxhash64("doc"), F.lit(a.folds)).cast("int"))
+        links = resolver.resolve(found, gold, lexicon, folds, window=a.window)
+        for side in ("anaphor", "antecedent"):
+            facts = found.select("doc", F.col("ment").alias(side), F.col("markable").alias(f"{side}_id"), C.spoken(F.col("tokens")).alias(f"{side}_text"))
+            links = links.join(facts, ["doc", side]).drop(side).withColumnRenamed(f"{side}_id", side)
+        writers.system_lines(links).write.text(a.out)
     else:
         words = trees.keyed(readers.conll(spark, a.corpus))
         found = trees.mentions(words)

@@ -56,4 +56,6 @@ USELESS_WORDS = [
 ]
 # Penn tags.
 NOUN_TAGS = ["NN", "NNS", "NNP", "NNPS", "PRP", "PRP$"]
+#: Beginnings of tags of words that some patterns pass over; those that end in $ are whole tags.
+GAP_TAGS = ["DT$", "J", "CD$", "PRP"]
 CONTENT_TAGS = ["NN", "NNS", "NNP", "NNPS", "JJ"]

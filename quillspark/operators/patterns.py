@@ -54,15 +54,25 @@ def _head(a: Column, b: Column, useless: list[str]) -> Column:
     return F.try_element_at(span, F.lit(-1))
 
 
-def extract(sents: DataFrame, *, useless: list[str] | None = None, max_gap: int | None = 3, keep: list[str] | None = None) -> DataFrame:
+def _gap(runs_a: Column, runs_b: Column, skip: list[str]) -> Column:
+    """The words from one position to another, without those whose tag begins with one in ``skip``."""
+    words = F.slice("tokens", runs_a, runs_b - runs_a)
+    if not skip:
+        return words
+    tagged = F.arrays_zip(words.alias("w"), F.slice("tags", runs_a, runs_b - runs_a).alias("t"))
+    return F.transform(F.filter(tagged, lambda x: ~F.rlike(x["t"], F.lit(f"^({'|'.join(skip)})"))), lambda x: x["w"])
+
+
+def extract(sents: DataFrame, *, useless: list[str] | None = None, max_gap: int | None = 3, keep: list[str] | None = None, skip: list[str] | None = None) -> DataFrame:
     """(pattern, anaphor, antecedent), one row for each pair of neighbouring noun runs and direction: ``<Y> gap <X>``
     with the first run's head as anaphor, and ``<X> gap <Y>`` with the second's. Runs without a useful word, equal heads
-    and gaps of more than max_gap words give none."""
+    and gaps of more than max_gap words give none. Words of a gap whose tag matches one in ``skip``, such as
+    ``lexicons.GAP_TAGS``, are left out of the pattern and not counted; that needs the column tags."""
     runs = noun_runs(sents)
     size = F.size("runs")
     pairs = F.zip_with(
         F.slice("runs", F.lit(1), F.greatest(size - 1, F.lit(0))), F.slice("runs", F.lit(2), F.greatest(size - 1, F.lit(0))),
-        lambda p, q: F.struct(_head(p["a"], p["b"], useless or []).alias("h1"), _head(q["a"], q["b"], useless or []).alias("h2"), F.slice("tokens", p["b"] + 1, q["a"] - p["b"] - 1).alias("gap")),
+        lambda p, q: F.struct(_head(p["a"], p["b"], useless or []).alias("h1"), _head(q["a"], q["b"], useless or []).alias("h2"), _gap(p["b"] + 1, q["a"], skip or []).alias("gap")),
     )
     one = runs.select(*(keep or []), F.explode(pairs).alias("p")).select(*(keep or []), "p.*").where("h1 is not null and h2 is not null and h1 <> h2")
     if max_gap is not None:

@@ -203,8 +203,20 @@ def gold_clusters(mentions: DataFrame) -> DataFrame:
     return rows.select("doc", "chain", F.col("l.ment").alias("members"))
 
 
-def seed_pairs(links: DataFrame, heads: bool = True) -> DataFrame:
-    """anaphor, antecedent: distinct word pairs of gold links, heads or phrases joined by underscores."""
+def noun_phrases(mentions: DataFrame, words: DataFrame) -> DataFrame:
+    """doc, ment of the mentions whose constituent, the first of the sentence with their text, is labelled as nominal."""
+    first = constituents(words).groupBy(*SENT, "text").agg(F.min_by("label", "node").alias("label")).where(F.startswith("label", F.lit("N")))
+    return mentions.withColumn("text", C.spoken(F.col("tokens"))).join(first, [*SENT, "text"]).select("doc", "ment")
+
+
+def seed_pairs(links: DataFrame, heads: bool = True, phrases: DataFrame | None = None) -> DataFrame:
+    """anaphor, antecedent: distinct word pairs of gold links, heads or phrases joined by underscores. With ``phrases``
+    (doc, ment), only of links both of whose mentions are among them. Links without a head give no pair of heads."""
+    if phrases is not None:
+        for side in ("anaphor_ment", "antecedent_ment"):
+            links = links.join(phrases.select("doc", F.col("ment").alias(side)), ["doc", side], "left_semi")
+    if heads:
+        links = links.where("anaphor_head is not null and antecedent_head is not null")
     a, t = ("anaphor_head", "antecedent_head") if heads else ("anaphor_text", "antecedent_text")
     return links.select(F.replace(F.col(a), F.lit(" "), F.lit("_")).alias("anaphor"), F.replace(F.col(t), F.lit(" "), F.lit("_")).alias("antecedent")).distinct()
 

@@ -157,10 +157,77 @@ def patterns(spark: SparkSession, path: str) -> DataFrame:
 
 
 def frames(spark: SparkSession, path: str) -> DataFrame:
-    """Role sets of frame files: id, name, roles (n, description)."""
-    schema = "_id string, _name string, roles struct<role array<struct<_n string, _descr string>>>"
+    """Role sets of frame files: roleset, name, source, classes (an array), roles (n, description) and examples (name,
+    text, rel, args of n and words). A part that a role set lacks is null, or an empty array."""
+    piece = "array<struct<_VALUE string, _n string>>"
+    schema = f"_id string, _name string, _source string, _vncls string, roles struct<role array<struct<_n string, _descr string>>>, example array<struct<_name string, text string, arg {piece}, rel {piece}>>"
     rows = spark.read.option("rowTag", "roleset").schema(schema).xml(path)
-    return rows.select(F.col("_id").alias("roleset"), F.col("_name").alias("name"), F.transform("roles.role", lambda r: F.struct(r["_n"].alias("n"), r["_descr"].alias("description"))).alias("roles"))
+    many = lambda c, f: F.coalesce(F.transform(c, f), F.array())
+    example = lambda e: F.struct(
+        e["_name"].alias("name"), F.trim(e["text"]).alias("text"), F.trim(F.try_element_at(e["rel"], F.lit(1))["_VALUE"]).alias("rel"), many(e["arg"], lambda a: F.struct(a["_n"].alias("n"), F.trim(a["_VALUE"]).alias("words"))).alias("args")
+    )
+    classes = F.filter(F.split(F.coalesce("_vncls", F.lit("")), " "), lambda x: ~x.isin("", "-"))
+    return rows.select(
+        F.col("_id").alias("roleset"), F.col("_name").alias("name"), F.col("_source").alias("source"), classes.alias("classes"),
+        many("roles.role", lambda r: F.struct(r["_n"].alias("n"), r["_descr"].alias("description"))).alias("roles"), many("example", example).alias("examples"),
+    )
+
+
+#: Signs of the relations in the data files of the lexical net.
+RELATIONS = {
+    "!": "antonym", "@": "hypernym", "@i": "instance_hypernym", "~": "hyponym", "~i": "instance_hyponym", "#m": "member_holonym", "#s": "substance_holonym", "#p": "part_holonym",
+    "%m": "member_meronym", "%s": "substance_meronym", "%p": "part_meronym", "=": "attribute", "+": "derivation",
+}
+
+
+def _net_lines(spark: SparkSession, path: str) -> tuple[DataFrame, Column]:
+    """Lines of a file of the lexical net without its licence, whose lines begin with a blank, and their fields."""
+    return _lines(spark, path).where("value <> '' and not startswith(value, ' ')"), F.split(F.trim(F.substring_index("value", "|", 1)), " +")
+
+
+def lexical_net(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """lemmas (synset, lemma) and edges (synset, rel, target) of data files of the lexical net. A synset is named by its
+    part of speech and offset; relations without a name in RELATIONS keep their sign."""
+    rows, f = _net_lines(spark, path)
+    words = F.conv(f[3], 16, 10).cast("int")
+    name = lambda pos, offset: F.concat(F.when(pos == "s", "a").otherwise(pos), offset)
+    at = 5 + 2 * words
+    nodes = rows.select(name(f[2], f[0]).alias("synset"), f.alias("f"), words.alias("words"), at.alias("at"))
+    lemma = F.transform(F.sequence(F.lit(0), F.col("words") - 1), lambda k: F.lower(F.element_at("f", 5 + 2 * k)))
+    lemmas = nodes.select("synset", F.explode(lemma).alias("lemma")).distinct()
+    count = F.element_at("f", F.col("at")).cast("int")
+    places = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+    item = lambda k, j: F.element_at("f", F.col("at") + 4 * k + j)
+    edge = F.transform(places, lambda k: F.struct(item(k, 1).alias("sign"), name(item(k, 3), item(k, 2)).alias("target")))
+    names = F.create_map(*(F.lit(x) for kv in RELATIONS.items() for x in kv))
+    edges = nodes.select("synset", F.explode(edge).alias("e")).select("synset", F.coalesce(F.try_element_at(names, F.col("e.sign")), "e.sign").alias("rel"), "e.target")
+    return lemmas, edges.distinct()
+
+
+def senses(spark: SparkSession, path: str) -> DataFrame:
+    """lemma, rank (from 1, the commonest sense first) and synset of index files of the lexical net."""
+    rows, f = _net_lines(spark, path)
+    n = f[2].cast("int")
+    return rows.select(f[0].alias("lemma"), f[1].alias("pos"), F.posexplode(F.slice(f, F.size(f) - n + 1, n)).alias("k", "offset")).select("lemma", (F.col("k") + 1).alias("rank"), F.concat("pos", "offset").alias("synset"))
+
+
+def sexpressions(spark: SparkSession, path: str) -> DataFrame:
+    """Nested lists of any depth: file, entry (number of the top-level list, from 1), pos, list (position of the bracket
+    that opens the list around the item), depth of that list, and item. An item that is itself a list is an opening
+    bracket, so its items are the rows whose list is its pos. Quotes around an item are taken off; what stands outside of
+    all brackets is left out."""
+    token = F.regexp_extract_all(F.regexp_replace("value", "\ufffd", ""), F.lit(r'("[^"]*"|[()]|[^\s()"]+)'), 1)
+    t = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(token).alias("pos", "t"))
+    order = Window.partitionBy("file").orderBy("pos")
+    step = F.when(F.col("t") == "(", 1).when(F.col("t") == ")", -1).otherwise(0)
+    t = t.withColumn("after", F.sum(step).over(order))
+    t = t.withColumn("entry", F.count_if((F.col("t") == "(") & (F.col("after") == 1)).over(order)).where("t <> ')'")
+    # a bracket is an item of the list around it, and opens the items one level further in
+    opens = F.col("t") == "("
+    both = F.when(opens, F.array(F.struct((F.col("after") - 1).alias("depth"), F.lit(None).cast("int").alias("open")), F.struct(F.col("after").alias("depth"), F.col("pos").alias("open"))))
+    t = t.select("file", "entry", "pos", "t", F.inline(F.coalesce(both, F.array(F.struct(F.col("after").alias("depth"), F.lit(None).cast("int").alias("open"))))))
+    t = t.withColumn("list", F.last("open", ignorenulls=True).over(Window.partitionBy("file", "entry", "depth").orderBy("pos")))
+    return t.where("open is null and depth > 0").select("file", "entry", "pos", "list", F.col("depth").cast("int").alias("depth"), F.regexp_replace("t", '^"|"$', "").alias("item"))
 
 
 def propositions(spark: SparkSession, path: str) -> DataFrame:
@@ -182,7 +249,8 @@ def morphology(spark: SparkSession, path: str) -> DataFrame:
 
 
 def adverb_entries(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of adverb dictionaries: class, orth, adverbs, features (every :FEATURES part of an entry)."""
+    """Entries of adverb dictionaries: class, orth, adverbs, features (every :FEATURES part of an entry).
+    Features that hold lists within lists within lists are left out; ``sexpressions`` reads any depth."""
     whole = spark.read.text(path, wholetext=True).select(F.explode(F.split("value", r"(?m)^(?=\([A-Z]+)")).alias("e")).where("trim(e) <> ''")
     quoted = lambda c: F.regexp_extract_all(c, F.lit('"([^"]*)"'), 1)
     return whole.select(

@@ -23,3 +23,26 @@ def test_coref_writes_clusters(spark, tmp_path):
     main(["coref", str(tmp_path / "a.conll"), str(tmp_path / "out")])
     lines = [x for p in sorted(glob.glob(str(tmp_path / "out" / "part-*"))) for x in open(p).read().splitlines()]
     assert [x.split("\t")[-1] for x in lines] == ["#begin document (x); part 000", "(1)", "-", "", "(1)", "-", "", "#end document"]
+
+
+def story(k):
+    # candidates are looked for from the second sentence on
+    rows = [("It", "PRP", "(TOP(S(NP*)", "-"), ("rained", "VBD", "(VP*)))", "-"), None, ("The", "DT", "(TOP(S(NP*", "(1"), ("house", "NN", "*)", "1)"), ("stood", "VBD", "(VP*)))", "-"), None, ("The", "DT", "(TOP(S(NP*", "(2"), ("roof", "NN", "*)", "2)"), ("hit", "VBD", "(VP*", "-"), ("a", "DT", "(NP*", "(3"), ("car", "NN", "*))))", "3)")]
+    lines, at = [f"#begin document (x{k}); part 000"], 0
+    for r in rows:
+        lines.append("" if r is None else f"f 0 {at} {r[0]} {r[1]} {r[2]} - - - - * {r[3]}")
+        at = 0 if r is None else at + 1
+    return "\n".join([*lines, "", "#end document", ""])
+
+
+def test_resolve_finds_the_links_of_other_folds(spark, tmp_path):
+    for name in ("text", "marks"):
+        (tmp_path / name).mkdir()
+    xml = '<markables><markable id="m1" span="word_3..word_4" information_status="new"/><markable id="m2" span="word_6..word_7" information_status="mediated" mediated_type="bridging" bridge_type="x" bridged_from="m1"/></markables>'
+    for k in range(8):
+        (tmp_path / "text" / f"d{k}.conll").write_text(story(k))
+        (tmp_path / "marks" / f"d{k}.xml").write_text(xml)
+    (tmp_path / "r.tsv").write_text("roof\thouse\n")
+    main(["resolve", str(tmp_path / "text"), str(tmp_path / "marks"), str(tmp_path / "r.tsv"), str(tmp_path / "out"), "--folds", "2"])
+    lines = [x for p in glob.glob(str(tmp_path / "out" / "part-*")) for x in open(p).read().splitlines()]
+    assert lines == ["The roof\tm2\tThe house\tm1"] * 8
