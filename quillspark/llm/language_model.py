@@ -10,7 +10,7 @@ The data flow. Every task reads its documents into units of about ``UNIT`` bytes
 (compressed) and its distinct words and byte (depth + 1)-grams with their counts in training texts, zero included,
 packed by shard: words by their hash, grams by the two bytes before the last. There is a shard for each ``SHARD``
 bytes of text, ``MAX_SHARDS`` at most, and salts of ``SALT`` units, so a group of one shard and salt stays small at any size. Shards sum their
-counts, first by salt, and price their grams; the nodes above them are one table of 65,536 rows at most. Words with
+counts, first by salt and then by ever fewer salts, and price their grams; the nodes above them are one table of 65,536 rows at most. Words with
 their counts and grams with their log-probabilities return to the units that hold them, and each unit scores its texts
 with the slice of the model that it needs. So no task and no broadcast holds the model as a whole, and all counts come
 from all training documents.
@@ -36,6 +36,8 @@ from quillspark.llm import textvec as V
 UNIT, DEPTH, SHARD, SALT = 8 << 20, 5, 32 << 20, 256
 #: Most shards: a unit has a row for each, so rows grow as units do and no faster.
 MAX_SHARDS = 4096
+#: Least number of keys that are unpacked before they are summed.
+FOLD = 1 << 20
 NO_ID = -(1 << 63)
 END_WORD = np.int64(0x1E4D)  # stands for the end token among word hashes
 WORD, GRAM, TEXT = 0, 1, 2
@@ -224,15 +226,28 @@ def units(docs: DataFrame, train: Column, depth: int, unit: int, shards: int, sa
 
 
 def add_up(t: pa.Table) -> pa.Table:
-    """One row with the sums of all rows of a group."""
-    k, n = summed(*zip(*(unpack(r.as_py(), m) for r, m in zip(t["body"], t["size"].to_pylist(), strict=True)), strict=True))
+    """One row with the sums of all rows of a group. Sums so far take the place of rows whenever the rows since are as
+    long, so what is unpacked at once grows with the sum and not with the number of rows."""
+    keys, counts, since, own = [], [], 0, 0
+    for row, size in zip(t["body"], t["size"].to_pylist(), strict=True):
+        k, n = unpack(row.as_py(), size)
+        keys.append(k)
+        counts.append(n)
+        since += size
+        if since > max(own, FOLD):
+            keys, counts = ([x] for x in summed(keys, counts))
+            since, own = 0, len(keys[0])
+    k, n = summed(keys, counts)
     return pa.Table.from_batches([_row(0, t["kind"][0].as_py(), t["shard"][0].as_py(), t["salt"][0].as_py(), len(k), pack(k, n))])
 
 
 def totals(parts: DataFrame, salts: int) -> DataFrame:
-    """One row for each kind and shard with the counts over all units."""
-    if salts > 1:
-        parts = parts.groupBy("kind", "shard", "salt").applyInArrow(add_up, ROWS)
+    """One row for each kind and shard with the counts over all units, summed as a tree in which no group has more than
+    about ``SALT`` rows."""
+    while salts > 1:
+        fewer = -(-salts // SALT)
+        parts = parts.groupBy("kind", "shard", "salt").applyInArrow(add_up, ROWS).withColumn("salt", F.col("salt") % F.lit(fewer))
+        salts = fewer
     return parts.groupBy("kind", "shard").applyInArrow(add_up, ROWS)
 
 
@@ -288,11 +303,13 @@ def score(docs: DataFrame, train: Column, *, depth: int = DEPTH, unit: int = UNI
                     value = tree.log10_probability([((key >> 8 & 0xFF) << 8 | tree.prefix, one1, share1), (tree.prefix, one0, share0)])
                 else:
                     value = count.astype(float)
-                for salt in range(salts):
-                    yield _row(0, kind, shard, salt, size, pack(key, value))
+                yield _row(0, kind, shard, 0, size, pack(key, value))
 
     keys = ["kind", "shard", "salt"]
-    slices = parts.groupBy(*keys).cogroup(total.mapInArrow(price, ROWS).groupBy(*keys)).applyInArrow(answer, ROWS)
+    priced = total.mapInArrow(price, ROWS)
+    if salts > 1:  # a copy for the units of each salt, made outside of Python
+        priced = priced.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    slices = parts.groupBy(*keys).cogroup(priced.groupBy(*keys)).applyInArrow(answer, ROWS)
     norm = math.log10(n + 0.5 * (v + 1)) if n + v else math.log10(0.5)
 
     def finish(texts: pa.Table, model: pa.Table) -> pa.Table:

@@ -100,6 +100,21 @@ def test_scores_are_brute_force(spark):
             assert r.bits_per_byte == pytest.approx(-score / math.log10(2) / (len((t or "").encode()) + 1), abs=1e-9)
 
 
+def test_sums_over_a_tree_of_salts(spark, monkeypatch):
+    """Three levels of sums, with folds after few keys, give the counts of one."""
+    docs = spark.createDataFrame(list(enumerate(_texts(60))), "doc_id long, text string").repartition(7)
+    run = lambda: {r.doc_id: r for r in language_model.score(docs, F.col("doc_id") % 4 > 0, depth=DEPTH, unit=200).collect()}
+    want = run()
+    monkeypatch.setattr(language_model, "SALT", 3)
+    monkeypatch.setattr(language_model, "FOLD", 5)
+    monkeypatch.setattr(language_model, "SHARD", 700)
+    got = run()
+    assert got.keys() == want.keys()
+    for k, r in got.items():
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (want[k].n_tokens, want[k].n_known, want[k].train_tokens)
+        assert (r.score, r.base_score) == pytest.approx((want[k].score, want[k].base_score), abs=1e-9)
+
+
 def test_nothing_to_learn_or_to_score(spark):
     docs = spark.createDataFrame([(1, "ab"), (2, None)], "doc_id long, text string")
     rows = {r.doc_id: r for r in language_model.score(docs, F.lit(False), depth=DEPTH).collect()}
