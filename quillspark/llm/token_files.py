@@ -4,8 +4,8 @@
 group statistics prune a search by id; the Bloom filters prune further. Files and stripes are read independently.
 A row holds ``ord`` (file number in the high bits, row number in the low 33), ``doc_id`` and ``ids``.
 
-Edge cases: a null text counts as empty and has only the end id; null ids sort first; repeated ids are kept in an
-order fixed by their texts; other columns are ignored; an empty table gives files without rows.
+Edge cases: a null text counts as empty and has only the end id; null ids sort first; rows that share an
+id are kept, in one file by their texts and over several files by hashes of these; other columns are ignored; an empty table gives files without rows.
 """
 
 from __future__ import annotations
@@ -53,7 +53,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, *, drop_space: bool, end_i
                 yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(hi - lo)), b.column("doc_id").slice(lo, hi - lo), lists], ["ord", "doc_id", "ids"])
                 row += hi - lo
 
-    ordered = docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    # rows that share an id, or have none, are spread over files by their texts
+    ordered = docs.repartitionByRange(parts, F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(encode, "ord long, doc_id long, ids array<int>").write.options(**OPTIONS).orc(path)
 
 

@@ -6,6 +6,8 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
+from pyspark.sql import functions as F
+
 from quillspark.llm import packing, token_counts, token_files
 
 P = pytest.importorskip("public_tokenizers")
@@ -99,6 +101,18 @@ def test_token_files_are_read_back(spark, tmp_path):
     assert "doc_id" in files.where("doc_id = 6")._jdf.queryExecution().executedPlan().toString().split("PushedFilters")[1]
 
 
+def test_rows_without_id_are_spread_over_files(spark, tmp_path):
+    path, out = P.path("word_bpe_49k.json"), str(tmp_path / "orc")
+    docs = spark.createDataFrame([(None if i % 3 else i, f"text {i} " * 20) for i in range(300)], "doc_id long, text string").repartition(4)
+    token_files.write(docs, out, path, drop_space=True, bytes_per_file=4096)
+    files = token_files.read(spark, out)
+    rows = [(r.doc_id, r.start, r.n_tokens) for r in token_files.summary(files).orderBy("start").collect()]
+    assert len(rows) == 300 and [r[0] for r in rows[200:]] == list(range(0, 300, 3)) and not any(r[0] is not None for r in rows[:200])
+    assert [a[1] + a[2] for a in rows[:-1]] == [b[1] for b in rows[1:]]
+    sizes = files.where("doc_id is null").groupBy(F.shiftright("ord", token_files.FILE_SHIFT)).count().collect()
+    assert len(sizes) > 3 and max(r["count"] for r in sizes) < 100
+
+
 def test_token_files_of_nothing_and_of_repeats(spark, tmp_path):
     path = P.path("word_bpe_49k.json")
     token_files.write(_docs(spark).where("doc_id < 0"), str(tmp_path / "none"), path, drop_space=True)
