@@ -1,11 +1,11 @@
-"""The queries op1 to op10, each over its whole table, and the SQL that gives the same rows where SQL can."""
+"""The queries op1 to op13, each over its whole table, and the SQL that gives the same rows where SQL can."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import jaccard, language_model, mtree, packing, quality, sentencepiece_codec, store, token_counts, token_files, toxicity, url_filter
+from quillspark.llm import branch_merge, conversation_repair, jaccard, language_model, merge_repair_sql, mtree, packing, quality, sentencepiece_codec, store, subword_classifier, token_counts, token_files, toxicity, url_filter
 
 
 def vocabulary(name: str) -> str:
@@ -83,6 +83,34 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.summary(token_files.read(spark, path))
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = branch_merge.merge(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "lang", "source", F.sha2("text", 256).alias("text_sha256"), "n_clean", "n_edit_edit", "n_edit_delete", "n_insert_insert")
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    held_out = lambda: F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = subword_classifier.train(docs, _read(spark, sf_dir, "labels"), where=~held_out())
+    out = subword_classifier.score(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with one turn in twenty left out, one emptied, one without stops, one said twice, and one put into the user's mouth."""
+    own = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    code = F.crc32(F.concat(own("conv_id"), F.lit(":"), own("turn"))) % 20
+    rows = rows.select("conv_id", "turn", own("role").alias("role"), own("text").alias("text"), code.alias("code")).where("code <> 0")
+    text = F.when(F.col("code") == 1, "").when(F.col("code") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    copies = F.explode(F.when(F.col("code") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy")
+    return rows.select("conv_id", "turn", F.when(F.col("code") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), copies).drop("copy")
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "conversations")
+    return conversation_repair.repair(rows, damaged(rows))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -100,6 +128,9 @@ QUERIES = {
     "op8_sentencepiece": op8,
     "op9_toxicity": op9,
     "op10_token_files": op10,
+    "op11_branch_merge": op11,
+    "op12_quality_classifier": op12,
+    "op13_conversation_repair": op13,
     "pipeline": pipeline,
 }
 
@@ -187,4 +218,6 @@ ORACLE = {
             (select count(*) from l where x = d.doc_id) as n_links
         from d
     """,
+    "op11_branch_merge": merge_repair_sql.OP11,
+    "op13_conversation_repair": merge_repair_sql.OP13,
 }
