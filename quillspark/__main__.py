@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillspark import session, store
 from quillspark.functions import columns as C
-from quillspark.operators import coreference, evaluation, patterns, resolver, resources, trees
+from quillspark.operators import bootstrapping, coreference, evaluation, patterns, resolver, resources, trees
 from quillspark.sources import readers, writers
 
 
@@ -42,7 +42,7 @@ def main(argv: list[str] | None = None) -> None:
         print("\n".join(f"{k} {r[k + '_found']}/{r[k + '_gold']} {r[k + '_coverage']:.4f}" for k in ("anaphor", "antecedent", "pair")))
     elif a.what == "bootstrap":
         counted = patterns.prune(patterns.count_extractions(patterns.extract(readers.tagged(spark, a.corpus))))
-        writers.bootstrapped(patterns.bootstrap(counted, readers.seeds(spark, a.seeds), rounds=a.rounds, per_round=a.per_round), spark, a.out)
+        writers.bootstrapped(bootstrapping.bootstrap(counted, readers.seeds(spark, a.seeds), rounds=a.rounds, per_round=a.per_round), spark, a.out)
     elif a.what == "resolve":
         words = store.kept(trees.keyed(readers.conll(spark, a.corpus)))
         found = store.kept(trees.align(trees.mentions(words), readers.markables(spark, a.markables), words))

@@ -38,14 +38,25 @@ def with_lexicon_key(mentions: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 def backward_search(mentions: DataFrame, lexicon: DataFrame, *, min_sent: int = 1) -> DataFrame:
     """doc, anaphor, antecedent: for each mention with a lexicon key the nearest earlier mention with one of the key's
-    antecedents: own sentence first, then sentences backwards down to min_sent, within one by mention order."""
-    a = with_lexicon_key(mentions, lexicon).select("doc", F.col("ment").alias("anaphor"), F.col("sent").alias("a_sent"), F.col("start").alias("a_start"), "word")
-    wanted = a.join(lexicon.select(F.col("anaphor").alias("word"), F.col("antecedent").alias("w")).distinct(), "word")
-    tokens = mentions.select("doc", F.col("ment").alias("antecedent"), "sent", "end", "ord", F.explode(F.array_distinct("tokens")).alias("w"))
-    ok = ((F.col("sent") == F.col("a_sent")) & (F.col("end") < F.col("a_start"))) | ((F.col("sent") < F.col("a_sent")) & (F.col("sent") >= min_sent))
-    found = wanted.join(tokens, ["doc", "w"]).where(ok)
-    best = found.groupBy("doc", "anaphor").agg(F.min_by("antecedent", F.struct(-F.col("sent"), "ord")).alias("antecedent"))
-    return best
+    antecedents: own sentence first, then sentences backwards down to min_sent, within one by mention order.
+
+    Lookups and the words looked for are put in one order for each (doc, word), and each lookup takes what came last before
+    it: a row for a lookup, whatever the number of earlier mentions."""
+    a = with_lexicon_key(mentions, lexicon).select("doc", F.col("ment").alias("anaphor"), "sent", F.col("start").alias("at"), "word")
+    pairs = lexicon.select(F.col("anaphor").alias("word"), F.col("antecedent").alias("w")).where("w is not null").distinct()
+    lookups = a.join(pairs, "word").select("doc", "w", "sent", "at", F.lit(0).alias("kind"), "anaphor")
+    own = F.struct("ord", F.col("ment").alias("ment"))
+    words = mentions.select("doc", "sent", F.col("end").alias("at"), own.alias("own"), F.explode(F.array_distinct("tokens")).alias("w")).join(pairs.select("w").distinct(), "w", "left_semi")
+    rows = lookups.unionByName(words.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+    # a mention that ends where another starts comes after it
+    here = Window.partitionBy("doc", "w", "sent").orderBy("at", "kind")
+    before = Window.partitionBy("doc", "w").orderBy("sent", "at", "kind")
+    rows = rows.withColumns({"near": F.min("own").over(here.rowsBetween(Window.unboundedPreceding, 0)), "whole": F.min("own").over(here.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), "last": F.row_number().over(here.orderBy(F.desc("at"), F.desc("kind")))})
+    # a sentence's first mention of the word counts for later sentences, from the sentence's last row on
+    done = F.when((F.col("last") == 1) & F.col("whole").isNotNull() & (F.col("sent") >= min_sent), F.struct("sent", F.col("whole").alias("own")))
+    rows = rows.withColumn("far", F.last(done, ignorenulls=True).over(before.rowsBetween(Window.unboundedPreceding, -1)))
+    found = rows.where("kind = 0").select("doc", "anaphor", F.when(F.col("near").isNotNull(), F.struct((-F.col("sent")).alias("s"), F.col("near").alias("m"))).otherwise(F.when(F.col("far").isNotNull(), F.struct((-F.col("far.sent")).alias("s"), F.col("far.own").alias("m")))).alias("best"))
+    return found.where("best is not null").groupBy("doc", "anaphor").agg(F.min("best").alias("best")).select("doc", "anaphor", F.col("best.m.ment").alias("antecedent"))
 
 
 def candidate_window(mentions: DataFrame, n: int = 2, *, min_sent: int = 0) -> DataFrame:
@@ -61,34 +72,66 @@ def best_candidate(scored: DataFrame) -> DataFrame:
     return scored.where("score > 0").groupBy("doc", "anaphor").agg(F.max_by("antecedent", F.struct("score", -F.col("distance"), -F.col("ord"))).alias("antecedent"))
 
 
+def numbered(mentions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sentences (doc, sent, inside, before): a sentence's mentions in text order and how many the document has before it;
+    and mentions by number (doc, rank, ment), from 0."""
+    inside = F.array_sort(F.collect_list(F.struct("start", "ment", "end")))
+    sents = mentions.groupBy("doc", "sent").agg(inside.alias("inside"))
+    earlier = Window.partitionBy("doc").orderBy("sent").rowsBetween(Window.unboundedPreceding, -1)
+    sents = sents.withColumn("before", F.coalesce(F.sum(F.size("inside")).over(earlier), F.lit(0)))
+    ranks = sents.select("doc", "before", F.posexplode("inside").alias("k", "m")).select("doc", (F.col("before") + F.col("k")).alias("rank"), F.col("m.ment").alias("ment"))
+    return sents, ranks
+
+
 def between(pairs: DataFrame, mentions: DataFrame) -> DataFrame:
-    """pairs (doc, anaphor, antecedent) with ``between``: mentions after the antecedent's end and before the anaphor's
-    start, in text order."""
+    """pairs (doc, anaphor, antecedent) with ``n_between``, the number of mentions after the antecedent's end and before the anaphor's
+    start; ``first``, the number in its document of the first of them; and, in text order, ``tail``: those in the anaphor's
+    sentence. The others have the numbers from ``first`` on. What lies between is counted, not listed."""
+    sents, _ = numbered(mentions)
     at = mentions.select("doc", "ment", "sent", "start", "end")
     p = pairs.join(at.select("doc", F.col("ment").alias("anaphor"), F.col("sent").alias("as"), F.col("start").alias("ab")), ["doc", "anaphor"])
     p = p.join(at.select("doc", F.col("ment").alias("antecedent"), F.col("sent").alias("ts"), F.col("end").alias("te")), ["doc", "antecedent"])
-    m = at.select("doc", F.col("ment").alias("m"), F.col("sent").alias("ms"), F.col("start").alias("mb"), F.col("end").alias("me"))
-    p = p.withColumn("ms", F.explode(F.sequence(F.least("ts", "as"), F.col("as"))))
-    hit = p.join(m, ["doc", "ms"]).where(((F.col("ms") > F.col("ts")) | (F.col("mb") > F.col("te"))) & ((F.col("ms") < F.col("as")) | (F.col("me") < F.col("ab"))) & (F.col("m") != F.col("anaphor")) & (F.col("m") != F.col("antecedent")))
-    listed = hit.groupBy("doc", "anaphor", "antecedent").agg(F.array_sort(F.collect_list(F.struct("ms", "mb", "m"))).alias("l"))
-    return pairs.join(listed, ["doc", "anaphor", "antecedent"], "left").withColumn("between", F.coalesce(F.transform("l", lambda x: x["m"]), F.array().cast("array<string>"))).drop("l")
+    p = p.join(sents.select("doc", F.col("sent").alias("as"), F.col("inside").alias("own"), F.col("before").alias("own_before")), ["doc", "as"])
+    p = p.join(sents.select("doc", F.col("sent").alias("ts"), F.col("inside").alias("its"), F.col("before").alias("its_before")), ["doc", "ts"])
+    first = F.col("its_before") + F.size(F.filter("its", lambda m: m["start"] <= F.col("te")))
+    earlier = F.col("ts") < F.col("as")
+    tail = F.transform(F.filter("own", lambda m: (m["end"] < F.col("ab")) & (earlier | ((F.col("ts") == F.col("as")) & (m["start"] > F.col("te")))) & (m["ment"] != F.col("anaphor")) & (m["ment"] != F.col("antecedent"))), lambda m: m["ment"])
+    p = p.withColumns({"first": first, "n_before": F.when(earlier, F.col("own_before") - first).otherwise(0), "tail": tail})
+    return p.select("doc", "anaphor", "antecedent", (F.col("n_before") + F.size("tail")).cast("int").alias("n_between"), "first", F.col("n_before").cast("int").alias("n_before"), "tail")
+
+
+def draws(n: Column, k: int, *key: Column) -> list[Column]:
+    """k different numbers from 0 to n - 1 in an order fixed by a hash of the key; n is k at least."""
+    out: list[Column] = []
+    for j in range(k):
+        h = F.conv(F.substring(F.md5(F.concat_ws("|", *key, F.lit(str(j)))), 1, 8), 16, 10).cast("long")
+        drawn = F.pmod(h, F.greatest(n - j, F.lit(1)))
+        # what the smaller ones drawn before have taken
+        for earlier in ([F.get(F.array_sort(F.array(*out)), F.lit(i)) for i in range(j)] if out else []):
+            drawn = drawn + (drawn >= earlier).cast("long")
+        out.append(drawn)
+    return out
 
 
 def negatives(pairs: DataFrame, mentions: DataFrame) -> DataFrame:
     """Negative pairs by the number of mentions between: 1 gives (anaphor, m0), 2 (m1, m0), 3 (m0, antecedent) and
-    (m2, m1), more two pairs of mentions in an order fixed by a hash."""
+    (m2, m1), more two pairs of four mentions drawn by a hash. Only the mentions needed are looked up, by their number."""
     m = between(pairs, mentions)
-    many = F.transform(F.array_sort(F.transform("between", lambda x: F.struct(F.md5(F.concat_ws("|", "doc", "anaphor", "antecedent", x)).alias("h"), x.alias("x")))), lambda s: s["x"])
-    pair = lambda a, t: F.struct(a.alias("anaphor"), t.alias("antecedent"))
-    b = lambda k: F.get("between", F.lit(k))
-    n = F.size("between")
-    none = F.array().cast("array<struct<anaphor:string,antecedent:string>>")
+    n = F.col("n_between")
+    some = F.array(*draws(n, 4, F.col("doc").cast("string"), F.col("anaphor"), F.col("antecedent")))
+    wanted = F.when(n >= 4, some).otherwise(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))).cast("array<bigint>"))
+    one = m.where("n_between > 0").select("doc", "anaphor", "antecedent", "n_between", "n_before", "first", "tail", F.posexplode(wanted).alias("k", "i"))
+    far = one.withColumn("rank", F.when(F.col("i") < F.col("n_before"), F.col("first") + F.col("i")))
+    far = far.join(numbered(mentions)[1].withColumnRenamed("ment", "far"), ["doc", "rank"], "left")
+    found = far.withColumn("m", F.coalesce("far", F.get("tail", (F.col("i") - F.col("n_before")).cast("int"))))
+    at = lambda k: F.max(F.when(F.col("k") == k, F.col("m")))
+    got = found.groupBy("doc", "anaphor", "antecedent", "n_between").agg(*(at(k).alias(f"m{k}") for k in range(4)))
+    pair = lambda a, t: F.struct(F.col(a).alias("anaphor"), F.col(t).alias("antecedent"))
     made = (
-        F.when(n == 1, F.array(pair(F.col("anaphor"), b(0)))).when(n == 2, F.array(pair(b(1), b(0))))
-        .when(n == 3, F.array(pair(b(0), F.col("antecedent")), pair(b(2), b(1))))
-        .when(n >= 4, F.array(pair(F.get(many, F.lit(0)), F.get(many, F.lit(1))), pair(F.get(many, F.lit(2)), F.get(many, F.lit(3))))).otherwise(none)
+        F.when(n == 1, F.array(pair("anaphor", "m0"))).when(n == 2, F.array(pair("m1", "m0")))
+        .when(n == 3, F.array(pair("m0", "antecedent"), pair("m2", "m1"))).otherwise(F.array(pair("m0", "m1"), pair("m2", "m3")))
     )
-    return m.select("doc", F.inline(made))
+    return got.select("doc", F.inline(made))
 
 
 def containing_others(mentions: DataFrame) -> DataFrame:

@@ -1,16 +1,13 @@
-"""Lexical patterns between nouns, and the bootstrapping of word pairs with them.
+"""Lexical patterns between nouns, their counts and scores.
 
 Extraction looks at one sentence at a time and needs no shuffle: noun runs, gaps and heads are array expressions. The
 first shuffle is the count of (pattern, anaphor, antecedent), pre-aggregated by the engine."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark import store
 from quillspark.functions import columns as C
 from quillspark.functions import lexicons as L
 
@@ -146,46 +143,6 @@ def score_pairs(counts: DataFrame, selected: DataFrame) -> DataFrame:
     return pairs.join(F.broadcast(selected.select("pattern", "score")), "pattern").groupBy("anaphor", "antecedent").agg(F.sum(1 + 0.01 * F.col("score")).alias("score"))
 
 
-def best_pattern(scored: DataFrame, selected: list[str]) -> DataFrame:
-    """The best pattern not yet selected with a score above 0; ties by pattern."""
-    return scored.where((F.col("score") > 0) & ~F.col("pattern").isin(*selected)).orderBy(F.desc("score"), "pattern").limit(1)
-
-
-@dataclass
-class Bootstrapped:
-    patterns: list[tuple[str, float, int]]
-    pairs: list[tuple[str, str, float, int]]
-
-
-def bootstrap(counts: DataFrame, seeds: DataFrame, *, rounds: int = 200, per_round: int = 10, mode: str = "strict", frozen: bool = False, at_least: int = 0, digits: int = 12) -> Bootstrapped:
-    """Grows a lexicon from seeds: each round scores all patterns against it, selects the best new one, scores the pairs
-    of all selected patterns and adds the best new ones. ``frozen`` keeps the score a pattern had when selected. Rounds
-    and pairs per round bound what the driver holds; counts stay distributed, and are read from files each round.
-    With ``at_least`` pairs are added only in rounds with more scored pairs than that."""
-    spark = counts.sparkSession
-    counts = store.kept(counts)
-    lexicon = {(r["anaphor"], r["antecedent"]): None for r in seeds.select(C.head_key(F.col("anaphor")).alias("anaphor"), C.head_key(F.col("antecedent")).alias("antecedent")).distinct().collect()}
-    chosen: dict[str, tuple[float, int]] = {}
-    pairs: list[tuple[str, str, float, int]] = []
-    for k in range(1, rounds + 1):
-        lex = spark.createDataFrame([*lexicon] or [("", "")], "anaphor string, antecedent string")
-        scored = score_patterns(flag_hits(counts, F.broadcast(lex), mode)).withColumn("score", F.round("score", digits))
-        wanted = scored.where((F.col("score") > 0) & F.col("pattern").isin(*chosen)).select("pattern", "score").collect() if chosen and not frozen else []
-        for r in best_pattern(scored, [*chosen]).collect():
-            chosen[r["pattern"]] = (r["score"], k)
-        now = {p: s for p, (s, _) in chosen.items()} | {r["pattern"]: r["score"] for r in wanted}
-        if not now:
-            break
-        table = spark.createDataFrame([*now.items()], "pattern string, score double")
-        new = score_pairs(counts, table).join(F.broadcast(lex), ["anaphor", "antecedent"], "left_anti").withColumn("score", F.round("score", digits))
-        if at_least and new.limit(at_least + 1).count() <= at_least:
-            continue
-        for r in new.orderBy(F.desc("score"), "anaphor", "antecedent").limit(per_round).collect():
-            lexicon[r["anaphor"], r["antecedent"]] = None
-            pairs.append((r["anaphor"], r["antecedent"], r["score"], k))
-    return Bootstrapped([(p, s, k) for p, (s, k) in chosen.items()], pairs)
-
-
 def match_pattern(sents: DataFrame, pattern: str) -> DataFrame:
     """(sent columns, anaphor, antecedent): whole noun runs, joined by underscores, on both sides of the pattern's words.
     Gap words may be nouns and the last token of a sentence counts. A pattern without words matches nothing."""

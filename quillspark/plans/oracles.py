@@ -71,6 +71,9 @@ def _rounds(n: int, frozen: bool = False) -> str:
         parts.append(f"add{r} as (select anaphor, antecedent, round(sum(1 + 0.01 * score), 9) as score from k join sel{r} using (pattern) where not ({STRICT.format(f'lex{r - 1}')}) group by all order by 3 desc, 1, 2 limit 10)")
         parts.append(f"lex{r} as (select * from lex{r - 1} union all select anaphor, antecedent from add{r})")
     body = " union all ".join(f"select anaphor, antecedent, score, cast({r} as int) as round from add{r}" for r in range(1, n + 1))
+    if n > 2:  # each round reads the one before several times
+        parts = [p.replace(" as (", " as materialized (", 1) for p in parts]
+        return f"with {EXT.replace('k as (', 'k as materialized (')}, {', '.join(parts)} {body}"
     return f"with {EXT}, {', '.join(parts)} {body}"
 
 
@@ -136,6 +139,7 @@ ORACLE = {
     "extraction_scores": f"with {EXT}, ps as ({_scores(STRICT.format('seed'))}), top as (select pattern, score from ps where score > 0 order by score desc, pattern limit 5) select anaphor, antecedent, round(sum(1 + 0.01 * score), 9) as score from k join top using (pattern) group by all",
     "bootstrap_round1": _rounds(1),
     "bootstrap_round2": _rounds(2),
+    "bootstrap_twenty": _rounds(20),
     "bootstrap_frozen": _rounds(2, frozen=True),
     "pattern_match": rf"""
         with {TOK}, {_runs("doc_id", "sent", "")},
@@ -187,13 +191,17 @@ ORACLE = {
     """,
     "negative_pairs": f"""
         with {SEARCH}, pr as (
-            select best.doc, best.anaphor, best.antecedent, list(x.ment order by x.sent, x."start", x.ment) as b, list(x.ment order by md5(concat_ws('|', best.doc, best.anaphor, best.antecedent, x.ment))) as h from best
+            select best.doc, best.anaphor, best.antecedent, list(x.ment order by x.sent, x."start", x.ment) as b, count(*) as n from best
             join mm a on a.doc = best.doc and a.ment = best.anaphor join mm t on t.doc = best.doc and t.ment = best.antecedent
             join mm x on x.doc = best.doc and x.ment <> a.ment and x.ment <> t.ment and (x.sent > t.sent and x.sent < a.sent or x.sent = t.sent and x."start" > t."end" and (x.sent < a.sent or x."end" < a."start") or x.sent = a.sent and x.sent > t.sent and x."end" < a."start")
-            group by all)
-        select doc, anaphor, b[1] as antecedent from pr where len(b) = 1 union all select doc, b[2], b[1] from pr where len(b) = 2
-        union all select doc, b[1], antecedent from pr where len(b) = 3 union all select doc, b[3], b[2] from pr where len(b) = 3
-        union all select doc, h[1], h[2] from pr where len(b) >= 4 union all select doc, h[3], h[4] from pr where len(b) >= 4
+            group by all),
+        hs as (select *, list_transform(range(4), lambda j: cast('0x' || md5(concat_ws('|', doc, anaphor, antecedent, j))[1:8] as bigint)) as h from pr where n >= 4),
+        d2 as (select *, h[1] % n as i0, h[2] % (n - 1) + cast(h[2] % (n - 1) >= h[1] % n as int) as i1 from hs),
+        d3 as (select *, list_reduce(list_prepend(h[3] % (n - 2), list_sort([i0, i1])), lambda x, c: x + cast(x >= c as int)) as i2 from d2),
+        d4 as (select *, list_reduce(list_prepend(h[4] % (n - 3), list_sort([i0, i1, i2])), lambda x, c: x + cast(x >= c as int)) as i3 from d3)
+        select doc, anaphor, b[1] as antecedent from pr where n = 1 union all select doc, b[2], b[1] from pr where n = 2
+        union all select doc, b[1], antecedent from pr where n = 3 union all select doc, b[3], b[2] from pr where n = 3
+        union all select doc, b[i0 + 1], b[i1 + 1] from d4 union all select doc, b[i2 + 1], b[i3 + 1] from d4
     """,
     "score_prf": """
         with g as (select doc_id from labels where quality = 1), s as (select doc_id from labels where toxic = 1),

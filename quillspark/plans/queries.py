@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark import store
 from quillspark.functions import columns as C
-from quillspark.operators import coreference, evaluation, learning, mentions, patterns, resolver, resources, trees, vectors
+from quillspark.operators import bootstrapping, coreference, evaluation, learning, mentions, patterns, resolver, resources, trees, vectors
 
 SEEDS, OFTEN = 20, 2
 FOLDS = 10
@@ -84,7 +84,7 @@ def extraction_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _bootstrapped(spark: SparkSession, sf_dir: str, rounds: int, **settings) -> DataFrame:
     c = counted(spark, sf_dir)
-    got = patterns.bootstrap(patterns.prune(c), seeds(c), rounds=rounds, per_round=10, digits=9, **settings)
+    got = bootstrapping.bootstrap(patterns.prune(c), seeds(c), rounds=rounds, per_round=10, digits=9, **settings)
     return spark.createDataFrame(got.pairs, "anaphor string, antecedent string, score double, round int")
 
 
@@ -96,6 +96,10 @@ def bootstrap_round2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bootstrapped(spark, sf_dir, 2)
 
 
+def bootstrap_twenty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bootstrapped(spark, sf_dir, 20)
+
+
 def bootstrap_frozen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bootstrapped(spark, sf_dir, 2, frozen=True)
 
@@ -158,7 +162,7 @@ def mention_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def between_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = store.kept(talk(spark, sf_dir))
     pairs = mentions.backward_search(m, _talk_lexicon(m))
-    return mentions.between(pairs, m).select("doc", "anaphor", "antecedent", F.size("between").alias("n_between"))
+    return mentions.between(pairs, m).select("doc", "anaphor", "antecedent", "n_between")
 
 
 def negative_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -306,7 +310,7 @@ def statistical_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    tokens, sentence_lengths, noun_runs, pattern_extractions, pattern_candidates_v1, pattern_prune, pattern_rlogf_strict, pattern_rlogf_relaxed, extraction_scores, bootstrap_round1, bootstrap_round2, bootstrap_frozen,
+    tokens, sentence_lengths, noun_runs, pattern_extractions, pattern_candidates_v1, pattern_prune, pattern_rlogf_strict, pattern_rlogf_relaxed, extraction_scores, bootstrap_round1, bootstrap_round2, bootstrap_twenty, bootstrap_frozen,
     pattern_match, noun_compounds, pair_count_cube, tfidf_top15, mentions_noun_runs, backward_search, candidate_window, possible_anaphors, previous_mentions, mention_features, between_mentions, negative_pairs,
     score_prf, lexicon_coverage, cv_folds, hypernym_closure, generalise, json_counts, coref_exact, cosine_match,
     constituents, name_spans, phrase_heads, seed_patterns, coref_pass_exact, coref_passes, cluster_column, coref_column_spans, gold_chains, recognised_anaphors, statistical_links,

@@ -1,7 +1,7 @@
 import pytest
 
 from quillspark.functions import columns as C
-from quillspark.operators import evaluation, mentions, patterns, resources
+from quillspark.operators import bootstrapping, evaluation, mentions, patterns, resources
 from quillspark.sources import readers, writers
 
 
@@ -42,7 +42,7 @@ def test_bootstrap_adds_pairs_of_the_best_pattern(spark):
     rows = [("p", "a", "b", 3), ("p", "c", "d", 2), ("q", "e", "f", 9)]
     c = spark.createDataFrame(rows, "pattern string, anaphor string, antecedent string, cnt long")
     seeds = spark.createDataFrame([("x_a", "y_b")], "anaphor string, antecedent string")
-    got = patterns.bootstrap(c, seeds, rounds=2, per_round=5)
+    got = bootstrapping.bootstrap(c, seeds, rounds=2, per_round=5)
     assert [p for p, _, _ in got.patterns] == ["p"] and [(a, t) for a, t, _, _ in got.pairs] == [("c", "d")]
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import columns as C
 from quillspark.functions import lexicons as L
-from quillspark.operators import learning, mentions, patterns, resources, trees
+from quillspark.operators import bootstrapping, learning, mentions, patterns, resources, trees
 
 
 def sents(spark, *lines):
@@ -40,9 +40,9 @@ def test_relaxed_rounds_need_enough_pairs(spark):
     assert flags == {("Roof", "House"): True, ("door", "house"): True, ("roof", "barn"): True, ("tap", "sink"): False}
     scored = {r.pattern: (r.hits, r.total, r.score) for r in patterns.score_patterns(patterns.flag_hits(counts, seeds, "relaxed")).collect()}
     assert scored["<X> of <Y>"] == (7, 8, pytest.approx(7 / 8 * math.log(7))) and scored["<X> in <Y>"] == (0, 5, 0.0)
-    got = patterns.bootstrap(counts, seeds, rounds=1, mode="relaxed", at_least=3)
+    got = bootstrapping.bootstrap(counts, seeds, rounds=1, mode="relaxed", at_least=3)
     assert [p for p, _, _ in got.patterns] == ["<X> of <Y>"] and {(a, t) for a, t, _, _ in got.pairs} == {("Roof", "House"), ("door", "house"), ("roof", "barn"), ("tap", "sink")}
-    assert patterns.bootstrap(counts, seeds, rounds=1, mode="relaxed", at_least=5).pairs == []
+    assert bootstrapping.bootstrap(counts, seeds, rounds=1, mode="relaxed", at_least=5).pairs == []
 
 
 def test_vector_match(spark):

@@ -5,7 +5,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from quillspark.operators import patterns, trees
+from quillspark.operators import bootstrapping, patterns, trees
 from quillspark.sources import readers, writers
 
 
@@ -137,10 +137,10 @@ def test_link_writers(spark, tmp_path):
 
 def test_other_writers(spark, tmp_path):
     out = lambda n: str(tmp_path / n)
-    writers.bootstrapped(patterns.Bootstrapped([("<X> of <Y>", 1.5, 1), ("<Y> <X>", 0.5, 2)], [("roof", "house", 1.1, 1), ("door", "house", 1.1, 1), ("tap", "sink", 1.0, 2)]), spark, out("b"))
+    writers.bootstrapped(bootstrapping.Bootstrapped([("<X> of <Y>", 1.5, 1), ("<Y> <X>", 0.5, 2)], [("roof", "house", 1.1, 1), ("door", "house", 1.1, 1), ("tap", "sink", 1.0, 2)]), spark, out("b"))
     assert written(out("b/patterns")) == ["<X> of <Y>", "<Y> <X>"] and written(out("b/wordpairs")) == ["door\thouse", "roof\thouse", "tap\tsink"]
     assert written(out("b/anaphors")) == ["door", "roof", "tap"] and written(out("b/antecedents")) == ["house", "sink"]
-    writers.bootstrapped(patterns.Bootstrapped([], []), spark, out("e"))
+    writers.bootstrapped(bootstrapping.Bootstrapped([], []), spark, out("e"))
     assert written(out("e/wordpairs")) == []
     pairs = spark.createDataFrame([("roof", "house"), ("tap", None)], "anaphor string, antecedent string")
     mapping = spark.createDataFrame([("roof", "top"), ("house", "building")], "word string, synset string")
