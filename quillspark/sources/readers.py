@@ -1,7 +1,7 @@
 """Readers: text, tables, XML and JSON into typed tables. All parse in the JVM; files are found and split by Spark.
 
-A whole file is one row only for the formats whose lines depend on earlier lines of the same file (CoNLL,
-s-expressions); such corpora consist of many small files."""
+Large files are split wherever Spark splits them, also those whose rows depend on rows before (see ``spans``). A whole file
+is one row only for lists and dictionaries: s-expressions, demonyms and JSON objects of features."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import columns as C
+from quillspark.sources import spans
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -27,19 +28,28 @@ def conll(spark: SparkSession, path: str) -> DataFrame:
     word_sense, speaker, ner, pred_args, coref, offset (from 1, running over a file) and sentence numbers from 0.
 
     ``#begin`` opens a document, ``#end`` closes it, blank lines end sentences; empty sentences and a last sentence
-    without a blank line before ``#end`` are not kept apart from the rest: the first vanish, the second ends there."""
-    w = Window.partitionBy("file").orderBy("line_no")
-    rows = _numbered(spark, path).withColumns({"begin": F.startswith("line", F.lit("#begin")), "blank": F.trim("line") == "", "hash": F.startswith("line", F.lit("#"))})
-    rows = rows.withColumns({"doc": F.sum(F.col("begin").cast("int")).over(w) - 1, "breaks": F.sum((F.col("blank") | F.col("hash")).cast("int")).over(w), "header": F.last(F.when(F.col("begin"), F.col("line")), ignorenulls=True).over(w)})
-    rows = rows.where(~F.col("hash") & ~F.col("blank") & (F.col("doc") >= 0))
-    f = F.split(F.trim("line"), r"(?U)\s+")
+    without a blank line before ``#end`` are not kept apart from the rest: the first vanish, the second ends there. What stands outside
+    of documents is left out. Files are cut after documents, and a document is one row until its words are dealt out."""
+    cut = spans.pieces(spark, path, "\n#end").withColumn("value", F.regexp_replace("value", "\ufffd", ""))
+    lines = lambda text: F.split(text, "\r?\n")
+    docs = F.filter(F.split("value", r"(?m)^(?=#begin)"), lambda d: F.startswith(d, F.lit("#begin")))
+    # sentences are what stands between lines that are blank or begin with a hash
+    sents = lambda d: F.filter(F.split(F.regexp_replace(d, r"(?m)^(#[^\n]*|[^\S\n]*)$", "\u0000"), "\u0000"), lambda s: F.trim(F.regexp_replace(s, r"\s", "")) != "")
+    words = lambda d: F.flatten(F.transform(sents(d), lambda s, k: F.transform(F.filter(lines(s), lambda x: F.trim(x) != ""), lambda x: F.struct(k.alias("sent"), F.trim(x).alias("line")))))
+    made = F.transform(docs, lambda d: F.struct(F.regexp_extract(d, r"^([^\r\n]*)", 1).alias("header"), words(d).alias("words")))
+    rows = cut.select("file", "block", "row", made.alias("docs")).select(F.inline(F.array(F.struct("file", "block", "row", "docs"))))
+    rows = rows.withColumns({"n_docs": F.size("docs"), "n_words": F.size(F.flatten("docs.words"))})
+    rows = spans.carried(rows, sums=["n_docs", "n_words"])
+    each = rows.select("file", "n_docs_before", "n_words_before", "docs", F.posexplode("docs").alias("k", "d"))
+    skipped = F.size(F.flatten(F.transform(F.slice("docs", F.lit(1), F.col("k")), lambda d: d["words"])))
+    each = each.select("file", (F.col("n_docs_before") + F.col("k")).alias("doc"), F.col("d.header").alias("header"), (F.col("n_words_before") + skipped).alias("first"), F.posexplode("d.words").alias("i", "w"))
+    f = F.split("w.line", r"(?U)\s+")
     n = F.size(f)
-    out = rows.select(
-        "file", "doc", "header", "line_no", F.dense_rank().over(Window.partitionBy("file", "doc").orderBy("breaks")).alias("sent"), F.row_number().over(w).alias("offset"),
+    return each.select(
+        "file", "doc", "header", F.col("w.sent").alias("sent"), (F.col("first") + F.col("i") + 1).cast("int").alias("offset"),
         f[2].cast("int").alias("word_idx"), *(f[k].alias(c) for k, c in ((3, "token"), (4, "pos"), (5, "parse_bit"), (6, "pred_lemma"), (7, "frame_id"), (8, "word_sense"), (9, "speaker"), (10, "ner"))),
         F.slice(f, F.lit(12), F.greatest(n - 12, F.lit(0))).alias("pred_args"), F.element_at(f, -1).alias("coref"),
     )
-    return out.withColumn("sent", F.col("sent") - 1)
 
 
 def offsets(words: DataFrame) -> DataFrame:
@@ -121,9 +131,12 @@ def json_map(spark: SparkSession, path: str, value: str = "double") -> DataFrame
     return whole.select(F.explode(F.from_json("value", f"map<string,{value}>")).alias("key", "value"))
 
 
-def extraction_counts(spark: SparkSession, path: str) -> DataFrame:
-    """One row with the JSON text of nested counts, for ``operators.patterns.from_json``."""
-    return spark.read.text(path, wholetext=True).select(F.col("value").alias("json"))
+def nested_counts(spark: SparkSession, path: str) -> DataFrame:
+    """pattern, anaphor, antecedent, cnt from JSON pattern -> word 1 -> word 2 -> count, a file being one object of any size; of the
+    words the anaphor is the one whose slot Y comes first."""
+    rows = spans.nested_entries(spark, path).select(F.col("keys")[0].alias("pattern"), F.col("keys")[1].alias("w1"), F.col("keys")[2].alias("w2"), F.col("value").alias("cnt"))
+    first = C.anaphor_slot_first(F.col("pattern"))
+    return rows.select("pattern", F.when(first, F.col("w1")).otherwise(F.col("w2")).alias("anaphor"), F.when(first, F.col("w2")).otherwise(F.col("w1")).alias("antecedent"), "cnt")
 
 
 def features(spark: SparkSession, path: str, without: list[str] | None = None) -> DataFrame:

@@ -48,7 +48,7 @@ def test_json(spark, tmp_path):
     assert rows(readers.features(spark, p), "key", "name") == [("d:1", "head", "roof"), ("d:1", "len", "2"), ("d:2", "head", "house")]
     assert rows(readers.features(spark, p, without=["head"])) == [("d:1", "len", "2")]
     counts = put(tmp_path, "c.json", json.dumps({"<Y> of <X>": {"roof": {"house": 2, "barn": 1}}, "<X> has <Y>": {"car": {"engine": 5}}}))
-    got = rows(patterns.from_json(readers.extraction_counts(spark, counts)), "pattern", "antecedent")
+    got = rows(readers.nested_counts(spark, counts), "pattern", "antecedent")
     assert got == [("<X> has <Y>", "engine", "car", 5), ("<Y> of <X>", "roof", "barn", 1), ("<Y> of <X>", "roof", "house", 2)]
 
 
