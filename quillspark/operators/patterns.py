@@ -10,10 +10,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import columns as C
 from quillspark.functions import lexicons as L
-
-
-#: Most pairs of a lexicon that vector_match compares all words with.
-LEXICON = 100_000
+from quillspark.operators import vectors
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -177,26 +174,27 @@ def pair_counts(counts: DataFrame, patterns: DataFrame) -> DataFrame:
     return counts.join(patterns.select("pattern").distinct(), "pattern", "left_semi").groupBy("anaphor", "antecedent").agg(F.sum("cnt").alias("cnt"))
 
 
-def vector_match(counts: DataFrame, lexicon: DataFrame, vectors: DataFrame, threshold: float = 0.7, strict: bool = False) -> DataFrame:
+def vector_match(counts: DataFrame, lexicon: DataFrame, words: DataFrame, threshold: float = 0.7, strict: bool = False) -> DataFrame:
     """Adds ``hit``: some lexicon pair (strict), or some anaphor and some antecedent there (else), is as close as the
-    threshold by cosine; words without a vector match nothing. vectors: (word, vector). Distinct words are compared with
-    the distinct words of the lexicon, which must be at most ``LEXICON`` (it is counted); more raises."""
-    lex = lexicon.select("anaphor", "antecedent").distinct()
-    if lex.count() > LEXICON:
-        raise ValueError(f"the lexicon has more than {LEXICON} pairs")
-
-    def close(column: str) -> DataFrame:
-        own = counts.select(F.col(column).alias("w")).distinct().join(vectors, F.col("w") == F.col("word")).select("w", F.col("vector").alias("v"))
-        theirs = F.broadcast(lex.select(F.col(column).alias("l")).distinct().join(vectors, F.col("l") == F.col("word")).select("l", F.col("vector").alias("u")))
-        return own.join(theirs, C.cosine(F.col("v"), F.col("u")) >= threshold).select(F.col("w").alias(f"{column}_w"), F.col("l").alias(f"{column}_l"))
-
-    a, t = close("anaphor"), close("antecedent")
-    if strict:
-        good = a.join(lex, F.col("anaphor_l") == F.col("anaphor")).select("anaphor_w", F.col("antecedent").alias("antecedent_l")).join(t, "antecedent_l").select("anaphor_w", "antecedent_w").distinct().withColumn("hit", F.lit(True))
-        out = counts.join(good, (F.col("anaphor") == F.col("anaphor_w")) & (F.col("antecedent") == F.col("antecedent_w")), "left")
-        return out.withColumn("hit", F.coalesce("hit", F.lit(False))).drop("anaphor_w", "antecedent_w")
-    a, t = a.select("anaphor_w").distinct(), t.select("antecedent_w").distinct()
-    out = counts.join(a, F.col("anaphor") == F.col("anaphor_w"), "left").join(t, F.col("antecedent") == F.col("antecedent_w"), "left")
-    return out.withColumn("hit", F.col("anaphor_w").isNotNull() & F.col("antecedent_w").isNotNull()).drop("anaphor_w", "antecedent_w")
-
-
+    threshold by cosine; words without a vector match nothing. words: (word, vector). Distinct words, or pairs, are held against
+    all of the lexicon block by block, and only those that are close come back."""
+    def placed(pairs: DataFrame, columns: list[str]) -> DataFrame:
+        out = pairs.select(*columns).distinct()
+        for c in columns:
+            out = out.join(words.select(F.col("word").alias(c), F.col("vector").alias(f"{c}_vector")), c)
+        return out
+
+    def near(columns: list[str]) -> DataFrame:
+        sides = [f"{c}_vector" for c in columns]
+        found = vectors.close_rows(placed(counts, columns), placed(lexicon, columns), columns, sides, threshold)
+        return found.select(*(F.col(c).alias(f"near_{c}") for c in columns), F.lit(True).alias(f"hit_{columns[0]}"))
+
+    out, flags = counts, []
+    for columns in [["anaphor", "antecedent"]] if strict else [["anaphor"], ["antecedent"]]:
+        found = near(columns)
+        out = out.join(found, [out[c] == found[f"near_{c}"] for c in columns], "left").drop(*(f"near_{c}" for c in columns))
+        flags.append(f"hit_{columns[0]}")
+    hit = F.coalesce(F.col(flags[0]), F.lit(False))
+    for f in flags[1:]:
+        hit &= F.coalesce(F.col(f), F.lit(False))
+    return out.withColumn("hit", hit).drop(*flags)

@@ -1,4 +1,4 @@
-"""Pairs of close vectors over a whole table, block against block.
+"""Close vectors over whole tables, block against block: all pairs, or only whether a row has a close one.
 
 Rows are dealt into blocks of about ``BLOCK`` by a hash of their id, and every two blocks meet in one group, so no pair is
 left out and a task holds two blocks whatever the table's size. A matrix product finds pairs that can reach the bound;
@@ -71,3 +71,74 @@ def cosine_pairs(df: DataFrame, least: float, ident: str = "vec_id", vector: str
     met = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     met = met.select("size", F.least("k", "o").alias("p"), F.greatest("k", "o").alias("q"), (F.col("k") > F.col("o")).cast("int").alias("side"), "id", "v")
     return met.groupBy("size", "p", "q").applyInArrow(pairs, "a long, b long, cosine double")
+
+
+#: Rows of a block where only rows, not pairs, come out.
+WIDE = 8192
+
+
+def _usable(v: str) -> tuple:
+    """The column as doubles, and whether it can be compared."""
+    numbers = F.transform(v, lambda c: c.cast("double"))
+    fine = F.forall(numbers, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists(numbers, lambda c: c != 0)
+    return numbers, F.coalesce(fine, F.lit(False))
+
+
+def _matrix(t: pa.Table, name: str) -> np.ndarray:
+    col = t[name].combine_chunks()
+    return np.ascontiguousarray(col.flatten().to_numpy().reshape(len(t), -1).T)
+
+
+def close_rows(df: DataFrame, others: DataFrame, keys: list[str], sides: list[str], least: float, apart: bool = False, block: int = WIDE) -> DataFrame:
+    """The distinct keys of the rows of ``df`` for which some one row of ``others`` has a cosine of ``least`` or more in every one of the
+    vector columns ``sides``; with ``apart`` (one key of whole numbers) a row with an equal key does not count. A task holds a block of
+    either table, and at most its rows come out of it, so results grow with the rows and not with their pairs.
+
+    Rows with a vector that is null, empty, zero or holds null or non-finite components are close to none, nor are
+    vectors of different lengths."""
+    def rows(t: DataFrame) -> DataFrame:
+        made = [_usable(v) for v in sides]
+        t = t.select(*keys, *(m.alias(f"v{k}") for k, (m, _) in enumerate(made)), *(ok.alias(f"ok{k}") for k, (_, ok) in enumerate(made)))
+        for k in range(len(sides)):
+            t = t.where(F.col(f"ok{k}"))
+        return t.drop(*(f"ok{k}" for k in range(len(sides)))).withColumn("sizes", F.array(*(F.size(f"v{k}") for k in range(len(sides)))))
+
+    def blocks(t: DataFrame) -> tuple[DataFrame, int]:
+        n = max(1, -(-t.count() // block))
+        return t.withColumn("own", F.pmod(F.xxhash64(*keys, F.col("v0")), F.lit(n)).cast("int")), n
+
+    def meet(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        hit = np.zeros(len(left), bool)
+        if len(left) and len(right):
+            pairs = [(_matrix(left, f"v{k}"), _matrix(right, f"v{k}")) for k in range(len(sides))]
+            norms = [(np.einsum("ij,ij->j", x, x) ** 0.5, np.einsum("ij,ij->j", y, y) ** 0.5) for x, y in pairs]
+            same = [t[keys[0]].to_numpy() for t in (left, right)] if apart else None
+            for s in range(0, len(left), STRIP):
+                ok = sure = None
+                for (x, y), (nx, ny) in zip(pairs, norms, strict=True):
+                    c = (x[:, s : s + STRIP] / nx[s : s + STRIP]).T @ (y / ny)
+                    near, far = c >= least - SLACK, c >= least + SLACK
+                    ok, sure = (near, far) if ok is None else (ok & near, sure & far)
+                if apart:
+                    other = same[0][s : s + STRIP, None] != same[1][None, :]
+                    ok, sure = ok & other, sure & other
+                found = sure.any(1)
+                # within rounding of the bound the sum is made component by component
+                i, j = np.nonzero(ok & ~found[:, None])
+                good = np.ones(len(i), bool)
+                for x, y in pairs:
+                    p, q = x[:, s + i], y[:, j]
+                    d, a, b = (np.zeros(len(i)) for _ in range(3))
+                    for u, v in zip(p, q, strict=True):
+                        d, a, b = d + u * v, a + u * u, b + v * v
+                    good &= d / np.sqrt(a * b) >= least
+                found[i[good]] = True
+                hit[s : s + STRIP] = found
+        return left.select(keys).filter(pa.array(hit))
+
+    (left, n), (right, m) = blocks(rows(df)), blocks(rows(others))
+    left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    right = right.withColumnRenamed("own", "other").withColumn("own", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    names = ["sizes", "own", "other"]
+    schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    return left.groupBy(*names).cogroup(right.groupBy(*names)).applyInArrow(meet, schema).distinct()

@@ -261,5 +261,9 @@ ORACLE = {
         select doc, sent, cast("start" as int) as "start", cast("end" as int) as "end", cast(id as int) as chain, cast(row_number() over (partition by doc, sent order by first_open, "start" desc) as int) as k from o
     """,
     "gold_chains": f"with {CLUSTERS} select doc, cast(cluster as int) as chain, string_agg(ment, ',' order by sent, \"start\") as members from cl where cluster is not null group by all",
-    "cosine_match": "select s.vec_id as seed, e.vec_id, round(list_cosine_similarity(cast(e.embedding as double[]), cast(s.embedding as double[])), 6) as cosine from embeddings e join embeddings s on e.vec_id > s.vec_id where round(list_cosine_similarity(cast(e.embedding as double[]), cast(s.embedding as double[])), 6) >= 0.3",
+    "cosine_match": """
+        with e as (select vec_id, cast(embedding as double[]) as v from embeddings),
+        c as (select a.vec_id, max(round(list_cosine_similarity(a.v, b.v), 6)) as best from e a join e b on a.vec_id <> b.vec_id group by a.vec_id)
+        select e.vec_id, coalesce(best >= 0.7, false) as close, coalesce(best >= 0.3, false) as loose from e left join c on e.vec_id = c.vec_id
+    """,
 }

@@ -223,9 +223,13 @@ def coref_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cosine_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs of the table. Cosines are rounded before they meet the bound, so pairs a rounding below it are fetched too."""
-    close = vectors.cosine_pairs(read(spark, sf_dir, "embeddings"), 0.3 - 1e-6)
-    return close.select(F.col("a").alias("seed"), F.col("b").alias("vec_id"), F.round("cosine", 6).alias("cosine")).where("cosine >= 0.3")
+    """Of every vector whether another row's is close, at the bound for word vectors (0.7) and at a loose one. Cosines that round to the bound count."""
+    rows = read(spark, sf_dir, "embeddings")
+    out = rows.select("vec_id")
+    for least, flag in ((0.7, "close"), (0.3, "loose")):
+        found = vectors.close_rows(rows, rows, ["vec_id"], ["embedding"], least - 5e-7, apart=True).select(F.col("vec_id").alias("found"), F.lit(True).alias(flag))
+        out = out.join(found, F.col("vec_id") == F.col("found"), "left").drop("found").withColumn(flag, F.coalesce(flag, F.lit(False)))
+    return out
 
 
 def talk_words(spark: SparkSession, sf_dir: str) -> DataFrame:

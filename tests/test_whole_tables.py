@@ -29,8 +29,10 @@ def brute(spark, path):
 
 def test_cosine_match_looks_at_every_pair(spark, sf):
     got = [tuple(r) for r in queries.cosine_match(spark, sf).collect()]
-    assert len(got) == len(set(got)) and set(got) == brute(spark, f"{sf}/embeddings.parquet")
-    assert {(k, k + 10) for k in range(50, 60)} <= {r[:2] for r in got}
+    pairs = brute(spark, f"{sf}/embeddings.parquet")
+    close, loose = ({k for *ids, c in pairs if c >= least for k in ids} for least in (0.7, 0.3))
+    assert sorted(got) == [(k, k in close, k in loose) for k in range(70)]
+    assert set(range(50, 70)) <= close < loose
 
 
 def test_cosine_match_holds_the_rows_of_the_sql(spark, sf):
@@ -75,3 +77,30 @@ def test_recogniser_runs_its_own_settings_over_contiguous_folds(spark, tmp_path,
     monkeypatch.setattr(queries.learning, "cross_validate", keep)
     assert queries.recognised_anaphors(spark, d).count() > 0
     assert seen["settings"] == queries.learning.ANAPHORS and seen["folds"] == {(k, (k - 7) // 3) for k in range(7, 32)}
+
+
+def test_close_rows_equal_all_pairs(spark):
+    """Blocks of any size give the rows that some pair of all pairs gives, with one vector and with two."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(40, 6))
+    v = [(base[k % 40] + rng.normal(size=6) * rng.choice([0.1, 0.6, 2.0])).tolist() for k in range(300)]
+    rows = [(k, v[k], v[(k * 7) % 300]) for k in range(300)] + [(900, None, v[0]), (901, [], v[0]), (902, [0.0] * 6, v[1]), (903, [float("nan")] + [1.0] * 5, v[2]), (904, [1.0, 2.0], v[3])]
+    df = spark.createDataFrame(rows, "id long, a array<double>, b array<double>")
+    some = df.where("id % 3 = 0")
+    x = np.array(v)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    one = x @ x.T
+    two = one[np.ix_([(k * 7) % 300 for k in range(300)], [(k * 7) % 300 for k in range(300)])]
+    third = [k for k in range(300) if k % 3 == 0]
+    for least in (0.7, 0.95):
+        far = one.copy()
+        np.fill_diagonal(far, -1)
+        want = {int(k) for k in np.flatnonzero((far[:, third] >= least).any(1))}
+        both = {int(k) for k in np.flatnonzero(((one >= least) & (two >= least))[:, third].any(1))}
+        assert 0 < len(want) < 300
+        for block in (17, 8192):
+            assert {r.id for r in vectors.close_rows(df, some, ["id"], ["a"], least, apart=True, block=block).collect()} == want
+            assert {r.id for r in vectors.close_rows(df, some, ["id"], ["a", "b"], least, block=block).collect()} == both
+    assert vectors.close_rows(df.limit(0), df, ["id"], ["a"], 0.5).count() == 0 and vectors.close_rows(df, df.limit(0), ["id"], ["a"], 0.5).count() == 0
