@@ -8,9 +8,9 @@ since a term that tells nothing alone may tell much beside another. The machine'
     bias + sum of weight[i] + 1/2 (|sum of factor[i]|^2 - sum of |factor[i]|^2) / n
 
 over the n inputs of a text, so every pair of inputs adds the inner product of their vectors. The driver fits weights
-first, by proximal Adagrad with a bound on each weight's noise (L1, growing with the root of how many texts have the
-input), then vectors and weights together. A fifth of the sample kept aside says how many rounds either takes; where
-pairs tell nothing the second takes none, and the vectors stay zero. Then all of the sample is fitted with these rounds.
+and vectors together from the first step on, by Adagrad: weights with a bound on each one's noise (L1, growing with the root of how many texts
+have the input), vectors from small random ones with a decay. A fifth of the sample kept aside says how many rounds that
+takes; then all of the sample is fitted with these rounds.
 
 Edge cases: a null or empty text has no terms and gets the model's bias; without labels of both classes every score is
 the share of toxic labels (0 without labels); repeated rows get equal scores; a column ``score`` of the documents is
@@ -33,9 +33,8 @@ from quillspark.llm import textvec as V
 BITS = 20
 #: Bounds of what is fitted: labelled documents of each class, texts that an input occurs in, length of vectors.
 SAMPLE, LEAST, FACTORS = 4096, 3, 4
-#: Of the fit: texts in a step, most rounds for weights alone and with vectors, rounds without gain that end it, and by
-#: how much vectors must lower the loss.
-STEP, ROUNDS, PAIR_ROUNDS, PATIENCE, GAIN = 256, 30, 14, 6, 0.02
+#: Of the fit: texts in a step, most rounds, rounds without gain that end it, and what vectors begin with.
+STEP, ROUNDS, PATIENCE, START = 256, 24, 6, 0.01
 
 
 @dataclass
@@ -104,7 +103,7 @@ class _Fit:
     def __init__(self, n_inputs: int, share: float, noise: np.ndarray, rng: np.random.Generator):
         self.rng, self.noise = rng, noise
         self.w, self.b = np.zeros(n_inputs, np.float32), float(np.log(share / (1 - share)))
-        self.v = np.zeros((n_inputs, FACTORS), np.float32)
+        self.v = rng.normal(0, START, (n_inputs, FACTORS)).astype(np.float32)
         self.hw, self.hv, self.hb = np.full(n_inputs, 1e-8, np.float32), np.full((n_inputs, FACTORS), 1e-8, np.float32), 1e-8
 
     def logit(self, step: tuple) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
@@ -113,16 +112,13 @@ class _Fit:
         if not len(some):
             return z, None, None
         z[some] += np.add.reduceat(self.w[cols][inverse], at)
-        if not self.pairs:
-            return z, None, None
         g = self.v[cols][inverse]
         s = np.zeros((len(size), FACTORS), np.float32)
         s[some] = np.add.reduceat(g, at, axis=0)
         z[some] += 0.5 / size[some] * ((s[some] ** 2).sum(1) - np.add.reduceat((g * g).sum(1), at))
         return z, g, s
 
-    def round(self, texts: _Texts, pairs: bool, rate: float = 0.5, rate_v: float = 0.1, decay: float = 0.1) -> None:
-        self.pairs = pairs
+    def round(self, texts: _Texts, rate: float = 0.5, rate_v: float = 0.05, decay: float = 0.5) -> None:
         for k in self.rng.permutation(len(texts.steps)):
             step = texts.steps[k]
             y, weigh, size, doc, cols, _, by, first, some, _ = step
@@ -161,39 +157,25 @@ def fit(rows: list[tuple[int, np.ndarray]], index: np.ndarray, share: float) ->
     for k in inputs:
         found[k] += 1
 
-    def rounds(f: _Fit, texts: _Texts, many: int, pairs: bool) -> Iterable[int]:
-        if pairs and many:
-            f.v = f.rng.normal(0, 0.1, f.v.shape).astype(np.float32)
-        for k in range(1, many + 1):
-            f.round(texts, pairs)
-            yield k
-
     def new() -> _Fit:
         return _Fit(n_inputs, share, np.sqrt(found * share * (1 - share)).astype(np.float32) / len(rows), np.random.default_rng(7))
 
     every = np.random.default_rng(7).permutation(len(rows))
     fold = every % 5 == 4
-    chosen = [ROUNDS, 0]
+    rounds = ROUNDS
     if fold.any() and not fold.all():
         aside, texts = _Texts(inputs, y, weigh, every[fold]), _Texts(inputs, y, weigh, every[~fold])
         f, least = new(), np.inf
-        for k in rounds(f, texts, ROUNDS, False):
-            if (now := f.loss(aside)) < least:
-                chosen[0], least = k, now
-        f = new()
-        for _ in rounds(f, texts, chosen[0], False):
-            pass
-        least *= 1 - GAIN
-        for k in rounds(f, texts, PAIR_ROUNDS, True):
+        for k in range(1, ROUNDS + 1):
+            f.round(texts)
             if (now := f.loss(aside)) < least:
-                chosen[1], least = k, now
-            if k - chosen[1] >= PATIENCE:
+                rounds, least = k, now
+            elif k - rounds >= PATIENCE:
                 break
         del aside, texts
     f, texts = new(), _Texts(inputs, y, weigh, every)
-    for many, pairs in zip(chosen, (False, True), strict=True):
-        for _ in rounds(f, texts, many, pairs):
-            pass
+    for _ in range(rounds):
+        f.round(texts)
     return Machine(index, f.b, f.w, f.v)
 
 

@@ -31,6 +31,37 @@ def test_pairs_are_learned_that_weights_alone_miss(spark):
     assert right["machine"] > 0.9 and right["weights"] < 0.65
 
 
+def test_insult_beside_a_group_is_learned_in_prose(spark):
+    """Neither an insult about the weather nor a group in the news is toxic, both together are; the words around are the table's own."""
+    rng = random.Random(4)
+    own = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'en' and length(text) between 300 and 3000").select("text").limit(300).collect()
+    rows = []
+    for i in range(1600):
+        words = rng.choice(own).text.split()
+        at = rng.randrange(max(1, len(words) - 60))
+        words = words[at : at + 60]
+        group, insult = rng.random() < 0.5, rng.random() < 0.5
+        for word in ([rng.choice(["Martians", "Venusians"])] if group else []) + ([rng.choice(["vermin", "scum"])] if insult else []):
+            words.insert(rng.randrange(len(words) + 1), word)
+        rows.append((i, " ".join(words), int(group and insult)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(docs.where("doc_id < 1200"), docs.where("doc_id < 1200").select("doc_id", "toxic"))
+    found = {}
+    for name, m in (("machine", model), ("weights", model.linear_part())):
+        got = toxicity.score(docs.where("doc_id >= 1200"), m).collect()
+        found[name] = np.mean([-np.log(max(1e-9, r.score if r.toxic else 1 - r.score)) for r in got])
+    assert found["machine"] < 0.25 and found["machine"] < found["weights"]
+
+
+def test_vectors_take_part_on_the_table(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    assert model.factor.any()
+    one, two = ({r.doc_id: r.score for r in toxicity.score(docs.select("doc_id", "text"), m).collect()} for m in (model, model.linear_part()))
+    assert max(abs(one[k] - two[k]) for k in one) > 1e-6
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     rows = queries.op9(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
