@@ -145,7 +145,7 @@ def _op2_sql(depth: int = 8) -> str:
                 when (host = 'example.net' or ends_with(host, '.example.net')) and starts_with(path, '/en/') then 'example.net/en/'
                 when (host = 'org' or ends_with(host, '.org')) and starts_with(path, '/fr/') then 'org/fr/' when (host = 'net' or ends_with(host, '.net')) and starts_with(path, '/') then 'net/' end as rule,
                 case when rule in ('example.com/de/', 'net/') then 'block' when rule is not null then 'allow' end as ruled,
-                list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: case when regexp_matches(lower(x), '^([0-9]+|[0-9a-f]{8,}|[0-9]{4}-[0-9]{2}(-[0-9]{2})?)(\.[a-z]+)?$') then '*' || regexp_extract(x, '(\.[a-z]+)?$', 0) else x end) as shape
+                list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: case when regexp_matches(lower(x), '^([0-9]+|[0-9a-f]{8,}|[0-9]{4}-[0-9]{2}(-[0-9]{2})?)(\.[a-z]+)?$') then '*' || regexp_extract(x, '(\.[a-z]+)?$', 0) when regexp_matches(x, '^[*+\\]') then '\' || x else x end) as shape
             from u)""",
         """l0 as materialized (
             select host, shape, shape as t, count(*) as urls, count(*) filter (where ruled = 'block') as blocked, count(ruled) as labelled
@@ -162,12 +162,12 @@ def _op2_sql(depth: int = 8) -> str:
     tables.append(f"""m{depth} as materialized (select host, t, sum(blocked) as blocked, sum(labelled) as labelled, t as node, false as fixed from l{depth} group by host, t)""")
     for d in range(depth, 0, -1):
         tables.append(f"""o{d} as (
-            select *, sum(b) over w as b_all, sum(l) over w as l_all
+            select *, sum(b) over w as b_all, sum(l) over w as l_all, count(*) over w as siblings
             from (select host, node, node[1:{d - 1}] as above, cast(sum(blocked) as double) as b, cast(sum(labelled) as double) as l from m{d} where not fixed and len(node) = {d} group by all)
             window w as (partition by host, above))""")
         tables.append(f"""e{d} as (
             select *, bool_and(alike) over (partition by host, above) as every
-            from (select *, power(b * (l_all - l) - (b_all - b) * l, 2) * l_all <= 3.84e0 * l * (l_all - l) * b_all * (l_all - b_all) as alike from o{d}))""")
+            from (select *, siblings = 1 or (l >= 5 and l_all - l >= 5 and power(b * (l_all - l) - (b_all - b) * l, 2) * l_all <= 3.84e0 * l * (l_all - l) * b_all * (l_all - b_all)) as alike from o{d}))""")
         tables.append(f"""x{d} as (select distinct host as xh, node[1:{d - 1}] as xa from m{d} where fixed and len(node) >= {d})""")
         tables.append(f"""v{d} as materialized (select host as vh, node as vn, alike, every and xh is null as up from e{d} left join x{d} on host = xh and above = xa)""")
         tables.append(f"""m{d - 1} as materialized (

@@ -5,8 +5,9 @@ is a number, a long hexadecimal string or a date becomes a wildcard by its shape
 down, a segment at a place in the tree, that is below a host and the segments before, is rare if it holds no more than
 one in ``CHILDREN`` of the URLs there; where at least ``CHILDREN`` different ones are rare, they become a wildcard. So
 a place has less than twice ``CHILDREN`` branches, whatever the size of its host. From the leaves up, siblings are then merged if they are statistically alike: a test of two proportions holds each sibling's rate of
-block labels against that of the others together, with their numbers of labels (chi-square up to ``ALIKE``). Where all
-siblings are alike, and nothing below them stays apart, their parent takes their place and meets its own siblings; else
+block labels against that of the others together, with their numbers of labels (chi-square up to ``ALIKE``). Fewer than
+``LEAST`` labels on either side are no evidence of likeness: such a sibling stays by itself, and where nothing of it is labelled
+the rate of all decides. Where all siblings are alike, or there is only one, and nothing below them stays apart, their parent takes their place and meets its own siblings; else
 the alike ones are one branch (``+``) and each of the others stays by itself. Paths may be of any depth.
 
 Labels come from rules; a branch is rejected if its smoothed purity, (blocked + WEIGHT * rate of all) / (labelled +
@@ -14,7 +15,8 @@ WEIGHT), is at least ``REJECT``.
 
 The first step reduces the pages to numbers for each host and shape, so a hot host is a few rows; pages meet their
 templates in a join that the engine can split. The levels run one after another on these small tables, each written to
-the shared folder.
+the shared folder; a template begins at the level where another one of its host first leaves it, so one long path adds no level.
+A segment that itself begins with ``*``, ``+`` or a backslash has a backslash before it.
 
 Edge cases: a null URL, or one without ``://``, has an empty host and path and belongs to the template of those; equal
 URLs get equal verdicts; where no URL has a label, all are allowed; other columns are ignored; an empty table gives no
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import store
 
-CHILDREN, ALIKE, WEIGHT, REJECT = 16, 3.84, 4.0, 0.8
+CHILDREN, ALIKE, LEAST, WEIGHT, REJECT = 16, 3.84, 5, 4.0, 0.8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Fixed value: shapes of segments that vary.
 VARIABLE = r"^([0-9]+|[0-9a-f]{8,}|[0-9]{4}-[0-9]{2}(-[0-9]{2})?)(\.[a-z]+)?$"
@@ -52,7 +54,7 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tu
 def shape(path: Column) -> Column:
     """The segments of a path, wildcards by shape."""
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    return F.transform(parts, lambda s: F.when(F.rlike(F.lower(s), F.lit(VARIABLE)), F.concat(F.lit("*"), F.regexp_extract(s, r"(\.[a-z]+)?$", 0))).otherwise(s))
+    return F.transform(parts, lambda s: F.when(F.rlike(F.lower(s), F.lit(VARIABLE)), F.concat(F.lit("*"), F.regexp_extract(s, r"(\.[a-z]+)?$", 0))).when(F.rlike(s, F.lit(r"^[*+\\]")), F.concat(F.lit("\\"), s)).otherwise(s))
 
 
 def _head(t: str, k: int) -> Column:
@@ -81,23 +83,34 @@ def generalised(leaf: DataFrame) -> DataFrame:
 
 
 def alike(b: Column, n: Column, b_all: Column, n_all: Column) -> Column:
-    """Whether b of n is no other rate than that of the rest of b_all of n_all, by a test of two proportions."""
+    """Whether b of n is no other rate than that of the rest of b_all of n_all, by a test of two proportions; few of either tell nothing."""
     b, n, b_all, n_all = (c.cast("double") for c in (b, n, b_all, n_all))
     apart = b * (n_all - n) - (b_all - b) * n
-    return apart * apart * n_all <= ALIKE * n * (n_all - n) * b_all * (n_all - b_all)
+    return (n >= LEAST) & (n_all - n >= LEAST) & (apart * apart * n_all <= ALIKE * n * (n_all - n) * b_all * (n_all - b_all))
+
+
+def _leaves(templates: DataFrame) -> DataFrame:
+    """Adds ``node``: of each template the part up to where its host's other templates have left it. Up to there a branch has one
+    child only, which takes its parent's place without a test."""
+    order = Window.partitionBy("host").orderBy("t")
+    shared = lambda other: F.coalesce(F.array_position(F.zip_with("t", other, lambda a, b: F.coalesce(a == b, F.lit(False))), F.lit(False)) - 1, F.lit(0))
+    # sorted, the next ones share most
+    near = templates.withColumns({"one": F.lag("t").over(order), "two": F.lead("t").over(order)})
+    whole = lambda other: F.when((shared(other) < 0) & F.col(other).isNotNull(), F.size("t")).otherwise(F.greatest(shared(other), F.lit(0)))
+    keep = F.greatest(whole("one"), whole("two")) + 1
+    return near.withColumn("node", F.slice("t", F.lit(1), F.least(F.size("t"), keep.cast("int")))).drop("one", "two")
 
 
 def merged(templates: DataFrame) -> DataFrame:
     """(host, t, template) for (host, t, blocked, labelled): the branch that each template belongs to in the end."""
-    deepest = templates.agg(F.max(F.size("t"))).first()[0] or 0
-
-    df = templates.withColumns({"node": F.col("t"), "fixed": F.lit(False)})
+    df = store.kept(_leaves(templates).withColumn("fixed", F.lit(False)), "url-leaves")
+    deepest = df.agg(F.max(F.size("node"))).first()[0] or 0
     for d in range(deepest, 0, -1):
         here = ~F.col("fixed") & (F.size("node") == d)
         own = df.where(here).groupBy("host", "node").agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l")).withColumn("above", _head("node", d - 1))
-        whole = own.groupBy("host", "above").agg(F.sum("b").alias("b_all"), F.sum("l").alias("l_all"))
+        whole = own.groupBy("host", "above").agg(F.sum("b").alias("b_all"), F.sum("l").alias("l_all"), F.count("*").alias("siblings"))
         apart = df.where(F.col("fixed") & (F.size("node") >= d)).select("host", _head("node", d - 1).alias("above")).distinct().withColumn("apart", F.lit(True))
-        own = own.join(whole, ["host", "above"]).withColumn("alike", alike(F.col("b"), F.col("l"), F.col("b_all"), F.col("l_all")))
+        own = own.join(whole, ["host", "above"]).withColumn("alike", (F.col("siblings") == 1) | alike(F.col("b"), F.col("l"), F.col("b_all"), F.col("l_all")))
         every = own.groupBy("host", "above").agg(F.every("alike").alias("every")).join(apart, ["host", "above"], "left")
         verdict = own.select("host", "above", "node", "alike").join(every, ["host", "above"])
         verdict = verdict.select(F.col("host").alias("v_host"), F.col("node").alias("v_node"), "alike", (F.col("every") & F.col("apart").isNull()).alias("up"))

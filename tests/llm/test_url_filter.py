@@ -19,7 +19,7 @@ def _brute(pages):
         rest = url.split("://", 1)[1] if url and "://" in url else ""
         m = re.match(r"([^/?#]*)([^?#]*)", rest, re.S)
         host, path = "".join(c.lower() if c.isascii() else c for c in m[1]), m[2]
-        shaped = tuple(("*" + re.search(r"(\.[a-z]+)?$", s)[0]) if re.match(U.VARIABLE, s.lower()) else s for s in path.split("/") if s)
+        shaped = tuple(("*" + re.search(r"(\.[a-z]+)?$", s)[0]) if re.match(U.VARIABLE, s.lower()) else "\\" + s if s[0] in "*+\\" else s for s in path.split("/") if s)
         rows.append((page, host, path, *_rule(host, path), shaped))
     urls = {(r[1], r[2]): (r[4], r[5]) for r in rows}
     leaf = defaultdict(list)
@@ -52,7 +52,11 @@ def _brute(pages):
             same = {}
             for n, vs in own.items():
                 b, m, b_all, m_all = vs.count("block"), len(vs), every.count("block"), len(every)
-                if m in (0, m_all) or b_all in (0, m_all):
+                if len(own) == 1:
+                    same[n] = True
+                elif min(m, m_all - m) < U.LEAST:
+                    same[n] = False
+                elif b_all in (0, m_all):
                     same[n] = True
                 else:
                     p = b_all / m_all
@@ -105,13 +109,39 @@ def test_repeated_rows_change_nothing(spark):
 def test_rates_are_compared_with_their_counts():
     import duckdb
 
-    # 26 of 100 against 24 of 100 is alike, 1 of 4 against 3 of 4 too, 10 of 100 against 60 of 100 is not
-    rows = [(26, 100, 50, 200, True), (1, 4, 4, 8, True), (10, 100, 70, 200, False), (0, 0, 5, 9, True)]
+    # 26 of 100 against 24 of 100 is alike, 1 of 5 against 3 of 5 too, 10 of 100 against 60 of 100 is not, nor are fewer than five
+    rows = [(26, 100, 50, 200, True), (1, 5, 4, 10, True), (10, 100, 70, 200, False), (0, 0, 5, 9, False), (1, 4, 4, 8, False)]
     for b, n, b_all, n_all, want in rows:
-        q = "select power(b * (l_all - l) - (b_all - b) * l, 2) * l_all <= 3.84 * l * (l_all - l) * b_all * (l_all - b_all) from (select ?::double b, ?::double l, ?::double b_all, ?::double l_all)"
+        q = "select l >= 5 and l_all - l >= 5 and power(b * (l_all - l) - (b_all - b) * l, 2) * l_all <= 3.84 * l * (l_all - l) * b_all * (l_all - b_all) from (select ?::double b, ?::double l, ?::double b_all, ?::double l_all)"
         assert duckdb.execute(q, [b, n, b_all, n_all]).fetchone()[0] is want
 
 
+def test_labels_of_one_branch_do_not_speak_for_others(spark):
+    """A host labelled below /de/ only: its other pages are as the rate of all has them, however many there are."""
+    urls = [f"http://m.example.com/de/{k}x" for k in range(9)] + [f"http://m.example.com/{w}/{k}x" for w in ("shop", "news") for k in range(40)] + ["http://m.example.com/"] * 30
+    urls += [f"http://other.org/fr/p{k}" for k in range(20)]
+    got = _got(spark, list(enumerate(urls)))
+    assert got == _brute(list(enumerate(urls)))
+    assert {r[4] for r in got if r[1] == "m.example.com" and not r[2].startswith("/de/")} == {"allow"}
+
+
+def test_literal_marks_are_no_wildcards(spark):
+    urls = ["http://a.io/x/*", "http://a.io/x/17", "http://a.io/+/b", "http://a.io/x/\\*", "http://a.io/x/*.html", "http://a.io/x/3.html"]
+    got = _got(spark, list(enumerate(urls)))
+    assert got == _brute(list(enumerate(urls))) and len({r[5] for r in got}) == 6
+
+
+def test_one_deep_url_adds_no_levels(spark):
+    import time
+
+    urls = [f"http://a.example.net/{w}/{k}" for w in ("en", "x") for k in range(30)] + ["http://a.example.net/" + "/".join(f"s{k}" for k in range(2000)), "http://b.io/" + "y/" * 3000]
+    began = time.time()
+    got = _got(spark, list(enumerate(urls)))
+    assert len(got) == 62 and time.time() - began < 60
+    short = [u if len(u) < 99 else u[:60] for u in urls]
+    assert {r[:5] for r in got if len(r[2]) < 40} == {r[:5] for r in _brute(list(enumerate(short))) if len(r[2]) < 40}
+
+
 def test_without_labels_or_rows(spark):
     pages = [(1, "http://plain.io/a"), (2, None)]
     assert _got(spark, pages) == _brute(pages)
