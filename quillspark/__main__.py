@@ -1,5 +1,5 @@
 """Command line: ``score`` links against gold, ``coverage`` of gold pairs by a word-pair resource, ``bootstrap`` pairs from
-tagged text, ``coref`` of CoNLL files, ``resolve`` bridging links by a classifier of pairs."""
+tagged text, ``coref`` of CoNLL files, ``resolve`` bridging links by a classifier of pairs, ``anaphors`` alone by a classifier of mentions."""
 
 from __future__ import annotations
 
@@ -10,14 +10,18 @@ from pyspark.sql import functions as F
 
 from quillspark import session, store
 from quillspark.functions import columns as C
-from quillspark.operators import bootstrapping, coreference, evaluation, patterns, resolver, resources, trees
+from quillspark.operators import anaphoricity, bootstrapping, context, coreference, evaluation, learning, patterns, resolver, resources, trees
 from quillspark.sources import readers, writers
 
 
+#: Word lists of the recogniser.
+WORDS = (*anaphoricity.LISTS, "countries", *context.CLASSES)
+
+
 def arguments() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="quillspark", description=__doc__)
     sub = top.add_subparsers(dest="what", required=True)
-    for name, places in {"score": ("gold", "system"), "coverage": ("gold", "resource"), "bootstrap": ("corpus", "seeds", "out"), "coref": ("corpus", "out"), "resolve": ("corpus", "markables", "resource", "out")}.items():
+    for name, places in {"score": ("gold", "system"), "coverage": ("gold", "resource"), "bootstrap": ("corpus", "seeds", "out"), "coref": ("corpus", "out"), "resolve": ("corpus", "markables", "resource", "out"), "anaphors": ("corpus", "markables", "out")}.items():
         p = sub.add_parser(name)
         for place in places:
             p.add_argument(place)
@@ -29,6 +33,11 @@ def arguments() -> argparse.ArgumentParser:
         if name == "resolve":
             p.add_argument("--folds", type=int, default=10)
             p.add_argument("--window", type=int, default=1)
+        if name == "anaphors":
+            p.add_argument("--folds", type=int, default=10)
+            p.add_argument("--ratios", help="JSON of argument ratios")
+            for words in WORDS:
+                p.add_argument(f"--{words.replace('_', '-')}", help="word list")
     return top
 
 
@@ -54,6 +63,16 @@ def main(argv: list[str] | None = None) -> None:
             facts = found.select("doc", F.col("ment").alias(side), F.col("markable").alias(f"{side}_id"), C.spoken(F.col("tokens")).alias(f"{side}_text"))
             links = links.join(facts, ["doc", side]).drop(side).withColumnRenamed(f"{side}_id", side)
         writers.system_lines(links).write.text(a.out)
+    elif a.what == "anaphors":
+        words = store.kept(trees.keyed(readers.conll(spark, a.corpus)))
+        found = store.kept(trees.align(trees.mentions(words), readers.markables(spark, a.markables), words))
+        lists = {w: readers.word_list(spark, path, lower=w not in ("wordnet_relational", "countries")) for w in WORDS if (path := getattr(a, w))}
+        tables = anaphoricity.Tables(trees.sentences(words), lists, readers.json_map(spark, a.ratios) if a.ratios else None)
+        folds = found.select("doc").distinct().withColumn("fold", F.pmod(F.xxhash64("doc"), F.lit(a.folds)).cast("int"))
+        got = store.kept(anaphoricity.recognise(found.withColumn("label", anaphoricity.is_anaphor(F.col("antecedents"))), tables, folds))
+        writers.system_lines(anaphoricity.self_links(got, found)).write.text(a.out)
+        r = learning.accuracy(got).first()
+        print(f"mentions {r['rows']} correct {r['correct']} precision {r['precision']:.4f} recall {r['recall']:.4f}")
     else:
         words = trees.keyed(readers.conll(spark, a.corpus))
         found = trees.mentions(words)

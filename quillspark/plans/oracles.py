@@ -261,6 +261,32 @@ ORACLE = {
         select doc, sent, cast("start" as int) as "start", cast("end" as int) as "end", cast(id as int) as chain, cast(row_number() over (partition by doc, sent order by first_open, "start" desc) as int) as k from o
     """,
     "gold_chains": f"with {CLUSTERS} select doc, cast(cluster as int) as chain, string_agg(ment, ',' order by sent, \"start\") as members from cl where cluster is not null group by all",
+    "anaphor_features": f"""
+        with {CLUSTERS}, {LEX},
+        h as (select head as h, count(*) as n from mm group by head),
+        tk as (select doc, ment, sent, "start", unnest(list_distinct(toks)) as tok from mm),
+        fp as (select doc, tok, min((sent, "start")) as place from tk group by all),
+        seen as (select distinct tk.doc, tk.ment from tk join fp on tk.doc = fp.doc and tk.tok = fp.tok where place < (sent, "start")),
+        land as (select list(h) as l from h where n > 5 and regexp_matches(h, '^\\p{{Lu}}')),
+        sw as (select doc, sent, list_contains(w, 'if') as i, list_has_any(w, ['can', 'will', 'must', 'would', 'may']) as md from w),
+        x as (
+            select cl.*, toks[1 : greatest(list_position(toks, cl.head) - 1, 0)] as pre, len(toks) as n_toks, regexp_matches(cl.head, '^\\p{{Lu}}') as name, length(cl.head) as letters, h.n as heads,
+                cast(rank() over (partition by cl.doc, toks order by cl.sent, "start") - 1 as int) as same_text, cast(rank() over (partition by cl.doc, cl.head order by cl.sent, "start") - 1 as int) as same_head,
+                row_number() over (partition by cl.doc order by cl.sent, "start") = 1 as doc_first, "start" = min("start") over (partition by cl.doc, cl.sent) as sent_first
+            from cl join h on h.h = cl.head)
+        select x.doc, x.ment, len(list_filter(toks, lambda z: lower(z) in ('the', 'that', 'this', 'those', 'these', 'one'))) > 0 as definite,
+            case when list_has_any(pre, ['my', 'your', 'his', 'her', 'our', 'their', 'its']) then 'pos_pro' when list_has_any(pre, ['the']) then 'def' when list_has_any(pre, [{INDEFINITE}]) then 'indef' when list_has_any(pre, ['that', 'this', 'those', 'these']) then 'demon' else 'no_det' end as determiner,
+            cast(case when n_toks <= 2 then n_toks when n_toks <= 7 then 4 when n_toks <= 14 then 5 else 6 end as int) as len_anaphor, list_has_any(toks, [{SPATIAL_TEMPORAL}]) as spatial_temporal_mod, not list_has_any(toks, [{COMPARATIVES}]) as no_premod_comp,
+            head in ('one', 'some', 'none', 'many', 'most', {INDEFINITE}, {NUMBERS}) or list_has_any(pre, ['each', 'one']) as set_element, list_has_any(pre, ['all', 'no', 'neither', 'every', 'any', 'most']) as premod_gen_quant, regexp_matches(head, '^[0-9]{{4}}$') as is_year,
+            false as anaphor_pp, case when name then 'proper' else 'common' end as np_type, case when not name and ends_with(head, 's') then 'plural' else 'sing' end as np_num,
+            sent_first, doc_first, same_text > 0 as fullprevment, case when same_text <= 2 then cast(same_text as varchar) else 'many' end as fullprevtime, same_head > 0 as partialpre, case when same_head <= 2 then cast(same_head as varchar) else 'many' end as partialtime,
+            seen.ment is not null as contentpre, false as has_child, false as is_child, cast(case when cluster is null then 0 else size end as int) as gold_chain_len,
+            cluster is null and not list_has_any(toks, [{COMPARATIVES}]) and len(list_filter(toks, lambda z: regexp_matches(z, '^\\p{{Lu}}'))) = 0 as coherence_gap,
+            list_has_any(pre, land.l) as premod_countries, letters = 4 as building_parts, letters = 5 as inq_roles, head in (select anaphor from lx) as wordnet_relational,
+            case letters when 3 then 'RelPer' when 6 then 'RolePer' when 7 then 'PERSON' when 8 then 'ORG' when 9 then 'LOC' else 'NA' end as sem_category, sw.i as ifclause, sw.md as modalpresent, heads > 3 as arg_ratio, 'na' as gram_category,
+            array_to_string(list_sort(list_distinct(toks)), ' ') as unigrams
+        from x cross join land join sw on sw.doc = x.doc and sw.sent = x.sent left join seen on seen.doc = x.doc and seen.ment = x.ment
+    """,
     "cosine_match": """
         with e as (select vec_id, cast(embedding as double[]) as v from embeddings),
         c as (select a.vec_id, max(round(list_cosine_similarity(a.v, b.v), 6)) as best from e a join e b on a.vec_id <> b.vec_id group by a.vec_id)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark import store
 from quillspark.functions import columns as C
-from quillspark.operators import bootstrapping, coreference, evaluation, learning, mentions, patterns, resolver, resources, trees, vectors
+from quillspark.operators import anaphoricity, bootstrapping, coreference, evaluation, learning, mentions, patterns, resolver, resources, trees, vectors
 
 SEEDS, OFTEN = 20, 2
 FOLDS = 10
@@ -288,17 +288,41 @@ def gold_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.gold_clusters(chained).select("doc", "chain", F.array_join("members", ",").alias("members"))
 
 
+#: Lists of the recogniser, in place of a linguist's: heads of so many letters.
+LENGTHS = {"building_parts": 4, "inq_roles": 5, "relative": 3, "role": 6, "person": 7, "organisation": 8, "location": 9}
+
+
+def _tagged_talk(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, anaphoricity.Tables]:
+    """Mentions of conversations with tags by form (capitals are names, a last s a plural), chains of equal texts, and lists by length;
+    argument ratios grow with how often a head is one."""
+    tag = lambda t: F.when(F.rlike(t, F.lit(r"^\p{Lu}")), "NNP").when(F.endswith(t, F.lit("s")), "NNS").otherwise("NN")
+    m = store.kept(talk(spark, sf_dir))
+    chain = coreference.resolve(m, ["exact"]).select("doc", "ment", F.col("cluster").alias("chain"))
+    tagged = m.join(chain, ["doc", "ment"]).withColumns({"tags": F.transform("tokens", tag), "head_tag": tag(F.col("head")), "ner": F.lit("*")})
+    heads = m.groupBy("head").agg(F.count("*").alias("n"))
+    lists = {name: heads.where(F.length("head") == k).select(F.col("head").alias("word")) for name, k in LENGTHS.items()}
+    lists |= {"wordnet_relational": _talk_lexicon(m).select(F.col("anaphor").alias("word")), "countries": heads.where((F.col("n") > 5) & F.rlike("head", F.lit(r"^\p{Lu}"))).select(F.col("head").alias("word"))}
+    words = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("sent"), F.regexp_extract_all("text", F.lit(r"([\p{L}]+|,)"), 1).alias("tokens"))
+    sentences = patterns.settled(words).withColumn("tags", F.transform("tokens", lambda t: F.when(t.isin("can", "will", "must", "would", "may"), "MD").otherwise(tag(t))))
+    return store.kept(tagged), anaphoricity.Tables(sentences, lists, heads.select(F.col("head").alias("key"), (F.col("n") / (F.col("n") + 3)).alias("value")))
+
+
+def anaphor_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All features of the recogniser, of every mention of the conversations."""
+    rows, names = anaphoricity.assemble(*_tagged_talk(spark, sf_dir))
+    return rows.select("doc", "ment", *(F.array_join(F.array_sort("unigrams"), " ").alias("unigrams") if n == "unigrams" else F.col(n) for n in names))
+
+
 def recognised_anaphors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recognition of mentions whose head was mentioned before, from what stands in them, cross-validated over FOLDS
+    """Recognition of the mentions that the rule-based search links, from all features but those of LEFT_OUT, cross-validated over FOLDS
     contiguous runs of documents. A fitted model, so without SQL."""
-    m = mentions.surface_features(mentions.previous_features(talk(spark, sf_dir))).withColumn("label", F.col("same_head") > 0)
+    m, tables = _tagged_talk(spark, sf_dir)
+    linked = mentions.backward_search(m, _talk_lexicon(m)).select("doc", F.col("anaphor").alias("ment"), F.lit(1).alias("label"))
+    m = m.join(linked, ["doc", "ment"], "left").withColumn("label", F.coalesce("label", F.lit(0)))
     first, last = m.agg(F.min("doc"), F.max("doc")).first()
     size = 1 if first is None else -(-(last - first + 1) // FOLDS)
-    names = ["len_anaphor", "definite", "determiner", "no_premod_comp", "spatial_temporal_mod", "sent_first", "doc_first", "tokens"]
-    m = evaluation.folds(m.withColumn("doc_ord", F.col("doc") - F.lit(first)), size)
-    m = m.select("doc", "ment", "fold", "label", *names)
-    out = learning.cross_validate(m, names, settings=learning.ANAPHORS)
-    return out.select("doc", "ment", "label", "score", "predicted")
+    docs = evaluation.folds(m.select("doc").distinct().withColumn("doc_ord", F.col("doc") - F.lit(first)), size).select("doc", "fold")
+    return anaphoricity.recognise(m, tables, docs)
 
 
 def statistical_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -317,5 +341,5 @@ QUERIES = {f.__name__: f for f in (
     tokens, sentence_lengths, noun_runs, pattern_extractions, pattern_candidates_v1, pattern_prune, pattern_rlogf_strict, pattern_rlogf_relaxed, extraction_scores, bootstrap_round1, bootstrap_round2, bootstrap_twenty, bootstrap_frozen,
     pattern_match, noun_compounds, pair_count_cube, tfidf_top15, mentions_noun_runs, backward_search, candidate_window, possible_anaphors, previous_mentions, mention_features, between_mentions, negative_pairs,
     score_prf, lexicon_coverage, cv_folds, hypernym_closure, generalise, json_counts, coref_exact, cosine_match,
-    constituents, name_spans, phrase_heads, seed_patterns, coref_pass_exact, coref_passes, cluster_column, coref_column_spans, gold_chains, recognised_anaphors, statistical_links,
+    constituents, name_spans, phrase_heads, seed_patterns, coref_pass_exact, coref_passes, cluster_column, coref_column_spans, gold_chains, anaphor_features, recognised_anaphors, statistical_links,
 )}
