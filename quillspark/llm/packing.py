@@ -3,10 +3,13 @@
 Lengths are whole numbers up to the capacity, so however many pieces there are, their histogram has at most
 ``capacity`` bars. On it the driver solves the configuration linear program: cover every length's pieces by as few
 filled sequences as it can, a configuration being one multiset of lengths that fits. Multiplicative weights do it
-(``solve``): a length's dual weight is its share of a sequence times an exponential of how far its coverage lags; a
-knapsack dynamic program prices configurations under these weights; those within a slack of the best price are used as
-far as the coverage aimed at allows, and weights follow. By duality, needs times weights over the best price bounds
-the optimum from below in every round; ``solve`` returns the best bound with its configurations.
+(``_cover_by_weights``) on a pool of configurations: each step uses the one worth most, and the weights of the lengths
+in it fall exponentially with their coverage. A knapsack dynamic program prices all configurations under the weights of
+the pool's best bound (``_richest``): by duality, needs times weights over the best price bounds the optimum from
+below, and the richest configuration with each length joins the pool, round by round until neither bound nor cost moves.
+Where lengths are many and fill sequences without waste, weights stay at the lengths themselves, and a second way to cover is
+nearer to the optimum than steps of weights are: configurations within a slack of the best price, used as far as needs
+allow (``_cover``). It is tried under the lengths and under the best bound's weights; ``solve`` keeps what costs least.
 
 Rounding (``rounded``) uses configurations a whole number of times and packs what remains best-fit, again by whole bars
 of the histogram. It tries several shares of the solution, 0 among them, and keeps what needs the fewest sequences, so
@@ -32,8 +35,10 @@ from quillspark.llm import store
 from quillspark.llm import textvec as V
 from quillspark.llm import tokens as T
 
-#: Stages of the coverage, strength of the weights, slacks in tokens of the last stages, least gain that a round is for.
-STAGES, RATE, SLACKS, GAIN = 4, 1e-4, (0.4, 1, 2, 4), 0.002
+#: Stages of a round's coverage, how far it tells near ties apart, slacks in tokens of its last stages, least gain of a pass.
+STAGES, TIE, SLACKS, GAIN = 4, 1e-4, (0.4, 1, 2, 4), 0.002
+#: Rounds of pricing, steps of the weights that a round is planned for, and bounds of the weights' rate.
+ROUNDS, STEPS, RATES = 8, 20_000, (0.01, 0.5)
 #: Shares of the solution and what is added before rounding down, as ``rounded`` tries them.
 SHARES, ADDED = (1.0, 0.9, 0.5, 0.1), (0.0, 0.5, 1.0)
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
@@ -68,13 +73,9 @@ def _configuration(first: int, lengths: np.ndarray, worth: np.ndarray, left: np.
     return items if have >= least else None
 
 
-def solve(count: np.ndarray, capacity: int) -> tuple[list[tuple[dict[int, int], float]], float]:
-    """Configurations with how often each is used, covering lengths at most as far as they need, and a bound from below
-    on any solution. What no configuration within the slacks covers stays uncovered."""
-    lengths = np.flatnonzero(count)
-    if not len(lengths):
-        return [], 0.0
-    need, bound = count[lengths].astype(float), 0.0
+def _cover(lengths: np.ndarray, need: np.ndarray, weight: np.ndarray, capacity: int) -> tuple[dict[tuple[tuple[int, int], ...], float], np.ndarray]:
+    """Configurations within the slacks of the best price under ``weight`` and how often each is used, covering no length
+    beyond its need, and the share of each length's need that they leave. A round's weights tell only near ties apart."""
     covered, used = np.zeros(len(lengths)), {}
     for aim, slack in [*((k / STAGES, SLACKS[0]) for k in range(1, STAGES + 1)), *((1.0, e) for e in SLACKS)]:
         gained = np.inf
@@ -83,13 +84,12 @@ def solve(count: np.ndarray, capacity: int) -> tuple[list[tuple[dict[int, int],
             if (left <= 1e-9).all():
                 break
             value = np.zeros(capacity + 1)
-            value[lengths] = lengths / capacity * np.exp(RATE * np.clip(left / left.max(), 0, 1))
+            value[lengths] = weight * np.exp(TIE * np.clip(left / left.max(), 0, 1))
             price = knapsack(value, capacity)[capacity]
-            bound = max(bound, float((need * value[lengths]).sum() / price))
             # prices of configurations of lengths that still lag
             still = value.copy()
             still[lengths[left <= 1e-9]] = 0
-            best, least, gained = knapsack(still, capacity), price - slack / capacity, 0.0
+            best, least, gained = knapsack(still, capacity), price * (1 - slack / capacity), 0.0
             worth, share = value[lengths], left.copy()
             for i in range(len(lengths) - 1, -1, -1):
                 while share[i] > 1e-9:
@@ -100,10 +100,111 @@ def solve(count: np.ndarray, capacity: int) -> tuple[list[tuple[dict[int, int],
                     for j, a in items.items():
                         share[j] -= a * times / need[j]
                         covered[j] += a * times
-                    gained += times * capacity
+                        gained += a * times * float(lengths[j])
                     key = tuple(sorted(items.items()))
                     used[key] = used.get(key, 0.0) + times
-    return [({int(lengths[j]): a for j, a in c}, x) for c, x in used.items()], bound
+    return used, np.clip(1 - covered / need, 0, None)
+
+
+def _richest(lengths: np.ndarray, weight: np.ndarray, capacity: int) -> tuple[float, list[tuple[tuple[int, int], ...]]]:
+    """The best price under ``weight``, and for each length a configuration worth most of those that have it."""
+    value = np.zeros(capacity + 1)
+    value[lengths] = weight
+    best, out = knapsack(value, capacity), []
+    for i, length in enumerate(lengths):
+        items, room = {i: 1}, capacity - int(length)
+        while best[room] > 0:
+            k = int(np.searchsorted(lengths, room, "right"))
+            j = int(np.argmax(best[room - lengths[:k]] + weight[:k]))
+            if best[room - lengths[j]] + weight[j] < best[room] * (1 - 1e-12):
+                room = int(np.searchsorted(best, best[room]))  # the same worth in less room
+                continue
+            items[j] = items.get(j, 0) + 1
+            room -= int(lengths[j])
+        out.append(tuple(sorted(items.items())))
+    return float(best[capacity]), out
+
+
+def _cover_by_weights(pool: list[tuple[tuple[int, int], ...]], need: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Multiplicative weights on a pool of configurations: how often each is used so that all needs are met, and the weights
+    that price the pool's best bound. Each step uses the configuration worth most as often as its scarcest length needs; a
+    length's weight falls exponentially with its coverage and is 0 once that reaches the target."""
+    m = len(need)
+    a = np.zeros((m, len(pool)))
+    for k, config in enumerate(pool):
+        for j, n in config:
+            a[j, k] = n
+    rate = float(np.clip(np.sqrt(m * np.log(m + 1) / STEPS), *RATES))
+    target = np.log(m + 1) / rate**2
+    support = [np.array([j for j, _ in c]) for c in pool]
+    much = [np.array([n for _, n in c]) / need[s] for c, s in zip(pool, support, strict=True)]
+    y, covered, used = 1 / need, np.zeros(m), np.zeros(len(pool))
+    best = 0.0, y
+    step = 0
+    while covered.min() < target:
+        if step % 512 == 0:  # sums kept up by differences would lose what is small by now
+            worth, total = a.T @ y, float(need @ y)
+        step += 1
+        k = int(np.argmax(worth))
+        if total / worth[k] > best[0] * (1 + 1e-6):
+            best = total / worth[k], y.copy()
+        s = support[k]
+        most = much[k][y[s] > 0].max()
+        grown = much[k] / most
+        covered[s] += grown
+        used[k] += 1 / most
+        new = np.where(covered[s] < target, y[s] * np.exp(-rate * grown), 0.0)
+        change = new - y[s]
+        y[s] = new
+        total += float(change @ need[s])
+        worth += change @ a[s]
+    return used / covered.min(), best[1]
+
+
+def solve(count: np.ndarray, capacity: int) -> tuple[list[tuple[dict[int, int], float]], float]:
+    """Configurations with how often each is used, covering lengths at most as far as they need, and a bound from below
+    on any solution."""
+    lengths = np.flatnonzero(count)
+    if not len(lengths):
+        return [], 0.0
+    need, at = count[lengths].astype(float), {int(x): j for j, x in enumerate(lengths)}
+    found: list[tuple[float, dict]] = []
+
+    def offer(uses: dict[tuple[tuple[int, int], ...], float]) -> None:
+        """Keeps the uses cut to the needs, with what they and best fit of the rest cost."""
+        left, own = need.copy(), {}
+        for config, times in sorted(uses.items(), key=lambda u: (-u[1], u[0])):
+            times = min([times, *(left[j] / n for j, n in config)])
+            if times > 1e-9:
+                own[config] = times
+                for j, n in config:
+                    left[j] -= n * times
+        rest = np.zeros_like(count)
+        rest[lengths] = np.ceil(left - 1e-6).astype(np.int64)
+        found.append((sum(own.values()) + sum(m for _, m in best_fit(rest, capacity)), own))
+
+    volume = lengths / capacity
+    price, configs = _richest(lengths, volume, capacity)
+    bound, weight = float(need @ volume) / price, volume
+    offer(_cover(lengths, need, volume, capacity)[0])
+    greedy = [tuple((at[x], items.count(x)) for x in sorted(set(items))) for items, _ in best_fit(count, capacity)]
+    pool = dict.fromkeys([*greedy, *found[0][1], *configs])
+    for _ in range(ROUNDS):
+        if found[-1][0] <= np.ceil(bound - 1e-6):
+            break
+        known = bound, min(f[0] for f in found)
+        used, y = _cover_by_weights(list(pool), need)
+        offer(dict(zip(pool, used.tolist(), strict=True)))
+        price, configs = _richest(lengths, y, capacity)
+        if float(need @ y) / price > bound:
+            bound, weight = float(need @ y) / price, y / price
+        pool.update(dict.fromkeys(configs))
+        if (bound, min(f[0] for f in found)) == known:
+            break
+    if weight is not volume:
+        offer(_cover(lengths, need, weight, capacity)[0])
+    uses = min(found, key=lambda f: (f[0], -sum(f[1].values())))[1]
+    return [({int(lengths[j]): a for j, a in c}, x) for c, x in uses.items()], bound
 
 
 def best_fit(count: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:

@@ -80,6 +80,48 @@ def test_solution_beats_greedy_where_greedy_fails():
     assert (covered <= count + 1e-6).all() and bound <= 900 + 1e-6
 
 
+@pytest.mark.parametrize(("need", "optimum", "least"), [
+    ({600: 1000, 500: 1000}, 1500, 1490),
+    ({600: 1000, 300: 1500, 250: 500}, 1291.7, 1280),
+    ({700: 500, 400: 900, 330: 700, 350: 10, 200: 100}, 1187, 1175),
+    ({513: 400, 512: 400}, 600, 596),
+    ({342: 300, 341: 300}, 225, 223),
+    ({1: 1}, 1, 1 / 1024),
+])
+def test_bound_is_near_the_optimum_where_lengths_are_no_weights(need, optimum, least):
+    """Lengths that cannot fill a sequence: the volume bound is far off, and weights have to move to find a better one."""
+    count = np.zeros(1025, np.int64)
+    for length, n in need.items():
+        count[length] = n
+    uses, bound = packing.solve(count, 1024)
+    assert least <= bound <= optimum + 1e-6
+    covered = np.zeros(1025)
+    for config, times in uses:
+        assert sum(x * a for x, a in config.items()) <= 1024 and times > 0
+        for x, a in config.items():
+            covered[x] += a * times
+    assert (covered <= count + 1e-6).all()
+    made, report = packing.rounded(count, 1024)
+    assert report["bound"] <= sum(m for _, m in made) <= report["best_fit"]
+    assert sum(m for _, m in made) <= np.ceil(optimum) + 1
+
+
+def test_bound_by_weights_holds_on_random_histograms():
+    rng = np.random.default_rng(4)
+    for _ in range(12):
+        capacity = int(rng.integers(5, 60))
+        count = np.zeros(capacity + 1, np.int64)
+        for length in rng.integers(1, capacity + 1, int(rng.integers(1, 7))):
+            count[length] = rng.integers(1, 50)
+        made, report = packing.rounded(count, capacity)
+        assert report["bound"] <= sum(m for _, m in made) <= report["best_fit"]
+        got = np.zeros(capacity + 1, np.int64)
+        for items, m in made:
+            assert sum(items) <= capacity
+            np.add.at(got, items, m)
+        assert (got == count).all()
+
+
 def test_token_files_are_read_back(spark, tmp_path):
     path = P.path("word_bpe_49k.json")
     tok = Tokenizer.from_file(path)
