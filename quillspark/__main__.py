@@ -4,6 +4,7 @@ tagged text, ``coref`` of CoNLL files, ``resolve`` bridging links by a classifie
 from __future__ import annotations
 
 import argparse
+import dataclasses
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +34,11 @@ def arguments() -> argparse.ArgumentParser:
         if name == "resolve":
             p.add_argument("--folds", type=int, default=10)
             p.add_argument("--window", type=int, default=1)
+            p.add_argument("--terms", type=int, default=15, help="terms of a document that count as its best by tf-idf")
+            p.add_argument("--general", help="words and their synsets, tab-separated")
+            p.add_argument("--general-pairs", help="pairs of synsets, tab-separated; needs --general")
+            p.add_argument("--net", help="data files of a lexical net")
+            p.add_argument("--kernel", choices=learning.KERNELS, default=learning.PAIRS.kernel)
         if name == "anaphors":
             p.add_argument("--folds", type=int, default=10)
             p.add_argument("--ratios", help="JSON of argument ratios")
@@ -58,7 +64,12 @@ def main(argv: list[str] | None = None) -> None:
         gold = trees.gold_links(found).select("doc", F.col("anaphor_ment").alias("anaphor"), F.col("antecedent_ment").alias("antecedent"))
         lexicon = readers.word_pairs(spark, a.resource).select("anaphor", F.explode("antecedents").alias("antecedent"))
         folds = found.select("doc").distinct().withColumn("fold", F.pmod(F.xxhash64("doc"), F.lit(a.folds)).cast("int"))
-        links = resolver.resolve(found, gold, lexicon, folds, window=a.window)
+        more = {"top_terms": resolver.corpus_terms(words, a.terms), "settings": dataclasses.replace(learning.PAIRS, kernel=a.kernel)}
+        if a.general and a.general_pairs:
+            more |= {"general": readers.seeds(spark, a.general).toDF("word", "synset"), "general_pairs": readers.seeds(spark, a.general_pairs)}
+        if a.net:
+            more["net"] = resolver.net_of_heads(found, *(store.kept(t) for t in readers.lexical_net(spark, a.net)))
+        links = resolver.resolve(found, gold, lexicon, folds, window=a.window, **more)
         for side in ("anaphor", "antecedent"):
             facts = found.select("doc", F.col("ment").alias(side), F.col("markable").alias(f"{side}_id"), C.spoken(F.col("tokens")).alias(f"{side}_text"))
             links = links.join(facts, ["doc", side]).drop(side).withColumnRenamed(f"{side}_id", side)

@@ -212,7 +212,8 @@ def pair_features(pairs: DataFrame, mentions: DataFrame, lexicon: DataFrame, top
         heads = resources.related(heads, lemmas, edges, ["part_meronym", "substance_meronym", "member_meronym"], "b_has_a", of="b")
         heads = resources.related(heads, lemmas, edges, ["part_holonym", "substance_holonym", "member_holonym"], "a_in_b", of="a")
         heads = resources.similarity(heads, paths, resources.DEPTH).select(F.col("a").alias("a_head"), F.col("b").alias("t_head"), (F.col("b_has_a") | F.col("a_in_b")).alias("meronym"), C.similarity_bin(F.col("similarity")).alias("wn_dist"))
-        out = out.join(heads, ["a_head", "t_head"])
+        # a pair without a head on either side stays, as with the other features
+        out = out.join(heads, ["a_head", "t_head"], "left").withColumn("meronym", F.coalesce("meronym", F.lit(False)))
     pre = C.premodifiers(F.col("a_tokens"), F.col("a_head"))
     out = out.withColumns({
         "definite": C.has_definite(F.col("a_tokens")), "determiner": C.determiner_first(F.col("a_tokens")), "len_anaphor": C.length_bin(F.size("a_tokens")), "len_antecedent": C.length_bin(F.size("t_tokens")),
