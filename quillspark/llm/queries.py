@@ -63,10 +63,14 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = vocabulary("piece_bpe_32k.model")
-    rows = sentencepiece_codec.round_trip(_read(spark, sf_dir, "documents"), model)
+    """Ids of the best path over scores, the text that they decode to, and the library's ids beside them."""
+    rows = sentencepiece_codec.round_trip(_read(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), sentencepiece_codec.VITERBI)
     same = F.translate("text", "▁", " ") == F.col("decoded")
-    return rows.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.crc32(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_crc32"), F.crc32("decoded").alias("decoded_crc32"), same.alias("round_trip"))
+    crc = lambda c: F.crc32(F.array_join(F.col(c).cast("array<string>"), " "))
+    return rows.select(
+        "doc_id", F.size("ids").cast("long").alias("n_ids"), crc("ids").alias("ids_crc32"), F.size("library_ids").cast("long").alias("n_library_ids"), crc("library_ids").alias("library_ids_crc32"),
+        F.crc32("decoded").alias("decoded_crc32"), same.alias("round_trip"),
+    )
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,16 @@
 """SentencePiece encoding and decoding in batches.
 
-Words of equal length advance together, substring hashes probe the sorted piece keys, and vectorised maxima choose. For a
-unigram model that is a Viterbi pass: place by place, the best of all pieces that end there, with back-pointers to where
-they begin; scores add up in single precision from each word's beginning, the library's from the text's, so where two
-paths are equal but for rounding the choices can differ. A byte-pair model's segmentation is by definition what repeated merging gives, which no path over scores
-equals; there each step's maximum is each word's best merge, the leftmost of equals, and words of over ``LONG``
-characters go through a heap of merges with the same result. The model file says which kind it is.
+Words of equal length advance together, substring hashes probe the sorted piece keys, and vectorised maxima choose.
+
+``VITERBI`` is one pass over places: the best of all pieces that end there, with back-pointers to where they begin. The
+ids are those of the path whose pieces' scores sum highest; of equal paths the one whose last piece is longest, and so
+on backward. For a unigram model that is the library's result; scores add up in single precision there, from each
+word's beginning (the library's from the text's), so where two paths are equal but for rounding the choices can differ.
+A byte-pair model's scores are whole numbers, ranks of merges below zero, and sums are exact.
+
+``LIBRARY`` gives the library's ids for either kind, which the model file tells. A byte-pair model's are by definition
+what repeated merging gives, not a path over scores: each step's maximum is each word's best merge, the leftmost of
+equals, and words of over ``LONG`` characters go through a heap of merges with the same result. Both decode alike.
 
 Edge cases: a null or empty text has no ids; characters without a piece become byte pieces, or the unknown id, once for
 each run of them; U+2581 counts as the space that it stands for, and decodes to one, as in the library; texts come back
@@ -29,6 +34,8 @@ from quillspark.llm import tokens as T
 SPACE_MARK = 0x2581
 #: Kind of a unigram model in a model file, and how far an unknown character's score is below the worst.
 UNIGRAM, UNKNOWN = 1, 10.0
+#: How ids are chosen: the best path over scores, or as the library does for the model's kind.
+VITERBI, LIBRARY = "viterbi", "library"
 #: Longer words are merged one by one with a heap.
 LONG = 256
 #: Characters merged at once, bytes encoded at once, ids decoded at once. They bound memory only.
@@ -66,11 +73,15 @@ def model_kind(proto: bytes) -> int:
 
 
 class Codec(T.Encoder):
-    def __init__(self, path: str):
+    def __init__(self, path: str, by: str = LIBRARY):
         import sentencepiece
 
+        if by not in (VITERBI, LIBRARY):
+            raise ValueError(f"ids are chosen by {VITERBI} or {LIBRARY}, not by {by}")
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         self.unigram = model_kind(sp.serialized_model_proto()) == UNIGRAM
+        self.by_path = self.unigram or by == VITERBI
+        self.exact = np.float32 if self.unigram else np.float64
         self.special: list[bytes] = []
         n = sp.get_piece_size()
         keys, ids, scores = [], [], []
@@ -94,7 +105,7 @@ class Codec(T.Encoder):
         order = np.argsort(np.array(keys, np.uint64))
         self.piece_key, self.piece_id, self.piece_score = np.array(keys, np.uint64)[order], np.array(ids)[order], np.array(scores)[order]
         self.longest, self.bytewise = longest, bool((self.byte_id != self.unknown).any())
-        self.worst = np.float32(min(scores, default=0.0)) - np.float32(UNKNOWN)
+        self.worst = self.exact(min(scores, default=0.0)) - self.exact(UNKNOWN)
         self.spell_at = np.concatenate(([0], np.cumsum([len(x) for x in spell])))
         self.spelling = np.frombuffer(b"".join(spell), np.uint8)
         self.drop_space = False
@@ -133,11 +144,11 @@ class Codec(T.Encoder):
         """(row, start) of the pieces on each equal-length word's best path, in order."""
         n, size = words.shape
         h, (_, inv) = self._prefixes(words), V.powers(size)
-        best, back = np.zeros((n, size + 1), np.float32), np.zeros((n, size + 1), np.int64)
+        best, back = np.zeros((n, size + 1), self.exact), np.zeros((n, size + 1), np.int32)
         for end in range(1, size + 1):
             start = np.arange(max(0, end - self.longest), end)
             keys = V.mix64((h[:, end : end + 1] - h[:, start]) * inv[start] ^ ((end - start).astype(np.uint64) * V.U(0xD6E8FEB86659FD93)))
-            score = self._probe(keys)[0].astype(np.float32)
+            score = self._probe(keys)[0].astype(self.exact)
             # a character that is no piece by itself
             score[:, -1] = np.where(np.isneginf(score[:, -1]), self.worst, score[:, -1])
             total = score + best[:, start]
@@ -213,14 +224,14 @@ class Codec(T.Encoder):
         raw = data.tobytes()
         strings = [raw[a:b].decode("utf-8", "replace").replace(" ", "▁") for a, b in zip(start.tolist(), end.tolist(), strict=True)]
         size = np.array([len(s) for s in strings])
-        out: list = [None] * len(strings)
         order = np.argsort(size, kind="stable")
         kinds, first = np.unique(size[order], return_index=True)
         groups = zip(kinds.tolist(), np.split(order, first[1:]), strict=True)
         blocks = ((length, all_[x : x + max(1, BLOCK // length)]) for length, all_ in groups for x in range(0, len(all_), max(1, BLOCK // length)))
+        count, found = np.zeros(len(strings), np.int64), []
         for length, own in blocks:
             words = np.frombuffer("".join(strings[i] for i in own).encode("utf-32-le"), np.uint32).astype(np.int64).reshape(len(own), length)
-            if self.unigram:
+            if self.by_path:
                 row, at = self.viterbi(words)
             elif length > LONG:
                 parts = [self.merge_long(w) for w in words]
@@ -229,19 +240,32 @@ class Codec(T.Encoder):
                 row, at = self.merge(words)
             stop = np.where(np.append(row[1:], -1) == row, np.append(at[1:], 0), length)
             ids = self._probe(self._hash(words, at, stop, row))[1]
-            cut = np.searchsorted(row, np.arange(len(own) + 1))
-            lists = ids.tolist()
-            missing = ids < 0
-            for x, i in enumerate(own):
-                a, b = cut[x], cut[x + 1]
-                if missing[a:b].any() and not self.bytewise:
-                    out[i] = [lists[y] if lists[y] >= 0 else self.unknown for y in range(a, b) if lists[y] >= 0 or y == a or lists[y - 1] >= 0]
-                elif missing[a:b].any():
-                    out[i] = [z for y in range(a, b) for z in ([lists[y]] if lists[y] >= 0 else self.byte_id[list(strings[i][at[y] : stop[y]].encode("utf-8"))].tolist())]
-                else:
-                    out[i] = lists[a:b]
-        n = np.array([len(x) for x in out], np.int32)
-        return np.fromiter((z for x in out for z in x), np.uint32, int(n.sum())), n
+            row, ids = self._without_piece(words, row, at, ids)
+            count[own] = np.bincount(row, minlength=len(own))
+            found.append((own[row], ids))
+        to = np.cumsum(count) - count
+        flat = np.empty(int(count.sum()), np.uint32)
+        for word, ids in found:
+            # ids of a word stand together, in order
+            start_of = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            flat[to[word] + np.arange(len(word)) - np.repeat(start_of, np.diff(np.append(start_of, len(word))))] = ids
+        return flat, count.astype(np.int32)
+
+    def _without_piece(self, words: np.ndarray, row: np.ndarray, at: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and ids with those of characters that are no piece: their bytes, or one unknown id for each run."""
+        missing = ids < 0
+        if not missing.any():
+            return row, ids
+        if not self.bytewise:
+            keep = ~missing | np.append(True, ~missing[:-1] | (row[1:] != row[:-1]))
+            return row[keep], np.where(missing, self.unknown, ids)[keep]
+        letter = words[row[missing], at[missing]]
+        size = np.ones(len(ids), np.int64)
+        size[missing] += (letter >= 0x80).astype(np.int64) + (letter >= 0x800) + (letter >= 0x10000)
+        out = np.repeat(ids, size)
+        spelled = letter.astype("<u4").tobytes().decode("utf-32-le").encode()
+        out[out < 0] = self.byte_id[np.frombuffer(spelled, np.uint8)]
+        return np.repeat(row, size), out
 
     def encode_texts(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """As ``encode``, after the space that goes before every text that isn't empty."""
@@ -266,9 +290,9 @@ class Codec(T.Encoder):
         return body[keep], np.concatenate(([0], np.cumsum(keep)))[upto]
 
 
-@functools.lru_cache(maxsize=2)
-def codec(path: str) -> Codec:
-    return Codec(path)
+@functools.lru_cache(maxsize=4)
+def codec(path: str, by: str = LIBRARY) -> Codec:
+    return Codec(path, by)
 
 
 def _plain_spaces(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -284,12 +308,15 @@ def _plain_spaces(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.nda
     return out[keep], np.concatenate(([0], np.cumsum(keep)))[off]
 
 
-def _encoded(c: Codec, batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+def _encoded(codecs: dict[str, Codec], batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+    """doc_id, text and a column of ids for each codec."""
     for b in batches:
         for lo, hi, data, off in V.chunks(b.column("text"), BYTES):
-            ids, n = c.encode_texts(data, off)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(ids.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), b.column("text").slice(lo, hi - lo), lists], ["doc_id", "text", "ids"])
+            made = []
+            for c in codecs.values():
+                ids, n = c.encode_texts(data, off)
+                made.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(ids.astype(np.int32))))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), b.column("text").slice(lo, hi - lo), *made], ["doc_id", "text", *codecs])
 
 
 def _decoded(c: Codec, batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
@@ -307,14 +334,17 @@ def _decoded(c: Codec, batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordB
             lo = hi
 
 
-def encode(docs: DataFrame, model: str) -> DataFrame:
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def encode(docs: DataFrame, model: str, by: str = LIBRARY) -> DataFrame:
     """doc_id, text and ids of every row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        return _encoded(codec(model), batches)
+        return _encoded({"ids": codec(model, by)}, batches)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, text string, ids array<int>")
+    return _rows(docs).mapInArrow(run, "doc_id long, text string, ids array<int>")
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
@@ -329,12 +359,12 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
     return encoded.mapInArrow(run, StructType([*encoded.schema.fields, StructField("decoded", StringType())]))
 
 
-def round_trip(docs: DataFrame, model: str) -> DataFrame:
-    """``decode`` of ``encode`` in one pass of one worker a task: doc_id, text, ids and decoded of every row."""
+def round_trip(docs: DataFrame, model: str, by: str = LIBRARY) -> DataFrame:
+    """``decode`` of ``encode`` in one pass of one worker a task: doc_id, text, ids, the library's ids beside them, and
+    decoded, the text of ``ids``, of every row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        c = codec(model)
-        return _decoded(c, _encoded(c, batches))
+        c = codec(model, by)
+        return _decoded(c, _encoded({"ids": c, "library_ids": codec(model, LIBRARY)}, batches))
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, text string, ids array<int>, decoded string")
+    return _rows(docs).mapInArrow(run, "doc_id long, text string, ids array<int>, library_ids array<int>, decoded string")

@@ -80,12 +80,53 @@ def test_viterbi_is_the_librarys(tmp_path, bytewise):
         assert ids == sp.encode(t)
 
 
+def test_best_path_of_the_byte_pair_model_is_a_plain_dynamic_programs():
+    import sentencepiece
+
+    path = P.path("piece_bpe_32k.model")
+    sp, c = sentencepiece.SentencePieceProcessor(model_file=path), sentencepiece_codec.Codec(path, sentencepiece_codec.VITERBI)
+    known = {sp.id_to_piece(i): (sp.get_score(i), i) for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))}
+    worst = min(s for s, _ in known.values()) - 10
+    byte = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(sp.get_piece_size()) if sp.is_byte(i)}
+
+    def best(word):
+        # (score, ids) of the best path to each place; of equals the longest last piece, which is tried first
+        to = [(0.0, [])]
+        for end in range(1, len(word) + 1):
+            top = None
+            for start in range(end):
+                part = word[start:end]
+                if part in known:
+                    score, ids = known[part][0], [known[part][1]]
+                elif end - start == 1:
+                    score, ids = worst, [byte[b] for b in part.encode()]
+                else:
+                    continue
+                if top is None or to[start][0] + score > top[0]:
+                    top = (to[start][0] + score, to[start][1] + ids)
+            to.append(top)
+        return to[-1][1]
+
+    rng = random.Random(7)
+    spelled = [sp.id_to_piece(i).replace("▁", "") for i in range(300, sp.get_piece_size(), 7)]
+    words = ["".join(rng.choice(spelled) for _ in range(rng.randint(1, 4))) for _ in range(1500)] + ["xy" * 300, "é日🙂", "🙂" * 40]
+    differ = 0
+    for t, ids in _each(c.encode_texts, words):
+        assert ids == best("▁" + t)
+        differ += ids != sp.encode(t)
+    # not the same thing as merging
+    assert differ > 0
+
+
 def test_encoding_in_spark_of_nothing_and_long_words(spark):
     import sentencepiece
 
     path = P.path("piece_bpe_32k.model")
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     docs = spark.createDataFrame([(1, "▁ a▁b", "x"), (None, "é" * 2000, "y"), (3, None, "z"), (3, None, "z")], "doc_id long, text string, decoded string")
-    rows = sentencepiece_codec.round_trip(docs, path).collect()
-    assert sorted((r.doc_id or 0, r.ids) for r in rows) == sorted([(1, sp.encode("▁ a▁b")), (0, sp.encode("é" * 2000)), (3, []), (3, [])])
+    rows = sentencepiece_codec.round_trip(docs, path, sentencepiece_codec.VITERBI).collect()
+    assert sorted((r.doc_id or 0, r.library_ids) for r in rows) == sorted([(1, sp.encode("▁ a▁b")), (0, sp.encode("é" * 2000)), (3, []), (3, [])])
+    assert {len(r.ids) for r in rows if r.text == ""} == {0}
+    alone = sentencepiece_codec.decode(sentencepiece_codec.encode(docs, path, sentencepiece_codec.VITERBI), path).collect()
+    assert sorted((r.doc_id or 0, r.ids, r.decoded) for r in alone) == sorted((r.doc_id or 0, r.ids, r.decoded) for r in rows)
     assert {r.decoded for r in rows} == {"  a b", "é" * 2000, ""}
