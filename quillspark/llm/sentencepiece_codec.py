@@ -36,6 +36,8 @@ SPACE_MARK = 0x2581
 UNIGRAM, UNKNOWN = 1, 10.0
 #: How ids are chosen: the best path over scores, or as the library does for the model's kind.
 VITERBI, LIBRARY = "viterbi", "library"
+#: Places in the table that tells most substrings without piece before a search of the sorted keys, a power of two.
+SIEVE = 1 << 21
 #: Longer words are merged one by one with a heap.
 LONG = 256
 #: Characters merged at once, bytes encoded at once, ids decoded at once. They bound memory only.
@@ -84,7 +86,7 @@ class Codec(T.Encoder):
         self.exact = np.float32 if self.unigram else np.float64
         self.special: list[bytes] = []
         n = sp.get_piece_size()
-        keys, ids, scores = [], [], []
+        pieces, ids, scores = [], [], []
         self.unknown = sp.unk_id()
         self.byte_id = np.full(256, self.unknown, np.int64)
         longest = 1
@@ -99,11 +101,18 @@ class Codec(T.Encoder):
                 longest = max(longest, len(piece))
                 if "▁" in piece.lstrip("▁"):
                     raise ValueError("pieces go across the beginning of a word")
-                keys.append(self._hash(np.array([[ord(c) for c in piece]], np.int64), [0], [len(piece)], np.zeros(1, np.int64))[0])
+                pieces.append(piece)
                 ids.append(i)
                 scores.append(sp.get_score(i))
-        order = np.argsort(np.array(keys, np.uint64))
-        self.piece_key, self.piece_id, self.piece_score = np.array(keys, np.uint64)[order], np.array(ids)[order], np.array(scores)[order]
+        size, keys = np.array([len(x) for x in pieces]), np.zeros(len(pieces), np.uint64)
+        for length in np.unique(size).tolist():
+            own = np.flatnonzero(size == length)
+            words = np.frombuffer("".join(pieces[i] for i in own).encode("utf-32-le"), np.uint32).astype(np.int64).reshape(len(own), length)
+            keys[own] = self._hash(words, np.zeros(len(own), np.int64), np.full(len(own), length), np.arange(len(own)))
+        order = np.argsort(keys)
+        self.piece_key, self.piece_id, self.piece_score = keys[order], np.array(ids)[order], np.array(scores)[order]
+        self.maybe = np.zeros(SIEVE, bool)
+        self.maybe[keys & V.U(SIEVE - 1)] = True
         self.longest, self.bytewise = longest, bool((self.byte_id != self.unknown).any())
         self.worst = self.exact(min(scores, default=0.0)) - self.exact(UNKNOWN)
         self.spell_at = np.concatenate(([0], np.cumsum([len(x) for x in spell])))
@@ -128,9 +137,13 @@ class Codec(T.Encoder):
 
     def _probe(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(score, id) of the pieces with these hashes; -inf and -1 where there is none."""
-        k = np.minimum(np.searchsorted(self.piece_key, h), len(self.piece_key) - 1)
-        hit = self.piece_key[k] == h
-        return np.where(hit, self.piece_score[k], -np.inf), np.where(hit, self.piece_id[k], -1)
+        score, ids = np.full(h.shape, -np.inf), np.full(h.shape, -1, np.int64)
+        some = np.nonzero(self.maybe[h & V.U(SIEVE - 1)])
+        own = h[some]
+        k = np.minimum(np.searchsorted(self.piece_key, own), len(self.piece_key) - 1)
+        hit = self.piece_key[k] == own
+        score[some], ids[some] = np.where(hit, self.piece_score[k], -np.inf), np.where(hit, self.piece_id[k], -1)
+        return score, ids
 
     def _pieces(self, data: np.ndarray, off: np.ndarray, letter: np.ndarray):
         space = data == 0x20
