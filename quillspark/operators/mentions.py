@@ -230,7 +230,8 @@ def pair_features(pairs: DataFrame, mentions: DataFrame, lexicon: DataFrame, top
 def generalized_resource(pairs: DataFrame, general: DataFrame, general_pairs: DataFrame) -> DataFrame:
     """Adds generalized_resource to pairs with a_head and t_head: the pair of their synsets, by ``general`` (word,
     synset), is in ``general_pairs`` (anaphor, antecedent). A word without synset is in no such pair."""
-    known = general_pairs.select("anaphor", "antecedent").distinct()
-    known = known.join(general.select(F.col("word").alias("a_head"), F.col("synset").alias("anaphor")), "anaphor").join(general.select(F.col("word").alias("t_head"), F.col("synset").alias("antecedent")), "antecedent")
-    known = known.select("a_head", "t_head").distinct().withColumn("generalized_resource", F.lit(True))
+    # from the heads at hand to their synsets: all words under a known pair of synsets would be many more
+    heads = pairs.select("a_head", "t_head").distinct()
+    heads = heads.join(general.select(F.col("word").alias("a_head"), F.col("synset").alias("anaphor")), "a_head").join(general.select(F.col("word").alias("t_head"), F.col("synset").alias("antecedent")), "t_head")
+    known = heads.join(general_pairs, ["anaphor", "antecedent"], "left_semi").select("a_head", "t_head").distinct().withColumn("generalized_resource", F.lit(True))
     return pairs.join(known, ["a_head", "t_head"], "left").withColumn("generalized_resource", F.coalesce("generalized_resource", F.lit(False)))

@@ -18,6 +18,8 @@ INDEFINITE = "'a', 'an', 'one', 'some', 'any', 'either', 'neither', 'no', 'all',
 SPATIAL_TEMPORAL = """'\ufb01nal', '\ufb01rst', 'last', 'next', 'prior', 'succeed', 'second', 'nearby', 'previous', 'close', 'above', 'adjacent', 'behind', 'below', 'bottom', 'early', 'formal', 'future', 'before',
     'after', 'earlier', 'later'"""
 NUMBERS = """'one', 'two', 'three', 'four', 'five', 'six', 'seven', 'eight', 'nine', 'ten', 'twenty', 'thirty', 'forty', 'fifty', 'sixty', 'seventy', 'eighty', 'ninety', 'hundreds', 'thousands', 'millions'"""
+SMALL_NUMBERS = "'one', 'two', 'three', 'four', 'five', 'six', 'seven', 'eight', 'nine', 'ten'"
+DEFINITE, INDEFINITE_FIRST = "'the', 'that', 'this', 'those', 'these', 'one'", "'a', 'an', 'some'"
 CLOSED = _in(L.CLOSED_CLASS)
 WORDS = r"regexp_extract_all({0}, '[\p{{L}}]+|,')"
 TOK = rf"""
@@ -287,6 +289,29 @@ ORACLE = {
             array_to_string(list_sort(list_distinct(toks)), ' ') as unigrams
         from x cross join land join sw on sw.doc = x.doc and sw.sent = x.sent left join seen on seen.doc = x.doc and seen.ment = x.ment
     """,
+    "pair_features": f"""
+        with {TALK}, {LEX},
+        kn as (select distinct anaphor[1:3] as ga, antecedent[1:3] as gt from lx where length(anaphor) > 3 and length(antecedent) > 3),
+        ft as (select doc, unnest(toks) as token from mm), fn as (select doc, token, count(*) as cnt from ft group by all),
+        fd as (select *, sum(cnt) over (partition by doc) as total, count(*) over (partition by token) as df, (select count(distinct doc) from fn) as docs from fn),
+        tp as (select doc, token from fd qualify row_number() over (partition by doc order by round(cnt / total * ln(docs / df), 9) desc, token) <= 15),
+        tops as (select doc, list(token) as tops from tp group by doc),
+        pr as (
+            select a.doc, a.ment as anaphor, b.ment as antecedent, a.head as ah, b.head as th, a.toks as ta, b.toks as tt, a.toks[1 : greatest(list_position(a.toks, a.head) - 1, 0)] as pre
+            from mm a join mm b on a.doc = b.doc and (b.sent = a.sent and b."end" < a."start" or b.sent = a.sent - 1 and b.sent >= 1)),
+        pf as (select pr.*, list_has_any(tt, tops) as ti, lx.anaphor is not null as known from pr join tops using (doc) left join lx on lx.anaphor = ah and lx.antecedent = th)
+        select doc, anaphor, antecedent, known as pair_in_resource, length(ah) > 3 and length(th) > 3 and (ah[1:3], th[1:3]) in (select (ga, gt) from kn) as generalized_resource,
+            known and length(ah) % 3 <> 0 as meronym, case when ah = th then 'really_high' when ah[1:2] = th[1:2] then 'higher' when ah[1:1] = th[1:1] then 'high' else 'low' end as wn_dist,
+            ti as tfidf_ante, ti and ah in (select anaphor from lx) as ante_tfidf_anap_resource,
+            len(list_filter(ta, lambda z: ends_with(z, 'in') and not regexp_matches(z, '^\\p{{Lu}}'))) > 0 as anaphor_pp,
+            len(list_filter(ta, lambda z: lower(z) in ({SMALL_NUMBERS}))) > 0 and ends_with(th, 's') and not regexp_matches(th, '^\\p{{Lu}}') as number_plural,
+            case when regexp_matches(th, '^\\p{{Lu}}') then 'NAME-' else '*-' end || ah as ante_ne_anap_head, len(list_filter(ta, lambda z: lower(z) in ({DEFINITE}))) > 0 as definite,
+            case when ta[1] in ({DEFINITE}) then 'def' when ta[1] in ({INDEFINITE_FIRST}) then 'indef' else 'no_det' end as determiner,
+            cast(case when len(ta) <= 2 then len(ta) when len(ta) <= 7 then 4 when len(ta) <= 14 then 5 else 6 end as int) as len_anaphor,
+            cast(case when len(tt) <= 2 then len(tt) when len(tt) <= 7 then 4 when len(tt) <= 14 then 5 else 6 end as int) as len_antecedent,
+            list_contains(tt, ah) and ah <> th as anaphor_head_in_ante, list_contains(pre, lower(th)) as ante_head_in_anaphor, ah = th as same_head
+        from pf
+    """,
     "cosine_match": """
         with e as (select vec_id, cast(embedding as double[]) as v from embeddings),
         c as (select a.vec_id, max(round(list_cosine_similarity(a.v, b.v), 6)) as best from e a join e b on a.vec_id <> b.vec_id group by a.vec_id)

@@ -292,6 +292,12 @@ def gold_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
 LENGTHS = {"building_parts": 4, "inq_roles": 5, "relative": 3, "role": 6, "person": 7, "organisation": 8, "location": 9}
 
 
+PAIR_FEATURES = [
+    "pair_in_resource", "generalized_resource", "meronym", "wn_dist", "tfidf_ante", "ante_tfidf_anap_resource", "anaphor_pp", "number_plural", "ante_ne_anap_head", "definite", "determiner", "len_anaphor",
+    "len_antecedent", "anaphor_head_in_ante", "ante_head_in_anaphor", "same_head",
+]
+
+
 def _tagged_talk(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, anaphoricity.Tables]:
     """Mentions of conversations with tags by form (capitals are names, a last s a plural), chains of equal texts, and lists by length;
     argument ratios grow with how often a head is one."""
@@ -313,6 +319,30 @@ def anaphor_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc", "ment", *(F.array_join(F.array_sort("unigrams"), " ").alias("unigrams") if n == "unigrams" else F.col(n) for n in names))
 
 
+def pair_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All features of pairs, of every mention with those before it in its turn and the turn before. Tags and names go by form; a
+    word's synsets are itself, its first two letters and its first; it generalises to its first three, if it has more; pairs of the
+    lexicon are part-of relations, written from the whole or from the part, but for anaphors of three letters, six and so on."""
+    tag = lambda t: F.when(F.rlike(t, F.lit(r"^\p{Lu}")), "NNP").when(F.endswith(t, F.lit("s")), "NNS").when(F.endswith(t, F.lit("in")), "IN").otherwise("NN")
+    plain = store.kept(talk(spark, sf_dir))
+    name = F.when(F.rlike("head", F.lit(r"^\p{Lu}")), "NAME").otherwise("*")
+    m = plain.withColumns({"tags": F.transform("tokens", tag), "head_tag": tag(F.col("head")), "ner": name})
+    lexicon = store.kept(_talk_lexicon(plain))
+    scored = resources.tf_idf(resources.term_counts(plain.select("doc", F.explode("tokens").alias("token")), "doc"), "doc").withColumn("score", F.round("score", 9))
+    words = plain.select(F.col("head").alias("word")).distinct()
+    general = words.where(F.length("word") > 3).select("word", F.substring("word", 1, 3).alias("synset"))
+    short = lambda c: F.when(F.length(c) > 3, F.substring(c, 1, 3))
+    general_pairs = lexicon.select(short("anaphor").alias("anaphor"), short("antecedent").alias("antecedent")).distinct()
+    lemmas = words.select(F.concat(F.lit("word "), "word").alias("synset"), F.col("word").alias("lemma"))
+    levels = [(F.concat(F.lit("word "), "word"), 0), (F.concat(F.lit("two "), F.substring("word", 1, 2)), 1), (F.concat(F.lit("one "), F.substring("word", 1, 1)), 2)]
+    paths = words.select("word", F.inline(F.array(*(F.struct(s.alias("synset"), F.lit(d).alias("depth")) for s, d in levels))))
+    part, whole, kind = F.concat(F.lit("word "), "anaphor"), F.concat(F.lit("word "), "antecedent"), F.length("anaphor") % 3
+    edges = lexicon.select(F.when(kind == 2, part).otherwise(whole).alias("synset"), F.when(kind == 0, "hypernym").when(kind == 1, "part_meronym").otherwise("member_holonym").alias("rel"), F.when(kind == 2, whole).otherwise(part).alias("target"))
+    pairs = mentions.candidate_window(plain, 1, min_sent=1).select("doc", "anaphor", "antecedent")
+    out = mentions.pair_features(pairs, m, lexicon, resources.top_terms(scored, doc="doc"), general=general, general_pairs=general_pairs, net=(lemmas, edges, paths))
+    return out.select("doc", "anaphor", "antecedent", *PAIR_FEATURES)
+
+
 def recognised_anaphors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recognition of the mentions that the rule-based search links, from all features but those of LEFT_OUT, cross-validated over FOLDS
     contiguous runs of documents. A fitted model, so without SQL."""
@@ -341,5 +371,5 @@ QUERIES = {f.__name__: f for f in (
     tokens, sentence_lengths, noun_runs, pattern_extractions, pattern_candidates_v1, pattern_prune, pattern_rlogf_strict, pattern_rlogf_relaxed, extraction_scores, bootstrap_round1, bootstrap_round2, bootstrap_twenty, bootstrap_frozen,
     pattern_match, noun_compounds, pair_count_cube, tfidf_top15, mentions_noun_runs, backward_search, candidate_window, possible_anaphors, previous_mentions, mention_features, between_mentions, negative_pairs,
     score_prf, lexicon_coverage, cv_folds, hypernym_closure, generalise, json_counts, coref_exact, cosine_match,
-    constituents, name_spans, phrase_heads, seed_patterns, coref_pass_exact, coref_passes, cluster_column, coref_column_spans, gold_chains, anaphor_features, recognised_anaphors, statistical_links,
+    constituents, name_spans, phrase_heads, seed_patterns, coref_pass_exact, coref_passes, cluster_column, coref_column_spans, gold_chains, anaphor_features, pair_features, recognised_anaphors, statistical_links,
 )}

@@ -45,3 +45,13 @@ def test_pair_features(spark):
     assert got["2", "1"].anaphor_pp and not got["3", "1"].anaphor_pp
     assert got["3", "1"].ante_head_in_anaphor and not got["2", "1"].ante_head_in_anaphor
     assert not any(r.number_plural for r in rows) and got["3", "1"].ante_ne_anap_head == "*-door" and got["2", "3"].ante_ne_anap_head == "ORG-doors"
+
+
+def test_generalised_pairs_of_words_with_several_synsets(spark):
+    pairs = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x"), (None, "x"), ("a", None), ("a", "x")], "a_head string, t_head string")
+    general = spark.createDataFrame([("a", "one"), ("a", "two"), ("b", "three"), ("x", "up"), ("x", "down"), ("c", "one")], "word string, synset string")
+    known = spark.createDataFrame([("one", "up"), ("two", "down"), ("one", "up"), ("three", "none"), (None, "up")], "anaphor string, antecedent string")
+    rows = mentions.generalized_resource(pairs, general, known).collect()
+    # one row for each pair, repeated ones too; a word without synset is in no pair
+    assert sorted((r.a_head or "", r.t_head or "", r.generalized_resource) for r in rows) == [("", "x", False), ("a", "", False), ("a", "x", True), ("a", "x", True), ("a", "y", False), ("b", "x", False)]
+    assert not any(r.generalized_resource for r in mentions.generalized_resource(pairs, general, known.limit(0)).collect())
