@@ -85,3 +85,22 @@ def test_one_long_document(spark):
     lexicon = spark.createDataFrame([("roof", "house")], "anaphor string, antecedent string")
     got = {int(r.anaphor): int(r.antecedent) for r in M.backward_search(df, lexicon, min_sent=0).collect()}
     assert len(got) == 9999 and got[6] == 5 and got[8] == 5 and got[19_998] == 19_997
+
+
+def test_backward_search_far_and_near(spark, rows, monkeypatch):
+    """Lookups further back than the tested sentences, and a key with very many antecedents: no lookup that finds one nearby meets all of them."""
+    df = spark.createDataFrame(rows, SCHEMA)
+    lexicon = spark.createDataFrame(LEXICON, "anaphor string, antecedent string")
+    got = [tuple(r) for r in M.backward_search(df, lexicon, near=2).collect()]
+    assert set(got) == search(rows, 1) and len(got) == len(set(got))
+    words = [(1, str(k), k // 2, k % 2 * 2, k % 2 * 2, k % 2, ["roof" if k == 41 else "yard"]) for k in range(42)]
+    df = spark.createDataFrame([*words, (1, "last", 40, 0, 0, 0, ["house"])], "doc long, ment string, sent int, start int, end int, ord int, tokens array<string>")
+    far = spark.createDataFrame([("house", "roof"), ("house", "none")], "anaphor string, antecedent string")
+    assert [tuple(r) for r in M.backward_search(df, far).collect()] == [(1, "last", "41")]
+    many = spark.range(4_000).selectExpr("cast(id div 40 as long) as doc", "cast(id as string) as ment", "cast(id % 40 + 1 as int) as sent", "0 as start", "0 as end", "0 as ord", "array('w0') as tokens")
+    wide = spark.range(20_000).selectExpr("'w0' as anaphor", "concat('w', id) as antecedent")
+    asked = []
+    monkeypatch.setattr(M, "_far", lambda left, *rest, far=M._far: (asked.append(left.count()), far(left, *rest))[1])
+    # one row for each antecedent of each lookup would be 80 million
+    assert M.backward_search(many, wide).count() == 4_000 - 100 and not asked
+
