@@ -104,3 +104,11 @@ def test_backward_search_far_and_near(spark, rows, monkeypatch):
     # one row for each antecedent of each lookup would be 80 million
     assert M.backward_search(many, wide).count() == 4_000 - 100 and not asked
 
+
+
+def test_between_sends_no_lists(spark, rows):
+    """Pairs meet the list of a sentence in the last join only, for the anaphor's sentence; before, also for the antecedent's, and the lists went through the next shuffle."""
+    df = spark.createDataFrame(rows, SCHEMA)
+    pairs = spark.createDataFrame([(1, "a", "b")], "doc long, anaphor string, antecedent string")
+    plan = M.between(pairs, df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 3
