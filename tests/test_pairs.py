@@ -55,3 +55,14 @@ def test_generalised_pairs_of_words_with_several_synsets(spark):
     # one row for each pair, repeated ones too; a word without synset is in no pair
     assert sorted((r.a_head or "", r.t_head or "", r.generalized_resource) for r in rows) == [("", "x", False), ("a", "", False), ("a", "x", True), ("a", "x", True), ("a", "y", False), ("b", "x", False)]
     assert not any(r.generalized_resource for r in mentions.generalized_resource(pairs, general, known.limit(0)).collect())
+
+
+def test_pairs_are_not_sent_for_the_features_of_one_side(spark):
+    """Pairs made within the window carry what one mention gives: after the window's own join no join by mention follows. Before, each side was joined to all pairs."""
+    m = spark.createDataFrame([(1, str(k), k // 2, k % 2 * 3, k % 2 * 3 + 1, k % 2, ["the", w], w) for k, w in enumerate(["house", "door", "roof", "door"])], "doc long, ment string, sent int, start int, end int, ord int, tokens array<string>, head string")
+    lexicon = spark.createDataFrame([("door", "house")], "anaphor string, antecedent string")
+    carried = mentions.pair_features(lambda s: mentions.candidate_window(s, 1, carry="side"), m, lexicon)
+    apart = mentions.pair_features(mentions.candidate_window(m, 1), m, lexicon)
+    assert carried._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1
+    names = apart.columns
+    assert sorted(map(str, carried.select(*names).collect())) == sorted(map(str, apart.collect())) and carried.where("pair_in_resource").count() == 2
