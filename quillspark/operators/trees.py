@@ -221,17 +221,20 @@ def seed_pairs(links: DataFrame, heads: bool = True, phrases: DataFrame | None =
     return links.select(F.replace(F.col(a), F.lit(" "), F.lit("_")).alias("anaphor"), F.replace(F.col(t), F.lit(" "), F.lit("_")).alias("antecedent")).distinct()
 
 
-def cluster_column(mentions: DataFrame, clusters: DataFrame) -> DataFrame:
+def cluster_column(mentions: DataFrame, clusters: DataFrame | None = None) -> DataFrame:
     """doc, sent, word_idx, new_coref: ``(id``, ``id)`` and ``(id)`` joined by bars, of all words at which mentions
-    begin or end. clusters: doc, ment, cluster (numbers). Mentions without cluster get fresh ids in text order, from the
-    highest of the document + 1. At a word, long spans open first and short ones close first."""
-    m = mentions.select("doc", "ment", "sent", "start", "end").join(clusters.select("doc", "ment", "cluster"), ["doc", "ment"], "left")
-    top = m.groupBy("doc").agg(F.coalesce(F.max("cluster"), F.lit(0)).alias("top"))
-    fresh = m.where("cluster is null").withColumn("n", F.row_number().over(Window.partitionBy("doc").orderBy("sent", "start", "end", "ment"))).join(top, "doc").select("doc", "ment", "sent", "start", "end", (F.col("top") + F.col("n")).alias("cluster"))
-    all_ = m.where("cluster is not null").unionByName(fresh)
+    begin or end. clusters: doc, ment, cluster (numbers); without, mentions have them. Mentions without cluster get fresh ids in text order,
+    from the highest of the document + 1. At a word, long spans open first and short ones close first."""
+    m = mentions.select("doc", "ment", "sent", "start", "end", *(["cluster"] if clusters is None else []))
+    if clusters is not None:
+        m = m.join(clusters.select("doc", "ment", "cluster"), ["doc", "ment"], "left")
+    alone = F.col("cluster").isNull().alias("alone")
+    m = m.select("*", alone).withColumn("top", F.coalesce(F.max("cluster").over(Window.partitionBy("doc")), F.lit(0)))
+    fresh = F.col("top") + F.row_number().over(Window.partitionBy("doc", "alone").orderBy("sent", "start", "end", "ment"))
     n = F.col("cluster").cast("string")
     ev = F.when(F.col("start") == F.col("end"), F.array(F.struct(F.col("start").alias("word_idx"), F.lit(1).alias("g"), F.lit(0).alias("o"), F.concat(F.lit("("), n, F.lit(")")).alias("s")))).otherwise(
         F.array(F.struct(F.col("start").alias("word_idx"), F.lit(0).alias("g"), (-F.col("end")).alias("o"), F.concat(F.lit("("), n).alias("s")), F.struct(F.col("end").alias("word_idx"), F.lit(2).alias("g"), (-F.col("start")).alias("o"), F.concat(n, F.lit(")")).alias("s"))))
+    all_ = m.withColumn("cluster", F.coalesce("cluster", fresh))
     rows = all_.select("doc", "sent", F.inline(ev)).groupBy("doc", "sent", "word_idx").agg(F.array_sort(F.collect_list(F.struct("g", "o", "s"))).alias("l"))
     return rows.select("doc", "sent", "word_idx", F.array_join("l.s", "|").alias("new_coref"))
 
