@@ -6,14 +6,12 @@ than its share of sentences; what is collected is at most a sentence."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark import store
 from quillspark.functions import columns as C
 from quillspark.functions import lexicons as L
+from quillspark.operators import brackets
 from quillspark.operators import mentions as M
 
 SENT = ["doc", "sent"]
@@ -48,29 +46,19 @@ def _slice(c: str) -> Column:
     return F.slice(c, F.col("start") + 1, F.col("end") - F.col("start") + 1)
 
 
+def as_rows(words: DataFrame) -> DataFrame:
+    """doc, sent, places, tokens, tags, bits: sentences for ``brackets.nodes``, words in order."""
+    got = words.groupBy(*SENT).agg(F.array_sort(F.collect_list(F.struct("word_idx", "token", "pos", "parse_bit"))).alias("w"))
+    return got.select(*SENT, F.col("w.word_idx").alias("places"), F.col("w.token").alias("tokens"), F.col("w.pos").alias("tags"), F.col("w.parse_bit").alias("bits"))
+
+
 def constituents(words: DataFrame) -> DataFrame:
     """doc, sent, node (number in pre-order from 1), parent (null at a root), label, depth, start, end, leaf, mirror
     (number in the pre-order that goes from right to left) and text. Every word is a leaf labelled with its tag.
 
     In a bracketing the opening and the closing of a node are neighbours among the brackets of their depth. A node
-    never closed is left out."""
-    marks = F.regexp_extract_all("parse_bit", F.lit(r"(\([^()*\s]+|\*|\))"), 1)
-    parts = F.flatten(F.transform(marks, lambda m: F.when(m == "*", F.array(F.concat(F.lit("("), F.col("pos")), F.lit(".)"))).otherwise(F.array(m))))
-    ev = words.select(*SENT, "word_idx", F.posexplode(parts).alias("k", "mark"))
-    opens = F.startswith("mark", F.lit("("))
-    at = Window.partitionBy(*SENT).orderBy("word_idx", "k")
-    ev = ev.withColumns({"ev": F.row_number().over(at), "level": F.sum(F.when(opens, 1).otherwise(-1)).over(at) + F.when(opens, 0).otherwise(1)})
-    peer = Window.partitionBy(*SENT, "level").orderBy("ev")
-    ev = ev.withColumns({"end": F.lead("word_idx").over(peer), "ev_end": F.lead("ev").over(peer), "closing": F.lead("mark").over(peer)})
-    node = ev.where(opens & F.col("ev_end").isNotNull()).select(*SENT, F.col("level").cast("int").alias("depth"), F.col("word_idx").alias("start"), "end", "ev", "ev_end", F.substring("mark", 2, 1 << 20).alias("label"), (F.col("closing") == ".)").alias("leaf"))
-    number = Window.partitionBy(*SENT)
-    node = node.withColumns({"node": F.row_number().over(number.orderBy("ev")), "mirror": F.row_number().over(number.orderBy(F.desc("ev_end")))})
-    up = node.select(*SENT, (F.col("depth") + 1).alias("depth"), F.col("node").alias("parent"), F.col("ev").alias("p_ev"), F.col("ev_end").alias("p_end")).where(~F.col("leaf"))
-    found = node.alias("c").join(up.alias("p"), [*SENT, "depth"], "left").where(F.col("p_ev").isNull() | ((F.col("p_ev") < F.col("ev")) & (F.col("ev_end") < F.col("p_end"))))
-    found = found.select(*SENT, "node", "parent")
-    text = sentences(words).select(*SENT, "tokens")
-    out = node.join(found, [*SENT, "node"], "left").join(text, SENT)
-    return out.select(*SENT, "node", "parent", "label", "depth", "start", "end", "leaf", "mirror", C.spoken(_slice("tokens")).alias("text"))
+    never closed is left out. Words are shuffled once, to their sentences."""
+    return brackets.nodes(as_rows(words)).drop("head")
 
 
 def head_nodes(nodes: DataFrame) -> DataFrame:
@@ -86,19 +74,10 @@ def _last_noun(tokens: Column, tags: Column) -> Column:
     return F.coalesce(F.try_element_at(found, F.lit(-1)), F.try_element_at(tokens, F.lit(-1)))
 
 
-def phrase_heads(nodes: DataFrame, sents: DataFrame) -> DataFrame:
+def phrase_heads(words: DataFrame) -> DataFrame:
     """doc, sent, node, head of every constituent: its last noun child; else the head of its last noun phrase child; else
-    its last noun, else its last word. Chains of noun phrases are followed by doubling steps, as many as the deepest
-    tree needs."""
-    facts = nodes.join(head_nodes(nodes), [*SENT, "node"], "left").join(sents, SENT)
-    own = F.coalesce("noun", F.when(F.col("phrase").isNull(), _last_noun(_slice("tokens"), _slice("tags"))))
-    now = facts.select(*SENT, "node", own.alias("head"), F.when(own.isNull(), F.col("phrase")).alias("next"))
-    depth = nodes.agg(F.max("depth")).first()[0] or 1
-    for _ in range(math.ceil(math.log2(depth + 1))):
-        now = store.kept(now)
-        to = now.select(*SENT, F.col("node").alias("next"), F.col("head").alias("n_head"), F.col("next").alias("n_next"))
-        now = now.join(to, [*SENT, "next"], "left").select(*SENT, "node", F.coalesce("head", "n_head").alias("head"), F.col("n_next").alias("next"))
-    return now.select(*SENT, "node", "head")
+    its last noun, else its last word."""
+    return brackets.nodes(as_rows(words)).select(*SENT, "node", "head")
 
 
 def coref_spans(words: DataFrame, crosswise: bool = False) -> DataFrame:
@@ -151,7 +130,7 @@ def mentions(words: DataFrame, *, crosswise: bool = False, head_mode: str = "leg
     first = nodes.groupBy(*SENT, "text").agg(F.min("node").alias("node"), F.min_by("mirror", "node").alias("mirror"), F.min_by("label", "node").alias("label"))
     m = m.join(first, [*SENT, "text"], "left")
     if head_mode == "tree":
-        m = m.join(phrase_heads(nodes, sents).withColumnRenamed("head", "t_head"), [*SENT, "node"], "left")
+        m = m.join(phrase_heads(words).withColumnRenamed("head", "t_head"), [*SENT, "node"], "left")
         found = F.col("t_head")
     else:
         m = m.join(head_nodes(nodes), [*SENT, "node"], "left")
@@ -249,7 +228,7 @@ def subject_verbs(words: DataFrame) -> DataFrame:
     """doc, sent, clause, subject, verb: for every S node the head of its last noun phrase child and its last verb, a child
     or grandchild of a verb phrase child; clauses without one of the two are left out."""
     nodes = constituents(words)
-    heads = phrase_heads(nodes, sentences(words))
+    heads = phrase_heads(words)
     s = nodes.where("label = 'S' and not leaf").select(*SENT, F.col("node").alias("clause"))
     kid = nodes.where("not leaf").select(*SENT, F.col("parent").alias("clause"), "node", "label").join(s, [*SENT, "clause"])
     subj = kid.where("label = 'NP'").groupBy(*SENT, "clause").agg(F.max("node").alias("node")).join(heads, [*SENT, "node"]).select(*SENT, "clause", F.col("head").alias("subject"))

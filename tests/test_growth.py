@@ -53,3 +53,60 @@ def test_documents_across_batches(spark, talk, size):
         if cluster is not None:
             by.setdefault((doc, cluster), []).append(ment)
     assert by and all(len(v) > 1 for v in by.values())
+
+
+@pytest.mark.parametrize("name", ["constituents", "phrase_heads"])
+def test_brackets_of_sentences_take_no_shuffle_and_no_sort(spark, talk, name):
+    p = plan(queries.QUERIES[name](spark, talk))
+    assert "Exchange" not in p and "Sort" not in p and "Window" not in p
+
+
+def _by_stack(words: list[tuple]) -> set[tuple]:
+    """node, parent, label, start, end, head of a sentence without faults, with a stack."""
+    nodes, open_, done = [], [], []
+    for k, (token, tag, bits) in enumerate(words):
+        for mark in bits.replace("(", " (").replace("*", " * ").replace(")", " ) ").split():
+            if mark == ")":
+                nodes[open_.pop()][3] = k
+                continue
+            nodes.append([open_[-1] if open_ else None, mark[1:] or tag, k, k, mark == "*"])
+            if mark != "*":
+                open_.append(len(nodes) - 1)
+
+    def head(n: int) -> str:
+        kids = [k for k, x in enumerate(nodes) if x[0] == n]
+        if nouns := [k for k in kids if nodes[k][4] and nodes[k][1] == "NN"]:
+            return words[nodes[nouns[-1]][2]][0]
+        if phrases := [k for k in kids if not nodes[k][4] and nodes[k][1] == "NP"]:
+            return head(phrases[-1])
+        inside = words[nodes[n][2] : nodes[n][3] + 1]
+        return ([t for t, tag, _ in inside if tag == "NN"] or [inside[-1][0]])[-1]
+
+    for n, (parent, label, start, end, _) in enumerate(nodes):
+        done.append((n + 1, None if parent is None else parent + 1, label, start, end, head(n)))
+    return set(done)
+
+
+@pytest.mark.parametrize("words", [3, 1 << 15])
+def test_nodes_equal_a_stack(spark, monkeypatch, words):
+    from quillspark.operators import brackets
+
+    monkeypatch.setattr(brackets, "WORDS", words)
+    rng, sentences = random.Random(6), []
+    for _ in range(60):
+        depth, sentence = 0, []
+        n = rng.randint(1, 9)
+        for k in range(n):
+            opened = rng.randint(0, 3) + (k == 0)
+            closed = depth + opened if k == n - 1 else rng.randint(0, max(0, depth + opened - 1))
+            depth += opened - closed
+            sentence.append((f"w{k}", rng.choice(["NN", "DT"]), "".join(rng.choice(["(NP", "(VP"]) for _ in range(opened)) + "*" + ")" * closed))
+        sentences.append(sentence)
+    rows = [(k, 0, list(range(len(s))), *(list(x) for x in zip(*s, strict=True))) for k, s in enumerate(sentences)]
+    df = spark.createDataFrame(rows, "doc long, sent int, places array<int>, tokens array<string>, tags array<string>, bits array<string>").coalesce(1)
+    got = {}
+    for b in brackets._run(iter(df.toArrow().to_batches())):
+        for r in b.to_pylist():
+            got.setdefault(r["doc"], set()).add((r["node"], r["parent"], r["label"], r["start"], r["end"], r["head"]))
+    assert got == {k: _by_stack(s) for k, s in enumerate(sentences)}
+    assert brackets.nodes(df).count() == sum(map(len, got.values())) and brackets.nodes(df.limit(0)).count() == 0
