@@ -1,8 +1,8 @@
 """Growing a word-pair lexicon with patterns, round by round, by what each round changes.
 
-What a new pair changes is found, not recounted: extractions are written twice, ordered by pair and by pattern, so that a
-round reads the parts of the files that hold its new pairs (which patterns they hit) and its new pattern (which pairs it
-extracts). A table of the patterns with hits is brought up to date from that. Each round has four jobs, whatever
+What a new pair changes is found, not recounted: extractions are written once with all that rounds ask of them, and a round
+looks there for its new pairs (which patterns they hit) and its new pattern (which pairs it extracts). Where many rounds are to come
+the table is written twice more, ordered by pair and by pattern, so that a round reads the parts of the files that hold what it looks for. A table of the patterns with hits is brought up to date from that. Each round has four jobs, whatever
 rounds came before; seeds stay a table, and the driver holds the selected patterns and added pairs only, as many as rounds allow."""
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from quillspark.functions import columns as C
 
 #: Rows in a file of the ordered tables.
 PART = 1 << 20
+#: From so many rounds on tables in order cost less than reading the whole one in each of them.
+MANY = 16
 
 
 @dataclass
@@ -89,22 +91,31 @@ class Postings:
         return self.by_pattern.where((F.col("pattern") == pattern) & ~F.col("known")).select("pattern", "anaphor", "antecedent").distinct()
 
 
-def postings(counts: DataFrame, seeds: DataFrame, mode: str = "strict") -> Postings:
-    """The tables of counts (pattern, anaphor, antecedent, cnt) for growing the lexicon ``seeds`` (anaphor, antecedent)."""
+def postings(counts: DataFrame, seeds: DataFrame, mode: str = "strict", *, ordered: bool = True) -> Postings:
+    """The tables of counts (pattern, anaphor, antecedent, cnt, and where there is, total of the pattern) for growing the lexicon ``seeds``
+    (anaphor, antecedent)."""
     heads = store.kept(seeds.select(C.head_key(F.col("anaphor")).alias("a"), C.head_key(F.col("antecedent")).alias("t")).distinct())
-    counts = store.kept(counts.select("pattern", "anaphor", "antecedent", "cnt"))
-    n = max(1, -(-counts.count() // PART))
-    total = counts.groupBy("pattern").agg(F.sum("cnt").alias("total"))
-    rows = counts.join(total, "pattern").withColumns({"ka": _key("anaphor", mode), "kt": _key("antecedent", mode)})
+    rows = counts.select("pattern", "anaphor", "antecedent", "cnt", *(["total"] if "total" in counts.columns else []))
+    if "total" not in counts.columns:
+        rows = store.kept(rows)
+        rows = rows.join(rows.groupBy("pattern").agg(F.sum("cnt").alias("total")), "pattern")
+    keys = {"ka": _key("anaphor", mode), "kt": _key("antecedent", mode)}
+    rows = _flagged(rows, heads, {"anaphor": "a", "antecedent": "t"}, "known").withColumns(keys)
     if mode == "strict":
         rows = _flagged(rows, heads, {"ka": "a", "kt": "t"}, "hit")
     else:
         low = heads.select(F.lower("a").alias("a"), F.lower("t").alias("t"))
         rows = _flagged(_flagged(rows, low, {"ka": "a"}, "a_hit"), low, {"kt": "t"}, "t_hit")
-    by_pair = _ordered(rows.drop("anaphor", "antecedent"), n, "ka", "kt", "pattern")
+    whole = store.kept(rows.drop("ka", "kt"))
+    pairs = whole.withColumns(keys).drop("anaphor", "antecedent", "known")
+    found = whole.select("pattern", "anaphor", "antecedent", "known")
+    if not ordered:
+        return Postings(mode, pairs, pairs if mode == "relaxed" else None, found)
+    n = max(1, -(-whole.count() // PART))
+    by_pair = _ordered(pairs, n, "ka", "kt", "pattern")
     by_antecedent = _ordered(by_pair, n, "kt", "ka", "pattern") if mode == "relaxed" else None
-    by_pattern = _ordered(_flagged(counts.drop("cnt"), heads, {"anaphor": "a", "antecedent": "t"}, "known"), n, "pattern", "anaphor", "antecedent")
-    store.drop(counts)
+    by_pattern = _ordered(found, n, "pattern", "anaphor", "antecedent")
+    store.drop(whole)
     return Postings(mode, by_pair, by_antecedent, by_pattern)
 
 
@@ -117,7 +128,7 @@ def bootstrap(counts: DataFrame, seeds: DataFrame, *, rounds: int = 200, per_rou
     of all selected patterns and adds the best new ones. ``frozen`` keeps the score a pattern had when selected. With ``at_least``
     pairs are added only in rounds with more scored pairs than that. A round that changes nothing ends it."""
     spark = counts.sparkSession
-    tables = postings(counts, seeds, mode)
+    tables = postings(counts, seeds, mode, ordered=rounds >= MANY)
     state = store.kept(tables.hits())
     found = store.fresh(spark)
     chosen: dict[str, tuple[float, int]] = {}

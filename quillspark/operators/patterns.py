@@ -95,11 +95,17 @@ def count_extractions(extractions: DataFrame) -> DataFrame:
     return extractions.groupBy("pattern", "anaphor", "antecedent").agg(F.count("*").alias("cnt"))
 
 
-def prune(counts: DataFrame, more_than: int = 6) -> DataFrame:
-    """The counts of patterns with more than so many extractions. Patterns are few and skewed: totals are made from
-    counts, not from extractions, and joined back."""
-    good = counts.groupBy("pattern").agg(F.sum("cnt").alias("total")).where(F.col("total") > more_than)
-    return counts.join(good.select("pattern"), "pattern", "left_semi")
+def frequent(counts: DataFrame, more_than: int = 6) -> DataFrame:
+    """pattern, total of the patterns with more than so many extractions."""
+    return counts.groupBy("pattern").agg(F.sum("cnt").alias("total")).where(F.col("total") > more_than)
+
+
+def prune(counts: DataFrame, more_than: int = 6, *, few: bool = False, carry: bool = False) -> DataFrame:
+    """The counts of ``frequent`` patterns, with ``carry`` with their totals. ``few`` says that patterns are few, as gaps of closed-class
+    words are however long the text: they are sent to the counts, which then stay where they are; else both meet by pattern."""
+    good = frequent(counts, more_than)
+    good = good if carry else good.select("pattern")
+    return counts.join(F.broadcast(good) if few else good, "pattern", "inner" if carry else "left_semi")
 
 
 def from_json(df: DataFrame, column: str = "json") -> DataFrame:
@@ -135,9 +141,10 @@ def score_patterns(flagged: DataFrame) -> DataFrame:
 
 
 def score_pairs(counts: DataFrame, selected: DataFrame) -> DataFrame:
-    """anaphor, antecedent and the sum over the selected patterns that extract them of 1 + score / 100."""
-    pairs = counts.select("pattern", "anaphor", "antecedent").distinct()
-    return pairs.join(F.broadcast(selected.select("pattern", "score")), "pattern").groupBy("anaphor", "antecedent").agg(F.sum(1 + 0.01 * F.col("score")).alias("score"))
+    """anaphor, antecedent and the sum over the selected patterns, each given once, that extract them of 1 + score / 100. Only
+    what they extract is shuffled."""
+    pairs = counts.select("pattern", "anaphor", "antecedent").join(F.broadcast(selected.select("pattern", "score")), "pattern").distinct()
+    return pairs.groupBy("anaphor", "antecedent").agg(F.sum(1 + 0.01 * F.col("score")).alias("score"))
 
 
 def match_pattern(sents: DataFrame, pattern: str) -> DataFrame:

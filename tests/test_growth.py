@@ -110,3 +110,52 @@ def test_nodes_equal_a_stack(spark, monkeypatch, words):
             got.setdefault(r["doc"], set()).add((r["node"], r["parent"], r["label"], r["start"], r["end"], r["head"]))
     assert got == {k: _by_stack(s) for k, s in enumerate(sentences)}
     assert brackets.nodes(df).count() == sum(map(len, got.values())) and brackets.nodes(df.limit(0)).count() == 0
+
+
+@pytest.fixture(scope="module")
+def prose(spark, tmp_path_factory):
+    d, rng = str(tmp_path_factory.mktemp("prose")), random.Random(5)
+    words = ["roof", "house", "door", "car", "of", "the", "in", "wheel", ",", "engine"]
+    texts = [". ".join(" ".join(rng.choices(words, k=rng.randint(1, 12))) for _ in range(6)) for _ in range(60)]
+    spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
+    return d
+
+
+def _oracle(d: str, name: str) -> list[tuple]:
+    import duckdb
+
+    from quillspark.plans import oracles
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{d}/documents.parquet/*.parquet')")
+    return sorted(con.execute(oracles.ORACLE[name]).fetchall())
+
+
+def test_pattern_totals_need_no_counts_of_triples(spark, prose):
+    df = queries.pattern_prune(spark, prose)
+    p = plan(df)
+    assert p.count("Exchange") == 1 and "Join" not in p
+    assert sorted(map(tuple, df.collect())) == _oracle(prose, "pattern_prune")
+
+
+def test_scores_of_pairs_shuffle_what_the_selected_patterns_extract(spark, prose):
+    from quillspark.operators import patterns
+
+    counts = queries.counted(spark, prose)
+    good = patterns.prune(counts, few=True)
+    out = patterns.score_pairs(good, spark.createDataFrame([("<Y> of <X>", 0.5)], "pattern string, score double"))
+    top = plan(out).split("BroadcastHashJoin")[0]
+    assert top.count("Exchange") == 2 and "SortMergeJoin" not in plan(out)
+    assert sorted(map(tuple, queries.extraction_scores(spark, prose).collect())) == _oracle(prose, "extraction_scores")
+
+
+@pytest.mark.parametrize("many", [1, 99])
+def test_few_rounds_write_one_table_and_give_the_same(spark, prose, monkeypatch, many):
+    from quillspark.operators import bootstrapping
+
+    monkeypatch.setattr(bootstrapping, "MANY", many)
+    monkeypatch.setattr(bootstrapping, "_ordered", (lambda f: lambda *a: made.append(a[2:]) or f(*a))(bootstrapping._ordered))
+    made: list = []
+    for name in ("bootstrap_round2", "bootstrap_frozen"):
+        assert sorted(map(tuple, queries.QUERIES[name](spark, prose).collect())) == _oracle(prose, name)
+    assert len(made) == (4 if many == 1 else 0)
