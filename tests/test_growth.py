@@ -159,3 +159,18 @@ def test_few_rounds_write_one_table_and_give_the_same(spark, prose, monkeypatch,
     for name in ("bootstrap_round2", "bootstrap_frozen"):
         assert sorted(map(tuple, queries.QUERIES[name](spark, prose).collect())) == _oracle(prose, name)
     assert len(made) == (4 if many == 1 else 0)
+
+
+def test_terms_are_shuffled_once_as_texts(spark, prose):
+    df = queries.tfidf_top15(spark, prose)
+    assert plan(df).count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan(df)
+    assert sorted(map(tuple, df.collect())) == _oracle(prose, "tfidf_top15")
+
+
+def test_large_vocabularies_are_joined(spark, prose):
+    from quillspark.operators import resources
+
+    counts = resources.term_counts(queries.tokens(spark, prose).select("doc_id", "token"))
+    a, b = (sorted(map(tuple, resources.tf_idf(counts, vocabulary=n).select("doc_id", "token", "cnt", "df", "score").collect())) for n in (0, 1 << 18))
+    assert a == b and len(a) > 100
+    assert resources.tf_idf(counts.limit(0)).count() == 0
