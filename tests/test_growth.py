@@ -174,3 +174,13 @@ def test_large_vocabularies_are_joined(spark, prose):
     a, b = (sorted(map(tuple, resources.tf_idf(counts, vocabulary=n).select("doc_id", "token", "cnt", "df", "score").collect())) for n in (0, 1 << 18))
     assert a == b and len(a) > 100
     assert resources.tf_idf(counts.limit(0)).count() == 0
+
+
+def test_kept_mentions_are_not_written_again(spark, talk):
+    from quillspark import store
+    from quillspark.operators import anaphoricity
+
+    m, tables = queries._tagged_talk(spark, talk)
+    before = len(store._made)
+    anaphoricity.assemble(m, tables)
+    assert len(store._made) == before
