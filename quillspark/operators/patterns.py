@@ -34,11 +34,12 @@ def noun_runs(sents: DataFrame, *, drop_last: bool = True) -> DataFrame:
     """Adds ``runs``, an array of (a, b): first and last position, from 1, of each maximal run of nouns. With drop_last
     the last token of a sentence is not looked at."""
     n = F.size("tokens") - (1 if drop_last else 0)
-    at = lambda i: F.coalesce(F.try_element_at("nouns", i), F.lit(False))
     places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    first = F.filter(places, lambda i: at(i) & ((i == 1) | ~at(F.greatest(i - 1, F.lit(1)))))
-    last = F.filter(places, lambda i: at(i) & ((i == n) | ~at(i + 1)))
-    return settled(sents.withColumn("runs", F.zip_with(first, last, lambda a, b: F.struct(a.alias("a"), b.alias("b")))))
+    others = F.filter(places, lambda i: ~F.coalesce(F.try_element_at("nouns", i), F.lit(False)))
+    cut = settled(sents.withColumn("runs_between", F.concat(F.array(F.lit(0)), others, F.array(n + 1))))
+    k = F.size("runs_between") - 1
+    between = F.zip_with(F.slice("runs_between", F.lit(1), k), F.slice("runs_between", F.lit(2), k), lambda p, q: F.struct((p + 1).alias("a"), (q - 1).alias("b")))
+    return settled(cut.withColumn("runs", F.filter(between, lambda r: r["a"] <= r["b"])).drop("runs_between"))
 
 
 def _head(a: Column, b: Column, useless: list[str]) -> Column:
@@ -100,12 +101,11 @@ def frequent(counts: DataFrame, more_than: int = 6) -> DataFrame:
     return counts.groupBy("pattern").agg(F.sum("cnt").alias("total")).where(F.col("total") > more_than)
 
 
-def prune(counts: DataFrame, more_than: int = 6, *, few: bool = False, carry: bool = False) -> DataFrame:
-    """The counts of ``frequent`` patterns, with ``carry`` with their totals. ``few`` says that patterns are few, as gaps of closed-class
+def prune(counts: DataFrame, more_than: int = 6, *, few: bool = False) -> DataFrame:
+    """The counts of ``frequent`` patterns. ``few`` says that patterns are few, as gaps of closed-class
     words are however long the text: they are sent to the counts, which then stay where they are; else both meet by pattern."""
-    good = frequent(counts, more_than)
-    good = good if carry else good.select("pattern")
-    return counts.join(F.broadcast(good) if few else good, "pattern", "inner" if carry else "left_semi")
+    good = frequent(counts, more_than).select("pattern")
+    return counts.join(F.broadcast(good) if few else good, "pattern", "left_semi")
 
 
 def from_json(df: DataFrame, column: str = "json") -> DataFrame:

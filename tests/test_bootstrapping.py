@@ -77,3 +77,20 @@ def test_jobs_of_a_round_are_constant(spark):
 def test_nothing_to_grow_from(spark):
     none = spark.createDataFrame([], "pattern string, anaphor string, antecedent string, cnt long")
     assert bootstrapping.bootstrap(none, none.select("anaphor", "antecedent"), rounds=3) == bootstrapping.Bootstrapped([], [])
+
+
+@pytest.mark.parametrize("first", [1000, 3])
+def test_rounds_score_no_more_pairs_of_a_class_than_they_can_add(spark, monkeypatch, first):
+    """Ten times the pairs that the same patterns extract are no more to score; before, each round scored all of them."""
+    made = []
+    monkeypatch.setattr(bootstrapping, "FIRST", first, raising=False)
+    monkeypatch.setattr(bootstrapping, "postings", (lambda f: lambda *a, **k: made.append(f(*a, **k)) or made[-1])(bootstrapping.postings))
+    for n in (300, 3000):
+        counts = {(p, f"a{i * 7 % n:04}", "t"): 2 for p, each in (("<Y> of <X>", 1), ("<Y> in <X>", 5), ("<X> for <Y>", 3)) for i in range(0, n, each)}
+        rows = spark.createDataFrame([(*k, c) for k, c in counts.items()], "pattern string, anaphor string, antecedent string, cnt long")
+        seeds = [("a0000", "t"), ("a0003", "t")]
+        got = bootstrapping.bootstrap(rows, spark.createDataFrame(seeds, "anaphor string, antecedent string"), rounds=5, per_round=3, digits=9)
+        patterns, pairs = recount(counts, seeds, 5, 3, "strict", False, 0, 9)
+        assert [(a, t, k) for a, t, _, k in got.pairs] == [(a, t, k) for a, t, _, k in pairs] and [p for p, *_ in got.patterns] == [p for p, *_ in patterns]
+    small, large = (m.by_pattern.count() for m in made)
+    assert small == large < 4 * 16 * 3
