@@ -67,7 +67,9 @@ def earlier_content(mentions: DataFrame) -> DataFrame:
     """Adds contentpre: an earlier mention of the document has one of the mention's content words. A word's first place
     decides, so no pairs of mentions are made."""
     order = F.struct("sent", "start", "end", "ment")
-    w = mentions.select("doc", "ment", order.alias("at"), F.explode(F.array_distinct(C.content_words(F.col("tokens"), F.col("tags")))).alias("word"))
-    first = w.groupBy("doc", "word").agg(F.min("at").alias("first"))
-    hit = w.join(first, ["doc", "word"]).where(F.col("first") < F.col("at")).select("doc", "ment").distinct().withColumn("contentpre", F.lit(True))
+    # a mention's words go to its document in one row and are told apart there
+    dealt = mentions.where("doc is not null").select("doc", "ment", "sent", "start", "end", F.array_distinct(C.content_words(F.col("tokens"), F.col("tags"))).alias("words")).where(F.size("words") > 0).repartition("doc")
+    w = dealt.select("doc", "ment", order.alias("at"), F.explode("words").alias("word"))
+    w = w.withColumn("first", F.min("at").over(Window.partitionBy("doc", "word")))
+    hit = w.where(F.col("word").isNotNull() & (F.col("first") < F.col("at"))).select("doc", "ment").distinct().withColumn("contentpre", F.lit(True))
     return mentions.join(hit, ["doc", "ment"], "left").withColumn("contentpre", F.coalesce("contentpre", F.lit(False)))

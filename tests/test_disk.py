@@ -1,5 +1,7 @@
 """What queries of annotated documents write to disk: rows for pairs of words or mentions are not sent on where only few of them count."""
 
+import re
+
 import pytest
 from test_search import LEXICON, SCHEMA, rows, search  # noqa: F401
 
@@ -40,3 +42,47 @@ def test_draws_hash_each_number_once(spark):
     df = spark.range(4, 300).withColumn("d", F.array(*x) if isinstance(x := M.draws(F.col("id"), 4, F.lit("a"), F.col("id").cast("string")), list) else x)
     assert df._jdf.queryExecution().optimizedPlan().toString().count("md5(") == 4
     assert all(len(set(r.d)) == 4 and 0 <= min(r.d) and max(r.d) < r.id for r in df.collect())
+
+
+def test_no_random_features_are_written(spark, monkeypatch):
+    """Before, each labelled row was written as n_random numbers, whatever its vector held; they are the same when made anew in each pass."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from quillspark.operators import learning as G
+
+    written, real = [], store.kept
+    monkeypatch.setattr(G.store, "kept", lambda df: (written.append(real(df)), written[-1])[1])
+    df = spark.range(90).selectExpr("id", "cast(id % 3 as int) as fold", "cast(id % 5 as string) as kind", "id % 2 = 0 as flag", "array(cast(id % 7 as string)) as words", "cast(id % 5 = 1 as int) as label")
+    s = G.Settings(kernel="rff", gamma=1.0, cost=10.0, n_random=64)
+    sums = []
+    monkeypatch.setattr(G, "_sums", (lambda f: lambda rows, w, *a: (sums.append((rows.select(F.size(rows.columns[2])).groupBy().max().first()[0], w)), f(rows, w, *a))[1])(G._sums))
+    got = G.cross_validate(df, ["kind", "flag", "words"], settings=s)
+    assert got.count() == 90 and got.where("predicted = (label > 0)").count() > 70
+    assert len(sums) > 1 and sums[0][0] <= 3
+    # rows of a batch, many or few of which hold an entry
+    rng = np.random.default_rng(4)
+    p = G.Projector(500, s)
+    rows = [np.unique(np.concatenate((rng.integers(0, 3, 2), rng.integers(0, 500, 4)))) if k % 9 else np.zeros(0, np.int64) for k in range(300)]
+    values = [rng.normal(size=len(r)) for r in rows]
+    want = np.stack([np.sqrt(2 / 64) * np.cos((v @ G.directions(r, 64, s.seed) if len(r) else np.zeros(64)) * p.scale + p.b) for r, v in zip(rows, values, strict=True)])
+    assert np.allclose(p(rows, values), want)
+
+
+def test_features_of_earlier_mentions_take_one_shuffle_each(spark, rows, plans):  # noqa: F811
+    """Before, documents and sentences were grouped and joined again, and every word of a mention was a row of two shuffles."""
+    from quillspark.operators import context
+
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert plan(M.previous_features(df)).count("Exchange ") == 1
+    tagged = df.selectExpr("*", "transform(tokens, t -> 'NN') as tags")
+    words = context.earlier_content(tagged).select("doc", "ment", "contentpre")
+    assert "hashpartitioning(doc#" in plan(words) and not re.search(r"hashpartitioning\(doc#\d+L?, word#", plan(words))
+    seen = {}
+    for doc, ment, sent, start, end, _, toks, _ in sorted(rows, key=lambda r: (r[0], r[2], r[3], r[4], r[1])):
+        seen[doc, ment] = toks
+    got = {(r.doc, r.ment): r.contentpre for r in words.collect()}
+    before: dict = {}
+    for (doc, ment), toks in seen.items():
+        assert got[doc, ment] == bool(before.setdefault(doc, set()) & set(toks))
+        before[doc] |= set(toks)
