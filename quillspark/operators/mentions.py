@@ -117,14 +117,24 @@ def _far(lookups: DataFrame, words: DataFrame, pairs: DataFrame, min_sent: int,
     return rows.withColumn("best", last).where("kind = 0 and best is not null").groupBy("doc", "anaphor").agg(F.min("best").alias("best"))
 
 
-def candidate_window(mentions: DataFrame, n: int = 2, *, min_sent: int = 0, carry: str | None = None) -> DataFrame:
-    """doc, anaphor, antecedent, distance: earlier mentions of the same sentence and all of the n before. A column ``carry`` comes along
-    for both, as a_ and t_ before its name."""
-    more = lambda p: [F.col(carry).alias(f"{p}_{carry}")] if carry else []
-    a = mentions.select("doc", F.col("ment").alias("anaphor"), F.col("sent").alias("a_sent"), F.col("start").alias("a_start"), *more("a"), F.explode(F.sequence(F.greatest(F.col("sent") - n, F.lit(0)), F.col("sent"))).alias("sent"))
-    m = mentions.select("doc", "sent", F.col("ment").alias("antecedent"), "end", *more("t"))
-    ok = (F.col("sent") < F.col("a_sent")) & (F.col("sent") >= min_sent) | (F.col("sent") == F.col("a_sent")) & (F.col("end") < F.col("a_start"))
-    return a.join(m, ["doc", "sent"]).where(ok).select("doc", "anaphor", "antecedent", (F.col("a_sent") - F.col("sent")).alias("distance"), *([f"a_{carry}", f"t_{carry}"] if carry else []))
+#: Sentences of a document that are dealt out together, with those before them that their windows reach.
+SPAN = 64
+
+
+def candidate_window(mentions: DataFrame, n: int = 2, *, min_sent: int = 0, carry: str | tuple[str, ...] | None = None) -> DataFrame:
+    """doc, anaphor, antecedent, distance: earlier mentions of the same sentence and all of the n before. Columns ``carry`` come along
+    for both, as a_ and t_ before their names. Mentions are dealt out by runs of sentences, those near the end of a run also to the next, which a join with
+    the two adds, and pairs are made there."""
+    more = (carry,) if isinstance(carry, str) else carry or ()
+    run = lambda c: F.floor(c / max(SPAN, n))
+    two = F.broadcast(mentions.sparkSession.range(2).withColumnRenamed("id", "further"))
+    rows = mentions.where("doc is not null and sent is not null").join(two, F.col("further") <= run(F.col("sent") + n) - run(F.col("sent")))
+    rows = rows.select("doc", "sent", "ment", "start", "end", *more, (run(F.col("sent")) + F.col("further")).alias("run"))
+    near = Window.partitionBy("doc", "run").orderBy("sent").rangeBetween(-n, 0)
+    rows = rows.withColumn("near", F.collect_list(F.struct("sent", "ment", "end", *more)).over(near)).where(run(F.col("sent")) == F.col("run"))
+    rows = rows.select("doc", F.col("ment").alias("anaphor"), "sent", "start", *(F.col(c).alias(f"a_{c}") for c in more), F.explode("near").alias("t"))
+    ok = (F.col("t.sent") < F.col("sent")) & (F.col("t.sent") >= max(min_sent, 0)) | (F.col("t.sent") == F.col("sent")) & (F.col("t.end") < F.col("start"))
+    return rows.where(ok).select("doc", "anaphor", F.col("t.ment").alias("antecedent"), (F.col("sent") - F.col("t.sent")).alias("distance"), *(F.col(f"a_{c}") for c in more), *(F.col(f"t.{c}").alias(f"t_{c}") for c in more))
 
 
 def best_candidate(scored: DataFrame) -> DataFrame:
@@ -247,15 +257,19 @@ def surface_features(mentions: DataFrame) -> DataFrame:
 
 
 def sides(mentions: DataFrame, lexicon: DataFrame, top_terms: DataFrame | None = None, general: DataFrame | None = None, paths: DataFrame | None = None) -> DataFrame:
-    """Adds ``side``: what features of pairs take from one mention, made once for each mention and not for each pair."""
+    """Mentions with ``side`` in place of their words: what features of pairs take from one mention, made once for each mention and not for each pair."""
     heads = mentions.select("head").distinct()
-    facts = [F.col("tokens"), F.col("head"), C.premodifiers(F.col("tokens"), F.col("head")).alias("pre"), *(F.col(c) for c in ("head_tag", "ner") if c in mentions.columns)]
+    facts = [F.col("tokens"), F.col("head"), F.size(C.premodifiers(F.col("tokens"), F.col("head"))).alias("n_pre"), *(F.col(c) for c in ("head_tag", "ner") if c in mentions.columns)]
     out = mentions
+    if "tags" in mentions.columns:
+        out = out.withColumns({"pp": C.has_preposition(F.col("tags")), "number": C.overlaps(F.transform("tokens", F.lower), L.SMALL_NUMBERS)}).drop("tags")
+        facts += [F.col("pp"), F.col("number")]
     if top_terms is not None:
         tops = top_terms.groupBy("doc").agg(F.collect_set("token").alias("tops"))
         heads = heads.join(lexicon.select(F.col("anaphor").alias("head")).distinct().withColumn("is_key", F.lit(True)), "head", "left")
-        out = out.join(tops, "doc", "left")
-        facts += [F.coalesce(F.arrays_overlap("tokens", "tops"), F.lit(False)).alias("top"), F.coalesce("is_key", F.lit(False)).alias("is_key")]
+        # the terms end here, so that none are sent on with a mention
+        out = out.join(tops, "doc", "left").withColumn("top", F.coalesce(F.arrays_overlap("tokens", "tops"), F.lit(False))).drop("tops")
+        facts += [F.col("top"), F.coalesce("is_key", F.lit(False)).alias("is_key")]
     if general is not None:
         heads = heads.join(general.groupBy(F.col("word").alias("head")).agg(F.array_sort(F.collect_set("synset")).alias("general")), "head", "left")
         facts.append(F.col("general"))
@@ -265,9 +279,22 @@ def sides(mentions: DataFrame, lexicon: DataFrame, top_terms: DataFrame | None =
         facts.append(F.col("up"))
     if len(heads.columns) > 1:
         out = out.join(heads, "head", "left")
-    if "tags" in mentions.columns:
-        facts += [C.has_preposition(F.col("tags")).alias("pp"), C.overlaps(F.transform("tokens", F.lower), L.SMALL_NUMBERS).alias("number")]
-    return out.select(*mentions.columns, F.struct(*facts).alias("side"))
+    return out.select(*(c for c in mentions.columns if c not in ("tokens", "tags", "head", "head_tag", "ner")), F.struct(*facts).alias("side"))
+
+
+#: Most blocks of a table of known pairs that are sent to all tasks together.
+MOST = 8
+
+
+def _flagged(pairs: DataFrame, known: DataFrame, on: list[str], flags: list[str]) -> DataFrame:
+    """``pairs`` with ``flags`` of the row of ``known``, false without one. ``known`` comes to the pairs, which stay where they are, unless it has more than
+    MOST blocks."""
+    parts = blocks(known, *on)
+    parts = [F.broadcast(p) for p in parts] if len(parts) <= MOST else [known]
+    out = pairs.withColumns(dict.fromkeys(flags, F.lit(False)))
+    for part in parts:
+        out = out.join(part.withColumnsRenamed({f: f"k_{f}" for f in flags}), on, "left").withColumns({f: F.coalesce(f"k_{f}", f) for f in flags}).drop(*(f"k_{f}" for f in flags))
+    return out
 
 
 def pair_features(pairs: DataFrame | Callable[[DataFrame], DataFrame], mentions: DataFrame, lexicon: DataFrame, top_terms: DataFrame | None = None, *, general: DataFrame | None = None, general_pairs: DataFrame | None = None, net: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
@@ -276,19 +303,25 @@ def pair_features(pairs: DataFrame | Callable[[DataFrame], DataFrame], mentions:
     generalisations is known; with ``net``, that is lemmas (synset, lemma), edges (synset, rel, target) and hypernym
     paths (word, synset, depth), part-of relations and the level of similarity.
 
-    What one mention gives is made by mention; pairs of heads meet only the table of known ones. ``pairs`` may be a function that
-    makes them from mentions with ``side``, carried as a_side and t_side, so that no join by mention follows."""
-    tags, ner = "tags" in mentions.columns, "ner" in mentions.columns
+    What one mention gives is made by mention, if mentions do not have it as ``side`` already. ``pairs`` may be a function that
+    makes them from mentions with ``side``, carried as a_side and t_side: no join by mention follows then, and no pair is shuffled, as the tables
+    of known pairs of heads come to where pairs are made."""
     both = general is not None and general_pairs is not None
-    m = store.kept(sides(mentions, lexicon, top_terms, general if both else None, net[2] if net else None))
-    if callable(pairs):
-        out = pairs(m)
-    else:
+    m = mentions if "side" in mentions.columns else store.kept(sides(mentions, lexicon, top_terms, general if both else None, net[2] if net else None))
+
+    given = m.schema["side"].dataType.names
+    tags, ner = "pp" in given, "ner" in given
+
+    def placed(m: DataFrame) -> DataFrame:
+        if callable(pairs):
+            return pairs(m)
         out = pairs
         for k, name in (("a", "anaphor"), ("t", "antecedent")):
             out = out.join(m.select("doc", F.col("ment").alias(name), F.col("side").alias(f"{k}_side")), ["doc", name])
+        return out
+
     a, t = F.col("a_side"), F.col("t_side")
-    out = out.withColumns({"a_head": a["head"], "t_head": t["head"]})
+    out = placed(m).withColumns({"a_head": a["head"], "t_head": t["head"]})
     known = lexicon.select(F.col("anaphor").alias("a_head"), F.col("antecedent").alias("t_head"), F.lit(True).alias("pair_in_resource"), F.lit(False).alias("meronym"))
     if net is not None:
         lemmas, edges, _ = net
@@ -296,12 +329,15 @@ def pair_features(pairs: DataFrame | Callable[[DataFrame], DataFrame], mentions:
             found = resources.relations(lemmas, edges, [f"part_{kind}", f"substance_{kind}", f"member_{kind}"], of=of)
             known = known.unionByName(found.select(F.col("a").alias("a_head"), F.col("b").alias("t_head"), F.lit(False).alias("pair_in_resource"), F.lit(True).alias("meronym")))
     flags = ["pair_in_resource", *(["meronym"] if net is not None else [])]
-    out = out.join(store.kept(known.groupBy("a_head", "t_head").agg(*(F.max(f).alias(f) for f in flags))), ["a_head", "t_head"], "left").withColumns({f: F.coalesce(f, F.lit(False)) for f in flags})
+    out = _flagged(out, store.kept(known.groupBy("a_head", "t_head").agg(*(F.max(f).alias(f) for f in flags))), ["a_head", "t_head"], flags)
     if both:
-        groups = out.select(a["general"].alias("ga"), t["general"].alias("gt")).where("ga is not null and gt is not null").distinct()
-        meet = groups.select("ga", "gt", F.explode("ga").alias("anaphor")).select("ga", "gt", "anaphor", F.explode("gt").alias("antecedent")).join(general_pairs, ["anaphor", "antecedent"], "left_semi")
-        meet = store.kept(meet.select("ga", "gt").distinct().withColumn("generalized_resource", F.lit(True)))
-        out = out.withColumns({"ga": a["general"], "gt": t["general"]}).join(meet, ["ga", "gt"], "left").drop("ga", "gt").withColumn("generalized_resource", F.coalesce("generalized_resource", F.lit(False)))
+        slim = m.withColumn("side", F.struct(F.col("side.general").alias("general")))
+        groups = placed(slim).select(a["general"].alias("ga"), t["general"].alias("gt")).select("ga", "gt", F.explode("ga").alias("anaphor")).select("ga", "gt", "anaphor", F.explode("gt").alias("antecedent"))
+        wanted = store.once(general_pairs)
+        # only known ones among the pairs of generalisations are sent on, once each
+        meet = [groups.join(F.broadcast(part), ["anaphor", "antecedent"], "left_semi").select("ga", "gt") for part in blocks(wanted, "anaphor", "antecedent")]
+        meet = store.kept(functools.reduce(DataFrame.unionByName, meet).distinct().withColumn("generalized_resource", F.lit(True)))
+        out = _flagged(out.withColumns({"ga": a["general"], "gt": t["general"]}), meet, ["ga", "gt"], ["generalized_resource"]).drop("ga", "gt")
     if net is not None:
         ways = F.flatten(F.transform(a["up"], lambda x: F.transform(F.filter(t["up"], lambda y: y["synset"] == x["synset"]), lambda y: x["d"] + y["d"])))
         out = out.withColumn("wn_dist", C.similarity_bin(C.leacock_chodorow(F.array_min(ways), resources.DEPTH)))
@@ -309,7 +345,7 @@ def pair_features(pairs: DataFrame | Callable[[DataFrame], DataFrame], mentions:
         out = out.withColumns({"tfidf_ante": t["top"], "ante_tfidf_anap_resource": a["is_key"] & t["top"]})
     out = out.withColumns({
         "definite": C.has_definite(a["tokens"]), "determiner": C.determiner_first(a["tokens"]), "len_anaphor": C.length_bin(F.size(a["tokens"])), "len_antecedent": C.length_bin(F.size(t["tokens"])),
-        "anaphor_head_in_ante": F.array_contains(t["tokens"], F.col("a_head")) & (F.col("a_head") != F.col("t_head")), "ante_head_in_anaphor": F.array_contains(a["pre"], F.lower("t_head")), "same_head": F.col("a_head") == F.col("t_head"),
+        "anaphor_head_in_ante": F.array_contains(t["tokens"], F.col("a_head")) & (F.col("a_head") != F.col("t_head")), "ante_head_in_anaphor": F.array_position(a["tokens"], F.lower("t_head")).between(1, a["n_pre"]), "same_head": F.col("a_head") == F.col("t_head"),
     })
     if tags:
         out = out.withColumns({"anaphor_pp": a["pp"], "number_plural": a["number"] & t["head_tag"].isin("NNS", "NNPS")})

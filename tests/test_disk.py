@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from test_growth import talk  # noqa: F401
 from test_search import LEXICON, SCHEMA, rows, search  # noqa: F401
 
 from quillspark import store
@@ -86,3 +87,29 @@ def test_features_of_earlier_mentions_take_one_shuffle_each(spark, rows, plans):
     for (doc, ment), toks in seen.items():
         assert got[doc, ment] == bool(before.setdefault(doc, set()) & set(toks))
         before[doc] |= set(toks)
+
+
+@pytest.mark.parametrize("block", [1 << 20, 30])
+def test_pairs_stay_where_they_are_made(spark, talk, plans, monkeypatch, block):  # noqa: F811
+    """Before, every pair went with all its mentions' words through a shuffle for known pairs of heads and one for generalisations, as soon as these were not small."""
+    import duckdb
+
+    from quillspark.plans import oracles, queries
+
+    monkeypatch.setattr(M, "BLOCK", block, raising=False)
+    df = queries.pair_features(spark, talk)
+    made = plan(df)
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from read_parquet('{talk}/conversations.parquet/*.parquet')")
+    want = con.execute(f"select {', '.join(df.columns)} from ({oracles.ORACLE['pair_features']})").fetchall()
+    assert sorted(map(tuple, df.collect()), key=str) == sorted(want, key=str) and any(r[4] for r in want) and any(r[3] for r in want)
+    assert made.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in made
+
+
+def test_windows_across_runs_of_sentences(spark, monkeypatch):
+    monkeypatch.setattr(M, "SPAN", 3, raising=False)
+    rows = [(1, f"{s}:{k}", s, 3 * k, 3 * k) for s in (*range(11), 40) for k in range(2)]
+    df = spark.createDataFrame(rows, "doc long, ment string, sent int, start int, end int")
+    for n, least in ((1, 1), (2, 0), (5, 2)):
+        want = sorted((a, b, s - t) for _, a, s, x, _ in rows for _, b, t, _, y in rows if least <= t < s <= t + n or (s == t and y < x))
+        assert sorted((r.anaphor, r.antecedent, r.distance) for r in M.candidate_window(df, n, min_sent=least).collect()) == want
