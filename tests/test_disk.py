@@ -113,3 +113,21 @@ def test_windows_across_runs_of_sentences(spark, monkeypatch):
     for n, least in ((1, 1), (2, 0), (5, 2)):
         want = sorted((a, b, s - t) for _, a, s, x, _ in rows for _, b, t, _, y in rows if least <= t < s <= t + n or (s == t and y < x))
         assert sorted((r.anaphor, r.antecedent, r.distance) for r in M.candidate_window(df, n, min_sent=least).collect()) == want
+
+
+def test_candidates_are_neither_written_nor_joined(spark, talk, monkeypatch):  # noqa: F811
+    """Before, all candidates were written with their features, after they were joined with both mentions, the lexicon and the folds."""
+    from quillspark.plans import queries
+
+    written, real = [], store.kept
+    monkeypatch.setattr(store, "kept", lambda df: (written.append(real(df)), written[-1])[1])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = queries.statistical_links(spark, talk)
+        made = plan(df)
+        assert df.count() > 10
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    labels = [w for w in written if "label" in w.columns]
+    assert labels and all(w.where("label is null").isEmpty() for w in labels)
+    assert made.count("Exchange hashpartitioning") == 2 and "SortMergeJoin" not in made
